@@ -21,9 +21,17 @@ docs AS (
          len(string_split_regex(trim(d.text), '{SPACES}'))::INT AS token_count, d.source AS entity, d.text
   FROM documents d JOIN events v ON v.event_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id
 )"""
+
+
+def unit(vector: str) -> str:
+    """Unit length in 32-bit floats, as doubles."""
+    v = f"({vector})::DOUBLE[]"
+    return f"list_transform({v}, lambda x: (x / (sqrt(list_dot_product({v}, {v})) + 1e-12))::FLOAT)::DOUBLE[]"
+
+
 ITEMS = f"""{DOCS},
 items AS (
-  SELECT docs.* EXCLUDE (text), e.embedding::DOUBLE[] AS embedding FROM docs JOIN embeddings e ON e.vec_id = docs.item_id
+  SELECT docs.* EXCLUDE (text), {unit('e.embedding')} AS embedding FROM docs JOIN embeddings e ON e.vec_id = docs.item_id
 )"""
 BIG = """
 big AS (
@@ -40,7 +48,7 @@ coords AS (
   ) GROUP BY qid, pos
 ),
 queries AS (
-  SELECT qid, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS qvec
+  SELECT qid, {unit('m')} AS qvec
   FROM (SELECT qid, list(x ORDER BY pos) AS m FROM coords GROUP BY qid)
 )"""
 
@@ -218,7 +226,7 @@ def hashed(source: str, key: str, name: str) -> str:
 
 DOC_ITEMS = f"""{DOCS}, {hashed('documents', 'doc_id', 'hashed_docs')},
 items AS (
-  SELECT docs.* EXCLUDE (text), h.v::DOUBLE[] AS embedding FROM docs JOIN hashed_docs h ON h.id = docs.item_id
+  SELECT docs.* EXCLUDE (text), {unit('h.v')} AS embedding FROM docs JOIN hashed_docs h ON h.id = docs.item_id
 )"""
 
 # ------------------------------------------------------------------------------------- sources, sinks, ingest
@@ -393,7 +401,7 @@ scored AS (SELECT q.qid, i.item_id, {similarity('q.qvec', 'i.embedding')} AS sim
 best AS ({top('scored', 25)}) SELECT {RANKED} FROM best"""
 
 ORACLES["knn_exact_batch"] = f"""
-WITH vectors AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS embedding FROM embeddings),
+WITH vectors AS (SELECT vec_id AS item_id, {unit('embedding')} AS embedding FROM embeddings),
 scored AS (SELECT q.item_id AS qid, i.item_id, {similarity('q.embedding', 'i.embedding')} AS similarity FROM vectors q, vectors i),
 best AS ({top('scored', K)}) SELECT {RANKED} FROM best"""
 
@@ -605,7 +613,7 @@ ORACLES["hybrid_compare"] = f"WITH {_FINE}, {_ALL} {_PAIRS}"
 
 _SERVICE_PASSES = "token_count < 400 AND revdate >= TIMESTAMP '2024-01-01 03:00:00'"
 ORACLES["hybrid_service"] = f"""WITH {DOC_ITEMS}, {hashed('benchmark', 'item_id', 'hashed_queries')},
-queries AS (SELECT id AS qid, v::DOUBLE[] AS qvec FROM hashed_queries), {coarse()}, {scored()},
+queries AS (SELECT id AS qid, {unit('v')} AS qvec FROM hashed_queries), {coarse()}, {scored()},
 {_REACH}, {_ADAPTIVE_WIDTHS}, {_PRE_BEST} {_SHOWN}""".replace(PASSES, _SERVICE_PASSES)
 
 ORACLES["telemetry_rollup"] = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from cellsieve.operators import ingest, ivf, pq
 from cellsieve.operators import predicates as preds
 from cellsieve.operators.histogram import Histogram2D
 from cellsieve.operators.predicates import Predicate
-from cellsieve.operators.scoring import exact_knn
+from cellsieve.operators.scoring import exact_knn, unit_queries
 from cellsieve.plans import evaluate, hybrid, probing
 from cellsieve.plans.build import build_index
 from cellsieve.plans.service import embed_queries, perform_search
@@ -158,13 +159,13 @@ def train_sample(spark, sf_dir):
 
 @query
 def point_lookup(spark, sf_dir):
-    found = tables.item_by_id(st.items(spark, sf_dir).select(*ITEM_COLUMNS), 7)
-    return spark.createDataFrame([found], st.items(spark, sf_dir).select(*ITEM_COLUMNS).schema)
+    collection = st.items(spark, sf_dir).select(*ITEM_COLUMNS)
+    return spark.createDataFrame([tables.item_by_id(collection, 7)], collection.schema)
 
 
 @query
 def display_projection(spark, sf_dir):
-    found = exact_knn(st.items(spark, sf_dir), st.prototypes(spark, sf_dir, None), 20)
+    found = exact_knn(st.unit_items(spark, sf_dir), st.prototypes(spark, sf_dir, None), 20)
     return ingest.display(found.join(st.items(spark, sf_dir).select(*DISPLAY_COLUMNS), "item_id"))
 
 
@@ -321,13 +322,14 @@ def embed_text_documents(spark, sf_dir):
 
 @query
 def knn_exact(spark, sf_dir):
-    return _ranked(exact_knn(st.items(spark, sf_dir), st.prototypes(spark, sf_dir, None), 25))
+    return _ranked(exact_knn(st.unit_items(spark, sf_dir), st.prototypes(spark, sf_dir, None), 25))
 
 
 @query
 def knn_exact_batch(spark, sf_dir):
-    vectors = st.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    everyone = vectors.select(F.col("item_id").alias("qid"), F.col("embedding").alias("qvec"))
+    embeddings = st.table(spark, sf_dir, "embeddings")
+    vectors = embeddings.select(F.col("vec_id").alias("item_id"), l2_normalize(F.col("embedding")).alias("embedding"))
+    everyone = embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     return _ranked(exact_knn(vectors, everyone, K))
 
 
@@ -340,7 +342,7 @@ def knn_id_filtered(spark, sf_dir):
 
 @query
 def intersect(spark, sf_dir):
-    collection = st.items(spark, sf_dir)
+    collection = st.unit_items(spark, sf_dir)
     candidates = exact_knn(collection, st.prototypes(spark, sf_dir), 50)
     kept = ingest.intersect(candidates, preds.predicate_filter(collection.drop("embedding"), FILTER))
     return kept.select("qid", "item_id", "title", "token_count", "similarity")
@@ -361,7 +363,7 @@ def ivf_cell_sizes(spark, sf_dir):
 
 @query
 def ivf_probe(spark, sf_dir):
-    probes = st.coarse_index(st.items(spark, sf_dir)).probe(st.prototypes(spark, sf_dir), NPROBE)
+    probes = st.coarse_index(st.items(spark, sf_dir)).probe(unit_queries(st.prototypes(spark, sf_dir)), NPROBE)
     flat = probes.select("qid", F.posexplode(F.arrays_zip("cells", "cell_sims")).alias("pos", "p"))
     return flat.select(
         "qid", (F.col("pos") + 1).alias("rank"), F.col("p.cells").alias("cell_id"), F.col("p.cell_sims").alias("similarity")
@@ -393,7 +395,7 @@ def ivf_train(spark, sf_dir):
 
 @query
 def kmeans_step(spark, sf_dir):
-    collection = st.items(spark, sf_dir).select("item_id", "embedding")
+    collection = cut(st.unit_items(spark, sf_dir).select("item_id", "embedding"))
     seeds = cut(st.seed_centroids(collection, 16))
     stepped = ivf.kmeans_step(collection, seeds)
     return stepped.select("cell_id", "members", F.posexplode("centroid").alias("pos", "x")).select(
@@ -403,10 +405,9 @@ def kmeans_step(spark, sf_dir):
 
 @query
 def recall_at_k(spark, sf_dir):
-    collection = st.items(spark, sf_dir)
-    queries = st.prototypes(spark, sf_dir)
-    found = st.coarse_index(collection).search(queries, K, NPROBE)
-    return _rounded(evaluate.recall_at_k(found, exact_knn(collection, queries, K)), "recall")
+    index, queries = st.coarse_index(st.items(spark, sf_dir)), st.prototypes(spark, sf_dir)
+    found = index.search(queries, K, NPROBE)
+    return _rounded(evaluate.recall_at_k(found, exact_knn(index.vectors, queries, K)), "recall")
 
 
 # ------------------------------------------------------------------------------------------------------ codes
@@ -415,18 +416,18 @@ PQ_M, PQ_BITS = 8, 4
 
 
 def _seed_codes(spark, sf_dir):
-    """Items with residuals of the seed cells, and codebooks seeded from them."""
+    """A coarse index, its residuals, and codebooks seeded from them."""
     index = st.coarse_index(st.items(spark, sf_dir))
-    centroids = cut(index.centroids)
-    placed = ivf.assign_cells(index.vectors.drop("cell_id"), centroids)
-    with_residual = pq.residuals(placed, centroids)
+    with_residual = pq.residuals(index.vectors, index.cells)
     books = pq.seed_codebooks(with_residual, PQ_M, PQ_BITS, ivf.SEED, "item_id")
-    return placed, centroids, with_residual, books
+    return index, with_residual, books
 
 
 def _code_index(spark, sf_dir):
-    placed, centroids, _, books = _seed_codes(spark, sf_dir)
-    return st.index_items(placed.drop("cell_id"), centroids, pq.codebook_frame(spark, books))
+    index, _, books = _seed_codes(spark, sf_dir)
+    frame = cut(pq.codebook_frame(spark, books))
+    coded = cut(pq.encode(index.vectors, index.cells, frame))
+    return replace(index, vectors=coded, codebooks=frame, pq_m=PQ_M, pq_bits=PQ_BITS)
 
 
 @query
@@ -439,7 +440,7 @@ def pq_encode(spark, sf_dir):
 
 @query
 def pq_codebook_step(spark, sf_dir):
-    _, _, with_residual, books = _seed_codes(spark, sf_dir)
+    _, with_residual, books = _seed_codes(spark, sf_dir)
     stepped = pq.codebook_step(with_residual, books)
     return stepped.select("m", "j", "members", F.posexplode("codeword").alias("pos", "x")).select(
         "m", "j", "members", "pos", F.round("x", 6).alias("x")
@@ -461,8 +462,8 @@ def pq_rerank(spark, sf_dir):
 
 @query
 def pq_train(spark, sf_dir):
-    placed, centroids, _, _ = _seed_codes(spark, sf_dir)
-    books = pq.train_codebooks(placed, centroids, PQ_M, PQ_BITS, iterations=5)
+    index = st.coarse_index(st.items(spark, sf_dir))
+    books = pq.train_codebooks(index.vectors, index.cells, PQ_M, PQ_BITS, iterations=5)
     return books.select("m", "j", F.posexplode("codeword").alias("pos", "x"))
 
 
@@ -494,20 +495,16 @@ def probe_params_pos(spark, sf_dir):
     return sized.withColumn("nprobe", probing.post_nprobe(F.col("est"), F.col("search_k"), F.lit(0), 512))
 
 
-def _hybrid(spark, sf_dir, method, scoring="exact"):
-    collection = st.items(spark, sf_dir)
-    index = st.fine_index(collection)
-    histogram = None
-    if method == hybrid.ADAP_POS:
-        histogram = Histogram2D.build(collection)
-    return hybrid.hybrid_search(
-        index, st.prototypes(spark, sf_dir), FILTER, K, method, histogram, scoring=scoring
-    )
+def _hybrid(spark, sf_dir, *methods):
+    index = st.fine_index(st.items(spark, sf_dir))
+    queries = st.prototypes(spark, sf_dir)
+    histogram = Histogram2D.build(index.vectors) if hybrid.ADAP_POS in methods else None
+    return {m: hybrid.hybrid_search(index, queries, FILTER, K, m, histogram) for m in methods}
 
 
 def _hybrid_query(name: str, method: str) -> None:
     def run(spark, sf_dir):
-        return hybrid.with_items(_hybrid(spark, sf_dir, method), st.items(spark, sf_dir))
+        return hybrid.with_items(_hybrid(spark, sf_dir, method)[method], st.items(spark, sf_dir))
 
     named(name)(run)
 
@@ -520,7 +517,7 @@ _hybrid_query("hybrid_adap_pos", hybrid.ADAP_POS)
 
 @query
 def hybrid_compare(spark, sf_dir):
-    return evaluate.compare_methods({m: _hybrid(spark, sf_dir, m) for m in hybrid.METHODS})
+    return evaluate.compare_methods(_hybrid(spark, sf_dir, *hybrid.METHODS))
 
 
 @query
@@ -563,7 +560,7 @@ def ivf_build(spark, sf_dir):
 
 @query
 def incremental_add(spark, sf_dir):
-    documents = st.document_vectors(spark, sf_dir)
+    documents = cut(st.document_vectors(spark, sf_dir))
     labelled = st.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id")).distinct()
     centroids = cut(st.seed_centroids(documents, 16))
     first = ivf.index_items(

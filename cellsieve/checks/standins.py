@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsieve.functions.dates import moment_text
 from cellsieve.functions.text import embed_text, token_count
+from cellsieve.functions.vectors import l2_normalize
 from cellsieve.operators import ivf
 from cellsieve.operators.histogram import Histogram2D
 from cellsieve.operators.ivf import IvfIndex, index_items
 from cellsieve.operators.predicates import Predicate
+from cellsieve.session import cut
 
 CARRIED = ("item_id", "revdate", "token_count")
 
@@ -46,6 +49,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_as_items(spark, sf_dir).drop("text").join(vectors, "item_id")
 
 
+def unit_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector collection with unit vectors, as an index stores them."""
+    return items(spark, sf_dir).withColumn("embedding", l2_normalize(F.col("embedding")))
+
+
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text collection: documents with hashed embeddings."""
     docs = documents_as_items(spark, sf_dir)
@@ -62,39 +70,43 @@ def big_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prototypes(spark: SparkSession, sf_dir: str, label: str | None = "label") -> DataFrame:
-    """Query vectors taken from all embeddings: the unit mean of every label, or of the whole table."""
+    """Query vectors taken from all embeddings: the mean of every label, or of the whole table."""
     key = F.col(label).cast("bigint") if label else F.lit(0).cast("bigint")
-    means = (
+    return (
         table(spark, sf_dir, "embeddings")
         .select(key.alias("qid"), F.posexplode("embedding").alias("pos", "x"))
         .groupBy("qid", "pos")
         .agg(F.avg(F.col("x").cast("double")).alias("x"))
         .groupBy("qid")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("parts"))
-        .select("qid", F.col("parts.x").alias("mean"))
+        .select("qid", F.col("parts.x").alias("qvec"))
     )
-    norm = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda t, x: t + x * x))
-    return means.select("qid", F.transform("mean", lambda x: x / norm).alias("qvec"))
 
 
 def seed_centroids(collection: DataFrame, nlist: int) -> DataFrame:
     """Untrained quantizer: a hash sample of the collection; a cell is named after its seed."""
     seeds = ivf.train_sample(collection.select("item_id", "embedding"), "item_id", nlist)
     return seeds.select(
-        F.col("item_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("centroid")
+        F.col("item_id").alias("cell_id"), l2_normalize(F.col("embedding")).cast("array<double>").alias("centroid")
     )
 
 
+def _seeded_index(collection: DataFrame, nlist_of_n) -> IvfIndex:
+    """Seed, place and store the collection, as a built index would be."""
+    collection = cut(collection.select(*CARRIED, "embedding"))
+    n = collection.count()
+    index = index_items(collection, cut(seed_centroids(collection, nlist_of_n(n))))
+    return replace(index, vectors=cut(index.vectors), counted=n)
+
+
 def coarse_index(collection: DataFrame) -> IvfIndex:
     """About the square root of n cells."""
-    collection = collection.select(*CARRIED, "embedding")
-    return index_items(collection, seed_centroids(collection, math.isqrt(collection.count())))
+    return _seeded_index(collection, math.isqrt)
 
 
 def fine_index(collection: DataFrame) -> IvfIndex:
     """n/4 cells, so that probe widths matter on small tables too."""
-    collection = collection.select(*CARRIED, "embedding")
-    return index_items(collection, seed_centroids(collection, collection.count() // 4))
+    return _seeded_index(collection, lambda n: n // 4)
 
 
 def _date(seconds: float) -> str:

@@ -21,58 +21,67 @@ PREDICATE_STRUCT = "struct<key:string,operator:string,numbers:array<double>>"
 
 
 def quantile_edges(values: DataFrame, bins: dict[str, int], exact: bool = True) -> dict[str, list[float]]:
-    """Evenly spaced percentiles (0..100, linear interpolation) of (axis, value) rows, per axis.
+    """Evenly spaced percentiles (0..100, linear interpolation) of the named columns, all without NULLs.
 
     Exact without ordering everything in one place: a sketch brackets every wanted rank, exact counts per
     bracket tell which bracket holds it, and only rows of those brackets are grouped by value and ordered.
     """
-    values = values.filter(F.col("value").isNotNull())
     if not exact:
-        return {
-            axis: list(
-                values.filter(F.col("axis") == axis)
-                .agg(F.percentile_approx("value", [i / n for i in range(n + 1)], 100_000))
-                .head()[0]
-            )
-            for axis, n in bins.items()
-        }
-    points = {axis: _brackets(n) for axis, n in bins.items()}
-    widest = sorted({p for some in points.values() for p in some})
-    sketch = (
-        values.groupBy("axis").agg(F.percentile_approx("value", widest, SKETCH_ACCURACY).alias("cuts")).collect()
-    )
-    bucket = F.lit(0)
-    for row in sketch:
-        cuts = sorted(set(row["cuts"]))
-        below = F.size(F.filter(_numbers(cuts), lambda x: x < F.col("value")))
-        bucket = F.when(F.col("axis") == row["axis"], below).otherwise(bucket)
-    values = values.withColumn("bucket", bucket)
-    sizes = values.groupBy("axis", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()
-
-    # A few dozen bucket sizes per axis tell which rank lies where.
+        sketches = values.agg(
+            *[
+                F.percentile_approx(axis, [i / n for i in range(n + 1)], SKETCH_ACCURACY).alias(axis)
+                for axis, n in bins.items()
+            ]
+        ).head()
+        return {axis: [float(v) for v in sketches[axis]] for axis in bins}
+    sketches = values.agg(
+        *[F.percentile_approx(axis, _brackets(n), SKETCH_ACCURACY).alias(axis) for axis, n in bins.items()]
+    ).head()
+    if any(sketches[axis] is None for axis in bins):
+        raise ValueError("no rows to take percentiles of")
+    brackets = {
+        axis: F.size(F.filter(_numbers(sorted(set(sketches[axis]))), lambda x, a=axis: x < F.col(a)))
+        for axis in bins
+    }
+    marked = values.withColumns({f"{axis}_bracket": bracket for axis, bracket in brackets.items()})
+    # A few dozen brackets per axis: their joint counts give the sizes of all of them in one pass.
+    joint = marked.groupBy(*[f"{axis}_bracket" for axis in bins]).agg(F.count(F.lit(1)).alias("n")).collect()
+
     wanted, needed = {}, []
     for axis, n_bins in bins.items():
-        own = sorted((r["bucket"], r["n"]) for r in sizes if r["axis"] == axis)
-        total = sum(n for _, n in own)
-        if not total:
-            raise ValueError(f"no values on axis {axis}")
-        ranks = [((total - 1) * i // n_bins, (total - 1) * i % n_bins / n_bins) for i in range(n_bins + 1)]
-        wanted[axis] = ranks
-        asked = {r for r, _ in ranks} | {min(r + 1, total - 1) for r, _ in ranks}
+        sizes: dict[int, int] = {}
+        for row in joint:
+            sizes[row[f"{axis}_bracket"]] = sizes.get(row[f"{axis}_bracket"], 0) + row["n"]
+        total = sum(sizes.values())
+        wanted[axis] = [
+            ((total - 1) * i // n_bins, (total - 1) * i % n_bins / n_bins) for i in range(n_bins + 1)
+        ]
+        asked = {r for r, _ in wanted[axis]} | {min(r + 1, total - 1) for r, _ in wanted[axis]}
         before = 0
-        for b, n in own:
-            if any(before <= r < before + n for r in asked):
-                needed.append((axis, b, before, sorted(r for r in asked if before <= r < before + n)))
+        for bracket, n in sorted(sizes.items()):
+            ranks = sorted(r for r in asked if before <= r < before + n)
+            if ranks:
+                needed.append((axis, bracket, before, ranks))
             before += n
-    spark = values.sparkSession
-    targets = spark.createDataFrame(needed, "axis string, bucket int, before bigint, ranks array<bigint>")
-    in_bucket = Window.partitionBy("axis", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    targets = F.broadcast(
+        values.sparkSession.createDataFrame(needed, "axis string, bracket int, before bigint, ranks array<bigint>")
+    )
+    inside = F.array(
+        *[
+            F.when(
+                F.col(f"{axis}_bracket").isin([b for a, b, _, _ in needed if a == axis]),
+                F.struct(F.lit(axis).alias("axis"), F.col(f"{axis}_bracket").alias("bracket"), F.col(axis).alias("value")),
+            )
+            for axis in bins
+        ]
+    )
+    in_bracket = Window.partitionBy("axis", "bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     located = (
-        values.join(F.broadcast(targets.select("axis", "bucket")), ["axis", "bucket"], "left_semi")
-        .groupBy("axis", "bucket", "value")
+        marked.select(F.explode(F.array_compact(inside)).alias("r"))
+        .groupBy("r.axis", "r.bracket", "r.value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(F.broadcast(targets), ["axis", "bucket"])
-        .withColumn("upto", F.col("before") + F.sum("n").over(in_bucket))
+        .join(targets, ["axis", "bracket"])
+        .withColumn("upto", F.col("before") + F.sum("n").over(in_bracket))
         .withColumn("hit", F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
         .filter(F.size("hit") > 0)
         .select("axis", F.explode("hit").alias("rank"), "value")
@@ -116,7 +125,6 @@ class Histogram2D:
     number_edges: list[float]
     date_edges: list[float]
     cells: DataFrame
-    null_dates: int = 0
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -134,36 +142,35 @@ class Histogram2D:
         date_bins: int = DEFAULT_BINS,
         exact: bool = True,
     ) -> Histogram2D:
-        """Rows without a date (or number) are left out of the histogram; missing dates are counted."""
+        """Rows without a date or number are left out of the histogram; `left_out` counts them."""
         axes = items.select(
             F.col(number_column).cast("double").alias("number"), epoch_seconds(F.col(date_column)).alias("date")
         )
-        nulls = axes.agg(F.count_if(F.col("date").isNull())).head()[0]
-        axes = axes.filter(F.col("number").isNotNull() & F.col("date").isNotNull())
-        stacked = axes.select(
-            F.explode(
-                F.array(
-                    F.struct(F.lit("number").alias("axis"), F.col("number").alias("value")),
-                    F.struct(F.lit("date").alias("axis"), F.col("date").alias("value")),
-                )
-            ).alias("r")
-        ).select("r.axis", "r.value")
-        edges = quantile_edges(stacked, {"number": number_bins, "date": date_bins}, exact)
+        complete = axes.filter(F.col("number").isNotNull() & F.col("date").isNotNull())
+        edges = quantile_edges(complete, {"number": number_bins, "date": date_bins}, exact)
         cells = (
-            axes.groupBy(
+            complete.groupBy(
                 bin_index(F.col("number"), edges["number"]).alias("i"),
                 bin_index(F.col("date"), edges["date"]).alias("j"),
             )
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        return cls(edges["number"], edges["date"], cells, nulls)
+        return cls(edges["number"], edges["date"], cells)
+
+    @staticmethod
+    def left_out(items: DataFrame, number_column: str = "token_count", date_column: str = "revdate") -> DataFrame:
+        """How many rows a histogram of these columns leaves out, by reason."""
+        return items.agg(
+            F.count_if(F.col(number_column).isNull()).alias("without_number"),
+            F.count_if(F.col(date_column).isNull()).alias("without_date"),
+        )
 
     def collected(self) -> Histogram2D:
         """The same with its cells (at most bins x bins rows) computed once."""
         rows = self.cells.collect()
         spark = self.cells.sparkSession
         cells = spark.createDataFrame([tuple(r) for r in rows], self.cells.schema)
-        return Histogram2D(self.number_edges, self.date_edges, cells, self.null_dates)
+        return Histogram2D(self.number_edges, self.date_edges, cells)
 
     # ---- tables ------------------------------------------------------------------------------------------
 

@@ -3,26 +3,34 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellsieve import limits
-from cellsieve.functions.vectors import NORM_EPSILON, SETTLED_DECIMALS
+from cellsieve.functions.vectors import (
+    NORM_EPSILON,
+    SETTLED_DECIMALS,
+    inner_product,
+    l2_normalize,
+    settle,
+)
 from cellsieve.operators import pq
 from cellsieve.operators.scoring import (
+    BEST_SCHEMA,
+    BestPerQuery,
     ExactScores,
     _joined_scan,
-    BestPerQuery,
-    BEST_SCHEMA,
     best_per_query,
     matrix_of,
     rank_per_query,
+    unit_queries,
 )
 from cellsieve.schemas import CENTROIDS
 
@@ -32,40 +40,72 @@ DEFAULT_NPROBE = 16
 TRAIN_PER_CELL = 100
 
 
-def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """(cell ids, matrix) when the centroids fit the broadcast bound, else None."""
-    first = centroids.select("centroid").head()
-    if first is None:
-        raise ValueError("the index has no centroids: train it first")
-    bound = limits.rows_within(limits.MATRIX_BYTES, 8 * len(first["centroid"]))
-    table = centroids.select("cell_id", "centroid").limit(bound + 1).toArrow()
-    if table.num_rows > bound:
-        return None
-    ids = table.column("cell_id").to_numpy().astype("int64")
-    order = np.argsort(ids)
-    return ids[order], matrix_of(table.column("centroid"))[order]
+class Cells:
+    """Centroids (cell_id, centroid) with the matrix that is broadcast when it fits the bound."""
+
+    def __init__(self, frame: DataFrame):
+        self.frame = frame.select("cell_id", "centroid")
+
+    @classmethod
+    def of(cls, centroids: DataFrame | Cells) -> Cells:
+        return centroids if isinstance(centroids, Cells) else cls(centroids)
+
+    @cached_property
+    def matrix(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """(cell ids ascending, matrix), or None beyond MATRIX_BYTES."""
+        bound = limits.rows_within(limits.MATRIX_BYTES, 8 * self.dim)
+        table = self.frame.limit(bound + 1).toArrow()
+        if table.num_rows > bound:
+            return None
+        ids = table.column("cell_id").to_numpy().astype("int64")
+        order = np.argsort(ids)
+        return ids[order], matrix_of(table.column("centroid"))[order]
+
+    @cached_property
+    def shared(self):
+        """The broadcast matrix, or None beyond the bound."""
+        return None if self.matrix is None else self.frame.sparkSession.sparkContext.broadcast(self.matrix)
+
+    @cached_property
+    def dim(self) -> int:
+        first = self.frame.select(F.size("centroid").alias("dim")).head()
+        if first is None:
+            raise ValueError("the index has no centroids: train it first")
+        return first["dim"]
+
+    @cached_property
+    def count(self) -> int:
+        return self.frame.count() if self.matrix is None else len(self.matrix[0])
 
 
 def nearest_cells(
-    points: DataFrame, centroids: DataFrame, vector: str, n: int | str, id_column: str
+    points: DataFrame,
+    centroids: DataFrame | Cells,
+    vector: str,
+    n: int | str,
+    id_column: str,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """Add `cells` and `cell_sims`: the n most similar centroids per row, best first, lowest id on ties.
 
-    `n` is a number or the name of an integer column. Rows stay in their partition; only the centroid
-    matrix is broadcast, behind a size check. Larger centroid sets are joined block by block.
+    `n` is a number or the name of an integer column. With `weights` (cell_id, n) also `seen`: the running
+    total of n over those cells. Rows stay in their partition; only the centroid matrix is broadcast, behind
+    a size check. Larger centroid sets are joined block by block.
     """
-    bounded = centroid_matrix(centroids)
-    if bounded is None:
-        return _nearest_cells_joined(points, centroids, vector, n, id_column)
-    ids, matrix = bounded
-    shared = points.sparkSession.sparkContext.broadcast((ids, matrix))
-    schema = T.StructType(
-        points.schema.fields
-        + [
-            T.StructField("cells", T.ArrayType(T.LongType())),
-            T.StructField("cell_sims", T.ArrayType(T.DoubleType())),
-        ]
-    )
+    cells = Cells.of(centroids)
+    shared = cells.shared
+    if shared is None:
+        return _nearest_cells_joined(points, cells, vector, n, id_column, weights)
+    weighted = weights is not None
+    per_cell = None
+    if weighted:
+        # At most one row per centroid, so within the bound just checked.
+        known = weights.select("cell_id", "n").toArrow()
+        per_cell = np.zeros(cells.count, dtype="int64")
+        at = np.searchsorted(cells.matrix[0], known.column("cell_id").to_numpy())
+        per_cell[at] = known.column("n").to_numpy()
+    added = [("cells", T.LongType()), ("cell_sims", T.DoubleType())] + ([("seen", T.LongType())] if weighted else [])
+    schema = T.StructType(points.schema.fields + [T.StructField(c, T.ArrayType(t)) for c, t in added])
 
     def run(batches):
         ids, matrix = shared.value
@@ -76,7 +116,8 @@ def nearest_cells(
                 np.full(rows, n) if isinstance(n, int) else np.asarray(batch.column(n)).astype("int64")
             )
             wanted = np.minimum(wanted, len(ids))
-            cells, sims = [], []
+            chosen, sims = [np.zeros(0, "int64")], [np.zeros(0)]
+            seen = [np.zeros(0, "int64")]
             step = max(16, limits.TILE_ENTRIES // len(ids))
             for at in range(0, rows, step):
                 tile = np.round(points[at : at + step] @ matrix.T, SETTLED_DECIMALS)
@@ -86,53 +127,49 @@ def nearest_cells(
                 else:
                     order = np.argsort(-tile, axis=1, kind="stable")[:, :most]
                 for row, count in enumerate(wanted[at : at + step]):
-                    chosen = order[row, :count]
-                    cells.append(ids[chosen])
-                    sims.append(tile[row, chosen])
+                    chosen.append(order[row, :count])
+                    sims.append(tile[row, chosen[-1]])
+                    if weighted:
+                        seen.append(np.cumsum(per_cell[chosen[-1]]))
             offsets = pa.array(np.concatenate([[0], np.cumsum(wanted)]), pa.int32())
-            flat_cells = pa.array(np.concatenate(cells) if cells else np.zeros(0, "int64"), pa.int64())
-            flat_sims = pa.array(np.concatenate(sims) if sims else np.zeros(0), pa.float64())
+            lists = [pa.array(ids[np.concatenate(chosen)], pa.int64()), pa.array(np.concatenate(sims), pa.float64())]
+            if weighted:
+                lists.append(pa.array(np.concatenate(seen), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.ListArray.from_arrays(offsets, flat_cells),
-                    pa.ListArray.from_arrays(offsets, flat_sims),
-                ],
-                [*batch.schema.names, "cells", "cell_sims"],
+                [*batch.columns, *[pa.ListArray.from_arrays(offsets, values) for values in lists]],
+                schema.fieldNames(),
             )
 
     return points.mapInArrow(run, schema)
 
 
-def _nearest_cells_joined(points, centroids, vector, n, id_column):
+def _nearest_cells_joined(points, cells, vector, n, id_column, weights):
     widest = n if isinstance(n, int) else points.agg(F.max(n)).head()[0]
-    as_vectors = centroids.select(
+    as_vectors = cells.frame.select(
         F.col("cell_id").alias("item_id"), F.col("centroid").cast("array<float>").alias("embedding")
     )
     as_queries = points.select(F.col(id_column).alias("qid"), F.col(vector).alias("qvec"))
     found = _joined_scan(
         as_vectors, as_queries, ExactScores(), lambda qids, marks: BestPerQuery(qids, widest), BEST_SCHEMA
     )
-    lists = (
-        rank_per_query(found, widest)
-        .groupBy("qid")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "similarity"))).alias("near"))
-        .select(
-            F.col("qid").alias(id_column),
-            F.col("near.item_id").alias("cells"),
-            F.col("near.similarity").alias("cell_sims"),
-        )
-    )
-    width = F.lit(n) if isinstance(n, int) else F.col(n)
-    return (
-        points.join(lists, id_column)
-        .withColumn("cells", F.slice("cells", 1, width))
-        .withColumn("cell_sims", F.slice("cell_sims", 1, width))
-        .select(*points.columns, "cells", "cell_sims")
+    ranked = rank_per_query(found, widest)
+    parts = ["rank", "item_id", "similarity"]
+    if weights is not None:
+        parts.append("seen")
+        by_rank = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = ranked.join(
+            weights.select(F.col("cell_id").alias("item_id"), "n"), "item_id", "left"
+        ).withColumn("seen", F.sum(F.coalesce("n", F.lit(0))).over(by_rank))
+    lists = ranked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("near"))
+    width = F.lit(n) if isinstance(n, int) else F.col(n).cast("int")
+    names = {"item_id": "cells", "similarity": "cell_sims", "seen": "seen"}
+    joined = points.join(lists.withColumnRenamed("qid", id_column), id_column)
+    return joined.select(
+        *points.columns, *[F.slice(F.col(f"near.{p}"), F.lit(1), width).alias(names[p]) for p in parts[1:]]
     )
 
 
-def assign_cells(points: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
+def assign_cells(points: DataFrame, centroids: DataFrame | Cells, vector: str = "embedding") -> DataFrame:
     """Add `cell_id`, the cell of the most similar centroid."""
     return (
         nearest_cells(points, centroids, vector, 1, "item_id")
@@ -168,7 +205,8 @@ def kmeans_step(points: DataFrame, centroids: DataFrame, vector: str = "embeddin
 
     Each task emits one partial sum per cell, so a crowded cell moves no more rows than an empty one.
     """
-    assigned = assign_cells(points, centroids, vector).select("cell_id", vector)
+    cells = Cells.of(centroids)
+    assigned = assign_cells(points, cells, vector).select("cell_id", vector)
 
     def partial_sums(batches):
         sums: dict[int, np.ndarray] = {}
@@ -213,7 +251,7 @@ def kmeans_step(points: DataFrame, centroids: DataFrame, vector: str = "embeddin
     )
     norm = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda t, x: t + x * x)) + F.lit(NORM_EPSILON)
     updated = F.transform("mean", lambda x: x / norm)
-    return centroids.join(means, "cell_id", "left").select(
+    return cells.frame.join(means, "cell_id", "left").select(
         "cell_id",
         F.coalesce(updated, F.col("centroid")).alias("centroid"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("members"),
@@ -225,21 +263,31 @@ def kmeans_step(points: DataFrame, centroids: DataFrame, vector: str = "embeddin
 
 @dataclass(frozen=True)
 class IvfIndex:
-    """centroids(cell_id, centroid), vectors(item_id, cell_id, embedding, [code], carried columns) and,
-    when codes are kept, codebooks(m, j, codeword).
+    """Centroids, vectors(item_id, cell_id, embedding, [code], carried columns) and, when codes are kept,
+    codebooks(m, j, codeword).
 
     `vectors` carries the columns that predicates may test, so a filter reaches the scan of the vectors and
-    needs no join with the item table.
+    needs no join with the item table. Stored vectors are unit length.
     """
 
-    centroids: DataFrame
+    cells: Cells
     vectors: DataFrame
-    dim: int
-    nlist: int
-    total: int
     codebooks: DataFrame | None = None
     pq_m: int | None = None
     pq_bits: int = 8
+    counted: int | None = None
+
+    @property
+    def dim(self) -> int:
+        return self.cells.dim
+
+    @property
+    def nlist(self) -> int:
+        return self.cells.count
+
+    @cached_property
+    def total(self) -> int:
+        return self.vectors.count() if self.counted is None else self.counted
 
     def scores(self, scoring: str = "exact"):
         if scoring == "exact":
@@ -250,9 +298,9 @@ class IvfIndex:
             return pq.code_scores(self.codebooks)
         raise ValueError(f"unknown scoring: {scoring}")
 
-    def probe(self, queries: DataFrame, nprobe: int | str) -> DataFrame:
-        """Queries with the `nprobe` cells nearest to each."""
-        return nearest_cells(queries, self.centroids, "qvec", nprobe, "qid")
+    def probe(self, queries: DataFrame, nprobe: int | str, weights: DataFrame | None = None) -> DataFrame:
+        """Unit queries with the `nprobe` cells nearest to each."""
+        return nearest_cells(queries, self.cells, "qvec", nprobe, "qid", weights)
 
     def search(
         self,
@@ -270,62 +318,45 @@ class IvfIndex:
         vectors = self.vectors if where is None else self.vectors.filter(where)
         if allowed is not None:
             vectors = vectors.join(allowed.select("item_id"), "item_id", "left_semi")
-        probes = self.probe(queries.select("qid", "qvec"), nprobe)
-        return best_per_query(
+        probes = self.probe(unit_queries(queries), nprobe)
+        found = best_per_query(
             vectors, probes, k, self.scores(scoring), dim=self.dim, width=min(nprobe, self.nlist)
         )
+        return found.drop("passes")
 
     def rerank(self, found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         """Exact similarities for a candidate list from codes, cut to k."""
-        from cellsieve.operators.scoring import similarity_of
-
         pairs = found.select("qid", "item_id").join(self.vectors.select("item_id", "embedding"), "item_id")
-        pairs = pairs.join(queries.select("qid", "qvec"), "qid")
-        exact = similarity_of(pairs, F.col("qvec"), F.col("embedding"))
-        return rank_per_query(exact.select("qid", "item_id", "similarity"), k)
+        pairs = pairs.join(unit_queries(queries), "qid")
+        exact = settle(inner_product(F.col("qvec"), F.col("embedding")))
+        return rank_per_query(pairs.select("qid", "item_id", exact.alias("similarity")), k)
 
     def cell_sizes(self) -> DataFrame:
         """Rows per cell, empty cells included."""
         counted = self.vectors.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
-        return self.centroids.select("cell_id").join(counted, "cell_id", "left").select(
+        return self.cells.frame.select("cell_id").join(counted, "cell_id", "left").select(
             "cell_id", F.coalesce("n", F.lit(0)).alias("n")
         )
 
-    def add(self, items: DataFrame) -> IvfIndex:
-        """The index with further items (item_id, embedding, carried columns) assigned and encoded."""
-        return replace(
-            self,
-            vectors=self.vectors.unionByName(self.assign(items)),
-            total=self.total + items.count(),
-        )
-
     def assign(self, items: DataFrame) -> DataFrame:
-        """Rows as stored in `vectors`: with cell and, if the index keeps codes, code."""
-        placed = assign_cells(items, self.centroids)
+        """Items as stored in `vectors`: unit length, with cell and, if the index keeps codes, code."""
+        placed = assign_cells(items.withColumn("embedding", l2_normalize(F.col("embedding"))), self.cells)
         if self.codebooks is not None:
-            placed = pq.encode(placed, self.centroids, self.codebooks)
+            placed = pq.encode(placed, self.cells, self.codebooks)
         return placed
 
+    def add(self, items: DataFrame) -> IvfIndex:
+        """The index with further items (item_id, embedding, carried columns)."""
+        return replace(self, vectors=self.vectors.unionByName(self.assign(items)), counted=None)
+
 
 def index_items(
-    items: DataFrame, centroids: DataFrame, codebooks: DataFrame | None = None
+    items: DataFrame, centroids: DataFrame | Cells, codebooks: DataFrame | None = None
 ) -> IvfIndex:
-    """Assign (and encode) items (item_id, embedding unit array, carried columns) to given quantizers."""
-    head = centroids.select(F.size("centroid").alias("dim")).head()
-    if head is None:
-        raise ValueError("the index has no centroids: train it first")
-    pq_m = pq_bits = None
+    """Place (and encode) items (item_id, embedding, carried columns) with given quantizers."""
+    shape = {}
     if codebooks is not None:
-        shape = codebooks.agg(F.max("m").alias("m"), F.max("j").alias("j")).head()
-        pq_m, pq_bits = shape["m"] + 1, int(shape["j"]).bit_length()
-    empty = IvfIndex(
-        centroids=centroids,
-        vectors=items,
-        dim=head["dim"],
-        nlist=centroids.count(),
-        total=items.count(),
-        codebooks=codebooks,
-        pq_m=pq_m,
-        pq_bits=pq_bits or 8,
-    )
+        last = codebooks.agg(F.max("m").alias("m"), F.max("j").alias("j")).head()
+        shape = {"pq_m": last["m"] + 1, "pq_bits": int(last["j"]).bit_length()}
+    empty = IvfIndex(Cells.of(centroids), items.limit(0), codebooks, **shape)
     return replace(empty, vectors=empty.assign(items))

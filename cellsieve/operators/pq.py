@@ -48,9 +48,11 @@ def codebook_frame(spark, books: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows, CODEBOOKS)
 
 
-def residuals(placed: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
+def residuals(placed: DataFrame, centroids, vector: str = "embedding") -> DataFrame:
     """Add `residual` = vector - centroid of its cell (rows carry cell_id)."""
-    joined = placed.join(centroids.select("cell_id", "centroid"), "cell_id")
+    from cellsieve.operators.ivf import Cells
+
+    joined = placed.join(Cells.of(centroids).frame, "cell_id")
     difference = F.zip_with(vector, "centroid", lambda x, c: x.cast("double") - c)
     return joined.withColumn("residual", difference).drop("centroid")
 
@@ -72,25 +74,21 @@ def _nearest_codes(residual: np.ndarray, books: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode(
-    placed: DataFrame, centroids: DataFrame, codebooks: DataFrame, vector: str = "embedding"
-) -> DataFrame:
+def encode(placed: DataFrame, centroids, codebooks: DataFrame, vector: str = "embedding") -> DataFrame:
     """Add `code array<smallint>`: per sub-vector of the residual the nearest codeword.
 
     Broadcasts the codebooks and, behind the size check, the centroids; more centroids than that are joined.
     """
-    from cellsieve.operators.ivf import centroid_matrix
+    from cellsieve.operators.ivf import Cells
 
     books = codebook_array(codebooks)
-    bounded = centroid_matrix(centroids)
+    cells = Cells.of(centroids)
+    shared = cells.shared
     out_schema = T.StructType(
         placed.schema.fields + [T.StructField("code", T.ArrayType(T.ShortType()))]
     )
-    if bounded is None:
-        placed = residuals(placed, centroids, vector)
-    else:
-        cell_ids, matrix = bounded
-        shared = placed.sparkSession.sparkContext.broadcast((cell_ids, matrix))
+    if shared is None:
+        placed = residuals(placed, cells, vector)
     width = len(out_schema.fields) - 1
 
     def run(batches):
@@ -110,7 +108,7 @@ def encode(
             )
 
     columns = out_schema.fieldNames()[:-1]
-    extra = ["residual"] if bounded is None else []
+    extra = ["residual"] if shared is None else []
     return placed.select(*columns, *extra).mapInArrow(run, out_schema)
 
 
@@ -181,7 +179,7 @@ def seed_codebooks(with_residual: DataFrame, pq_m: int, pq_bits: int, seed: int,
 
 def train_codebooks(
     placed_sample: DataFrame,
-    centroids: DataFrame,
+    centroids,
     pq_m: int,
     pq_bits: int = 8,
     iterations: int = 10,

@@ -16,13 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellsieve import limits
-from cellsieve.functions.vectors import SETTLED_DECIMALS
+from cellsieve.functions.vectors import SETTLED_DECIMALS, l2_normalize
 
-BEST_SCHEMA = "qid bigint, item_id bigint, similarity double"
+BEST_SCHEMA = "qid bigint, item_id bigint, similarity double, passes boolean"
+# Rows per query that one task merges without a salted step before it.
+MERGE_AT_ONCE = 20_000
 SLOT_SCHEMA = "qid bigint, slot int, n bigint"
 
 
@@ -38,6 +41,11 @@ def matrix_of(column: pa.Array, dtype: str = "float64") -> np.ndarray:
     return np.asarray(column.flatten()).astype(dtype).reshape(len(column), -1)
 
 
+def flags_of(column: pa.Array) -> np.ndarray:
+    """A boolean column with NULL as false."""
+    return np.asarray(pc.fill_null(column, False).to_numpy(zero_copy_only=False)).astype(bool)
+
+
 @dataclass(frozen=True)
 class ExactScores:
     """Inner products with the stored vectors."""
@@ -73,47 +81,46 @@ class CodeScores:
 
 
 class BestPerQuery:
-    """Running top-k per query by (similarity descending, item_id ascending)."""
+    """Running top-k per query by (similarity descending, item_id ascending); rows keep their pass flag."""
 
     def __init__(self, qids: np.ndarray, k: int):
         self.qids, self.k = qids, k
         self.floor = np.full(len(qids), -np.inf)
-        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in qids]
+        self.parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in qids]
         self.held = np.zeros(len(qids), dtype=np.int64)
 
-    def offer(self, which: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
+    def offer(self, which: np.ndarray, ids: np.ndarray, sims: np.ndarray, passes: np.ndarray) -> None:
         hits = sims >= self.floor[which][:, None]
         for row in np.flatnonzero(hits.any(axis=1)):
             q, mask = which[row], hits[row]
-            self.parts[q].append((sims[row, mask], ids[mask]))
+            self.parts[q].append((sims[row, mask], ids[mask], passes[mask]))
             self.held[q] += len(self.parts[q][-1][0])
             if self.held[q] > 2 * self.k:
                 self._settle(q)
 
     def _settle(self, q: int) -> None:
-        sims = np.concatenate([s for s, _ in self.parts[q]])
-        ids = np.concatenate([i for _, i in self.parts[q]])
+        sims, ids, passes = (np.concatenate(column) for column in zip(*self.parts[q]))
         keep = np.lexsort((ids, -sims))[: self.k]
-        self.parts[q] = [(sims[keep], ids[keep])]
+        self.parts[q] = [(sims[keep], ids[keep], passes[keep])]
         self.held[q] = len(keep)
         if len(keep) == self.k:
             self.floor[q] = sims[keep[-1]]
 
     def result(self) -> pa.RecordBatch:
-        qids, ids, sims = [], [], []
+        qids, columns = [], []
         for q in np.flatnonzero(self.held):
             self._settle(q)
-            s, i = self.parts[q][0]
-            qids.append(np.full(len(s), self.qids[q]))
-            ids.append(i)
-            sims.append(s)
+            columns.append(self.parts[q][0])
+            qids.append(np.full(self.held[q], self.qids[q]))
+        sims, ids, passes = zip(*columns) if columns else ((), (), ())
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(_joined(qids, "int64"), pa.int64()),
                 pa.array(_joined(ids, "int64"), pa.int64()),
                 pa.array(_joined(sims, "float64"), pa.float64()),
+                pa.array(_joined(passes, "bool"), pa.bool_()),
             ],
-            ["qid", "item_id", "similarity"],
+            ["qid", "item_id", "similarity", "passes"],
         )
 
 
@@ -125,7 +132,7 @@ class SlotCounts:
         self.marks = [(-np.asarray(s, dtype="float64"), np.asarray(i, dtype="int64")) for s, i in marks]
         self.counts = [np.zeros(len(s), dtype=np.int64) for s, _ in self.marks]
 
-    def offer(self, which: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
+    def offer(self, which: np.ndarray, ids: np.ndarray, sims: np.ndarray, passes: np.ndarray) -> None:
         for row, q in enumerate(which):
             falling, mark_ids = self.marks[q]
             if not len(falling):
@@ -158,7 +165,7 @@ class SlotCounts:
         )
 
 
-def _joined(parts: list[np.ndarray], dtype: str) -> np.ndarray:
+def _joined(parts, dtype: str) -> np.ndarray:
     return np.concatenate(parts).astype(dtype) if parts else np.zeros(0, dtype=dtype)
 
 
@@ -187,7 +194,7 @@ def _block_of(table: pa.Table) -> QueryBlock:
     if "cells" in table.column_names:
         lists = table.column("cells").combine_chunks()
         flat = np.asarray(lists.flatten()).astype("int64")
-        sizes = np.asarray(pa.compute.list_value_length(lists)).astype("int64")
+        sizes = np.asarray(pc.list_value_length(lists)).astype("int64")
         owner = np.repeat(np.arange(len(qids)), sizes)
         base = np.asarray(table.column("cell_sims").combine_chunks().flatten()).astype("float64")
         order = np.argsort(flat, kind="stable")
@@ -208,7 +215,8 @@ def _block_of(table: pa.Table) -> QueryBlock:
 
 def _scan(vectors: DataFrame, block: QueryBlock, scores, make_sink: Callable, schema: str) -> DataFrame:
     """Score every row of `vectors` against the broadcast block; a task emits only what its sink keeps."""
-    columns = ["item_id", scores.column]
+    flagged = "passes" in vectors.columns
+    columns = ["item_id", scores.column, *(["passes"] if flagged else [])]
     if block.cells is not None:
         columns.insert(1, "cell_id")
         if len(block.cells) <= limits.PRUNE_CELLS:
@@ -227,6 +235,7 @@ def _scan(vectors: DataFrame, block: QueryBlock, scores, make_sink: Callable, sc
                 continue
             ids = np.asarray(batch.column("item_id")).astype("int64")
             data = matrix_of(batch.column(data_column), dtype)
+            passes = flags_of(batch.column("passes")) if flagged else np.ones(len(ids), dtype=bool)
             if cells is None:
                 groups = [(everyone, slice(None))]
             else:
@@ -239,10 +248,10 @@ def _scan(vectors: DataFrame, block: QueryBlock, scores, make_sink: Callable, sc
                     if int(name) in cells
                 ]
             for (which, base), rows in groups:
-                some_ids, some_data = ids[rows], data[rows]
+                some_ids, some_data, some_passes = ids[rows], data[rows], passes[rows]
                 for tile in _tiles(len(some_ids), len(which)):
                     sims = scores.score(prepared[which], some_data[tile], base)
-                    sink.offer(which, some_ids[tile], sims)
+                    sink.offer(which, some_ids[tile], sims, some_passes[tile])
         yield sink.result()
 
     return vectors.select(*columns).filter(F.col(data_column).isNotNull()).mapInArrow(run, schema)
@@ -255,6 +264,7 @@ def _chunks(vectors: DataFrame, scores) -> DataFrame:
     """Rows of one cell within a task packed into arrays; no shuffle."""
     data_column = scores.column
     kind = "smallint" if data_column == "code" else "float"
+    passes = F.col("passes") if "passes" in vectors.columns else F.lit(True)
 
     def pack(batches):
         for batch in batches:
@@ -267,19 +277,21 @@ def _chunks(vectors: DataFrame, scores) -> DataFrame:
                     part = table.take(pa.array(rows[at : at + limits.CHUNK_ROWS]))
                     flat = part.column(data_column).combine_chunks().flatten()
                     ids = part.column("item_id").combine_chunks()
+                    flags = part.column("passes").combine_chunks()
+                    one = lambda values: pa.ListArray.from_arrays(
+                        pa.array([0, len(values)], pa.int32()), values
+                    )
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([int(name)], pa.int64()),
-                            pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                            pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat),
-                        ],
-                        ["cell_id", "item_ids", "data"],
+                        [pa.array([int(name)], pa.int64()), one(ids), one(flat), one(flags)],
+                        ["cell_id", "item_ids", "data", "flags"],
                     )
 
     return (
-        vectors.select("item_id", "cell_id", data_column)
+        vectors.select("item_id", "cell_id", data_column, F.coalesce(passes, F.lit(False)).alias("passes"))
         .filter(F.col(data_column).isNotNull())
-        .mapInArrow(pack, f"cell_id bigint, item_ids array<bigint>, data array<{kind}>")
+        .mapInArrow(
+            pack, f"cell_id bigint, item_ids array<bigint>, data array<{kind}>, flags array<boolean>"
+        )
     )
 
 
@@ -320,8 +332,8 @@ def _joined_scan(
 
     def run(batches):
         for batch in batches:
-            for item_ids, data, members in zip(
-                batch.column("item_ids"), batch.column("data"), batch.column("members")
+            for item_ids, data, flags, members in zip(
+                batch.column("item_ids"), batch.column("data"), batch.column("flags"), batch.column("members")
             ):
                 ids = np.asarray(item_ids.values).astype("int64")
                 rows = np.asarray(data.values).astype(dtype).reshape(len(ids), -1)
@@ -336,13 +348,14 @@ def _joined_scan(
                     )
                 sink = make_sink(qids, marks)
                 which = np.arange(len(qids))
-                sink.offer(which, ids, scores.score(scores.prepare(queries), rows, base))
+                sims = scores.score(scores.prepare(queries), rows, base)
+                sink.offer(which, ids, sims, flags_of(flags.values))
                 yield sink.result()
 
     return (
         _chunks(vectors, scores)
         .join(packs, "cell_id")
-        .select("item_ids", "data", "members")
+        .select("item_ids", "data", "flags", "members")
         .mapInArrow(run, schema)
     )
 
@@ -362,9 +375,9 @@ def _run(vectors, probes, scores, make_sink, schema, k: int, dim: int, width: in
 def best_per_query(
     vectors: DataFrame, probes: DataFrame, k: int, scores=None, *, dim: int = 1024, width: int = 0
 ) -> DataFrame:
-    """Top-k rows per query as (qid, item_id, similarity, rank).
+    """Top-k rows per query as (qid, item_id, similarity, passes, rank).
 
-    `probes` has one row per query: qid bigint, qvec array, and optionally cells array<bigint> with
+    A boolean column `passes` of the vectors is handed through (true without one). `probes` has one row per query: qid bigint, qvec array, and optionally cells array<bigint> with
     cell_sims array<double>; without cells every vector is scored. `width` bounds the cells per query.
     """
     scores = scores or ExactScores()
@@ -375,10 +388,13 @@ def best_per_query(
 
 
 def rank_per_query(found: DataFrame, k: int) -> DataFrame:
-    """Keep and number the best k rows per query; large k merges in two levels so that no task receives
-    every task's list for one query."""
+    """Keep and number the best k rows per query.
+
+    Every scoring task sends up to k rows per query. Where that is a lot for one task, the lists are merged
+    in salted groups first.
+    """
     order = [F.col("similarity").desc(), F.col("item_id")]
-    if k > 256:
+    if k * found.sparkSession.sparkContext.defaultParallelism > MERGE_AT_ONCE:
         salted = Window.partitionBy("qid", "salt").orderBy(*order)
         found = (
             found.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(64)))
@@ -421,12 +437,9 @@ def global_positions(
 
 
 def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, dim: int = 1024) -> DataFrame:
-    """Exact top-k of every query (qid, qvec) over all vectors (item_id, embedding)."""
-    return best_per_query(vectors, queries.select("qid", "qvec"), k, dim=dim)
-
+    """Exact cosine top-k of every query (qid, qvec) over all unit vectors (item_id, embedding)."""
+    return best_per_query(vectors, unit_queries(queries), k, dim=dim).drop("passes")
 
-def similarity_of(pairs: DataFrame, left: Column, right: Column) -> DataFrame:
-    """Exact similarity for rows that already carry both vectors (small candidate lists)."""
-    from cellsieve.functions.vectors import inner_product, settle
 
-    return pairs.withColumn("similarity", settle(inner_product(left, right)))
+def unit_queries(queries: DataFrame) -> DataFrame:
+    return queries.select("qid", l2_normalize(F.col("qvec")).alias("qvec"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellsieve.functions.text import embed_text
 from cellsieve.operators import ivf, pq
-from cellsieve.operators.ivf import IvfIndex
+from cellsieve.operators.ivf import Cells, IvfIndex
 from cellsieve.session import cut
 from cellsieve.sources.tables import load_index, save_index
 
@@ -49,22 +49,10 @@ def build_index(
     size = sample.count()
     if size < ivf.TRAIN_PER_CELL * nlist:
         warnings.warn(f"{size} training rows for {nlist} cells; about {ivf.TRAIN_PER_CELL * nlist} serve better")
-    centroids = cut(ivf.train_centroids(sample, nlist, max_iter=max_iter))
+    cells = Cells(cut(ivf.train_centroids(sample, nlist, max_iter=max_iter)))
     codebooks = None
     if pq_m is not None:
-        placed = ivf.assign_cells(sample, centroids)
-        codebooks = cut(pq.train_codebooks(placed, centroids, pq_m, pq_bits, iterations=max_iter))
-    empty = IvfIndex(
-        centroids=centroids,
-        vectors=sample,
-        dim=dim,
-        nlist=centroids.count(),
-        total=0,
-        codebooks=codebooks,
-        pq_m=pq_m,
-        pq_bits=pq_bits,
-    )
-    embedded = embed_items(items, text_column, embedder, dim)
-    full = IvfIndex(**{**empty.__dict__, "vectors": empty.assign(embedded)})
-    save_index(full, path)
+        placed = ivf.assign_cells(sample, cells)
+        codebooks = cut(pq.train_codebooks(placed, cells, pq_m, pq_bits, iterations=max_iter))
+    save_index(ivf.index_items(embed_items(items, text_column, embedder, dim), cells, codebooks), path)
     return load_index(items.sparkSession, path)

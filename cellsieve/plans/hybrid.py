@@ -12,10 +12,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellsieve.operators.histogram import Histogram2D, predicate_array
+from cellsieve.operators.histogram import Histogram2D
 from cellsieve.operators.ivf import IvfIndex
-from cellsieve.operators.predicates import Predicate, predicate_filter
-from cellsieve.operators.scoring import best_per_query, global_positions
+from cellsieve.operators.predicates import Predicate, conjunction, predicate_filter
+from cellsieve.operators.scoring import best_per_query, global_positions, rank_per_query, unit_queries
 from cellsieve.plans import probing
 from cellsieve.session import cut
 
@@ -25,21 +25,34 @@ BASE_PRE, ADAP_PRE, BASE_POS, ADAP_POS = METHODS = (
     "base_pos_search",
     "adap_pos_search",
 )
+PROBE_COLUMNS = ("qid", "qvec", "cells", "cell_sims")
 RESULT_COLUMNS = ("qid", "rank", "item_id", "similarity", "is_k")
 
 
-def restrict(index: IvfIndex, predicates: Iterable[Predicate], items: DataFrame | None = None) -> DataFrame:
-    """Vectors whose metadata pass. The index carries the tested columns, so this is a filter on its scan;
+def _covered(index: IvfIndex, predicates: list[Predicate], items: DataFrame | None) -> bool:
+    covered = all(p.key in index.vectors.columns for p in predicates)
+    if not covered and items is None:
+        raise ValueError("the index lacks a tested column: pass the item table")
+    return covered
+
+
+def restrict(index: IvfIndex, predicates: list[Predicate], items: DataFrame | None = None) -> DataFrame:
+    """Vectors whose metadata pass. Where the index carries the tested columns this is a filter on its scan;
     otherwise the passing ids of `items` restrict it by semi join."""
-    predicates = list(predicates)
-    if all(p.key in index.vectors.columns for p in predicates):
+    if _covered(index, predicates, items):
         return predicate_filter(index.vectors, predicates)
-    if items is None:
-        raise ValueError("the index lacks a tested column: pass the item table")
     allowed = predicate_filter(items, predicates).select("item_id")
     return index.vectors.join(allowed, "item_id", "left_semi")
 
 
+def flagged(index: IvfIndex, predicates: list[Predicate], items: DataFrame | None = None) -> DataFrame:
+    """All vectors, with `passes` telling whether their metadata pass."""
+    if _covered(index, predicates, items):
+        return index.vectors.withColumn("passes", conjunction(predicates))
+    allowed = predicate_filter(items, predicates).select("item_id", F.lit(True).alias("passes"))
+    return index.vectors.join(allowed, "item_id", "left")
+
+
 def _finish(best: DataFrame, k: int) -> DataFrame:
     found = F.count(F.lit(1)).over(Window.partitionBy("qid"))
     return best.withColumn("is_k", found == k).select(*RESULT_COLUMNS)
@@ -48,25 +61,18 @@ def _finish(best: DataFrame, k: int) -> DataFrame:
 # ------------------------------------------------------------------------------------------- filter, then search
 
 
-def pre_filter_widths(
+def pre_filter_probes(
     index: IvfIndex, queries: DataFrame, survivors: DataFrame, k: int, adaptive: bool
 ) -> DataFrame:
     """Queries with their cells cut to the first probe width that holds min(k, survivors) survivors.
 
     A restricted search of width p finds what the p nearest cells hold, so counting survivors per cell
-    settles the whole widening loop before a single vector is scored.
+    settles the whole widening loop before a single vector is scored. Queries without survivors drop out.
     """
     nlist = index.nlist
     per_cell = survivors.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
-    order = index.probe(queries.select("qid", "qvec"), nlist)
-    by_rank = Window.partitionBy("qid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    reach = (
-        order.select("qid", F.posexplode("cells").alias("pos", "cell_id"))
-        .join(per_cell, "cell_id", "left")
-        .withColumn("seen", F.sum(F.coalesce("n", F.lit(0))).over(by_rank))
-        .groupBy("qid")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "seen"))).alias("steps"))
-        .select("qid", F.col("steps.seen").alias("seen"))
+    ordered = (
+        index.probe(queries, nlist, per_cell)
         .withColumn("survivors", F.element_at("seen", -1))
         .filter(F.col("survivors") > 0)
         .withColumn("search_k", F.least(F.lit(k), F.col("survivors")))
@@ -78,10 +84,13 @@ def pre_filter_widths(
         for candidate in reversed(probing.fixed_widths(nlist)):
             enough = F.get("seen", F.lit(candidate - 1)) >= F.col("search_k")
             width = F.when(enough, F.lit(candidate)).otherwise(width)
-    return (
-        order.join(reach.select("qid", width.cast("int").alias("nprobe")), "qid")
-        .withColumn("cells", F.slice("cells", F.lit(1), F.col("nprobe")))
-        .withColumn("cell_sims", F.slice("cell_sims", F.lit(1), F.col("nprobe")))
+    sized = ordered.withColumn("nprobe", width.cast("int"))
+    return sized.select(
+        "qid",
+        "qvec",
+        "nprobe",
+        F.slice("cells", F.lit(1), F.col("nprobe")).alias("cells"),
+        F.slice("cell_sims", F.lit(1), F.col("nprobe")).alias("cell_sims"),
     )
 
 
@@ -114,21 +123,19 @@ def pre_filter_search(
     scoring: str = "exact",
 ) -> DataFrame:
     """Filter first, then search only the survivors, at the first sufficient probe width."""
-    survivors = restrict(index, predicates, items)
-    probes = pre_filter_widths(index, queries, survivors, k, adaptive)
+    survivors = restrict(index, list(predicates), items)
+    probes = pre_filter_probes(index, unit_queries(queries), survivors, k, adaptive)
     best = best_per_query(
-        survivors,
-        probes.select("qid", "qvec", "cells", "cell_sims"),
-        k,
-        index.scores(scoring),
-        dim=index.dim,
-        width=index.nlist,
+        survivors, probes.drop("nprobe"), k, index.scores(scoring), dim=index.dim, width=index.nlist
     )
     return _finish(best, k)
 
 
 # ------------------------------------------------------------------------------------------- search, then filter
 
+# Candidate lists up to this length are ranked row by row; longer ones are only counted.
+RANKED_CANDIDATES = 10_000
+
 
 def post_filter_search(
     index: IvfIndex,
@@ -141,85 +148,99 @@ def post_filter_search(
 ) -> DataFrame:
     """Search unrestricted, then filter the candidates, widening for the queries that still miss results.
 
-    With a histogram the sizes follow its survivor estimate, else they start fixed and triple. A round keeps
-    the best k *passing* rows per query and counts how far down the candidate list each of them stands, so a
-    candidate list of any length is never gathered. Once a query probes all cells its answer is the best k
-    passing rows whatever the list length, which ends its loop.
+    With a histogram the sizes follow its survivor estimate, else they start fixed and triple. Once a query
+    probes all cells its answer is the best k passing rows whatever the length of the candidate list, so the
+    filter moves below the search and the loop ends for it.
     """
     predicates = list(predicates)
     scores, nlist, total = index.scores(scoring), index.nlist, index.total
-    passing = restrict(index, predicates, items)
-    zero = F.lit(0).cast("bigint")
-    open_queries = queries.select("qid", "qvec")
-    if histogram is None:
-        open_queries = open_queries.withColumn("search_k", F.lit(probing.FIRST_SEARCH_K).cast("bigint"))
-        open_queries = open_queries.withColumn("nprobe", F.lit(min(probing.FIRST_NPROBE, nlist)).cast("bigint"))
-    else:
-        est = F.lit(histogram.estimate([p for p in predicates if p.key != "item_id"])).cast("bigint")
-        open_queries = open_queries.withColumn("search_k", probing.post_search_k(est, F.lit(k), zero, total))
-        open_queries = open_queries.withColumn("nprobe", probing.post_nprobe(est, F.col("search_k"), zero, nlist))
-    open_queries = _whole_when_long(open_queries, nlist, total)
+    passing, everything = restrict(index, predicates, items), flagged(index, predicates, items)
+    est = None
+    if histogram is not None:
+        est = histogram.estimate([p for p in predicates if p.key != "item_id"])
+    sizes = _next_sizes(None, k, est, nlist, total)
+    open_queries = unit_queries(queries).withColumns(sizes)
 
     answers = []
     while True:
-        wide = open_queries.filter(F.col("nprobe") >= nlist)
-        narrow = open_queries.filter(F.col("nprobe") < nlist)
-        narrow_widest = narrow.agg(F.max("nprobe")).head()[0]
-        if narrow_widest is None:
-            answers.append(_best(index, passing, wide, k, scores, nlist))
+        narrow = F.col("nprobe") < nlist
+        todo = open_queries.agg(
+            F.count_if(~narrow).alias("wide"),
+            F.max(F.when(narrow, F.col("nprobe"))).alias("nprobe"),
+            F.max(F.when(narrow, F.col("search_k"))).alias("search_k"),
+        ).head()
+        if todo["wide"]:
+            answers.append(_search_all_cells(index, passing, open_queries.filter(~narrow), k, scores))
+        if todo["nprobe"] is None:
             break
-        if not wide.isEmpty():
-            answers.append(_best(index, passing, wide, k, scores, nlist))
-        probes = index.probe(narrow, "nprobe")
-        best = cut(_best_in(passing, probes, k, scores, index.dim, narrow_widest))
-        placed = global_positions(
-            index.vectors, probes.select("qid", "qvec", "cells", "cell_sims"), best, scores, k=k, dim=index.dim, width=narrow_widest
-        )
-        kept = cut(
-            placed.join(narrow.select("qid", "search_k"), "qid").filter(F.col("position") <= F.col("search_k"))
-        )
+        probes = index.probe(open_queries.filter(narrow), "nprobe")
+        if todo["search_k"] <= RANKED_CANDIDATES:
+            kept = _ranked_round(everything, probes, k, scores, index.dim, todo)
+        else:
+            kept = _counted_round(index.vectors, passing, probes, k, scores, index.dim, todo)
+        kept = cut(kept)
         found = kept.groupBy("qid").agg(F.count(F.lit(1)).alias("found"))
         state = cut(
-            narrow.join(found, "qid", "left").withColumn("found", F.coalesce("found", F.lit(0)).cast("bigint"))
+            probes.drop("cells", "cell_sims")
+            .join(found, "qid", "left")
+            .withColumn("found", F.coalesce("found", F.lit(0)).cast("bigint"))
         )
         done = state.filter(F.col("found") >= k).select("qid")
-        answers.append(kept.join(done, "qid", "left_semi").select("qid", "item_id", "similarity", "rank"))
-        open_queries = state.filter(F.col("found") < k)
-        if open_queries.isEmpty():
-            break
-        if histogram is None:
-            open_queries = open_queries.withColumn("search_k", F.least(F.lit(total), F.col("search_k") * probing.GROWTH))
-            open_queries = open_queries.withColumn("nprobe", F.least(F.lit(nlist), F.col("nprobe") * probing.GROWTH))
-        else:
-            open_queries = open_queries.withColumn(
-                "search_k", probing.post_search_k(est, F.lit(k) - F.col("found"), F.col("search_k"), total)
-            )
-            open_queries = open_queries.withColumn(
-                "nprobe", probing.post_nprobe(est, F.col("search_k"), zero, nlist)
-            )
-        open_queries = _whole_when_long(open_queries.drop("found"), nlist, total)
+        answers.append(kept.join(done, "qid", "left_semi"))
+        open_queries = state.filter(F.col("found") < k).withColumns(_next_sizes(state, k, est, nlist, total))
+        open_queries = open_queries.drop("found")
+    if not answers:
+        answers = [_search_all_cells(index, passing, open_queries.limit(0), k, scores)]
     columns = ("qid", "item_id", "similarity", "rank")
     return _finish(functools.reduce(DataFrame.unionByName, [a.select(*columns) for a in answers]), k)
 
 
-def _whole_when_long(sized: DataFrame, nlist: int, total: int) -> DataFrame:
-    """A candidate list as long as the index means searching every cell."""
-    return sized.withColumn(
-        "nprobe", F.when(F.col("search_k") >= total, F.lit(nlist)).otherwise(F.col("nprobe")).cast("bigint")
-    )
+def _next_sizes(state: DataFrame | None, k: int, est: int | None, nlist: int, total: int) -> dict[str, Column]:
+    """Candidate list length and probe width of the first (`state` None) or the next round."""
+    zero = F.lit(0).cast("bigint")
+    if est is not None:
+        estimate = F.lit(est).cast("bigint")
+        missing = F.lit(k) if state is None else F.lit(k) - F.col("found")
+        search_k = probing.post_search_k(estimate, missing, zero if state is None else F.col("search_k"), total)
+        nprobe = probing.post_nprobe(estimate, search_k, zero, nlist)
+    elif state is None:
+        search_k = F.lit(probing.FIRST_SEARCH_K).cast("bigint")
+        nprobe = F.lit(min(probing.FIRST_NPROBE, nlist)).cast("bigint")
+    else:
+        search_k = F.least(F.lit(total), F.col("search_k") * probing.GROWTH)
+        nprobe = F.least(F.lit(nlist), F.col("nprobe") * probing.GROWTH)
+    # A candidate list as long as the index means searching every cell.
+    nprobe = F.when(search_k >= total, F.lit(nlist)).otherwise(nprobe).cast("bigint")
+    return {"search_k": search_k.cast("bigint"), "nprobe": nprobe}
 
 
-def _best_in(vectors, probes, k, scores, dim, width):
-    return best_per_query(
-        vectors, probes.select("qid", "qvec", "cells", "cell_sims"), k, scores, dim=dim, width=int(width)
+def _ranked_round(everything, probes, k, scores, dim, todo) -> DataFrame:
+    """Best search_k candidates per query with their pass flag, cut to the first k that pass."""
+    candidates = best_per_query(
+        everything, probes.select(*PROBE_COLUMNS), todo["search_k"], scores, dim=dim, width=todo["nprobe"]
+    )
+    within = candidates.join(probes.select("qid", "search_k"), "qid").filter(
+        F.col("passes") & (F.col("rank") <= F.col("search_k"))
     )
+    return rank_per_query(within.drop("rank", "search_k", "passes"), k)
+
+
+def _counted_round(vectors, passing, probes, k, scores, dim, todo) -> DataFrame:
+    """The same without the list: best k passing rows per query, and by counting how far down the full list
+    each of them stands. Costs the same for a list of a million candidates as for one of a hundred."""
+    lists = probes.select(*PROBE_COLUMNS)
+    best = cut(best_per_query(passing, lists, k, scores, dim=dim, width=todo["nprobe"]).drop("passes"))
+    placed = global_positions(vectors, lists, best, scores, k=k, dim=dim, width=todo["nprobe"])
+    within = placed.join(probes.select("qid", "search_k"), "qid")
+    return within.filter(F.col("position") <= F.col("search_k")).drop("position", "search_k")
 
 
-def _best(index, passing, queries, k, scores, nlist):
-    if scores.column == "embedding":
-        # All cells and exact scores: no probe list is needed.
-        return best_per_query(passing, queries.select("qid", "qvec"), k, scores, dim=index.dim)
-    return _best_in(passing, index.probe(queries.select("qid", "qvec"), nlist), k, scores, index.dim, nlist)
+def _search_all_cells(index, passing, queries, k, scores) -> DataFrame:
+    queries = queries.select("qid", "qvec")
+    if scores.column == "code":
+        # Scores from codes start from the similarity to the centroid, so they need the probe lists.
+        queries = index.probe(queries, index.nlist)
+    return best_per_query(passing, queries, k, scores, dim=index.dim, width=index.nlist)
 
 
 # ------------------------------------------------------------------------------------------------------ dispatch

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from cellsieve.operators.histogram import Histogram2D
 from cellsieve.operators.ingest import typed_items
-from cellsieve.operators.ivf import IvfIndex
+from cellsieve.operators.ivf import Cells, IvfIndex
 from cellsieve.schemas import CENTROIDS, CODEBOOKS, INDEX_META, ITEMS, RAW
 
 _CSV_OPTIONS = {
@@ -62,16 +62,16 @@ def item_by_id(items: DataFrame, item_id: int) -> Row:
 
 
 def save_index(index: IvfIndex, path: str, extras: dict[str, str] | None = None) -> None:
-    """vectors by cell, centroids, codebooks and a one-row description."""
+    """Vectors by cell, centroids, codebooks and a one-row description."""
     # Rebalancing gathers each cell into few files and splits a crowded one into files of even size.
     index.vectors.hint("rebalance", "cell_id").write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/vectors")
-    index.centroids.select(*CENTROIDS.fieldNames()).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    index.cells.frame.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
     if index.codebooks is not None:
         index.codebooks.coalesce(1).write.mode("overwrite").parquet(f"{path}/codebooks")
-    meta = (index.dim, index.nlist, index.total, index.pq_m, index.pq_bits, extras or {})
-    index.centroids.sparkSession.createDataFrame([meta], INDEX_META).coalesce(1).write.mode("overwrite").parquet(
-        f"{path}/meta"
-    )
+    spark = index.vectors.sparkSession
+    stored = spark.read.parquet(f"{path}/vectors").count()  # from the file footers
+    meta = (index.dim, index.nlist, stored, index.pq_m, index.pq_bits, extras or {})
+    spark.createDataFrame([meta], INDEX_META).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load_index(spark: SparkSession, path: str) -> IvfIndex:
@@ -83,11 +83,8 @@ def load_index(spark: SparkSession, path: str) -> IvfIndex:
     if meta["pq_m"] is not None:
         codebooks = spark.read.schema(CODEBOOKS).parquet(f"{path}/codebooks")
     return IvfIndex(
-        centroids=spark.read.schema(CENTROIDS).parquet(f"{path}/centroids"),
+        cells=Cells(spark.read.schema(CENTROIDS).parquet(f"{path}/centroids")),
         vectors=vectors,
-        dim=meta["dim"],
-        nlist=meta["nlist"],
-        total=vectors.count(),
         codebooks=codebooks,
         pq_m=meta["pq_m"],
         pq_bits=meta["pq_bits"] or 8,
