@@ -39,10 +39,7 @@ def quantile_edges(values: DataFrame, bins: dict[str, int], exact: bool = True)
     ).head()
     if any(sketches[axis] is None for axis in bins):
         raise ValueError("no rows to take percentiles of")
-    brackets = {
-        axis: F.size(F.filter(_numbers(sorted(set(sketches[axis]))), lambda x, a=axis: x < F.col(a)))
-        for axis in bins
-    }
+    brackets = {axis: _count_below(sorted(set(sketches[axis])), F.col(axis)) for axis in bins}
     marked = values.withColumns({f"{axis}_bracket": bracket for axis, bracket in brackets.items()})
     # A few dozen brackets per axis: their joint counts give the sizes of all of them in one pass.
     joint = marked.groupBy(*[f"{axis}_bracket" for axis in bins]).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -109,10 +106,13 @@ def _numbers(values: Iterable[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def _count_below(edges: list[float], value: Column) -> Column:
+    return F.size(F.filter(_numbers(edges), lambda x: x < value))
+
+
 def bin_index(value: Column, edges: list[float]) -> Column:
     """Bins are (lo, hi]; the first one also holds the minimum, and values outside go to the end bins."""
-    below = F.size(F.filter(_numbers(edges), lambda x: x < value)) - 1
-    return F.greatest(F.lit(0), F.least(F.lit(len(edges) - 2), below))
+    return F.greatest(F.lit(0), F.least(F.lit(len(edges) - 2), _count_below(edges, value) - 1))
 
 
 # ------------------------------------------------------------------------------------------------- histogram
