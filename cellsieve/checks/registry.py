@@ -309,7 +309,7 @@ def l2_normalize_vectors(spark, sf_dir):
     scaled = st.table(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: (x * (F.col("label") + 1)).cast("float")).alias("v")
     )
-    unit = scaled.select("vec_id", F.posexplode(l2_normalize(F.col("v"))).alias("pos", "x"))
+    unit = scaled.select("vec_id", F.posexplode(l2_normalize("v")).alias("pos", "x"))
     return unit.select("vec_id", "pos", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
@@ -328,7 +328,7 @@ def knn_exact(spark, sf_dir):
 @query
 def knn_exact_batch(spark, sf_dir):
     embeddings = st.table(spark, sf_dir, "embeddings")
-    vectors = embeddings.select(F.col("vec_id").alias("item_id"), l2_normalize(F.col("embedding")).alias("embedding"))
+    vectors = embeddings.select(F.col("vec_id").alias("item_id"), l2_normalize("embedding").alias("embedding"))
     everyone = embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     return _ranked(exact_knn(vectors, everyone, K))
 

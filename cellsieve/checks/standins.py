@@ -51,7 +51,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unit_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector collection with unit vectors, as an index stores them."""
-    return items(spark, sf_dir).withColumn("embedding", l2_normalize(F.col("embedding")))
+    return items(spark, sf_dir).withColumn("embedding", l2_normalize("embedding"))
 
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def seed_centroids(collection: DataFrame, nlist: int) -> DataFrame:
     """Untrained quantizer: a hash sample of the collection; a cell is named after its seed."""
     seeds = ivf.train_sample(collection.select("item_id", "embedding"), "item_id", nlist)
     return seeds.select(
-        F.col("item_id").alias("cell_id"), l2_normalize(F.col("embedding")).cast("array<double>").alias("centroid")
+        F.col("item_id").alias("cell_id"), l2_normalize("embedding").cast("array<double>").alias("centroid")
     )
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,18 +29,21 @@ class HashingEmbedder:
         if found is None:
             if len(self._buckets) > 500_000:
                 self._buckets.clear()
-            found = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:7], 16) % self.dim
+            digest = hashlib.md5(token.encode("utf-8"), usedforsecurity=False).digest()
+            found = (int.from_bytes(digest[:4], "big") >> 4) % self.dim
             self._buckets[token] = found
         return found
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
-        split = re.compile(SPACES).split
-        out = np.zeros((len(texts), self.dim))
-        for row, text in enumerate(texts):
-            tokens = [t for t in split(text.lower()) if t]
-            if tokens:
-                out[row] = np.bincount([self._bucket(t) for t in tokens], minlength=self.dim)
-        return out
+        lists = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.large_string())), SPACES)
+        owner = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)))
+        tokens = lists.flatten().dictionary_encode()
+        # Each distinct token of the batch is hashed once; the empty one counts for nothing.
+        buckets = np.array([self._bucket(t) if t else -1 for t in tokens.dictionary.to_pylist()], dtype="int64")
+        bucket = buckets[np.asarray(tokens.indices)] if len(tokens) else np.zeros(0, dtype="int64")
+        cell = (owner * self.dim + bucket)[bucket >= 0]
+        counts = np.bincount(cell, minlength=len(texts) * self.dim)
+        return counts.reshape(len(texts), self.dim).astype("float64")
 
 
 def embed_text(

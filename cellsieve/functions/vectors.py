@@ -12,13 +12,10 @@ NORM_EPSILON = 1e-12
 SETTLED_DECIMALS = 9
 
 
-def l2_normalize(vector: Column) -> Column:
-    """Unit-length copy as array<float>; a zero vector stays zero."""
-    squares = F.aggregate(
-        vector, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")
-    )
-    norm = F.sqrt(squares) + F.lit(NORM_EPSILON)
-    return F.transform(vector, lambda x: (x.cast("double") / norm).cast("float"))
+def l2_normalize(vector: str) -> Column:
+    """Unit-length copy of an array column as array<float>; a zero vector stays zero."""
+    squares = f"aggregate({vector}, 0D, (total, x) -> total + double(x) * double(x))"
+    return F.expr(f"transform({vector}, x -> float(double(x) / (sqrt({squares}) + {NORM_EPSILON}D)))")
 
 
 def inner_product(left: Column, right: Column) -> Column:

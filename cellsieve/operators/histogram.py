@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -107,7 +109,8 @@ def _numbers(values: Iterable[float]) -> Column:
 
 
 def _count_below(edges: list[float], value: Column) -> Column:
-    return F.size(F.filter(_numbers(edges), lambda x: x < value))
+    """How many edges lie below the value: a sum of comparisons, which stays inside generated code."""
+    return functools.reduce(operator.add, [(value > F.lit(float(e))).cast("int") for e in edges], F.lit(0))
 
 
 def bin_index(value: Column, edges: list[float]) -> Column:
@@ -169,7 +172,7 @@ class Histogram2D:
         """The same with its cells (at most bins x bins rows) computed once."""
         rows = self.cells.collect()
         spark = self.cells.sparkSession
-        cells = spark.createDataFrame([tuple(r) for r in rows], self.cells.schema)
+        cells = spark.createDataFrame([tuple(r) for r in rows], self.cells.schema).coalesce(1)
         return Histogram2D(self.number_edges, self.date_edges, cells)
 
     # ---- tables ------------------------------------------------------------------------------------------
@@ -263,79 +266,52 @@ class Histogram2D:
         )
         return self.cells.filter(inside).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rectangle"))
 
-    def estimate_column(self, predicates: Column) -> Column:
+    @functools.cached_property
+    def counts(self) -> list[list[float]]:
+        """The cells as a matrix (at most bins x bins numbers)."""
+        rows, columns = self.shape
+        matrix = [[0.0] * columns for _ in range(rows)]
+        for cell in self.cells.collect():
+            matrix[cell["i"]][cell["j"]] = float(cell["n"])
+        return matrix
+
+    def estimate_column(self, predicates: str) -> Column:
         """Estimated survivors of an array of PREDICATE_STRUCT, as one row-local expression.
 
         Every bin of an axis gets the product of its predicates' fractions; the estimate is the weighted
         sum of the cells. Predicates on other columns do not narrow it.
         """
-        rows, columns = self.shape
-        counts = [[0.0] * columns for _ in range(rows)]
-        for cell in self.cells.collect():  # at most bins x bins rows
-            counts[cell["i"]][cell["j"]] = float(cell["n"])
-        row_weights = self._weights(predicates, "token_count", self.number_edges)
-        column_weights = self._weights(predicates, "revdate", self.date_edges)
-        matrix = F.array(*[_numbers(row) for row in counts])
-        per_row = F.transform(
-            matrix,
-            lambda row: F.aggregate(
-                F.zip_with(row, column_weights, lambda n, w: n * w), F.lit(0.0), lambda t, x: t + x
-            ),
-        )
-        total = F.aggregate(
-            F.zip_with(per_row, row_weights, lambda n, w: n * w), F.lit(0.0), lambda t, x: t + x
-        )
+        matrix = ", ".join(f"array({', '.join(f'{n!r}D' for n in row)})" for row in self.counts)
+        number_weights = self._weights(predicates, "token_count", self.number_edges)
+        date_weights = self._weights(predicates, "revdate", self.date_edges)
+        add = "0D, (total, x) -> total + x"
+        per_row = f"transform(array({matrix}), row -> aggregate(zip_with(row, {date_weights}, (n, w) -> n * w), {add}))"
         # Six decimals first: summation order must not push a whole number below itself.
-        return F.floor(F.round(total, 6)).cast("bigint")
+        return F.expr(
+            f"bigint(floor(round(aggregate(zip_with({per_row}, {number_weights}, (n, w) -> n * w), {add}), 6)))"
+        )
 
     @staticmethod
-    def _weights(predicates: Column, key: str, edges: list[float]) -> Column:
-        bins = F.array(
-            *[
-                F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
-                for lo, hi in zip(edges[:-1], edges[1:])
-            ]
-        )
-        own = F.filter(predicates, lambda p: p["key"] == key)
-        return F.transform(
-            bins,
-            lambda b: F.aggregate(own, F.lit(1.0), lambda w, p: w * bin_fraction(p, b["lo"], b["hi"])),
+    def _weights(predicates: str, key: str, edges: list[float]) -> str:
+        bins = ", ".join(
+            f"named_struct('lo', {float(lo)!r}D, 'hi', {float(hi)!r}D)" for lo, hi in zip(edges[:-1], edges[1:])
         )
+        own = f"filter({predicates}, p -> p.key = '{key}')"
+        return f"transform(array({bins}), b -> aggregate({own}, 1D, (w, p) -> w * {BIN_FRACTION}))"
 
     def estimate(self, predicates: list[Predicate]) -> int:
         """Estimated survivors of one predicate list."""
-        spark = self.cells.sparkSession
-        one = spark.range(1).select(self.estimate_column(predicate_array(predicates)).alias("est"))
-        return one.head()["est"]
-
-
-def bin_fraction(predicate: Column, lo: Column, hi: Column) -> Column:
-    """Share of the bin (lo, hi] that one predicate keeps, by linear interpolation."""
-    op, v = predicate["operator"], F.get(predicate["numbers"], F.lit(0))
-    above = F.greatest(F.lit(0.0), F.try_divide(hi - v, hi - lo))
-    under = F.greatest(F.lit(0.0), F.try_divide(v - lo, hi - lo))
-    touched = F.exists(predicate["numbers"], lambda x: (lo <= x) & (x <= hi))
-    zero, one = F.lit(0.0), F.lit(1.0)
-    return (
-        F.when(op == ">", F.when(lo > v, one).when((lo <= v) & (v < hi), above).otherwise(zero))
-        .when(op == ">=", F.when(lo >= v, one).when((lo < v) & (v <= hi), above).otherwise(zero))
-        .when(op == "<", F.when(hi < v, one).when((lo < v) & (v <= hi), under).otherwise(zero))
-        .when(op == "<=", F.when(hi <= v, one).when((lo <= v) & (v < hi), under).otherwise(zero))
-        .otherwise(F.when(touched, one).otherwise(zero))
-    )
-
-
-def predicate_array(predicates: list[Predicate]) -> Column:
-    """A predicate list as a literal array of PREDICATE_STRUCT."""
-    if not predicates:
-        return F.array().cast(f"array<{PREDICATE_STRUCT}>")
-    return F.array(
-        *[
-            F.struct(
-                F.lit(p.key).alias("key"),
-                F.lit(p.operator).alias("operator"),
-                _numbers(p.numbers()).cast("array<double>").alias("numbers"),
-            )
-            for p in predicates
-        ]
-    )
+        rows = [([(p.key, p.operator, p.numbers()) for p in predicates],)]
+        one = self.cells.sparkSession.createDataFrame(rows, f"preds array<{PREDICATE_STRUCT}>")
+        return one.select(self.estimate_column("preds").alias("est")).head()["est"]
+
+
+# Share of the bin (lo, hi] that one predicate keeps, by linear interpolation; = and IN keep every bin they touch.
+_ABOVE = "greatest(0D, try_divide(b.hi - get(p.numbers, 0), b.hi - b.lo))"
+_UNDER = "greatest(0D, try_divide(get(p.numbers, 0) - b.lo, b.hi - b.lo))"
+BIN_FRACTION = f"""CASE p.operator
+  WHEN '>' THEN CASE WHEN b.lo > get(p.numbers, 0) THEN 1D WHEN b.hi > get(p.numbers, 0) THEN {_ABOVE} ELSE 0D END
+  WHEN '>=' THEN CASE WHEN b.lo >= get(p.numbers, 0) THEN 1D WHEN b.hi >= get(p.numbers, 0) THEN {_ABOVE} ELSE 0D END
+  WHEN '<' THEN CASE WHEN b.hi < get(p.numbers, 0) THEN 1D WHEN b.lo < get(p.numbers, 0) THEN {_UNDER} ELSE 0D END
+  WHEN '<=' THEN CASE WHEN b.hi <= get(p.numbers, 0) THEN 1D WHEN b.lo <= get(p.numbers, 0) THEN {_UNDER} ELSE 0D END
+  ELSE IF(exists(p.numbers, x -> b.lo <= x AND x <= b.hi), 1D, 0D) END"""

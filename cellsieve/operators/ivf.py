@@ -340,7 +340,7 @@ class IvfIndex:
 
     def assign(self, items: DataFrame) -> DataFrame:
         """Items as stored in `vectors`: unit length, with cell and, if the index keeps codes, code."""
-        placed = assign_cells(items.withColumn("embedding", l2_normalize(F.col("embedding"))), self.cells)
+        placed = assign_cells(items.withColumn("embedding", l2_normalize("embedding")), self.cells)
         if self.codebooks is not None:
             placed = pq.encode(placed, self.cells, self.codebooks)
         return placed

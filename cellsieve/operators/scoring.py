@@ -219,8 +219,9 @@ def _scan(vectors: DataFrame, block: QueryBlock, scores, make_sink: Callable, sc
     columns = ["item_id", scores.column, *(["passes"] if flagged else [])]
     if block.cells is not None:
         columns.insert(1, "cell_id")
-        if len(block.cells) <= limits.PRUNE_CELLS:
-            vectors = vectors.filter(F.col("cell_id").isin(sorted(block.cells)))
+        if 0 < len(block.cells) <= limits.PRUNE_CELLS:
+            # A literal list prunes the cell partitions while planning.
+            vectors = vectors.filter(f"cell_id IN ({', '.join(map(str, sorted(block.cells)))})")
     payload = (block.qids, block.vectors, block.cells, block.marks)
     shared = vectors.sparkSession.sparkContext.broadcast(payload)
     data_column, dtype = scores.column, scores.dtype
@@ -368,7 +369,8 @@ def _run(vectors, probes, scores, make_sink, schema, k: int, dim: int, width: in
     bound = limits.rows_within(limits.QUERY_BLOCK_BYTES, per_query)
     head = probes.limit(bound + 1).toArrow()
     if head.num_rows <= bound:
-        return _scan(vectors, _block_of(head), scores, make_sink, schema)
+        block = _block_of(head)
+        return _scan(vectors, block, scores, make_sink, schema)
     return _joined_scan(vectors, probes, scores, make_sink, schema)
 
 
@@ -442,4 +444,4 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, dim: int = 1024) -
 
 
 def unit_queries(queries: DataFrame) -> DataFrame:
-    return queries.select("qid", l2_normalize(F.col("qvec")).alias("qvec"))
+    return queries.select("qid", l2_normalize("qvec").alias("qvec"))

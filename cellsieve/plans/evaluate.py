@@ -39,7 +39,7 @@ def workload_grid(workload: DataFrame, ks: Sequence[int], methods: Sequence[str]
 
 def estimate_workload(workload: DataFrame, histogram: Histogram2D) -> DataFrame:
     """Add `est` to a workload with `preds`; row-local, no shuffle."""
-    return workload.withColumn("est", histogram.estimate_column(F.col("preds")))
+    return workload.withColumn("est", histogram.estimate_column("preds"))
 
 
 def estimates_and_actuals(items: DataFrame, workload: DataFrame, lists: Workload, histogram: Histogram2D) -> DataFrame:

@@ -99,18 +99,17 @@ def _adaptive_width(nlist: int) -> Column:
     rounds, reached = 1, 1
     while reached < nlist:
         rounds, reached = rounds + 1, reached * probing.GROWTH
-    start = F.struct(F.lit(0).cast("bigint").alias("nprobe"), F.lit(0).cast("bigint").alias("found"))
-
-    def widen(state: Column, _: Column) -> Column:
-        nprobe = probing.pre_nprobe(
-            F.col("survivors"), F.col("search_k") - state["found"], state["nprobe"], nlist
-        )
-        found = F.least(F.col("search_k"), F.get("seen", (nprobe - 1).cast("int")))
-        grown = F.struct(nprobe.alias("nprobe"), found.cast("bigint").alias("found"))
-        return F.when(state["found"] >= F.col("search_k"), state).otherwise(grown)
-
-    steps = F.sequence(F.lit(1), F.lit(rounds + 1))
-    return F.aggregate(steps, start, widen, lambda state: state["nprobe"])
+    missing = "(search_k - state.found)"
+    expected = f"3 * {missing} * {nlist}L DIV (2 * survivors) + {probing.GROWTH} * state.nprobe"
+    width = f"greatest(1L, least({nlist}L, {expected}))"
+    return F.expr(
+        f"""aggregate(
+          sequence(1, {rounds + 1}),
+          named_struct('nprobe', 0L, 'found', 0L),
+          (state, i) -> if(state.found >= search_k, state, named_struct(
+            'nprobe', {width}, 'found', bigint(least(search_k, get(seen, int({width}) - 1))))),
+          state -> state.nprobe)"""
+    )
 
 
 def pre_filter_search(
@@ -158,7 +157,7 @@ def post_filter_search(
     est = None
     if histogram is not None:
         est = histogram.estimate([p for p in predicates if p.key != "item_id"])
-    sizes = _next_sizes(None, k, est, nlist, total)
+    sizes = _next_sizes(True, k, est, nlist, total)
     open_queries = unit_queries(queries).withColumns(sizes)
 
     answers = []
@@ -178,32 +177,29 @@ def post_filter_search(
             kept = _ranked_round(everything, probes, k, scores, index.dim, todo)
         else:
             kept = _counted_round(index.vectors, passing, probes, k, scores, index.dim, todo)
-        kept = cut(kept)
-        found = kept.groupBy("qid").agg(F.count(F.lit(1)).alias("found"))
-        state = cut(
-            probes.drop("cells", "cell_sims")
-            .join(found, "qid", "left")
-            .withColumn("found", F.coalesce("found", F.lit(0)).cast("bigint"))
+        hits = kept.groupBy("qid").agg(F.collect_list(F.struct("item_id", "similarity", "rank")).alias("hits"))
+        # At most k hits per query: one row per query carries its state and its answer so far.
+        state = cut(probes.drop("cells", "cell_sims").join(hits, "qid", "left")).withColumn(
+            "found", F.coalesce(F.array_size("hits"), F.lit(0)).cast("bigint")
         )
-        done = state.filter(F.col("found") >= k).select("qid")
-        answers.append(kept.join(done, "qid", "left_semi"))
-        open_queries = state.filter(F.col("found") < k).withColumns(_next_sizes(state, k, est, nlist, total))
-        open_queries = open_queries.drop("found")
+        answers.append(state.filter(F.col("found") >= k).select("qid", F.inline("hits")))
+        open_queries = state.filter(F.col("found") < k).withColumns(_next_sizes(False, k, est, nlist, total))
+        open_queries = open_queries.drop("found", "hits")
     if not answers:
         answers = [_search_all_cells(index, passing, open_queries.limit(0), k, scores)]
     columns = ("qid", "item_id", "similarity", "rank")
     return _finish(functools.reduce(DataFrame.unionByName, [a.select(*columns) for a in answers]), k)
 
 
-def _next_sizes(state: DataFrame | None, k: int, est: int | None, nlist: int, total: int) -> dict[str, Column]:
-    """Candidate list length and probe width of the first (`state` None) or the next round."""
+def _next_sizes(first: bool, k: int, est: int | None, nlist: int, total: int) -> dict[str, Column]:
+    """Candidate list length and probe width of the first or the next round."""
     zero = F.lit(0).cast("bigint")
     if est is not None:
         estimate = F.lit(est).cast("bigint")
-        missing = F.lit(k) if state is None else F.lit(k) - F.col("found")
-        search_k = probing.post_search_k(estimate, missing, zero if state is None else F.col("search_k"), total)
+        missing = F.lit(k) if first else F.lit(k) - F.col("found")
+        search_k = probing.post_search_k(estimate, missing, zero if first else F.col("search_k"), total)
         nprobe = probing.post_nprobe(estimate, search_k, zero, nlist)
-    elif state is None:
+    elif first:
         search_k = F.lit(probing.FIRST_SEARCH_K).cast("bigint")
         nprobe = F.lit(min(probing.FIRST_NPROBE, nlist)).cast("bigint")
     else:
