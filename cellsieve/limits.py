@@ -1,10 +1,10 @@
 """Size bounds checked before anything is broadcast or held in a task."""
 
 # A block of queries (vectors, probe lists, running top-k) that one Python task may hold.
-QUERY_BLOCK_BYTES = 256 * 1024 * 1024
+QUERY_BLOCK_BYTES = 128 * 1024 * 1024
 
 # A matrix of centroids shipped to every task.
-MATRIX_BYTES = 256 * 1024 * 1024
+MATRIX_BYTES = 128 * 1024 * 1024
 
 # Similarity tiles computed at once inside a task (entries of a double matrix).
 TILE_ENTRIES = 4_000_000

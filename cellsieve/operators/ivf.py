@@ -30,9 +30,11 @@ from cellsieve.operators.scoring import (
     best_per_query,
     matrix_of,
     rank_per_query,
+    sum_arrays,
     unit_queries,
 )
 from cellsieve.schemas import CENTROIDS
+from cellsieve.session import cut
 
 # Seed of every sampled or trained step, default probe width, smallest useful training factor.
 SEED = 6400
@@ -233,21 +235,9 @@ def kmeans_step(points: DataFrame, centroids: DataFrame, vector: str = "embeddin
             ["cell_id", "n", "sums"],
         )
 
-    per_dimension = (
-        assigned.mapInArrow(partial_sums, "cell_id bigint, n bigint, sums array<double>")
-        .select("cell_id", "n", F.posexplode("sums").alias("pos", "value"))
-        .groupBy("cell_id", "pos")
-        .agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
-    )
-    means = (
-        per_dimension.groupBy("cell_id")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("pos", (F.col("value") / F.col("n")).alias("mean")))).alias(
-                "parts"
-            ),
-            F.max("n").alias("n"),
-        )
-        .select("cell_id", F.col("parts.mean").alias("mean"), "n")
+    partial = assigned.mapInArrow(partial_sums, "cell_id bigint, n bigint, sums array<double>")
+    means = sum_arrays(partial, ["cell_id"]).select(
+        "cell_id", F.transform("sums", lambda x: x / F.col("n")).alias("mean"), "n"
     )
     norm = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda t, x: t + x * x)) + F.lit(NORM_EPSILON)
     updated = F.transform("mean", lambda x: x / norm)
@@ -311,7 +301,7 @@ class IvfIndex:
         allowed: DataFrame | None = None,
         where: Column | None = None,
     ) -> DataFrame:
-        """(qid, item_id, similarity, rank) of the best k rows within the probed cells.
+        """(qid, item_id, cell_id, similarity, rank) of the best k rows within the probed cells.
 
         `allowed` restricts to an id set (an empty one finds nothing); `where` to rows passing a condition.
         """
@@ -325,8 +315,14 @@ class IvfIndex:
         return found.drop("passes")
 
     def rerank(self, found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-        """Exact similarities for a candidate list from codes, cut to k."""
-        pairs = found.select("qid", "item_id").join(self.vectors.select("item_id", "embedding"), "item_id")
+        """Exact similarities for a candidate list of `search`, cut to k; reads vectors only from the cells
+        the candidates lie in."""
+        found = cut(found.select("qid", "item_id", "cell_id"))
+        vectors = self.vectors.select("item_id", "cell_id", "embedding")
+        touched = [r["cell_id"] for r in found.select("cell_id").distinct().limit(limits.PRUNE_CELLS + 1).collect()]
+        if 0 < len(touched) <= limits.PRUNE_CELLS:
+            vectors = vectors.filter(f"cell_id IN ({', '.join(map(str, sorted(touched)))})")
+        pairs = found.join(vectors, ["cell_id", "item_id"])
         pairs = pairs.join(unit_queries(queries), "qid")
         exact = settle(inner_product(F.col("qvec"), F.col("embedding")))
         return rank_per_query(pairs.select("qid", "item_id", exact.alias("similarity")), k)

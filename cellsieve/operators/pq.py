@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from cellsieve import limits
 from cellsieve.functions.vectors import SETTLED_DECIMALS
-from cellsieve.operators.scoring import CodeScores, matrix_of
+from cellsieve.operators.scoring import CodeScores, matrix_of, sum_arrays
 from cellsieve.schemas import CODEBOOKS
 from cellsieve.session import cut
 
@@ -145,16 +145,8 @@ def codebook_step(with_residual: DataFrame, books: np.ndarray) -> DataFrame:
     partial = with_residual.select("residual").mapInArrow(
         partial_sums, "m int, j int, n bigint, sums array<double>"
     )
-    means = (
-        partial.select("m", "j", "n", F.posexplode("sums").alias("pos", "value"))
-        .groupBy("m", "j", "pos")
-        .agg((F.sum("value") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
-        .groupBy("m", "j")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("parts"),
-            F.max("n").alias("members"),
-        )
-        .select("m", "j", F.col("parts.mean").alias("mean"), "members")
+    means = sum_arrays(partial, ["m", "j"]).select(
+        "m", "j", F.transform("sums", lambda x: x / F.col("n")).alias("mean"), F.col("n").alias("members")
     )
     old = codebook_frame(with_residual.sparkSession, books)
     return old.join(means, ["m", "j"], "left").select(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cellsieve import limits
 from cellsieve.functions.vectors import SETTLED_DECIMALS, l2_normalize
 
-BEST_SCHEMA = "qid bigint, item_id bigint, similarity double, passes boolean"
+BEST_SCHEMA = "qid bigint, item_id bigint, cell_id bigint, similarity double, passes boolean"
 # Rows per query that one task merges without a salted step before it.
 MERGE_AT_ONCE = 20_000
 SLOT_SCHEMA = "qid bigint, slot int, n bigint"
@@ -52,6 +52,7 @@ class ExactScores:
 
     column: str = "embedding"
     dtype: str = "float64"
+    bytes_per_query: int = 0
 
     def prepare(self, queries: np.ndarray) -> np.ndarray:
         return queries
@@ -69,6 +70,11 @@ class CodeScores:
     column: str = "code"
     dtype: str = "int64"
 
+    @property
+    def bytes_per_query(self) -> int:
+        """Size of one query's look-up table."""
+        return 8 * self.codebooks.shape[0] * self.codebooks.shape[1]
+
     def prepare(self, queries: np.ndarray) -> np.ndarray:
         m, _, width = self.codebooks.shape
         return np.einsum("qmw,mcw->qmc", queries.reshape(len(queries), m, width), self.codebooks)
@@ -89,22 +95,23 @@ class BestPerQuery:
         self.parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in qids]
         self.held = np.zeros(len(qids), dtype=np.int64)
 
-    def offer(self, which: np.ndarray, ids: np.ndarray, sims: np.ndarray, passes: np.ndarray) -> None:
+    def offer(self, which, ids: np.ndarray, sims: np.ndarray, passes: np.ndarray, cell: int) -> None:
         hits = sims >= self.floor[which][:, None]
         for row in np.flatnonzero(hits.any(axis=1)):
             q, mask = which[row], hits[row]
-            self.parts[q].append((sims[row, mask], ids[mask], passes[mask]))
-            self.held[q] += len(self.parts[q][-1][0])
+            some = ids[mask]
+            self.parts[q].append((sims[row, mask], some, passes[mask], np.full(len(some), cell)))
+            self.held[q] += len(some)
             if self.held[q] > 2 * self.k:
                 self._settle(q)
 
     def _settle(self, q: int) -> None:
-        sims, ids, passes = (np.concatenate(column) for column in zip(*self.parts[q]))
-        keep = np.lexsort((ids, -sims))[: self.k]
-        self.parts[q] = [(sims[keep], ids[keep], passes[keep])]
+        columns = [np.concatenate(column) for column in zip(*self.parts[q])]
+        keep = np.lexsort((columns[1], -columns[0]))[: self.k]
+        self.parts[q] = [tuple(column[keep] for column in columns)]
         self.held[q] = len(keep)
         if len(keep) == self.k:
-            self.floor[q] = sims[keep[-1]]
+            self.floor[q] = columns[0][keep[-1]]
 
     def result(self) -> pa.RecordBatch:
         qids, columns = [], []
@@ -112,15 +119,16 @@ class BestPerQuery:
             self._settle(q)
             columns.append(self.parts[q][0])
             qids.append(np.full(self.held[q], self.qids[q]))
-        sims, ids, passes = zip(*columns) if columns else ((), (), ())
+        sims, ids, passes, cells = zip(*columns) if columns else ((), (), (), ())
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(_joined(qids, "int64"), pa.int64()),
                 pa.array(_joined(ids, "int64"), pa.int64()),
+                pa.array(_joined(cells, "int64"), pa.int64()),
                 pa.array(_joined(sims, "float64"), pa.float64()),
                 pa.array(_joined(passes, "bool"), pa.bool_()),
             ],
-            ["qid", "item_id", "similarity", "passes"],
+            ["qid", "item_id", "cell_id", "similarity", "passes"],
         )
 
 
@@ -132,7 +140,7 @@ class SlotCounts:
         self.marks = [(-np.asarray(s, dtype="float64"), np.asarray(i, dtype="int64")) for s, i in marks]
         self.counts = [np.zeros(len(s), dtype=np.int64) for s, _ in self.marks]
 
-    def offer(self, which: np.ndarray, ids: np.ndarray, sims: np.ndarray, passes: np.ndarray) -> None:
+    def offer(self, which, ids: np.ndarray, sims: np.ndarray, passes: np.ndarray, cell: int) -> None:
         for row, q in enumerate(which):
             falling, mark_ids = self.marks[q]
             if not len(falling):
@@ -230,7 +238,7 @@ def _scan(vectors: DataFrame, block: QueryBlock, scores, make_sink: Callable, sc
         qids, queries, cells, marks = shared.value
         prepared = scores.prepare(queries)
         sink = make_sink(qids, marks)
-        everyone = (np.arange(len(qids)), np.zeros(len(qids)))
+        everyone = np.arange(len(qids))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -238,21 +246,23 @@ def _scan(vectors: DataFrame, block: QueryBlock, scores, make_sink: Callable, sc
             data = matrix_of(batch.column(data_column), dtype)
             passes = flags_of(batch.column("passes")) if flagged else np.ones(len(ids), dtype=bool)
             if cells is None:
-                groups = [(everyone, slice(None))]
+                groups = [(-1, slice(None))]
             else:
                 here = np.asarray(batch.column("cell_id")).astype("int64")
                 order = np.argsort(here, kind="stable")
                 names, starts = np.unique(here[order], return_index=True)
                 groups = [
-                    (cells[int(name)], rows)
+                    (int(name), rows)
                     for name, rows in zip(names, np.split(order, starts[1:]))
                     if int(name) in cells
                 ]
-            for (which, base), rows in groups:
+            for cell, rows in groups:
+                which, base = (everyone, None) if cells is None else cells[cell]
+                mine = prepared if cells is None else prepared[which]
                 some_ids, some_data, some_passes = ids[rows], data[rows], passes[rows]
                 for tile in _tiles(len(some_ids), len(which)):
-                    sims = scores.score(prepared[which], some_data[tile], base)
-                    sink.offer(which, some_ids[tile], sims, some_passes[tile])
+                    sims = scores.score(mine, some_data[tile], base)
+                    sink.offer(which, some_ids[tile], sims, some_passes[tile], cell)
         yield sink.result()
 
     return vectors.select(*columns).filter(F.col(data_column).isNotNull()).mapInArrow(run, schema)
@@ -319,7 +329,7 @@ def _joined_scan(
             "qid",
             "qvec",
             *extra,
-            F.explode(F.sequence(F.lit(0), F.lit(fan - 1))).cast("bigint").alias("cell_id"),
+            F.explode(F.expr(f"sequence(0L, {fan - 1}L)")).alias("cell_id"),
             F.lit(0.0).alias("base"),
         )
     packs_needed = max(1, -(-probes.count() // limits.PACK_QUERIES))
@@ -333,9 +343,8 @@ def _joined_scan(
 
     def run(batches):
         for batch in batches:
-            for item_ids, data, flags, members in zip(
-                batch.column("item_ids"), batch.column("data"), batch.column("flags"), batch.column("members")
-            ):
+            columns = [batch.column(c) for c in ("cell_id", "item_ids", "data", "flags", "members")]
+            for cell, item_ids, data, flags, members in zip(*columns):
                 ids = np.asarray(item_ids.values).astype("int64")
                 rows = np.asarray(data.values).astype(dtype).reshape(len(ids), -1)
                 struct = members.values
@@ -350,13 +359,13 @@ def _joined_scan(
                 sink = make_sink(qids, marks)
                 which = np.arange(len(qids))
                 sims = scores.score(scores.prepare(queries), rows, base)
-                sink.offer(which, ids, sims, flags_of(flags.values))
+                sink.offer(which, ids, sims, flags_of(flags.values), cell.as_py())
                 yield sink.result()
 
     return (
         _chunks(vectors, scores)
         .join(packs, "cell_id")
-        .select("item_ids", "data", "flags", "members")
+        .select("cell_id", "item_ids", "data", "flags", "members")
         .mapInArrow(run, schema)
     )
 
@@ -365,7 +374,7 @@ def _joined_scan(
 
 
 def _run(vectors, probes, scores, make_sink, schema, k: int, dim: int, width: int) -> DataFrame:
-    per_query = 8 * dim + 64 * k + 32 * width
+    per_query = 8 * dim + 96 * k + 32 * width + scores.bytes_per_query
     bound = limits.rows_within(limits.QUERY_BLOCK_BYTES, per_query)
     head = probes.limit(bound + 1).toArrow()
     if head.num_rows <= bound:
@@ -377,7 +386,7 @@ def _run(vectors, probes, scores, make_sink, schema, k: int, dim: int, width: in
 def best_per_query(
     vectors: DataFrame, probes: DataFrame, k: int, scores=None, *, dim: int = 1024, width: int = 0
 ) -> DataFrame:
-    """Top-k rows per query as (qid, item_id, similarity, passes, rank).
+    """Top-k rows per query as (qid, item_id, [cell_id], similarity, passes, rank).
 
     A boolean column `passes` of the vectors is handed through (true without one). `probes` has one row per query: qid bigint, qvec array, and optionally cells array<bigint> with
     cell_sims array<double>; without cells every vector is scored. `width` bounds the cells per query.
@@ -386,7 +395,7 @@ def best_per_query(
     found = _run(
         vectors, probes, scores, lambda qids, marks: BestPerQuery(qids, k), BEST_SCHEMA, k, dim, width
     )
-    return rank_per_query(found, k)
+    return rank_per_query(found if "cells" in probes.columns else found.drop("cell_id"), k)
 
 
 def rank_per_query(found: DataFrame, k: int) -> DataFrame:
@@ -445,3 +454,21 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, dim: int = 1024) -
 
 def unit_queries(queries: DataFrame) -> DataFrame:
     return queries.select("qid", l2_normalize("qvec").alias("qvec"))
+
+
+# ------------------------------------------------------------------------------------------ sums of whole arrays
+
+
+def sum_arrays(partial: DataFrame, keys: list[str]) -> DataFrame:
+    """Merge partial sums (keys, n, sums array<double>) from many tasks, in salted groups first, so that no
+    group holds more than a share of one row per task."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        first = [table.column(k).slice(0, 1) for k in keys]
+        total = matrix_of(table.column("sums")).sum(axis=0)
+        n = pa.array([pc.sum(table.column("n")).as_py()], pa.int64())
+        return pa.table([*first, n, pa.array([total.tolist()], pa.list_(pa.float64()))], [*keys, "n", "sums"])
+
+    schema = partial.select(*keys, "n", "sums").schema
+    salted = partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
+    return salted.groupBy(*keys, "salt").applyInArrow(merge, schema).groupBy(*keys).applyInArrow(merge, schema)

@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellsieve import limits
 from cellsieve.operators.histogram import Histogram2D
 from cellsieve.operators.ivf import IvfIndex
 from cellsieve.operators.predicates import Predicate, conjunction, predicate_filter
@@ -218,17 +219,17 @@ def _ranked_round(everything, probes, k, scores, dim, todo) -> DataFrame:
     within = candidates.join(probes.select("qid", "search_k"), "qid").filter(
         F.col("passes") & (F.col("rank") <= F.col("search_k"))
     )
-    return rank_per_query(within.drop("rank", "search_k", "passes"), k)
+    return rank_per_query(within.select("qid", "item_id", "similarity"), k)
 
 
 def _counted_round(vectors, passing, probes, k, scores, dim, todo) -> DataFrame:
     """The same without the list: best k passing rows per query, and by counting how far down the full list
     each of them stands. Costs the same for a list of a million candidates as for one of a hundred."""
     lists = probes.select(*PROBE_COLUMNS)
-    best = cut(best_per_query(passing, lists, k, scores, dim=dim, width=todo["nprobe"]).drop("passes"))
+    best = cut(best_per_query(passing, lists, k, scores, dim=dim, width=todo["nprobe"]))
     placed = global_positions(vectors, lists, best, scores, k=k, dim=dim, width=todo["nprobe"])
     within = placed.join(probes.select("qid", "search_k"), "qid")
-    return within.filter(F.col("position") <= F.col("search_k")).drop("position", "search_k")
+    return within.filter(F.col("position") <= F.col("search_k")).select("qid", "item_id", "similarity", "rank")
 
 
 def _search_all_cells(index, passing, queries, k, scores) -> DataFrame:
@@ -266,8 +267,16 @@ def hybrid_search(
 
 
 def with_items(found: DataFrame, items: DataFrame) -> DataFrame:
-    """Results with the display columns of their items; only ranked rows meet the item table."""
+    """Results with the display columns of their items.
+
+    The ranked rows are settled first: while they name few items, the ids go to the scan of the item table
+    as literals, where statistics and Bloom filters skip row groups; otherwise the tables are joined.
+    """
+    found = cut(found.select(*RESULT_COLUMNS))
     shown = items.select("item_id", "title", "revdate", "token_count")
+    ids = [r["item_id"] for r in found.select("item_id").distinct().limit(limits.IN_LIST_LITERALS + 1).collect()]
+    if 0 < len(ids) <= limits.IN_LIST_LITERALS:
+        shown = shown.filter(f"item_id IN ({', '.join(map(str, sorted(ids)))})")
     return found.join(shown, "item_id").select(
         "qid", "rank", "item_id", "title", "revdate", "token_count", "similarity", "is_k"
     )
