@@ -214,7 +214,7 @@ def hashed(source: str, key: str, name: str) -> str:
     return f"""
 {name}_counts AS (
   SELECT {key} AS id, ('0x' || substr(md5(t), 1, 7))::BIGINT % {DIM} AS pos, count(*) AS c
-  FROM (SELECT {key}, unnest(string_split_regex(lower(text), '{SPACES}')) AS t FROM {source}) WHERE t <> '' GROUP BY ALL
+  FROM (SELECT {key}, unnest(string_split_regex(lower(text), '[ \\t\\n\\v\\f\\r]+')) AS t FROM {source}) WHERE t <> '' GROUP BY ALL
 ),
 {name} AS (
   SELECT id, list((c / (norm + 1e-12))::FLOAT ORDER BY pos) AS v FROM (

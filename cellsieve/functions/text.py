@@ -6,13 +6,14 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellsieve.functions.vectors import NORM_EPSILON
+
 DEFAULT_DIM = 64
 SPACES = "[ \\t\\n\\r\\f]+"
 
@@ -34,8 +35,9 @@ class HashingEmbedder:
             self._buckets[token] = found
         return found
 
-    def __call__(self, texts: Sequence[str]) -> np.ndarray:
-        lists = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.large_string())), SPACES)
+    def __call__(self, texts: pa.Array | Sequence[str]) -> np.ndarray:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
         owner = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)))
         tokens = lists.flatten().dictionary_encode()
         # Each distinct token of the batch is hashed once; the empty one counts for nothing.
@@ -53,16 +55,16 @@ def embed_text(
 ) -> Column:
     """Unit-length array<float> per text. `make_embedder` is called once per task and must return a
     callable from a list of texts to a matrix, so a heavy model loads once and not per batch."""
-    build = make_embedder or (lambda: HashingEmbedder(dim))
-
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        embedder = build()
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        embedder = make_embedder() if make_embedder else HashingEmbedder(dim)
         for texts in batches:
-            matrix = np.asarray(embedder(texts.fillna("").tolist()), dtype="float64")
-            norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)) + 1e-12
-            yield pd.Series(list((matrix / norms).astype("float32")))
+            matrix = np.asarray(embedder(texts.to_pylist() if make_embedder else texts), dtype="float64")
+            norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)) + NORM_EPSILON
+            unit = (matrix / norms).astype("float32")
+            offsets = pa.array(np.arange(len(unit) + 1) * unit.shape[1], pa.int32())
+            yield pa.ListArray.from_arrays(offsets, pa.array(unit.reshape(-1)))
 
-    return F.pandas_udf(encode, T.ArrayType(T.FloatType()))(F.coalesce(text, F.lit("")))
+    return F.arrow_udf(encode, T.ArrayType(T.FloatType()))(F.coalesce(text, F.lit("")))
 
 
 def token_count(text: Column) -> Column:
