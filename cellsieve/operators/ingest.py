@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,28 +38,27 @@ def typed_items(raw: DataFrame) -> DataFrame:
 def assign_item_ids(source: DataFrame, column: str = "item_id") -> DataFrame:
     """Sequential ids 0..n-1 in file order, as first column.
 
-    `source` must be a file scan without a shuffle above it. Rows are numbered within their file split; a
-    table with one row per split supplies the offsets. Data rows are neither moved nor sorted.
+    `source` must be a file scan without a shuffle above it. Parquet rows carry their number within the file;
+    rows of other formats are numbered within their file split. A table with one row per file (or split)
+    supplies the offsets, so data rows are neither moved nor sorted.
     """
     names = source.columns
-    marked = source.select(
-        "*",
-        F.col("_metadata.file_path").alias("__path"),
-        F.col("_metadata.file_block_start").alias("__start"),
-        F.monotonically_increasing_id().alias("__seen"),
-    )
-    splits = marked.groupBy("__path", "__start").agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__seen").alias("__first")
-    )
-    earlier = Window.orderBy("__path", "__start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "__path",
-        "__start",
-        (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"),
-    )
-    return marked.join(offsets, ["__path", "__start"]).select(
-        (F.col("__seen") + F.col("__shift")).alias(column), *names
+    place = [F.col("_metadata.file_path").alias("__path")]
+    try:
+        marked = source.select("*", *place, F.col("_metadata.row_index").alias("__row"))
+        marked.schema  # resolved here: only Parquet knows the row index
+        first = F.lit(0)
+    except AnalysisException:
+        place.append(F.col("_metadata.file_block_start").alias("__start"))
+        marked = source.select("*", *place, F.monotonically_increasing_id().alias("__row"))
+        first = F.min("__row")
+    keys = ["__path", "__start"][: len(place)]
+    parts = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), first.alias("__first"))
+    earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        *keys, (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift")
     )
+    return marked.join(offsets, keys).select((F.col("__row") + F.col("__shift")).alias(column), *names)
 
 
 def block_shuffle(source: DataFrame, id_column: str, block_size: int, seed: int = SEED) -> DataFrame:

@@ -164,6 +164,14 @@ def test_ids_follow_file_order(spark, sf_dir):
     assert "Exchange hashpartitioning(event_id" not in numbered._jdf.queryExecution().toString()
 
 
+def test_ids_follow_file_order_in_csv(spark):
+    path = scratch_path(spark, "many-csv")
+    spark.range(0, 100, 1, 5).withColumn("text", F.lit("x")).write.options(header="true").csv(path)
+    source = spark.read.schema("id bigint, text string").option("header", "true").csv(path)
+    numbered = ingest.assign_item_ids(source)
+    assert numbered.filter("item_id <> id").isEmpty() and numbered.count() == 100
+
+
 def test_block_shuffle(spark):
     shuffled = ingest.block_shuffle(spark.range(250).withColumnRenamed("id", "item_id"), "item_id", 100).collect()
     assert sorted(r["position"] for r in shuffled) == list(range(250))
