@@ -611,6 +611,15 @@ _PAIRS = " UNION ALL ".join(
 )
 ORACLES["hybrid_compare"] = f"WITH {_FINE}, {_ALL} {_PAIRS}"
 
+ORACLES["workload_sweep"] = f"""WITH {ITEMS},
+lists AS (
+  SELECT 1 AS wid, count(*) AS survivors FROM items WHERE {PASSES} UNION ALL SELECT 2, count(*) FROM items WHERE token_count >= 1000
+),
+labels_used AS (SELECT count(DISTINCT label) AS n FROM embeddings)
+SELECT wid, k, method, n * least(k, survivors) AS found, CASE WHEN survivors >= k THEN n ELSE 0 END AS full_queries
+FROM lists, labels_used, (SELECT unnest([5, 50]) AS k),
+  (SELECT unnest(['base_pre_search', 'adap_pre_search', 'base_pos_search', 'adap_pos_search']) AS method)"""
+
 _SERVICE_PASSES = "token_count < 400 AND revdate >= TIMESTAMP '2024-01-01 03:00:00'"
 ORACLES["hybrid_service"] = f"""WITH {DOC_ITEMS}, {hashed('benchmark', 'item_id', 'hashed_queries')},
 queries AS (SELECT id AS qid, {unit('v')} AS qvec FROM hashed_queries), {coarse()}, {scored()},

@@ -520,6 +520,18 @@ def hybrid_compare(spark, sf_dir):
     return evaluate.compare_methods(_hybrid(spark, sf_dir, *hybrid.METHODS))
 
 
+@query
+def workload_sweep(spark, sf_dir):
+    index = st.fine_index(st.items(spark, sf_dir))
+    lists = {1: FILTER, 2: [Predicate("token_count", 1000, ">=")]}
+    swept = evaluate.sweep(
+        index, cut(st.prototypes(spark, sf_dir)), lists, (5, 50), hybrid.METHODS, Histogram2D.build(index.vectors).collected()
+    )
+    path = scratch_path(spark, "evaluation")
+    tables.write_csv(swept, path)
+    return tables.read_csv(spark, path, swept.schema)
+
+
 @query
 def hybrid_service(spark, sf_dir):
     documents = cut(st.document_vectors(spark, sf_dir))

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellsieve.operators.histogram import PREDICATE_STRUCT, Histogram2D
+from cellsieve.operators.ivf import IvfIndex
 from cellsieve.operators.predicates import Predicate, text_of, workload_survivors
+from cellsieve.plans.hybrid import METHODS, hybrid_search
 
 Workload = Mapping[int, list[Predicate]]
 
@@ -60,6 +62,31 @@ def estimates_and_actuals(items: DataFrame, workload: DataFrame, lists: Workload
     )
 
 
+def sweep(
+    index: IvfIndex,
+    queries: DataFrame,
+    lists: Workload,
+    ks: Sequence[int],
+    methods: Sequence[str] = METHODS,
+    histogram: Histogram2D | None = None,
+    items: DataFrame | None = None,
+) -> DataFrame:
+    """Search with every predicate list, k and method: (wid, k, method, found, full_queries), where found
+    counts result rows of all queries and full_queries those queries that got k rows."""
+    parts = [
+        hybrid_search(index, queries, predicates, k, method, histogram, items)
+        .agg(
+            F.count(F.lit(1)).alias("found"),
+            F.count_if(F.col("is_k") & (F.col("rank") == 1)).alias("full_queries"),
+        )
+        .select(F.lit(wid).alias("wid"), F.lit(k).alias("k"), F.lit(method).alias("method"), "found", "full_queries")
+        for wid, predicates in lists.items()
+        for k in ks
+        for method in methods
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of each query's exact top-k that the approximate result holds."""
     wanted = exact.groupBy("qid").agg(F.count(F.lit(1)).alias("wanted"))

@@ -144,3 +144,11 @@ def test_code_shape_is_checked(dim, m, bits):
 def test_untrained_index_is_an_error(spark, fine):
     with pytest.raises(ValueError):
         ivf.assign_cells(fine.vectors.drop("cell_id"), fine.cells.frame.limit(0))
+
+
+def test_adding_in_parts_equals_adding_at_once(fine):
+    items = fine.vectors.drop("cell_id")
+    whole = ivf.index_items(items, fine.cells)
+    parts = ivf.index_items(items.filter("item_id < 70"), fine.cells).add(items.filter("item_id >= 70"))
+    assert parts.total == whole.total == fine.total
+    assert rows(parts.vectors, "item_id", "cell_id") == rows(whole.vectors, "item_id", "cell_id")
