@@ -24,6 +24,9 @@ from cellsieve import limits
 from cellsieve.functions.vectors import SETTLED_DECIMALS, l2_normalize
 
 BEST_SCHEMA = "qid bigint, item_id bigint, cell_id bigint, similarity double, passes boolean"
+# Memory of one probed cell of one query: id, similarity and their place in the per-cell lists.
+PROBE_BYTES = 32
+
 # Rows per query that one task merges without a salted step before it.
 MERGE_AT_ONCE = 20_000
 SLOT_SCHEMA = "qid bigint, slot int, n bigint"
@@ -374,12 +377,16 @@ def _joined_scan(
 
 
 def _run(vectors, probes, scores, make_sink, schema, k: int, dim: int, width: int) -> DataFrame:
-    per_query = 8 * dim + 96 * k + 32 * width + scores.bytes_per_query
-    bound = limits.rows_within(limits.QUERY_BLOCK_BYTES, per_query)
+    per_query = 8 * dim + 96 * k + scores.bytes_per_query
+    bound = limits.rows_within(limits.QUERY_BLOCK_BYTES, per_query + PROBE_BYTES * width)
     head = probes.limit(bound + 1).toArrow()
     if head.num_rows <= bound:
-        block = _block_of(head)
-        return _scan(vectors, block, scores, make_sink, schema)
+        return _scan(vectors, _block_of(head), scores, make_sink, schema)
+    if "cells" in probes.columns:
+        # Probe lists are often far shorter than `width`: measure them before giving up the broadcast.
+        rows, cells = probes.agg(F.count(F.lit(1)), F.sum(F.size("cells"))).head()
+        if rows * per_query + cells * PROBE_BYTES <= limits.QUERY_BLOCK_BYTES:
+            return _scan(vectors, _block_of(probes.toArrow()), scores, make_sink, schema)
     return _joined_scan(vectors, probes, scores, make_sink, schema)
 
 

@@ -152,3 +152,11 @@ def test_adding_in_parts_equals_adding_at_once(fine):
     parts = ivf.index_items(items.filter("item_id < 70"), fine.cells).add(items.filter("item_id >= 70"))
     assert parts.total == whole.total == fine.total
     assert rows(parts.vectors, "item_id", "cell_id") == rows(whole.vectors, "item_id", "cell_id")
+
+
+def test_short_probe_lists_stay_broadcast_whatever_the_width(fine, queries):
+    probes = fine.probe(unit_queries(queries), 4)
+    expected = rows(best_per_query(fine.vectors, probes, 6, dim=fine.dim, width=4), *RANKED)
+    found = best_per_query(fine.vectors, probes, 6, dim=fine.dim, width=10**7)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert rows(found, *RANKED) == expected
