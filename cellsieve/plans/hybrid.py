@@ -173,14 +173,15 @@ def post_filter_search(
             answers.append(_search_all_cells(index, passing, open_queries.filter(~narrow), k, scores))
         if todo["nprobe"] is None:
             break
-        probes = index.probe(open_queries.filter(narrow), "nprobe")
+        sized = open_queries.filter(narrow)
+        probes = index.probe(sized, "nprobe").select(*PROBE_COLUMNS)
         if todo["search_k"] <= RANKED_CANDIDATES:
-            kept = _ranked_round(everything, probes, k, scores, index.dim, todo)
+            kept = _ranked_round(everything, probes, sized, k, scores, index.dim, todo)
         else:
-            kept = _counted_round(index.vectors, passing, probes, k, scores, index.dim, todo)
+            kept = _counted_round(index.vectors, passing, probes, sized, k, scores, index.dim, todo)
         hits = kept.groupBy("qid").agg(F.collect_list(F.struct("item_id", "similarity", "rank")).alias("hits"))
         # At most k hits per query: one row per query carries its state and its answer so far.
-        state = cut(probes.drop("cells", "cell_sims").join(hits, "qid", "left")).withColumn(
+        state = cut(sized.join(hits, "qid", "left")).withColumn(
             "found", F.coalesce(F.array_size("hits"), F.lit(0)).cast("bigint")
         )
         answers.append(state.filter(F.col("found") >= k).select("qid", F.inline("hits")))
@@ -211,24 +212,23 @@ def _next_sizes(first: bool, k: int, est: int | None, nlist: int, total: int) ->
     return {"search_k": search_k.cast("bigint"), "nprobe": nprobe}
 
 
-def _ranked_round(everything, probes, k, scores, dim, todo) -> DataFrame:
+def _ranked_round(everything, probes, sized, k, scores, dim, todo) -> DataFrame:
     """Best search_k candidates per query with their pass flag, cut to the first k that pass."""
     candidates = best_per_query(
-        everything, probes.select(*PROBE_COLUMNS), todo["search_k"], scores, dim=dim, width=todo["nprobe"]
+        everything, probes, todo["search_k"], scores, dim=dim, width=todo["nprobe"]
     )
-    within = candidates.join(probes.select("qid", "search_k"), "qid").filter(
+    within = candidates.join(sized.select("qid", "search_k"), "qid").filter(
         F.col("passes") & (F.col("rank") <= F.col("search_k"))
     )
     return rank_per_query(within.select("qid", "item_id", "similarity"), k)
 
 
-def _counted_round(vectors, passing, probes, k, scores, dim, todo) -> DataFrame:
+def _counted_round(vectors, passing, probes, sized, k, scores, dim, todo) -> DataFrame:
     """The same without the list: best k passing rows per query, and by counting how far down the full list
     each of them stands. Costs the same for a list of a million candidates as for one of a hundred."""
-    lists = probes.select(*PROBE_COLUMNS)
-    best = cut(best_per_query(passing, lists, k, scores, dim=dim, width=todo["nprobe"]))
-    placed = global_positions(vectors, lists, best, scores, k=k, dim=dim, width=todo["nprobe"])
-    within = placed.join(probes.select("qid", "search_k"), "qid")
+    best = cut(best_per_query(passing, probes, k, scores, dim=dim, width=todo["nprobe"]))
+    placed = global_positions(vectors, probes, best, scores, k=k, dim=dim, width=todo["nprobe"])
+    within = placed.join(sized.select("qid", "search_k"), "qid")
     return within.filter(F.col("position") <= F.col("search_k")).select("qid", "item_id", "similarity", "rank")
 
 
