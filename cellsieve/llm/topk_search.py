@@ -146,7 +146,7 @@ def _block(all_candidates: DataFrame, block: DataFrame, k: int) -> DataFrame:
     )
     entries = sufficient(all_candidates, query_ids, queries, low)
     sums = entries.groupBy("query_id", "vec_id").agg(F.sum("part").alias("seen"), F.count("*").alias("lists"))
-    sums = sums.join(F.broadcast(bounds), "query_id")
+    sums = cut(sums.join(F.broadcast(bounds), "query_id"))
     complete = sums.where(F.col("lists") == LISTS).select("query_id", "vec_id", F.col("seen").alias("score"))
     # A part that was not sent is at most low - 1.
     open_ = sums.where(
