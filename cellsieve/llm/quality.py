@@ -1,6 +1,7 @@
 """Document quality: supervised subword embeddings.
 
-Words and character n-grams (runs of 3 and 4 bytes) are hashed into buckets, each with a learned vector. A document is
+Words, word pairs of the form "the same word again" and character n-grams (runs of 3 and 4 bytes) are hashed into
+buckets, each with a learned vector. A document is
 the average of its vectors; a softmax over two classes follows. Training is plain stochastic gradient descent in numpy
 on the driver, on a sample of labelled documents bounded by TRAIN_ROWS and TRAIN_BYTES: rows in the order of a hash of
 their id, until either bound is reached. Whole texts are used for training and for scoring.
@@ -29,13 +30,14 @@ from cellsieve.session import cut
 
 BUCKETS = 1 << 18
 DIM = 8
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 5000
 TRAIN_BYTES = 24 * 1024 * 1024
 EPOCHS = 6
 BATCH = 32
 RATE = 4.0
 THRESHOLD = 0.3
 SHIFT = 32 - 18
+REPEAT = 12345  # the bucket of a word that stands for the second time in a row
 
 
 class Model(NamedTuple):
@@ -62,8 +64,17 @@ def ngram_buckets(data: np.ndarray, n: int) -> np.ndarray:
 
 
 def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and of the repeated pairs by row, and where each row's begin. A repeat follows its word."""
     starts, ends, first = word_spans(SPACES[data], offsets)
-    return (span_hashes(data, starts, ends) >> U64(64 - 18)).astype(np.uint32), first
+    hashes = span_hashes(data, starts, ends)
+    again = np.zeros(len(hashes), np.int64)
+    again[1:] = hashes[1:] == hashes[:-1]
+    own = first[first < len(hashes)]
+    again[own] = 0
+    buckets = np.repeat((hashes >> U64(64 - 18)).astype(np.uint32), 1 + again)
+    places = np.cumsum(1 + again)
+    buckets[places[again == 1] - 1] = REPEAT
+    return buckets, np.concatenate([np.zeros(1, np.int64), places])[first]
 
 
 def mean_logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
