@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsieve.llm import decontaminate, jaccard_join, license_templates, pii, quality, topk_search, url_rules, warc
+from cellsieve.llm import byte_bpe, decontaminate, jaccard_join, license_templates, pii, quality, topk_search, url_rules, warc
 from cellsieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+@query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(table(spark, sf_dir, "documents"))
