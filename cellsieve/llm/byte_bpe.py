@@ -286,13 +286,13 @@ def build_dictionary(texts: DataFrame, codec: Codec, classes: np.ndarray, most:
 
 
 def _lookups(docs: DataFrame, codec: Codec, dictionary: Dictionary, classes: np.ndarray) -> DataFrame:
-    """docs' first column, runs: array<array<int>> and rest: the words that stand between the runs."""
+    """docs' columns but the last, the text, with runs: array<array<int>> and rest: the words between the runs."""
     shared = docs.sparkSession.sparkContext.broadcast((dictionary, classes, codec.ranks))
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, kinds, ranks = shared.value
         for batch in batches:
-            for row, end, data, offsets in chunks(batch.column(1)):
+            for row, end, data, offsets in chunks(batch.column(len(kept))):
                 starts, ends, first = pretokens(data, offsets, kinds)
                 place = table.find(span_hashes(data, starts, ends))
                 hole = place < 0
@@ -322,27 +322,30 @@ def _lookups(docs: DataFrame, codec: Codec, dictionary: Dictionary, classes: np.
                 rest = [raw[a:b].decode("latin-1") for a, b in zip(starts[holes].tolist(), ends[holes].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(row, end - row),
+                        *(batch.column(k).slice(row, end - row) for k in range(len(kept))),
                         pa.ListArray.from_arrays(pa.array(run_rows.astype(np.int32)), runs),
                         pa.ListArray.from_arrays(pa.array(of_row.astype(np.int32)), pa.array(rest, pa.string())),
                     ],
-                    names=["id", "runs", "rest"],
+                    names=[*kept, "runs", "rest"],
                 )
 
-    kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(job, f"id {kind}, runs array<array<int>>, rest array<string>")
+    kept = docs.columns[:-1]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields[:-1])
+    return docs.mapInArrow(job, f"{fields}runs array<array<int>>, rest array<string>")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, most: int = DICTIONARY_WORDS) -> tuple[DataFrame, Codec]:
-    """(id, ids array<int>) of every document, and the codec for decoding."""
+def encode(
+    docs: DataFrame, carry: tuple[str, ...] = (), path: str | None = None, most: int = DICTIONARY_WORDS
+) -> tuple[DataFrame, Codec]:
+    """(doc_id, carried columns, ids array<int>) of every document, and the codec for decoding."""
     codec, classes = Codec(read_ranks(path)), character_classes()
-    dictionary = build_dictionary(docs.select(text_col), codec, classes, most)
-    found = _lookups(docs.select(id_col, text_col), codec, dictionary, classes)
+    dictionary = build_dictionary(docs.select("text"), codec, classes, most)
+    found = _lookups(docs.select("doc_id", *carry, F.col("text").alias("to_encode")), codec, dictionary, classes)
     folded = found.withColumn("folded", F.transform("rest", codec.fold))
     nothing = F.array().cast("array<int>")
     ids = F.flatten(F.zip_with("runs", "folded", lambda run, word: F.concat(run, F.coalesce(word, nothing))))
     ids = F.when(F.size("folded") == 0, F.get("runs", F.lit(0))).otherwise(ids)
-    return folded.select(F.col("id").alias(id_col), ids.alias("ids")), codec
+    return folded.select("doc_id", *carry, ids.alias("ids")), codec
 
 
 def digest(docs: DataFrame, most: int = DICTIONARY_WORDS) -> DataFrame:
