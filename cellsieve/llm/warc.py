@@ -36,7 +36,7 @@ REVISIT_BYTES = 1000
 PIECE = 1 << 15
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/\d\.\d\r\n")
-START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/\d\.\d\r\n")
+START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -213,9 +213,7 @@ def salvage(data: bytes, inside: bool = False) -> Iterator[tuple[int, dict | Non
         except Damaged as bad:
             if gap is None:
                 gap, reason = at, str(bad)
-            following = START.search(data, at + 1) if not inside else None
-            if inside:
-                following = VERSION.search(data, at + 1)
+            following = (VERSION if inside else START).search(data, at + 1)
             at = following.start() if following else len(data)
             continue
         if gap is not None:
