@@ -37,7 +37,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellsieve.llm.common import chunks, span_hashes
+from cellsieve.llm.common import byte_view, chunks, span_hashes
 from cellsieve.session import cut
 
 DICTIONARY_WORDS = 1 << 20
@@ -115,18 +115,32 @@ class Dictionary(NamedTuple):
     ids: np.ndarray
 
     @classmethod
-    def of(cls, words: list[bytes], ids: list[list[int]]) -> Dictionary:
-        data = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum([len(w) for w in words], dtype=np.int64) if words else np.zeros(0, np.int64)
-        hashes = span_hashes(data, ends - np.array([len(w) for w in words], np.int64), ends)
+    def of(cls, words: pa.Array, ids: pa.Array) -> Dictionary:
+        """From a binary column and a list<int> column."""
+        data, at = byte_view(words)
+        hashes = span_hashes(data, at[:-1], at[1:])
         order = np.argsort(hashes)
-        lengths = np.array([len(i) for i in ids], np.int64)
-        runs = [np.asarray(ids[k], np.int32) for k in order.tolist()]
-        return cls(
-            hashes[order],
-            np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths[order])]),
-            np.concatenate(runs) if runs else np.zeros(0, np.int32),
-        )
+        begins = ids.offsets.to_numpy().astype(np.int64)
+        lengths = np.diff(begins)[order]
+        to = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        source = np.repeat(begins[:-1][order] - begins[0] - to[:-1], lengths) + np.arange(to[-1])
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        return cls(hashes[order], to, flat[source])
+
+    @classmethod
+    def of_tokens(cls, ranks: dict[bytes, int]) -> Dictionary:
+        ids = pa.ListArray.from_arrays(pa.array(np.arange(len(ranks) + 1, dtype=np.int32)), pa.array(list(ranks.values()), pa.int32()))
+        return cls.of(pa.array(list(ranks), pa.binary()), ids)
+
+    def joined(self, other: Dictionary) -> Dictionary:
+        """Both together; no word is in both."""
+        hashes = np.concatenate([self.hashes, other.hashes])
+        order = np.argsort(hashes)
+        starts = np.concatenate([self.begins[:-1], other.begins[:-1] + len(self.ids)])[order]
+        lengths = np.concatenate([np.diff(self.begins), np.diff(other.begins)])[order]
+        to = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        source = np.repeat(starts - to[:-1], lengths) + np.arange(to[-1])
+        return Dictionary(hashes[order], to, np.concatenate([self.ids, other.ids])[source])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each hash, or -1."""
@@ -268,8 +282,7 @@ def count_words(texts: DataFrame, classes: np.ndarray, known: np.ndarray) -> Dat
 
 def build_dictionary(texts: DataFrame, codec: Codec, classes: np.ndarray, most: int = DICTIONARY_WORDS) -> Dictionary:
     """The tokens themselves and the most frequent other words, at most `most` of these, with their ids."""
-    own = sorted(codec.ranks)
-    tokens = Dictionary.of(own, [[codec.ranks[w]] for w in own])
+    tokens = Dictionary.of_tokens(codec.ranks)
     words = cut(count_words(texts, classes, tokens.hashes))
     # The least count that at most that many words reach. A word seen once gains nothing from a dictionary.
     by_count = words.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()
@@ -280,9 +293,8 @@ def build_dictionary(texts: DataFrame, codec: Codec, classes: np.ndarray, most:
             least = max(least, n + 1)
             break
     frequent = words.where(F.col("n") >= least).where(F.lit(least <= 10_000)).select("word")
-    found = frequent.select("word", codec.fold(F.col("word")).alias("ids")).toArrow()
-    known = [w.encode("latin-1") for w in found.column("word").to_pylist()]
-    return Dictionary.of(own + known, [[codec.ranks[w]] for w in own] + found.column("ids").to_pylist())
+    found = frequent.select(F.encode("word", "ISO-8859-1").alias("word"), codec.fold(F.col("word")).alias("ids")).toArrow()
+    return tokens.joined(Dictionary.of(found.column("word").combine_chunks(), found.column("ids").combine_chunks()))
 
 
 def _lookups(docs: DataFrame, codec: Codec, dictionary: Dictionary, classes: np.ndarray) -> DataFrame:
