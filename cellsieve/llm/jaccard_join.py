@@ -5,9 +5,16 @@ threshold. Sets are put into size bands [l, l / threshold]. Sets that link lie i
 set signs for its own band and, unless it is too small, for the next. Under a band that ends at r, linked sets differ
 in at most k = 2 r (1 - t) / (1 + t) features.
 
-PartEnum: the feature domain is cut by hash into n1 parts, so many that one of them holds at most one of k differences;
-each part is cut into 3 pieces, and its signatures are all choices of 2 of the pieces. Linked sets then agree on all
-features of at least one choice, and share that signature: no link is lost, at any size.
+PartEnum: the feature domain is cut by hash into parts, and each part into pieces; a part's signatures are all choices
+of pieces that leave out as many as it tolerates differences. With n1 = k // (tolerated + 1) + spare parts, linked
+sets hold no more than the tolerated differences in at least `spare` parts, and so agree on all features of one choice
+in each of these: no link is lost, at any size. From 0.85 on, a part tolerates one difference and has three pieces,
+which makes long, selective signatures; below, sets may differ so much that three choices of small pieces cost more
+than they tell apart, and a part is one piece that tolerates none.
+
+Signatures of pieces without any feature would bring together whatever leaves the same place empty. A set sends them only
+if at least `spare` of its parts have an empty choice: of two linked sets that agree on empty choices alone both do,
+because they agree in that many parts. `spare` is chosen per band so that hardly any set gets there.
 
 From signatures to links:
 
@@ -31,6 +38,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +49,6 @@ from pyspark.sql import functions as F
 from cellsieve.llm.common import LOWER, SPACES, U64, chunks, mix, span_hashes, word_spans
 from cellsieve.session import cut
 
-PIECES = 3
 BLOCK_FEATURES = 400_000
 SLAB = 4096
 SEEN = 1 << 18
@@ -56,7 +64,8 @@ _ends: dict[Fraction, np.ndarray] = {}
 
 def band_ends(threshold: Fraction) -> np.ndarray:
     if threshold not in _ends:
-        ends = [0]
+        # Where only equal sets link, all sizes are one band.
+        ends = [0, 1 << 40] if threshold == 1 else [0]
         while ends[-1] < 1 << 40:
             ends.append(math.floor((ends[-1] + 1) / threshold))
         _ends[threshold] = np.array(ends, np.int64)
@@ -90,8 +99,34 @@ def document_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 def set_name(features: np.ndarray) -> int:
     """A 64-bit name of a set, equal for equal sets."""
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(features).sum(dtype=U64) + U64(len(features))], U64)).view(np.int64)[0])
+    total = mix(features).sum(dtype=U64, keepdims=True) + U64(len(features))
+    return int(mix(total).view(np.int64)[0])
+
+
+class Scheme(NamedTuple):
+    """How a band's sets sign: parts, pieces of a part, and in how many parts linked sets are sure to agree."""
+
+    parts: int
+    pieces: int
+    spare: int
+
+
+@lru_cache(maxsize=4096)
+def scheme(band: int, threshold: Fraction) -> Scheme | None:
+    """The scheme of a band; None where linked sets are equal sets."""
+    ends = band_ends(threshold)
+    k = differences(int(ends[band]), threshold)
+    if k == 0:
+        return None
+    pieces = 3 if threshold >= Fraction(85, 100) else 1
+    needed = k // 2 if pieces == 3 else k
+    least = (int(ends[band - 1]) + 1) * float(threshold)  # the smallest set that signs here
+    spare = 1
+    for _ in range(20):
+        filled = least / (needed + spare) * (2 / 3 if pieces == 3 else 1)
+        empty = (needed + spare) * min(1.0, pieces * math.exp(-filled))
+        spare = min(max(1, math.ceil(empty + 3 * math.sqrt(empty) - 0.1)), needed + 8)
+    return Scheme(needed + spare, pieces, spare)
 
 
 def signatures(features: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -104,22 +139,29 @@ def signatures(features: np.ndarray, threshold: Fraction) -> np.ndarray:
     # A set links with one of the next band only if that one's least size allows it.
     tags = [band] + [band + 1] * (size >= math.ceil((int(ends[band]) + 1) * threshold))
     for tag in tags:
-        k = differences(int(ends[tag]), threshold)
-        label = mix(np.array([tag + 1], U64))[0]
-        if k == 0:
-            out.append(mix(np.array([values.sum(dtype=U64) + label], U64)))
+        plan = scheme(tag, threshold)
+        label = mix(np.array([tag + 1], U64))
+        if plan is None:
+            out.append(mix(label + values.sum(dtype=U64, keepdims=True)))
             continue
-        parts = -(-(k + 1) // 2)
-        cell = ((spread >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64) * PIECES + (spread % U64(PIECES)).astype(np.int64)
+        parts, pieces, spare = plan
+        cell = ((spread >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64) * pieces + (spread % U64(pieces)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
         sums = np.zeros(len(features) + 1, U64)
         np.cumsum(values[order], out=sums[1:])
-        at = np.searchsorted(cell[order], np.arange(parts * PIECES + 1))
-        held = mix(sums[at[1:]] - sums[at[:-1]] + (at[1:] - at[:-1]).astype(U64)).reshape(parts, PIECES)
-        number = np.arange(parts, dtype=U64) * U64(PIECES)
-        for left_out in range(PIECES):
-            a, b = (held[:, c] for c in range(PIECES) if c != left_out)
-            out.append(mix(mix(a + label) + b * U64(3) + mix(number + U64(left_out) + label)))
+        at = np.searchsorted(cell[order], np.arange(parts * pieces + 1))
+        counts = (at[1:] - at[:-1]).reshape(parts, pieces)
+        held = mix(sums[at[1:]] - sums[at[:-1]] + (at[1:] - at[:-1]).astype(U64)).reshape(parts, pieces)
+        number = np.arange(parts, dtype=U64) * U64(pieces)
+        choices = [[c for c in range(pieces) if c != left_out] or [0] for left_out in range(pieces)]
+        filled = np.stack([counts[:, chosen].sum(axis=1) for chosen in choices], axis=1) > 0
+        send_empty = int((~filled).any(axis=1).sum()) >= spare
+        for left_out, chosen in enumerate(choices):
+            total = mix(held[:, chosen[0]] + label)
+            for c in chosen[1:]:
+                total = mix(total + held[:, c] * U64(3))
+            sig = mix(total + mix(number + U64(left_out) + label))
+            out.append(sig if send_empty else sig[filled[:, left_out]])
     return np.concatenate(out)
 
 
@@ -242,13 +284,16 @@ def forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> Iterato
 
 def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(low, high) links among the classes that share a hub. members: distinct (hub, name)."""
-    sized = cut(members.join(sets, "name"))
-    totals = sized.groupBy("hub").agg(F.sum(F.size("features")).alias("total"), F.count("*").alias("n")).where("n > 1")
+    members = cut(members)
+    sizes = members.join(sets.select("name", F.size("features").alias("size")), "name")
     blocks = F.ceil(F.col("total") / BLOCK_FEATURES).cast("int")
-    rows = sized.join(totals.select("hub", blocks.alias("blocks")), "hub")
+    # Written first, so that Spark knows its size before it plans the join: only hubs of several blocks are in it.
+    large = cut(sizes.groupBy("hub").agg(F.sum("size").alias("total")).where(F.col("total") > BLOCK_FEATURES).select("hub", blocks.alias("blocks")))
+    rows = members.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("hub", "name", "features", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rows = rows.select("hub", "name", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rows = rows.join(sets, "name")
 
     def job(table: pa.Table) -> pa.Table:
         names = table.column("name").to_numpy()
