@@ -75,11 +75,11 @@ def main() -> None:
     for method in hybrid.METHODS:
         for share, predicates in filters.items():
             jobs[f"{method}_sel{share:g}_k10"] = lambda m=method, p=predicates: run(
-                hybrid.hybrid_search(index, queries, p, 10, m, histogram)
+                hybrid.filtered_search(index, queries, p, 10, m, histogram)
             )
         for k in K_VALUES:
             jobs[f"{method}_sel0.1_k{k}"] = lambda m=method, k=k: run(
-                hybrid.hybrid_search(index, queries, filters[0.1], k, m, histogram)
+                hybrid.filtered_search(index, queries, filters[0.1], k, m, histogram)
             )
     jobs["ivf_search_nprobe16_k10"] = lambda: run(index.search(queries, 10, 16))
     jobs["exact_knn_k10"] = lambda: run(exact_knn(documents, queries, 10, dim=index.dim))

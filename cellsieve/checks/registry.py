@@ -18,7 +18,7 @@ from cellsieve.operators import predicates as preds
 from cellsieve.operators.histogram import Histogram2D
 from cellsieve.operators.predicates import Predicate
 from cellsieve.operators.scoring import exact_knn, unit_queries
-from cellsieve.plans import evaluate, hybrid, probing
+from cellsieve.plans import evaluate, hybrid, probing, workload
 from cellsieve.plans.build import build_index
 from cellsieve.plans.service import embed_queries, perform_search
 from cellsieve.schemas import DISPLAY_COLUMNS, ITEM_COLUMNS
@@ -160,7 +160,7 @@ def train_sample(spark, sf_dir):
 @query
 def point_lookup(spark, sf_dir):
     collection = st.items(spark, sf_dir).select(*ITEM_COLUMNS)
-    return spark.createDataFrame([tables.item_by_id(collection, 7)], collection.schema)
+    return tables.item_by_id(collection, 7)
 
 
 @query
@@ -195,6 +195,13 @@ _filtered(
 )
 
 
+@query
+def pred_id_in_long(spark, sf_dir):
+    """The list of pred_id_in, past the bound for literals and with values no id can have."""
+    values = [1, 2, 3, 4, 5, 10_000_000, 5_000_000_000, 1, 2]
+    return preds.predicate_filter(st.items(spark, sf_dir).select(*ITEM_COLUMNS), [Predicate("item_id", values, "IN")], literals=2)
+
+
 @query
 def predicate_validate(spark, sf_dir):
     return preds.validated(st.predicate_table(spark, sf_dir)).select("event_id", "key", "operator", "is_list", "problem")
@@ -325,12 +332,18 @@ def knn_exact(spark, sf_dir):
     return _ranked(exact_knn(st.unit_items(spark, sf_dir), st.prototypes(spark, sf_dir, None), 25))
 
 
+@query
+def knn_exact_joined(spark, sf_dir):
+    """knn_exact where not even one query may be broadcast."""
+    return _ranked(exact_knn(st.unit_items(spark, sf_dir), st.prototypes(spark, sf_dir, None), 25, block_bytes=0))
+
+
 @query
 def knn_exact_batch(spark, sf_dir):
     embeddings = st.table(spark, sf_dir, "embeddings")
     vectors = embeddings.select(F.col("vec_id").alias("item_id"), l2_normalize("embedding").alias("embedding"))
-    everyone = embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-    return _ranked(exact_knn(vectors, everyone, K))
+    asked = embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return _ranked(exact_knn(vectors, asked, K))
 
 
 @query
@@ -376,6 +389,21 @@ def ivf_search(spark, sf_dir):
     return _ranked(index.search(st.prototypes(spark, sf_dir), K, NPROBE))
 
 
+@query
+def ivf_search_joined(spark, sf_dir):
+    """ivf_search where not even one query may be broadcast."""
+    index = st.coarse_index(st.items(spark, sf_dir))
+    return _ranked(index.search(st.prototypes(spark, sf_dir), K, NPROBE, block_bytes=0))
+
+
+@query
+def ivf_assign_joined(spark, sf_dir):
+    """ivf_assign where the centroids may not be broadcast."""
+    placed = st.coarse_index(st.items(spark, sf_dir))
+    joined = ivf.Cells(placed.cells.frame, matrix_bytes=0)
+    return ivf.assign_cells(placed.vectors.drop("cell_id"), joined).select("item_id", "cell_id")
+
+
 @query
 def ivf_save_load(spark, sf_dir):
     path = scratch_path(spark, "index")
@@ -499,7 +527,7 @@ def _hybrid(spark, sf_dir, *methods):
     index = st.fine_index(st.items(spark, sf_dir))
     queries = st.prototypes(spark, sf_dir)
     histogram = Histogram2D.build(index.vectors) if hybrid.ADAP_POS in methods else None
-    return {m: hybrid.hybrid_search(index, queries, FILTER, K, m, histogram) for m in methods}
+    return {m: hybrid.filtered_search(index, queries, FILTER, K, m, histogram) for m in methods}
 
 
 def _hybrid_query(name: str, method: str) -> None:
@@ -515,6 +543,14 @@ _hybrid_query("hybrid_base_pos", hybrid.BASE_POS)
 _hybrid_query("hybrid_adap_pos", hybrid.ADAP_POS)
 
 
+@query
+def hybrid_base_pos_counted(spark, sf_dir):
+    """hybrid_base_pos where no candidate list is short enough to be ranked."""
+    index = st.fine_index(st.items(spark, sf_dir))
+    found = hybrid.post_filter_search(index, st.prototypes(spark, sf_dir), FILTER, K, ranked=0)
+    return hybrid.with_items(found, st.items(spark, sf_dir))
+
+
 @query
 def hybrid_compare(spark, sf_dir):
     return evaluate.compare_methods(_hybrid(spark, sf_dir, *hybrid.METHODS))
@@ -558,6 +594,28 @@ def telemetry_rollup(spark, sf_dir):
     return _rounded(rolled, *times)
 
 
+@query
+def telemetry_frame(spark, sf_dir):
+    items = st.documents_as_items(spark, sf_dir).select("item_id", "revdate", "token_count")
+    lists = evaluate.workload_frame(spark, st.RUN_LISTS, "all")
+    rolled = evaluate.telemetry_frame(st.timed_runs(spark, sf_dir), lists, preds.workload_survivors(items, st.RUN_LISTS))
+    return _rounded(rolled, "total", "db_search", "faiss_search", "residual").select(
+        "method", "wid", "k", "predicates", "survivors", "num_runs", "iterations", "iterations_consistent",
+        "total", "db_search", "faiss_search", "residual",
+    )
+
+
+@query
+def workload_search(spark, sf_dir):
+    """Each benchmark text with each predicate list, k by turns, over the text collection."""
+    documents = cut(st.document_vectors(spark, sf_dir).select(*st.CARRIED, "embedding"))
+    texts = st.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    k = F.get(F.array(*[F.lit(n) for n in st.RUN_SIZES]), (F.col("qid") % len(st.RUN_SIZES)).cast("int"))
+    entries = embed_queries(texts).withColumn("wid", F.explode(F.array(*[F.lit(w) for w in st.RUN_LISTS])))
+    entries = entries.select((F.col("qid") * 10 + F.col("wid")).alias("eid"), "qvec", "wid", k.alias("k"))
+    return workload.workload_search(st.coarse_index(documents), entries, st.RUN_LISTS)
+
+
 # ---------------------------------------------------------------------------------------------- build and stream
 
 

@@ -160,6 +160,23 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(totals.withColumn("section", F.lit("TOTAL")))
 
 
+# Predicate lists and result sizes that stand-in runs and batch entries take turns with.
+RUN_LISTS = {
+    1: [Predicate("token_count", 500, "<"), Predicate("revdate", "2024-01-01 06:00", ">=")],
+    2: [Predicate("token_count", 300, ">=")],
+    3: [],
+    4: [Predicate("item_id", [], "IN")],
+}
+RUN_SIZES = (3, 10, 25)
+
+
+def timed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The telemetry with a predicate list and a k for each run."""
+    k = F.get(F.array(*[F.lit(n) for n in RUN_SIZES]), (F.col("run_id") % len(RUN_SIZES)).cast("int"))
+    wid = (F.col("run_id") % len(RUN_LISTS) + 1).cast("int")
+    return telemetry(spark, sf_dir).withColumn("wid", wid).withColumn("k", k)
+
+
 def predicate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as a predicate table with every kind of flaw: unknown keys and operators, IN without a
     list, dates in several layouts and dates that are none."""

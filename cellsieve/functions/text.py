@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -48,17 +49,35 @@ class HashingEmbedder:
         return counts.reshape(len(texts), self.dim).astype("float64")
 
 
+_loaded: dict[str, Callable] = {}
+
+
+def loaded(token: str, make: Callable[[], Callable]) -> Callable:
+    """The embedder of this token in this process, made at its first use; only the last few are kept."""
+    if token not in _loaded:
+        while len(_loaded) >= 4:
+            _loaded.pop(next(iter(_loaded)))
+        _loaded[token] = make()
+    return _loaded[token]
+
+
 def embed_text(
     text: Column,
     make_embedder: Callable[[], Callable[[Sequence[str]], np.ndarray]] | None = None,
     dim: int = DEFAULT_DIM,
+    batch_size: int | None = None,
 ) -> Column:
-    """Unit-length array<float> per text. `make_embedder` is called once per task and must return a
-    callable from a list of texts to a matrix, so a heavy model loads once and not per batch."""
+    """Unit-length array<float> per text. `make_embedder` is called once per Python worker, however many tasks it
+    runs, and must return a callable from a list of texts to a matrix; `batch_size` bounds the texts of one call."""
+    token = uuid.uuid4().hex
+
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        embedder = make_embedder() if make_embedder else HashingEmbedder(dim)
+        embedder = loaded(token, make_embedder or (lambda: HashingEmbedder(dim)))
         for texts in batches:
-            matrix = np.asarray(embedder(texts.to_pylist() if make_embedder else texts), dtype="float64")
+            step = batch_size or max(1, len(texts))
+            parts = [texts.slice(at, step) for at in range(0, len(texts), step)]
+            parts = [np.asarray(embedder(t.to_pylist() if make_embedder else t), dtype="float64") for t in parts]
+            matrix = np.concatenate(parts) if parts else np.zeros((0, dim))
             norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)) + NORM_EPSILON
             unit = (matrix / norms).astype("float32")
             offsets = pa.array(np.arange(len(unit) + 1) * unit.shape[1], pa.int32())

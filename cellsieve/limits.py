@@ -16,6 +16,9 @@ PACK_QUERIES = 256
 # Literal cell lists longer than this are not turned into partition filters.
 PRUNE_CELLS = 4096
 
+# Offsets of so many files or splits (about 200 bytes each) are broadcast.
+BROADCAST_FILES = 200_000
+
 # Longer IN lists become a left-semi join.
 IN_LIST_LITERALS = 1000
 

@@ -6,9 +6,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellsieve import limits
 from cellsieve.functions.dates import load_date
 from cellsieve.operators.ivf import SEED
 from cellsieve.schemas import ITEM_COLUMNS
+from cellsieve.session import cut
 
 
 def first_rows(source: DataFrame, key: str, n: int) -> DataFrame:
@@ -58,6 +60,10 @@ def assign_item_ids(source: DataFrame, column: str = "item_id") -> DataFrame:
     offsets = parts.select(
         *keys, (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift")
     )
+    # One row per file or split: written once, counted, and broadcast while that stays small.
+    offsets = cut(offsets)
+    if offsets.count() <= limits.BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
     return marked.join(offsets, keys).select((F.col("__row") + F.col("__shift")).alias(column), *names)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -24,6 +25,7 @@ from cellsieve.functions.vectors import (
 from cellsieve.operators import pq
 from cellsieve.operators.scoring import (
     BEST_SCHEMA,
+    PROBE_BYTES,
     BestPerQuery,
     ExactScores,
     _joined_scan,
@@ -32,6 +34,7 @@ from cellsieve.operators.scoring import (
     rank_per_query,
     sum_arrays,
     unit_queries,
+    within_cells,
 )
 from cellsieve.schemas import CENTROIDS
 from cellsieve.session import cut
@@ -45,8 +48,9 @@ TRAIN_PER_CELL = 100
 class Cells:
     """Centroids (cell_id, centroid) with the matrix that is broadcast when it fits the bound."""
 
-    def __init__(self, frame: DataFrame):
+    def __init__(self, frame: DataFrame, matrix_bytes: int | None = None):
         self.frame = frame.select("cell_id", "centroid")
+        self.matrix_bytes = matrix_bytes
 
     @classmethod
     def of(cls, centroids: DataFrame | Cells) -> Cells:
@@ -54,8 +58,9 @@ class Cells:
 
     @cached_property
     def matrix(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """(cell ids ascending, matrix), or None beyond MATRIX_BYTES."""
-        bound = limits.rows_within(limits.MATRIX_BYTES, 8 * self.dim)
+        """(cell ids ascending, matrix), or None beyond `matrix_bytes`, by default MATRIX_BYTES."""
+        size = limits.MATRIX_BYTES if self.matrix_bytes is None else self.matrix_bytes
+        bound = limits.rows_within(size, 8 * self.dim)
         table = self.frame.limit(bound + 1).toArrow()
         if table.num_rows > bound:
             return None
@@ -87,17 +92,19 @@ def nearest_cells(
     n: int | str,
     id_column: str,
     weights: DataFrame | None = None,
+    width: Callable[[np.ndarray], int] | None = None,
 ) -> DataFrame:
     """Add `cells` and `cell_sims`: the n most similar centroids per row, best first, lowest id on ties.
 
     `n` is a number or the name of an integer column. With `weights` (cell_id, n) also `seen`: the running
-    total of n over those cells. Rows stay in their partition; only the centroid matrix is broadcast, behind
+    total of n over those cells. `width` takes these totals and says how many of the cells a row keeps. Rows stay in their partition; only the centroid matrix is broadcast, behind
     a size check. Larger centroid sets are joined block by block.
     """
     cells = Cells.of(centroids)
     shared = cells.shared
     if shared is None:
-        return _nearest_cells_joined(points, cells, vector, n, id_column, weights)
+        joined = _nearest_cells_joined(points, cells, vector, n, id_column, weights)
+        return joined if width is None else _cut_to_width(joined, width)
     weighted = weights is not None
     per_cell = None
     if weighted:
@@ -124,15 +131,22 @@ def nearest_cells(
             for at in range(0, rows, step):
                 tile = np.round(points[at : at + step] @ matrix.T, SETTLED_DECIMALS)
                 most = int(wanted[at : at + step].max(initial=0))
-                if most == 1:
-                    order = tile.argmax(axis=1)[:, None]
-                else:
-                    order = np.argsort(-tile, axis=1, kind="stable")[:, :most]
+                if most == 1 and not weighted and wanted[at : at + step].min() == 1:
+                    best = tile.argmax(axis=1)
+                    chosen.append(best)
+                    sims.append(tile[np.arange(len(best)), best])
+                    continue
+                order = np.argsort(-tile, axis=1, kind="stable")[:, :most]
                 for row, count in enumerate(wanted[at : at + step]):
-                    chosen.append(order[row, :count])
-                    sims.append(tile[row, chosen[-1]])
+                    own = order[row, :count]
                     if weighted:
-                        seen.append(np.cumsum(per_cell[chosen[-1]]))
+                        totals = np.cumsum(per_cell[own])
+                        if width is not None:
+                            wanted[at + row] = count = width(totals)
+                            own, totals = own[:count], totals[:count]
+                        seen.append(totals)
+                    chosen.append(own)
+                    sims.append(tile[row, own])
             offsets = pa.array(np.concatenate([[0], np.cumsum(wanted)]), pa.int32())
             lists = [pa.array(ids[np.concatenate(chosen)], pa.int64()), pa.array(np.concatenate(sims), pa.float64())]
             if weighted:
@@ -145,10 +159,29 @@ def nearest_cells(
     return points.mapInArrow(run, schema)
 
 
+def _cut_to_width(probes: DataFrame, width: Callable[[np.ndarray], int]) -> DataFrame:
+    """Rows with the first cells of their lists, as many as `width` says."""
+    names = probes.columns
+
+    def run(batches):
+        for batch in batches:
+            totals = batch.column("seen").to_pylist()
+            keep = [width(np.asarray(t, dtype="int64")) for t in totals]
+            columns = []
+            for name in names:
+                column = batch.column(name)
+                if name in ("cells", "cell_sims", "seen"):
+                    column = pa.array([v[:k] for v, k in zip(column.to_pylist(), keep)], column.type)
+                columns.append(column)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return probes.mapInArrow(run, probes.schema)
+
+
 def _nearest_cells_joined(points, cells, vector, n, id_column, weights):
     widest = n if isinstance(n, int) else points.agg(F.max(n)).head()[0]
     as_vectors = cells.frame.select(
-        F.col("cell_id").alias("item_id"), F.col("centroid").cast("array<float>").alias("embedding")
+        F.col("cell_id").alias("item_id"), F.col("centroid").alias("embedding")
     )
     as_queries = points.select(F.col(id_column).alias("qid"), F.col(vector).alias("qvec"))
     found = _joined_scan(
@@ -183,10 +216,30 @@ def assign_cells(points: DataFrame, centroids: DataFrame | Cells, vector: str =
 # -------------------------------------------------------------------------------------------------- training
 
 
+def ticket(key: str, seed: int = SEED) -> Column:
+    """The seeded hash of a row's key, in whose order samples are drawn."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+
+
 def train_sample(points: DataFrame, key: str, size: int, seed: int = SEED) -> DataFrame:
-    """Uniform sample of `size` rows: the smallest seeded hashes, a distributed top-k."""
-    ticket = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    return points.orderBy(ticket, key).limit(size)
+    """Uniform sample of `size` rows: those with the smallest seeded hashes.
+
+    A bound on the hash lets somewhat more than `size` ids pass; only these are put in order, and other columns
+    are read for the chosen ids alone. Should too few pass, the bound is widened.
+    """
+    total = points.count()
+    if total <= size:
+        return points
+    ids = points.select(key, ticket(key, seed).alias("ticket"))
+    share = (size + 6 * size**0.5 + 10) / total
+    while True:
+        bound = f"{min(int(share * 16**12), 16**12 - 1):012x}"
+        # Hex digits order as the numbers they write.
+        some = ids if share >= 1 else ids.filter(F.substring("ticket", 1, 12) <= bound)
+        chosen = cut(some.orderBy("ticket", key).limit(size).select(F.col(key).alias("__chosen")))
+        if share >= 1 or chosen.count() == size:
+            return points.join(chosen, F.col(key) == F.col("__chosen"), "left_semi")
+        share *= 4
 
 
 def train_centroids(
@@ -288,9 +341,9 @@ class IvfIndex:
             return pq.code_scores(self.codebooks)
         raise ValueError(f"unknown scoring: {scoring}")
 
-    def probe(self, queries: DataFrame, nprobe: int | str, weights: DataFrame | None = None) -> DataFrame:
-        """Unit queries with the `nprobe` cells nearest to each."""
-        return nearest_cells(queries, self.cells, "qvec", nprobe, "qid", weights)
+    def probe(self, queries: DataFrame, nprobe: int | str, weights: DataFrame | None = None, width=None) -> DataFrame:
+        """Unit queries with the `nprobe` cells nearest to each, or as many of these as `width` says."""
+        return nearest_cells(queries, self.cells, "qvec", nprobe, "qid", weights, width)
 
     def search(
         self,
@@ -300,6 +353,7 @@ class IvfIndex:
         scoring: str = "exact",
         allowed: DataFrame | None = None,
         where: Column | None = None,
+        block_bytes: int | None = None,
     ) -> DataFrame:
         """(qid, item_id, cell_id, similarity, rank) of the best k rows within the probed cells.
 
@@ -310,7 +364,7 @@ class IvfIndex:
             vectors = vectors.join(allowed.select("item_id"), "item_id", "left_semi")
         probes = self.probe(unit_queries(queries), nprobe)
         found = best_per_query(
-            vectors, probes, k, self.scores(scoring), dim=self.dim, width=min(nprobe, self.nlist)
+            vectors, probes, k, self.scores(scoring), dim=self.dim, width=min(nprobe, self.nlist), block_bytes=block_bytes
         )
         return found.drop("passes")
 
@@ -319,9 +373,10 @@ class IvfIndex:
         the candidates lie in."""
         found = cut(found.select("qid", "item_id", "cell_id"))
         vectors = self.vectors.select("item_id", "cell_id", "embedding")
-        touched = [r["cell_id"] for r in found.select("cell_id").distinct().limit(limits.PRUNE_CELLS + 1).collect()]
-        if 0 < len(touched) <= limits.PRUNE_CELLS:
-            vectors = vectors.filter(f"cell_id IN ({', '.join(map(str, sorted(touched)))})")
+        bound = limits.rows_within(limits.QUERY_BLOCK_BYTES, PROBE_BYTES)
+        touched = [r["cell_id"] for r in found.select("cell_id").distinct().limit(bound + 1).collect()]
+        if len(touched) <= bound:
+            vectors = within_cells(vectors, touched)
         pairs = found.join(vectors, ["cell_id", "item_id"])
         pairs = pairs.join(unit_queries(queries), "qid")
         exact = settle(inner_product(F.col("qvec"), F.col("embedding")))

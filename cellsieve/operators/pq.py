@@ -159,10 +159,10 @@ def codebook_step(with_residual: DataFrame, books: np.ndarray) -> DataFrame:
 
 def seed_codebooks(with_residual: DataFrame, pq_m: int, pq_bits: int, seed: int, key: str) -> np.ndarray:
     """Sub-vectors of the 2^bits rows with the smallest seeded hashes as first codewords."""
-    from cellsieve.operators.ivf import train_sample
+    from cellsieve.operators.ivf import ticket, train_sample
 
     nonzero = with_residual.filter(F.exists("residual", lambda x: F.abs(x) > 1e-9))
-    rows = train_sample(nonzero, key, 2**pq_bits, seed).select("residual").toArrow()
+    rows = train_sample(nonzero, key, 2**pq_bits, seed).orderBy(ticket(key, seed), key).select("residual").toArrow()
     matrix = matrix_of(rows.column("residual"))
     if len(matrix) < 2**pq_bits:
         raise ValueError(f"{len(matrix)} training rows are too few for {2**pq_bits} codes")

@@ -90,21 +90,68 @@ def text_of(predicates: Iterable[Predicate]) -> str:
     return ", ".join(str(p) for p in predicates)
 
 
-def predicate_filter(df: DataFrame, predicates: Iterable[Predicate]) -> DataFrame:
-    """Rows passing every predicate; long IN lists become a semi join instead of literals."""
+def _is_long(predicate: Predicate, literals: int | None = None) -> bool:
+    most = limits.IN_LIST_LITERALS if literals is None else literals
+    return predicate.operator == "IN" and len(predicate.value) > most
+
+
+def _value_table(df: DataFrame, predicate: Predicate, name: str) -> DataFrame:
+    """The distinct values of a long IN list, typed by the values as literals would be."""
+    values = predicate.value
+    if predicate.key in DATE_COLUMNS:
+        kind = "string"
+    elif all(isinstance(v, int) for v in values):
+        kind = "bigint"
+    else:
+        kind, values = "double", [float(v) for v in values]
+    table = df.sparkSession.createDataFrame([(v,) for v in values], f"{name} {kind}").distinct()
+    return table.withColumn(name, F.col(name).cast("timestamp_ntz")) if predicate.key in DATE_COLUMNS else table
+
+
+def _key_as(df: DataFrame, predicate: Predicate, table: DataFrame, name: str) -> Column:
+    return F.col(predicate.key).cast(table.schema[name].dataType)
+
+
+def predicate_filter(df: DataFrame, predicates: Iterable[Predicate], literals: int | None = None) -> DataFrame:
+    """Rows passing every predicate; IN lists of more than `literals` values become a semi join."""
     literal = []
-    for predicate in predicates:
-        if predicate.operator == "IN" and len(predicate.value) > limits.IN_LIST_LITERALS:
-            kind = df.schema[predicate.key].dataType.simpleString()
-            allowed = df.sparkSession.createDataFrame(
-                [(v,) for v in predicate.value], f"{predicate.key} {'string' if predicate.key in DATE_COLUMNS else 'bigint'}"
-            ).select(F.col(predicate.key).cast(kind))
-            df = df.join(allowed, predicate.key, "left_semi")
+    for n, predicate in enumerate(predicates):
+        if _is_long(predicate, literals):
+            name = f"__value{n}"
+            table = _value_table(df, predicate, name)
+            df = df.join(table, _key_as(df, predicate, table, name) == F.col(name), "left_semi")
         else:
             literal.append(predicate)
     return df.filter(conjunction(literal)) if literal else df
 
 
+def conditions(df: DataFrame, lists: Mapping[int, list[Predicate]]) -> tuple[DataFrame, dict[int, Column]]:
+    """df and, by list, the condition of all its predicates. A long IN list is a left join with its distinct values
+    that adds one flag column, so rows are neither lost nor repeated."""
+    found, n = {}, 0
+    for key, predicates in lists.items():
+        literal = []
+        flags = F.lit(True)
+        for predicate in predicates:
+            if not _is_long(predicate):
+                literal.append(predicate)
+                continue
+            name, flag = f"__value{n}", f"__passes{n}"
+            n += 1
+            table = _value_table(df, predicate, name).withColumn(flag, F.lit(True))
+            df = df.join(table, _key_as(df, predicate, table, name) == F.col(name), "left").drop(name)
+            flags = flags & F.coalesce(F.col(flag), F.lit(False))
+        found[key] = flags & conjunction(literal)
+    return df, found
+
+
+def with_passes(df: DataFrame, predicates: Iterable[Predicate]) -> DataFrame:
+    """df with `passes`: whether a row meets every predicate."""
+    columns = df.columns
+    df, found = conditions(df, {0: list(predicates)})
+    return df.select(*columns, found[0].alias("passes"))
+
+
 def parse_predicates(raw: Iterable[Mapping[str, Any]]) -> list[Predicate]:
     """Predicates from dictionaries; invalid ones are skipped with a warning."""
     valid = []
@@ -142,9 +189,8 @@ def workload_survivors(items: DataFrame, workload: Mapping[int, list[Predicate]]
     parts = []
     for at in range(0, len(ids), batch):
         some = ids[at : at + batch]
-        counted = items.agg(
-            *[F.count_if(conjunction(workload[w])).alias(f"w{w}") for w in some]
-        )
+        marked, passes = conditions(items, {w: workload[w] for w in some})
+        counted = marked.agg(*[F.count_if(passes[w]).alias(f"w{w}") for w in some])
         parts.append(
             counted.select(
                 F.explode(

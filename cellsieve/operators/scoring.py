@@ -22,13 +22,21 @@ from pyspark.sql import functions as F
 
 from cellsieve import limits
 from cellsieve.functions.vectors import SETTLED_DECIMALS, l2_normalize
+from cellsieve.session import cut
 
 BEST_SCHEMA = "qid bigint, item_id bigint, cell_id bigint, similarity double, passes boolean"
 # Memory of one probed cell of one query: id, similarity and their place in the per-cell lists.
 PROBE_BYTES = 32
 
+# Chunks' worth of rows that a task groups by cell at once.
+GROUPED_CHUNKS = 16
+
+# Memory of one held row and of one query in a sink.
+ROW_BYTES, QUERY_BYTES = 48, 200
+
 # Rows per query that one task merges without a salted step before it.
 MERGE_AT_ONCE = 20_000
+MERGED_TASKS = 64
 SLOT_SCHEMA = "qid bigint, slot int, n bigint"
 
 
@@ -93,10 +101,25 @@ class BestPerQuery:
     """Running top-k per query by (similarity descending, item_id ascending); rows keep their pass flag."""
 
     def __init__(self, qids: np.ndarray, k: int):
-        self.qids, self.k = qids, k
-        self.floor = np.full(len(qids), -np.inf)
-        self.parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in qids]
-        self.held = np.zeros(len(qids), dtype=np.int64)
+        self.k = k
+        self.at: dict[int, int] = {}
+        self.floor = np.zeros(0)
+        self.parts: list[list[tuple[np.ndarray, ...]]] = []
+        self.held = np.zeros(0, dtype=np.int64)
+        self.places(qids)
+
+    def places(self, qids: np.ndarray, marks=None) -> np.ndarray:
+        """The numbers of these queries here; new ones are added."""
+        out = np.array([self.at.setdefault(int(q), len(self.at)) for q in qids], dtype=np.int64)
+        new = len(self.at) - len(self.parts)
+        self.parts += [[] for _ in range(new)]
+        self.floor = np.append(self.floor, np.full(new, -np.inf))
+        self.held = np.append(self.held, np.zeros(new, dtype=np.int64))
+        return out
+
+    @property
+    def bytes(self) -> int:
+        return int(self.held.sum()) * ROW_BYTES + len(self.at) * QUERY_BYTES
 
     def offer(self, which, ids: np.ndarray, sims: np.ndarray, passes: np.ndarray, cell: int) -> None:
         hits = sims >= self.floor[which][:, None]
@@ -118,10 +141,11 @@ class BestPerQuery:
 
     def result(self) -> pa.RecordBatch:
         qids, columns = [], []
+        names = list(self.at)
         for q in np.flatnonzero(self.held):
             self._settle(q)
             columns.append(self.parts[q][0])
-            qids.append(np.full(self.held[q], self.qids[q]))
+            qids.append(np.full(self.held[q], names[q]))
         sims, ids, passes, cells = zip(*columns) if columns else ((), (), (), ())
         return pa.RecordBatch.from_arrays(
             [
@@ -139,9 +163,23 @@ class SlotCounts:
     """For every query, how many scored vectors fall between consecutive marks of its ordered mark list."""
 
     def __init__(self, qids: np.ndarray, marks: list[tuple[np.ndarray, np.ndarray]]):
-        self.qids = qids
-        self.marks = [(-np.asarray(s, dtype="float64"), np.asarray(i, dtype="int64")) for s, i in marks]
-        self.counts = [np.zeros(len(s), dtype=np.int64) for s, _ in self.marks]
+        self.at: dict[int, int] = {}
+        self.marks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.counts: list[np.ndarray] = []
+        self.bytes = 0
+        self.places(qids, marks)
+
+    def places(self, qids: np.ndarray, marks) -> np.ndarray:
+        """The numbers of these queries here; new ones are added with their marks."""
+        out = []
+        for q, (sims, ids) in zip(qids, marks or ()):
+            n = self.at.setdefault(int(q), len(self.at))
+            if n == len(self.marks):
+                self.marks.append((-np.asarray(sims, dtype="float64"), np.asarray(ids, dtype="int64")))
+                self.counts.append(np.zeros(len(sims), dtype=np.int64))
+                self.bytes += ROW_BYTES * len(sims) + QUERY_BYTES
+            out.append(n)
+        return np.array(out, dtype=np.int64)
 
     def offer(self, which, ids: np.ndarray, sims: np.ndarray, passes: np.ndarray, cell: int) -> None:
         for row, q in enumerate(which):
@@ -161,9 +199,9 @@ class SlotCounts:
 
     def result(self) -> pa.RecordBatch:
         qids, slots, counts = [], [], []
-        for q, n in enumerate(self.counts):
+        for q, n in zip(self.at, self.counts):
             used = np.flatnonzero(n)
-            qids.append(np.full(len(used), self.qids[q]))
+            qids.append(np.full(len(used), q))
             slots.append(used)
             counts.append(n[used])
         return pa.RecordBatch.from_arrays(
@@ -224,15 +262,27 @@ def _block_of(table: pa.Table) -> QueryBlock:
     return QueryBlock(qids, vectors, cells, marks)
 
 
+def within_cells(vectors: DataFrame, cells: list[int]) -> DataFrame:
+    """Vectors of these cells, which the caller holds on the driver within a checked bound.
+
+    A literal list prunes the cell partitions while planning; a longer one is joined, and the broadcast ids prune
+    them at run time."""
+    if not cells:
+        return vectors
+    if len(cells) <= limits.PRUNE_CELLS:
+        return vectors.filter(f"cell_id IN ({', '.join(map(str, sorted(cells)))})")
+    wanted = cut(vectors.sparkSession.createDataFrame(pa.table({"cell_id": pa.array(sorted(cells), pa.int64())})))
+    # Run-time pruning wants a condition on the side that prunes.
+    return vectors.join(F.broadcast(wanted.filter(F.col("cell_id") >= min(cells))), "cell_id", "left_semi")
+
+
 def _scan(vectors: DataFrame, block: QueryBlock, scores, make_sink: Callable, schema: str) -> DataFrame:
     """Score every row of `vectors` against the broadcast block; a task emits only what its sink keeps."""
     flagged = "passes" in vectors.columns
     columns = ["item_id", scores.column, *(["passes"] if flagged else [])]
     if block.cells is not None:
         columns.insert(1, "cell_id")
-        if 0 < len(block.cells) <= limits.PRUNE_CELLS:
-            # A literal list prunes the cell partitions while planning.
-            vectors = vectors.filter(f"cell_id IN ({', '.join(map(str, sorted(block.cells)))})")
+        vectors = within_cells(vectors, list(block.cells))
     payload = (block.qids, block.vectors, block.cells, block.marks)
     shared = vectors.sparkSession.sparkContext.broadcast(payload)
     data_column, dtype = scores.column, scores.dtype
@@ -277,15 +327,26 @@ def _scan(vectors: DataFrame, block: QueryBlock, scores, make_sink: Callable, sc
 def _chunks(vectors: DataFrame, scores) -> DataFrame:
     """Rows of one cell within a task packed into arrays; no shuffle."""
     data_column = scores.column
-    kind = "smallint" if data_column == "code" else "float"
+    kind = vectors.schema[data_column].dataType.elementType.simpleString()
     passes = F.col("passes") if "passes" in vectors.columns else F.lit(True)
 
-    def pack(batches):
+    def gathered(batches):
+        """Batches of one task together, until they are worth a grouping by cell."""
+        held, rows = [], 0
         for batch in batches:
-            cells = np.asarray(batch.column("cell_id")).astype("int64")
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= GROUPED_CHUNKS * limits.CHUNK_ROWS:
+                yield pa.Table.from_batches(held)
+                held, rows = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def pack(batches):
+        for table in gathered(batches):
+            cells = np.asarray(table.column("cell_id")).astype("int64")
             order = np.argsort(cells, kind="stable")
             names, starts = np.unique(cells[order], return_index=True)
-            table = pa.Table.from_batches([batch])
             for name, rows in zip(names, np.split(order, starts[1:])):
                 for at in range(0, len(rows), limits.CHUNK_ROWS):
                     part = table.take(pa.array(rows[at : at + limits.CHUNK_ROWS]))
@@ -335,6 +396,7 @@ def _joined_scan(
             F.explode(F.expr(f"sequence(0L, {fan - 1}L)")).alias("cell_id"),
             F.lit(0.0).alias("base"),
         )
+    bound = limits.QUERY_BLOCK_BYTES
     packs_needed = max(1, -(-probes.count() // limits.PACK_QUERIES))
     packs = (
         wanted.withColumn("pack", F.pmod(F.xxhash64("qid"), F.lit(packs_needed)))
@@ -345,6 +407,9 @@ def _joined_scan(
     dtype = scores.dtype
 
     def run(batches):
+        # One sink for the whole task: at most k rows per query leave it, unless memory makes it send early.
+        nobody = np.zeros(0, dtype="int64")
+        sink = make_sink(nobody, [])
         for batch in batches:
             columns = [batch.column(c) for c in ("cell_id", "item_ids", "data", "flags", "members")]
             for cell, item_ids, data, flags, members in zip(*columns):
@@ -359,11 +424,13 @@ def _joined_scan(
                     marks = list(
                         zip(struct.field("mark_sims").to_pylist(), struct.field("mark_ids").to_pylist())
                     )
-                sink = make_sink(qids, marks)
-                which = np.arange(len(qids))
+                which = sink.places(qids, marks)
                 sims = scores.score(scores.prepare(queries), rows, base)
                 sink.offer(which, ids, sims, flags_of(flags.values), cell.as_py())
-                yield sink.result()
+                if sink.bytes > bound:
+                    yield sink.result()
+                    sink = make_sink(nobody, [])
+        yield sink.result()
 
     return (
         _chunks(vectors, scores)
@@ -376,31 +443,40 @@ def _joined_scan(
 # ------------------------------------------------------------------------------------------------- operators
 
 
-def _run(vectors, probes, scores, make_sink, schema, k: int, dim: int, width: int) -> DataFrame:
+def _run(vectors, probes, scores, make_sink, schema, k: int, dim: int, width: int, block_bytes=None) -> DataFrame:
     per_query = 8 * dim + 96 * k + scores.bytes_per_query
-    bound = limits.rows_within(limits.QUERY_BLOCK_BYTES, per_query + PROBE_BYTES * width)
+    block = limits.QUERY_BLOCK_BYTES if block_bytes is None else block_bytes
+    bound = limits.rows_within(block, per_query + PROBE_BYTES * width) if block else 0
     head = probes.limit(bound + 1).toArrow()
     if head.num_rows <= bound:
         return _scan(vectors, _block_of(head), scores, make_sink, schema)
     if "cells" in probes.columns:
         # Probe lists are often far shorter than `width`: measure them before giving up the broadcast.
         rows, cells = probes.agg(F.count(F.lit(1)), F.sum(F.size("cells"))).head()
-        if rows * per_query + cells * PROBE_BYTES <= limits.QUERY_BLOCK_BYTES:
+        if block and rows * per_query + cells * PROBE_BYTES <= block:
             return _scan(vectors, _block_of(probes.toArrow()), scores, make_sink, schema)
     return _joined_scan(vectors, probes, scores, make_sink, schema)
 
 
 def best_per_query(
-    vectors: DataFrame, probes: DataFrame, k: int, scores=None, *, dim: int = 1024, width: int = 0
+    vectors: DataFrame,
+    probes: DataFrame,
+    k: int,
+    scores=None,
+    *,
+    dim: int = 1024,
+    width: int = 0,
+    block_bytes: int | None = None,
 ) -> DataFrame:
     """Top-k rows per query as (qid, item_id, [cell_id], similarity, passes, rank).
 
     A boolean column `passes` of the vectors is handed through (true without one). `probes` has one row per query: qid bigint, qvec array, and optionally cells array<bigint> with
-    cell_sims array<double>; without cells every vector is scored. `width` bounds the cells per query.
+    cell_sims array<double>; without cells every vector is scored. `width` bounds the cells per query,
+    `block_bytes` (QUERY_BLOCK_BYTES unless given) the query block that may be broadcast.
     """
     scores = scores or ExactScores()
     found = _run(
-        vectors, probes, scores, lambda qids, marks: BestPerQuery(qids, k), BEST_SCHEMA, k, dim, width
+        vectors, probes, scores, lambda qids, marks: BestPerQuery(qids, k), BEST_SCHEMA, k, dim, width, block_bytes
     )
     return rank_per_query(found if "cells" in probes.columns else found.drop("cell_id"), k)
 
@@ -408,14 +484,14 @@ def best_per_query(
 def rank_per_query(found: DataFrame, k: int) -> DataFrame:
     """Keep and number the best k rows per query.
 
-    Every scoring task sends up to k rows per query. Where that is a lot for one task, the lists are merged
-    in salted groups first.
+    Every scoring task sends up to k rows per query. Where that is a lot for one task, the lists of MERGED_TASKS
+    tasks at a time are merged first, so the number of groups follows the number of scoring tasks.
     """
     order = [F.col("similarity").desc(), F.col("item_id")]
     if k * found.sparkSession.sparkContext.defaultParallelism > MERGE_AT_ONCE:
         salted = Window.partitionBy("qid", "salt").orderBy(*order)
         found = (
-            found.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(64)))
+            found.withColumn("salt", F.floor(F.spark_partition_id() / MERGED_TASKS))
             .withColumn("rank", F.row_number().over(salted))
             .filter(F.col("rank") <= k)
             .drop("salt", "rank")
@@ -454,9 +530,11 @@ def global_positions(
     return best.join(slots, ["qid", "rank"])
 
 
-def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, dim: int = 1024) -> DataFrame:
+def exact_knn(
+    vectors: DataFrame, queries: DataFrame, k: int, dim: int = 1024, block_bytes: int | None = None
+) -> DataFrame:
     """Exact cosine top-k of every query (qid, qvec) over all unit vectors (item_id, embedding)."""
-    return best_per_query(vectors, unit_queries(queries), k, dim=dim).drop("passes")
+    return best_per_query(vectors, unit_queries(queries), k, dim=dim, block_bytes=block_bytes).drop("passes")
 
 
 def unit_queries(queries: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cellsieve.operators.histogram import PREDICATE_STRUCT, Histogram2D
 from cellsieve.operators.ivf import IvfIndex
 from cellsieve.operators.predicates import Predicate, text_of, workload_survivors
-from cellsieve.plans.hybrid import METHODS, hybrid_search
+from cellsieve.plans.hybrid import METHODS, filtered_search
 
 Workload = Mapping[int, list[Predicate]]
 
@@ -74,7 +74,7 @@ def sweep(
     """Search with every predicate list, k and method: (wid, k, method, found, full_queries), where found
     counts result rows of all queries and full_queries those queries that got k rows."""
     parts = [
-        hybrid_search(index, queries, predicates, k, method, histogram, items)
+        filtered_search(index, queries, predicates, k, method, histogram, items)
         .agg(
             F.count(F.lit(1)).alias("found"),
             F.count_if(F.col("is_k") & (F.col("rank") == 1)).alias("full_queries"),
@@ -141,19 +141,19 @@ def _time_of(*sections: str) -> Column:
     return F.sum(F.when(F.col("section").isin(*sections), F.col("ms")).otherwise(0.0))
 
 
-def telemetry_rollup(telemetry: DataFrame) -> DataFrame:
-    """Per-method averages over runs from rows (method, run_id, section, ms).
+def telemetry_rollup(telemetry: DataFrame, keys: Sequence[str] = ("method",)) -> DataFrame:
+    """Averages over runs from rows (keys, run_id, section, ms), per method unless more keys are given.
 
-    The residual is what the total leaves unexplained, never negative. Runs of one method should take the
+    The residual is what the total leaves unexplained, never negative. Runs of one group should take the
     same number of search rounds; `iterations_consistent` says whether they did.
     """
-    per_run = telemetry.groupBy("method", "run_id").agg(
+    per_run = telemetry.groupBy(*keys, "run_id").agg(
         F.count_if(F.col("section") == SEARCH_SECTION).alias("iterations"),
         _time_of(TOTAL_SECTION).alias("total"),
         *[_time_of(s).alias(s.lower()) for s in MEASURED_SECTIONS],
     )
     names = [s.lower() for s in MEASURED_SECTIONS]
-    summed = per_run.groupBy("method").agg(
+    summed = per_run.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_runs"),
         F.min("iterations").alias("iterations"),
         (F.min("iterations") == F.max("iterations")).alias("iterations_consistent"),
@@ -162,9 +162,16 @@ def telemetry_rollup(telemetry: DataFrame) -> DataFrame:
     measured = functools.reduce(lambda a, b: a + b, [F.col(n) for n in names])
     residual = F.greatest(F.lit(0.0), F.col("total") - measured)
     return summed.withColumn("residual", residual).select(
-        F.regexp_replace("method", "_SEARCH", "").alias("method"),
+        *[F.regexp_replace(k, "_SEARCH", "").alias(k) if k == "method" else F.col(k) for k in keys],
         "num_runs",
         "iterations",
         "iterations_consistent",
         *[(F.col(n) / F.col("num_runs")).alias(n) for n in ("total", *names, "residual")],
     )
+
+
+def telemetry_frame(telemetry: DataFrame, workload: DataFrame, survivors: DataFrame) -> DataFrame:
+    """One row per method, predicate list and k: averages over runs (method, wid, k, run_id, section, ms), with the
+    list's text (wid, predicates) and its number of surviving items (wid, survivors)."""
+    rolled = telemetry_rollup(telemetry, ("method", "wid", "k"))
+    return rolled.join(workload.select("wid", "predicates"), "wid").join(survivors, "wid")

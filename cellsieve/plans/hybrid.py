@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cellsieve import limits
 from cellsieve.operators.histogram import Histogram2D
 from cellsieve.operators.ivf import IvfIndex
-from cellsieve.operators.predicates import Predicate, conjunction, predicate_filter
+from cellsieve.operators.predicates import Predicate, predicate_filter, with_passes
 from cellsieve.operators.scoring import best_per_query, global_positions, rank_per_query, unit_queries
 from cellsieve.plans import probing
 from cellsieve.session import cut
@@ -49,7 +49,7 @@ def restrict(index: IvfIndex, predicates: list[Predicate], items: DataFrame | No
 def flagged(index: IvfIndex, predicates: list[Predicate], items: DataFrame | None = None) -> DataFrame:
     """All vectors, with `passes` telling whether their metadata pass."""
     if _covered(index, predicates, items):
-        return index.vectors.withColumn("passes", conjunction(predicates))
+        return with_passes(index.vectors, predicates)
     allowed = predicate_filter(items, predicates).select("item_id", F.lit(True).alias("passes"))
     return index.vectors.join(allowed, "item_id", "left")
 
@@ -72,45 +72,9 @@ def pre_filter_probes(
     """
     nlist = index.nlist
     per_cell = survivors.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
-    ordered = (
-        index.probe(queries, nlist, per_cell)
-        .withColumn("survivors", F.element_at("seen", -1))
-        .filter(F.col("survivors") > 0)
-        .withColumn("search_k", F.least(F.lit(k), F.col("survivors")))
-    )
-    if adaptive:
-        width = _adaptive_width(nlist)
-    else:
-        width = F.lit(nlist)
-        for candidate in reversed(probing.fixed_widths(nlist)):
-            enough = F.get("seen", F.lit(candidate - 1)) >= F.col("search_k")
-            width = F.when(enough, F.lit(candidate)).otherwise(width)
-    sized = ordered.withColumn("nprobe", width.cast("int"))
-    return sized.select(
-        "qid",
-        "qvec",
-        "nprobe",
-        F.slice("cells", F.lit(1), F.col("nprobe")).alias("cells"),
-        F.slice("cell_sims", F.lit(1), F.col("nprobe")).alias("cell_sims"),
-    )
-
-
-def _adaptive_width(nlist: int) -> Column:
-    """Walk the adaptive width sequence over the cumulative counts; every round at least triples it."""
-    rounds, reached = 1, 1
-    while reached < nlist:
-        rounds, reached = rounds + 1, reached * probing.GROWTH
-    missing = "(search_k - state.found)"
-    expected = f"3 * {missing} * {nlist}L DIV (2 * survivors) + {probing.GROWTH} * state.nprobe"
-    width = f"greatest(1L, least({nlist}L, {expected}))"
-    return F.expr(
-        f"""aggregate(
-          sequence(1, {rounds + 1}),
-          named_struct('nprobe', 0L, 'found', 0L),
-          (state, i) -> if(state.found >= search_k, state, named_struct(
-            'nprobe', {width}, 'found', bigint(least(search_k, get(seen, int({width}) - 1))))),
-          state -> state.nprobe)"""
-    )
+    # The rule runs beside the search for the nearest cells, so only the cells that are probed leave a task.
+    probes = index.probe(queries, nlist, per_cell, probing.settled_width(nlist, k, adaptive))
+    return probes.filter(F.size("cells") > 0).select(*PROBE_COLUMNS, F.size("cells").alias("nprobe"))
 
 
 def pre_filter_search(
@@ -124,7 +88,7 @@ def pre_filter_search(
 ) -> DataFrame:
     """Filter first, then search only the survivors, at the first sufficient probe width."""
     survivors = restrict(index, list(predicates), items)
-    probes = pre_filter_probes(index, unit_queries(queries), survivors, k, adaptive)
+    probes = cut(pre_filter_probes(index, cut(unit_queries(queries)), survivors, k, adaptive))
     best = best_per_query(
         survivors, probes.drop("nprobe"), k, index.scores(scoring), dim=index.dim, width=index.nlist
     )
@@ -145,12 +109,13 @@ def post_filter_search(
     histogram: Histogram2D | None = None,
     items: DataFrame | None = None,
     scoring: str = "exact",
+    ranked: int | None = None,
 ) -> DataFrame:
     """Search unrestricted, then filter the candidates, widening for the queries that still miss results.
 
     With a histogram the sizes follow its survivor estimate, else they start fixed and triple. Once a query
     probes all cells its answer is the best k passing rows whatever the length of the candidate list, so the
-    filter moves below the search and the loop ends for it.
+    filter moves below the search and the loop ends for it. Candidate lists of more than `ranked` rows are counted.
     """
     predicates = list(predicates)
     scores, nlist, total = index.scores(scoring), index.nlist, index.total
@@ -159,7 +124,7 @@ def post_filter_search(
     if histogram is not None:
         est = histogram.estimate([p for p in predicates if p.key != "item_id"])
     sizes = _next_sizes(True, k, est, nlist, total)
-    open_queries = unit_queries(queries).withColumns(sizes)
+    open_queries = cut(unit_queries(queries)).withColumns(sizes)
 
     answers = []
     while True:
@@ -175,7 +140,7 @@ def post_filter_search(
             break
         sized = open_queries.filter(narrow)
         probes = index.probe(sized, "nprobe").select(*PROBE_COLUMNS)
-        if todo["search_k"] <= RANKED_CANDIDATES:
+        if todo["search_k"] <= (RANKED_CANDIDATES if ranked is None else ranked):
             kept = _ranked_round(everything, probes, sized, k, scores, index.dim, todo)
         else:
             kept = _counted_round(index.vectors, passing, probes, sized, k, scores, index.dim, todo)
@@ -243,7 +208,7 @@ def _search_all_cells(index, passing, queries, k, scores) -> DataFrame:
 # ------------------------------------------------------------------------------------------------------ dispatch
 
 
-def hybrid_search(
+def filtered_search(
     index: IvfIndex,
     queries: DataFrame,
     predicates: Iterable[Predicate],

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Safety factor, growth per round, first sizes of the fixed methods.
-SAFETY = 1.5
+# Safety factor as a fraction, growth per round, first sizes of the fixed methods.
+SAFETY_PARTS = (3, 2)
+SAFETY = SAFETY_PARTS[0] / SAFETY_PARTS[1]
 GROWTH = 3
 FIRST_NPROBE = 64
 FIRST_SEARCH_K = 100
@@ -14,9 +18,9 @@ FIRST_SEARCH_K = 100
 
 def pre_nprobe(count: Column, k_remaining: Column, old_nprobe: Column, nlist: int) -> Column:
     """Cells expected to hold 1.5 x the missing survivors, plus three times the earlier width."""
-    # 1.5 = 3/2 keeps the floor division in integers.
-    doubled = (3 * k_remaining * F.lit(nlist)).cast("bigint")
-    expected = F.floor(doubled / (2 * count)).cast("bigint") + GROWTH * old_nprobe
+    # The fraction keeps the floor division in integers.
+    above, below = SAFETY_PARTS
+    expected = F.floor((above * k_remaining * F.lit(nlist)).cast("bigint") / (below * count)).cast("bigint") + GROWTH * old_nprobe
     return F.greatest(F.lit(1), F.least(expected, F.lit(nlist))).cast("bigint")
 
 
@@ -34,6 +38,27 @@ def post_nprobe(est: Column, search_k: Column, old_nprobe: Column, nlist: int) -
     return F.when(est == 0, F.lit(nlist)).otherwise(width).cast("bigint")
 
 
+def settled_width(nlist: int, k: int, adaptive: bool) -> Callable[[np.ndarray], int]:
+    """The rule that turns a query's running survivor totals, cell by cell, into its final probe width: the first
+    width of the sequence whose cells hold min(k, survivors); none without survivors."""
+    widths = fixed_widths(nlist)
+    above, below = SAFETY_PARTS
+
+    def width(seen: np.ndarray) -> int:
+        survivors = int(seen[-1]) if len(seen) else 0
+        wanted, found, size = min(k, survivors), 0, 0
+        steps = iter(widths)
+        while found < wanted:
+            if adaptive:
+                size = max(1, min(nlist, above * (wanted - found) * nlist // (below * survivors) + GROWTH * size))
+            else:
+                size = next(steps)
+            found = min(wanted, int(seen[size - 1]))
+        return size
+
+    return width
+
+
 def fixed_widths(nlist: int) -> list[int]:
     """64, 192, 576, ... up to the number of cells."""
     widths, width = [], FIRST_NPROBE

@@ -12,7 +12,7 @@ from cellsieve.functions.text import embed_text
 from cellsieve.operators.histogram import Histogram2D
 from cellsieve.operators.ivf import IvfIndex
 from cellsieve.operators.predicates import parse_predicates
-from cellsieve.plans.hybrid import hybrid_search, with_items
+from cellsieve.plans.hybrid import filtered_search, with_items
 
 
 def embed_queries(queries: DataFrame, embedder=None, dim: int = 64) -> DataFrame:
@@ -33,5 +33,5 @@ def perform_search(
     """Search for a table of query texts (qid, text) under predicate dictionaries, of which invalid ones are
     skipped; returns the display columns with rank and similarity."""
     vectors = embed_queries(queries, embedder, index.dim)
-    found = hybrid_search(index, vectors, parse_predicates(predicates), k, method, histogram, items)
+    found = filtered_search(index, vectors, parse_predicates(predicates), k, method, histogram, items)
     return with_items(found, items)

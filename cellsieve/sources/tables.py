@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,22 +24,59 @@ _CSV_OPTIONS = {
 _ID_FILTER = {"parquet.bloom.filter.enabled#item_id": "true"}
 
 
+# Line breaks and the backslash itself as two visible characters, so that a row is one line of the file.
+_ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def _texts(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+
+
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType = RAW, columns: list[str] | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = RAW,
+    columns: list[str] | None = None,
+    escaped: bool = True,
 ) -> DataFrame:
-    """CSV with header, quoted line breaks allowed; only the named columns are parsed into rows."""
-    df = spark.read.schema(schema).options(multiLine="true", **_CSV_OPTIONS).csv(path)
-    return df.select(*columns) if columns else df
+    """CSV with header; only the named columns are parsed into rows.
+
+    Files of `write_csv` hold one row per line, so large files are split over tasks. With `escaped` false, line
+    breaks inside quotes belong to the value, as other programs write them; each file is then read by one task.
+    """
+    options = {"multiLine": "false" if escaped else "true"}
+    df = spark.read.schema(schema).options(**options, **_CSV_OPTIONS).csv(path)
+    df = df.select(*columns) if columns else df
+    if not escaped:
+        return df
+    # A backslash pair first becomes a mark, so that an escaped backslash before an n stays one.
+    mark = "\x00"
+
+    def plain(c):
+        whole = F.replace(F.col(c), F.lit("\\\\"), F.lit(mark))
+        whole = F.replace(F.replace(whole, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+        return F.replace(whole, F.lit(mark), F.lit("\\"))
+
+    return df.withColumns({c: plain(c) for c in _texts(df)})
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).options(quoteAll="true", **_CSV_OPTIONS).csv(path)
+    """Quoted CSV with header, line breaks escaped."""
+
+    def escaped(c):
+        value = F.col(c)
+        for old, new in _ESCAPES:
+            value = F.replace(value, F.lit(old), F.lit(new))
+        return value
+
+    df.withColumns({c: escaped(c) for c in _texts(df)}).write.mode(mode).options(quoteAll="true", **_CSV_OPTIONS).csv(path)
 
 
 def create_items(items: DataFrame, path: str) -> DataFrame:
     """Write the items table, replacing an earlier one. Files are ordered by date so that date predicates
     skip row groups, and carry a Bloom filter so that lookups by id do."""
-    ordered = items.repartitionByRange("revdate").sortWithinPartitions("revdate")
+    # The id splits a crowded date, and the rows without one, over several tasks.
+    ordered = items.repartitionByRange("revdate", "item_id").sortWithinPartitions("revdate", "item_id")
     ordered.write.mode("overwrite").options(**_ID_FILTER).parquet(path)
     return read_items(items.sparkSession, path)
 
@@ -54,12 +91,14 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEMS).parquet(path)
 
 
-def item_by_id(items: DataFrame, item_id: int) -> Row:
-    """The row with this id; a missing one is an error."""
-    found = items.filter(F.col("item_id") == item_id).limit(1).collect()
-    if not found:
-        raise LookupError(f"no item with id {item_id}")
-    return found[0]
+def item_by_id(items: DataFrame, item_id: int) -> DataFrame:
+    """The row with this id; a missing one is an error when the result is read."""
+    found = items.filter(F.col("item_id") == item_id).limit(1)
+    columns = items.columns
+    counted = found.agg(F.first(F.struct(*columns)).alias("row"), F.count(F.lit(1)).alias("n"))
+    missing = F.raise_error(F.lit(f"no item with id {item_id}"))
+    checked = counted.select(F.when(F.col("n") == 0, missing).otherwise(F.col("row")).alias("row"))
+    return checked.select("row.*")
 
 
 # ----------------------------------------------------------------------------------------------------- index
@@ -68,7 +107,10 @@ def item_by_id(items: DataFrame, item_id: int) -> Row:
 def save_index(index: IvfIndex, path: str, extras: dict[str, str] | None = None) -> None:
     """Vectors by cell, centroids, codebooks and a one-row description."""
     # Rebalancing gathers each cell into few files and splits a crowded one into files of even size.
-    index.vectors.hint("rebalance", "cell_id").write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/vectors")
+    # Rows of a cell are in date order, so that a date predicate skips row groups.
+    order = ["cell_id", *(c for c in ("revdate", "token_count") if c in index.vectors.columns)]
+    placed = index.vectors.hint("rebalance", "cell_id").sortWithinPartitions(*order)
+    placed.write.options(**_ID_FILTER).mode("overwrite").partitionBy("cell_id").parquet(f"{path}/vectors")
     index.cells.frame.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
     if index.codebooks is not None:
         index.codebooks.coalesce(1).write.mode("overwrite").parquet(f"{path}/codebooks")
@@ -81,8 +123,10 @@ def save_index(index: IvfIndex, path: str, extras: dict[str, str] | None = None)
 def load_index(spark: SparkSession, path: str) -> IvfIndex:
     """The saved index; `total` is taken from the stored rows."""
     meta = spark.read.schema(INDEX_META).parquet(f"{path}/meta").head()
-    vectors = spark.read.parquet(f"{path}/vectors")
-    vectors = vectors.withColumn("cell_id", F.col("cell_id").cast("bigint"))
+    # The partition column is a bigint from the start: a cast above it would hide it from partition pruning.
+    stored = spark.read.parquet(f"{path}/vectors").schema
+    fields = [T.StructField(f.name, T.LongType()) if f.name == "cell_id" else f for f in stored]
+    vectors = spark.read.schema(T.StructType(fields)).parquet(f"{path}/vectors")
     codebooks = None
     if meta["pq_m"] is not None:
         codebooks = spark.read.schema(CODEBOOKS).parquet(f"{path}/codebooks")

@@ -22,7 +22,9 @@ def append_new(index: IvfIndex, items: DataFrame, path: str) -> None:
     items = items.dropDuplicates(["item_id"])
     known = stored.join(items.select("item_id"), "item_id", "left_semi").distinct()
     placed = index.assign(items.join(known, "item_id", "left_anti"))
-    placed.select(*index.vectors.columns).write.mode("append").partitionBy("cell_id").parquet(path)
+    # About one file per touched cell, however many tasks the batch has.
+    placed = placed.select(*index.vectors.columns).hint("rebalance", "cell_id").sortWithinPartitions("cell_id")
+    placed.write.mode("append").option("parquet.bloom.filter.enabled#item_id", "true").partitionBy("cell_id").parquet(path)
 
 
 def start_incremental_add(

@@ -19,10 +19,11 @@ from cellsieve.operators.predicates import (
     parse_predicates,
     predicate_filter,
     text_of,
+    with_passes,
     workload_survivors,
 )
 from cellsieve.schemas import RAW
-from cellsieve.session import scratch_path
+from cellsieve.session import cut, scratch_path
 from cellsieve.sources import tables
 
 
@@ -136,7 +137,7 @@ def test_estimates_behave(spark, sf_dir):
 
 
 def test_csv_keeps_quotes_and_line_breaks(spark):
-    rows = [("0", "9", 'a "b"', "x,\n y ", None, "2025-01-01", "3", " lead"), ("1", "8", "", "z", "u", "bad", "4", "é")]
+    rows = [("0", "9", 'a "b"', "x,\n y \\n \\\\ \r", None, "2025-01-01", "3", " lead"), ("1", "8", "", "z", "u", "bad", "4", "é")]
     path = scratch_path(spark, "csv")
     tables.write_csv(spark.createDataFrame(rows, RAW), path)
     back = tables.read_csv(spark, path).orderBy("item_id").collect()
@@ -147,6 +148,36 @@ def test_csv_keeps_quotes_and_line_breaks(spark):
     assert typed[0]["ext_id"] == 9
 
 
+def test_csv_of_other_programs(spark, tmp_path):
+    (tmp_path / "one.csv").write_text('item_id,id,title,text,url,revdate,token_count,entity\n0,9,t,"a\nb \\n",u,2025-01-01,3,e\n')
+    assert tables.read_csv(spark, str(tmp_path), escaped=False).head()["text"] == "a\nb \\n"
+
+
+LONG_LISTS = {
+    "out of range": [5_000_000_000 + k for k in range(1200)] + [50, 60],
+    "fractions": [0.5 + k for k in range(1200)] + [50, 60.0],
+    "repeated": [50] * 1500,
+    "dates": [f"2024-01-{1 + k % 28:02d} 00:{k % 60:02d}" for k in range(1700)],
+}
+
+
+@pytest.mark.parametrize("kind", LONG_LISTS)
+def test_long_lists_equal_short_ones(spark, sf_dir, kind, monkeypatch):
+    values = LONG_LISTS[kind]
+    items = cut(standins.documents_as_items(spark, sf_dir).drop("text"))
+    lists = [Predicate("revdate" if kind == "dates" else "token_count", values, "IN"), Predicate("item_id", 3, ">")]
+    found = {}
+    for bound in (1000, 10_000):
+        monkeypatch.setattr(limits, "IN_LIST_LITERALS", bound)
+        kept = sorted(r["item_id"] for r in predicate_filter(items, lists).select("item_id").collect())
+        flagged = with_passes(items, lists)
+        assert flagged.count() == items.count() and flagged.columns == [*items.columns, "passes"]
+        assert sorted(r["item_id"] for r in flagged.filter("passes").collect()) == kept
+        assert workload_survivors(items, {1: lists, 2: []}).filter("wid = 1").head()["survivors"] == len(kept)
+        found[bound] = kept
+    assert found[1000] == found[10_000]
+
+
 @pytest.mark.parametrize("broken", [None, "x1"])
 def test_required_integers(spark, broken):
     raw = spark.createDataFrame([("0", broken, "t", "x", "u", "2025-01-01", "3", "e")], RAW)
@@ -180,9 +211,10 @@ def test_block_shuffle(spark):
 
 
 def test_lookup_and_keys(small):
-    assert tables.item_by_id(small, 2)["token_count"] == 50
-    with pytest.raises(LookupError):
-        tables.item_by_id(small, 12345)
+    assert tables.item_by_id(small, 2).head()["token_count"] == 50
+    assert tables.item_by_id(small, 2).columns == small.columns
+    with pytest.raises(Exception, match="no item with id 12345"):
+        tables.item_by_id(small, 12345).collect()
     assert ingest.key_violations(small).isEmpty()
     assert ingest.key_violations(small.unionByName(small.filter("item_id = 4"))).collect()[0]["copies"] == 2
 
