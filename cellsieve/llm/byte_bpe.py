@@ -48,6 +48,7 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 # Endings that follow an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 NO_RANK = 1 << 30
+PLAN_TEXT = "20000"
 
 
 def read_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -202,7 +203,8 @@ class Codec:
         return F.try_element_at(bucket, piece)
 
     def fold(self, word: Column) -> Column:
-        """array<int> of a word given as Latin-1 characters, by ranked merges over its bytes."""
+        """array<int> of a word given as Latin-1 characters, by ranked merges over its bytes. The dictionary has the
+        words that are tokens themselves, so they are not looked up again here."""
         state = "struct<pieces:array<string>,done:boolean>"
 
         def merge(acc: Column, _: Column) -> Column:
@@ -232,10 +234,7 @@ class Codec:
         steps = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
         start = F.struct(letters.alias("pieces"), F.lit(False).alias("done")).cast(state)
         merged = F.aggregate(steps, start, merge, lambda acc: F.transform(acc["pieces"], self.rank))
-        whole = self.rank(word)
-        return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(
-            F.when(whole.isNotNull(), F.array(whole)).otherwise(merged)
-        )
+        return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(merged)
 
     def decode(self, ids: Column) -> Column:
         """Binary of an array of ids."""
@@ -350,6 +349,8 @@ def encode(
     docs: DataFrame, carry: tuple[str, ...] = (), path: str | None = None, most: int = DICTIONARY_WORDS
 ) -> tuple[DataFrame, Codec]:
     """(doc_id, carried columns, ids array<int>) of every document, and the codec for decoding."""
+    # Spark writes literals out in plan texts, of which the driver keeps many; these would take hundreds of megabytes.
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     codec, classes = Codec(read_ranks(path)), character_classes()
     dictionary = build_dictionary(docs.select("text"), codec, classes, most)
     found = _lookups(docs.select("doc_id", *carry, F.col("text").alias("to_encode")), codec, dictionary, classes)
