@@ -2,13 +2,16 @@
 
 Encoding has two steps. First the distinct pre-tokens of the corpus are counted, and Spark higher-order functions fold
 ranked merges over the byte array of each of the DICTIONARY_WORDS most frequent ones: every step looks up the ranks of
-all neighbours in a literal rank map and joins the leftmost pair of least rank. The result, bounded by that number, is
-broadcast as sorted hashes and id runs. Then each document's pre-tokens are looked up; those outside the dictionary are
-left as holes and folded in place by the same higher-order functions, so every word gets its ids by one method and the
-dictionary's size changes only the work. Decoding concatenates the pieces of a literal array.
+all neighbours in a constant rank map and joins the leftmost pair of least rank. The result, bounded by that number, is
+broadcast as sorted hashes and id runs. Then each document's pre-tokens are looked up, a chunk of documents at a time;
+the chunk's distinct words outside the dictionary are folded by the same higher-order functions and put in their
+places, so every word gets its ids by one method and the dictionary's size changes only the work. Decoding concatenates
+the binary pieces of the ids.
 
-Rank maps are literals of many small maps, chosen by a checksum of the key, because Spark searches one map
-entry by entry. A byte is written as the Latin-1 character of the same number.
+The rank map is an array of many small maps, chosen by a checksum of the key, because Spark searches one map entry by
+entry. It is a one-row table, broadcast (about 2 MB, fixed by the rank file) and met by batches of words: as a literal
+it was written out in every plan text, which took the driver past its memory. A byte is written as the Latin-1 character
+of the same number.
 
 Pre-tokens are the matches of PATTERN. They are found by character class on whole batches: where a run of one class
 begins, a token begins, except that a single leading space joins the run after it and that the listed endings after
@@ -24,17 +27,17 @@ repeated ids keep their rows; an empty table gives no rows; extra columns are ig
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsieve.llm.common import byte_view, chunks, span_hashes
@@ -48,7 +51,7 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 # Endings that follow an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 NO_RANK = 1 << 30
-PLAN_TEXT = "20000"
+WORDS_AT_ONCE = 4096
 
 
 def read_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -183,66 +186,82 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Codec:
-    """Literal tables of one rank file as columns."""
+def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """One row (one, ranks): array<map<string,int>> by checksum of the Latin-1 word."""
+    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for word, rank in ranks.items():
+        key = word.decode("latin-1")
+        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
+    kind = pa.list_(pa.map_(pa.string(), pa.int32()))
+    table = pa.table({"one": pa.array([1], pa.int32()), "ranks": pa.array([[list(b.items()) for b in buckets]], kind)})
+    return spark.createDataFrame(table)
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for word, rank in ranks.items():
-            key = word.decode("latin-1")
-            buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-        self.rank_map = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-        by_id = {rank: word for word, rank in ranks.items()}
-        last = max(by_id, default=-1)
-        self.pieces = F.split(F.lit(",".join(by_id.get(i, b"").hex() for i in range(last + 1))), ",")
-        self.numbers = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(last + 1))), ",")
 
-    def rank(self, piece: Column) -> Column:
-        bucket = F.get(self.rank_map, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int"))
-        return F.try_element_at(bucket, piece)
+def rank_of(ranks: Column, piece: Column) -> Column:
+    bucket = F.get(ranks, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int"))
+    return F.try_element_at(bucket, piece)
+
+
+def fold(word: Column, ranks: Column) -> Column:
+    """array<int> of a word given as Latin-1 characters, by ranked merges over its bytes. The dictionary has the words
+    that are tokens themselves, so they are not looked up again here."""
+    kind = "array<struct<piece:string,id:int>>"
+    state = f"struct<pieces:{kind},done:boolean>"
+
+    def merge(acc: Column, _: Column) -> Column:
+        pieces = acc["pieces"]
+        last = F.size(pieces) - 2
+        text = lambda i: F.get(pieces, i)["piece"]
 
-    def fold(self, word: Column) -> Column:
-        """array<int> of a word given as Latin-1 characters, by ranked merges over its bytes. The dictionary has the
-        words that are tokens themselves, so they are not looked up again here."""
-        state = "struct<pieces:array<string>,done:boolean>"
+        def pair(i: Column) -> Column:
+            return F.struct(F.coalesce(rank_of(ranks, F.concat(text(i), text(i + 1))), F.lit(NO_RANK)).alias("rank"), i.alias("at"))
 
-        def merge(acc: Column, _: Column) -> Column:
-            pieces = acc["pieces"]
-            last = F.size(pieces) - 2
+        best = F.array_min(F.transform(F.sequence(F.lit(0), last), pair))
 
-            def pair(i: Column) -> Column:
-                joined = F.concat(F.get(pieces, i), F.get(pieces, i + 1))
-                return F.struct(F.coalesce(self.rank(joined), F.lit(NO_RANK)).alias("rank"), i.alias("at"))
+        # The best pair is bound once, as the only element of an array.
+        def apply(b: Column) -> Column:
+            at = b["at"]
+            one = F.struct(F.concat(text(at), text(at + 1)).alias("piece"), b["rank"].alias("id"))
+            joined = F.concat(
+                F.slice(pieces, F.lit(1), at), F.array(one), F.slice(pieces, at + 3, F.greatest(last - at, F.lit(0)))
+            )
+            ended = b["rank"] == NO_RANK
+            return F.struct(F.when(ended, pieces).otherwise(joined).alias("pieces"), ended.alias("done")).cast(state)
 
-            best = F.array_min(F.transform(F.sequence(F.lit(0), last), pair))
+        return F.when(acc["done"] | (last < 0), acc).otherwise(F.get(F.transform(F.array(best), apply), F.lit(0)))
 
-            # The best pair is bound once, as the only element of an array.
-            def apply(b: Column) -> Column:
-                at = b["at"]
-                joined = F.concat(
-                    F.slice(pieces, F.lit(1), at),
-                    F.array(F.concat(F.get(pieces, at), F.get(pieces, at + 1))),
-                    F.slice(pieces, at + 3, F.greatest(last - at, F.lit(0))),
-                )
-                ended = b["rank"] == NO_RANK
-                return F.struct(F.when(ended, pieces).otherwise(joined).alias("pieces"), ended.alias("done")).cast(state)
+    def letter(i: Column) -> Column:
+        one = F.substring(word, i, F.lit(1))
+        return F.struct(one.alias("piece"), rank_of(ranks, one).alias("id"))
 
-            return F.when(acc["done"] | (last < 0), acc).otherwise(F.get(F.transform(F.array(best), apply), F.lit(0)))
+    letters = F.transform(F.sequence(F.lit(1), F.length(word)), letter)
+    steps = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
+    start = F.struct(letters.cast(kind).alias("pieces"), F.lit(False).alias("done")).cast(state)
+    merged = F.aggregate(steps, start, merge, lambda acc: F.transform(acc["pieces"], lambda p: p["id"]))
+    return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(merged)
 
-        letters = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-        steps = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
-        start = F.struct(letters.alias("pieces"), F.lit(False).alias("done")).cast(state)
-        merged = F.aggregate(steps, start, merge, lambda acc: F.transform(acc["pieces"], self.rank))
-        return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(merged)
 
-    def decode(self, ids: Column) -> Column:
-        """Binary of an array of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+def folded(batches: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Batches with an array of words, plus ids: array<array<int>>."""
+    table = F.broadcast(rank_table(batches.sparkSession, ranks))
+    joined = batches.withColumn("one", F.lit(1)).join(table, "one")
+    ids = F.transform("words", lambda w: fold(w, F.col("ranks")))
+    return joined.select(*batches.columns, ids.alias("ids"))
+
+
+class Pieces:
+    """The binary piece of each id, concatenated."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        by_id = {rank: word for word, rank in ranks.items()}
+        words = [by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)]
+        self.data = np.frombuffer(b"".join(words), np.uint8)
+        self.begins = np.cumsum([0, *map(len, words)])
 
-    def ids_binary(self, ids: Column) -> Column:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.numbers, i)), ""))
+    def decode(self, ids: np.ndarray) -> bytes:
+        lengths = self.begins[ids + 1] - self.begins[ids]
+        to = np.cumsum(lengths) - lengths
+        return self.data[np.repeat(self.begins[ids] - to, lengths) + np.arange(lengths.sum())].tobytes()
 
 
 def count_words(texts: DataFrame, classes: np.ndarray, known: np.ndarray) -> DataFrame:
@@ -279,9 +298,22 @@ def count_words(texts: DataFrame, classes: np.ndarray, known: np.ndarray) -> Dat
     return texts.mapInArrow(job, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_dictionary(texts: DataFrame, codec: Codec, classes: np.ndarray, most: int = DICTIONARY_WORDS) -> Dictionary:
+def _packed(words: DataFrame) -> DataFrame:
+    """Rows (word) as batches (words: array<string>)."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, WORDS_AT_ONCE):
+                part = batch.column(0).slice(at, WORDS_AT_ONCE).cast(pa.string())
+                part = pa.array(part.to_pylist(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)], names=["words"])
+
+    return words.mapInArrow(job, "words array<string>")
+
+
+def build_dictionary(texts: DataFrame, ranks: dict[bytes, int], classes: np.ndarray, most: int = DICTIONARY_WORDS) -> Dictionary:
     """The tokens themselves and the most frequent other words, at most `most` of these, with their ids."""
-    tokens = Dictionary.of_tokens(codec.ranks)
+    tokens = Dictionary.of_tokens(ranks)
     words = cut(count_words(texts, classes, tokens.hashes))
     # The least count that at most that many words reach. A word seen once gains nothing from a dictionary.
     by_count = words.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()
@@ -292,81 +324,133 @@ def build_dictionary(texts: DataFrame, codec: Codec, classes: np.ndarray, most:
             least = max(least, n + 1)
             break
     frequent = words.where(F.col("n") >= least).where(F.lit(least <= 10_000)).select("word")
-    found = frequent.select(F.encode("word", "ISO-8859-1").alias("word"), codec.fold(F.col("word")).alias("ids")).toArrow()
+    done = folded(_packed(frequent), ranks).select(F.explode(F.arrays_zip("words", "ids")).alias("w"))
+    found = done.select(F.encode("w.words", "ISO-8859-1").alias("word"), F.col("w.ids").alias("ids")).toArrow()
     return tokens.joined(Dictionary.of(found.column("word").combine_chunks(), found.column("ids").combine_chunks()))
 
 
-def _lookups(docs: DataFrame, codec: Codec, dictionary: Dictionary, classes: np.ndarray) -> DataFrame:
-    """docs' columns but the last, the text, with runs: array<array<int>> and rest: the words between the runs."""
-    shared = docs.sparkSession.sparkContext.broadcast((dictionary, classes, codec.ranks))
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _lookups(docs: DataFrame, ranks: dict[bytes, int], dictionary: Dictionary, classes: np.ndarray) -> DataFrame:
+    """One row (held, words) for each chunk of documents: held is an Arrow stream of the columns but the last, the
+    text, with marks: list<int32> of ids, where -n stands for the n-th of `words`, which are distinct."""
+    shared = docs.sparkSession.sparkContext.broadcast((dictionary, classes, ranks))
+    kept = docs.columns[:-1]
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, kinds, ranks = shared.value
+        table, kinds, known = shared.value
         for batch in batches:
             for row, end, data, offsets in chunks(batch.column(len(kept))):
                 starts, ends, first = pretokens(data, offsets, kinds)
-                place = table.find(span_hashes(data, starts, ends))
+                hashes = span_hashes(data, starts, ends)
+                place = table.find(hashes)
                 hole = place < 0
                 long = np.flatnonzero(hole & (ends - starts > LONG))
-                heaped = {k: np.asarray(heap_merge(bytes(data[starts[k] : ends[k]]), ranks), np.int32) for k in long.tolist()}
-                length = np.where(hole, 0, table.begins[place + 1] - table.begins[place])
+                heaped = {k: np.asarray(heap_merge(bytes(data[starts[k] : ends[k]]), known), np.int32) for k in long.tolist()}
+                length = np.where(hole, 1, table.begins[place + 1] - table.begins[place])
                 for k, ids in heaped.items():
                     length[k] = len(ids)
                     hole[k] = False
                 to = np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])
-                source = np.repeat(table.begins[place] - to[:-1], length) + np.arange(to[-1])
+                source = np.repeat(np.where(hole, 0, table.begins[place]) - to[:-1], length) + np.arange(to[-1])
                 for k in heaped:
                     source[to[k] : to[k + 1]] = 0
                 flat = table.ids[source] if len(source) else np.zeros(0, np.int32)
                 for k, ids in heaped.items():
                     flat[to[k] : to[k + 1]] = ids
                 holes = np.flatnonzero(hole)
-                of_row = np.searchsorted(holes, first)
-                # Runs end at each hole and at each row's end.
-                row_ends = to[first[1:]]
-                run_ends = np.insert(to[holes], of_row[1:], row_ends)
-                run_rows = of_row + np.arange(len(of_row))
-                runs = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([np.zeros(1, np.int64), run_ends]).astype(np.int32)), pa.array(flat, pa.int32())
-                )
+                _, sample, number = np.unique(hashes[holes], return_index=True, return_inverse=True)
+                flat[to[holes]] = -1 - number
                 raw = data.tobytes()
-                rest = [raw[a:b].decode("latin-1") for a, b in zip(starts[holes].tolist(), ends[holes].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(k).slice(row, end - row) for k in range(len(kept))),
-                        pa.ListArray.from_arrays(pa.array(run_rows.astype(np.int32)), runs),
-                        pa.ListArray.from_arrays(pa.array(of_row.astype(np.int32)), pa.array(rest, pa.string())),
-                    ],
-                    names=[*kept, "runs", "rest"],
-                )
+                words = [raw[a:b].decode("latin-1") for a, b in zip(starts[holes[sample]].tolist(), ends[holes[sample]].tolist())]
+                marks = pa.LargeListArray.from_arrays(pa.array(to[first]), pa.array(flat, pa.int32()))
+                columns = [batch.column(k).slice(row, end - row) for k in range(len(kept))]
+                held = _ipc(pa.RecordBatch.from_arrays([*columns, marks], names=[*kept, "marks"]))
+                lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([held], pa.binary()), lists], names=["held", "words"])
+
+    return docs.mapInArrow(job, "held binary, words array<string>")
+
+
+def _filled(marks: pa.LargeListArray, ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows and each row's first, from marks and the ids of the words that they stand for."""
+    flat, at = marks.flatten().to_numpy(), marks.offsets.to_numpy()
+    flat, at = flat, at - at[0]
+    begins, values = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy(zero_copy_only=False)
+    hole = flat < 0
+    word = np.where(hole, -1 - flat, 0)
+    length = np.ones(len(flat), np.int64)
+    length[hole] = (begins[1:] - begins[:-1])[word[hole]]
+    to = np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])
+    out = np.repeat(flat, length)
+    inside = np.repeat(hole, length)
+    place = np.arange(to[-1]) - np.repeat(to[:-1], length)
+    out[inside] = values[(np.repeat(np.where(hole, begins[word] if len(begins) > 1 else 0, 0), length) + place)[inside]]
+    return out, to[at]
+
+
+def _encoded(docs: DataFrame, ranks: dict[bytes, int], most: int, finish: Callable, fields: str) -> DataFrame:
+    """Documents, the text as last column, through both steps; finish(columns, ids, first) makes the rows."""
+    classes = character_classes()
+    dictionary = build_dictionary(docs.select(F.col(docs.columns[-1]).alias("text")), ranks, classes, most)
 
-    kept = docs.columns[:-1]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(job, f"{fields}runs array<array<int>>, rest array<string>")
-
-
-def encode(
-    docs: DataFrame, carry: tuple[str, ...] = (), path: str | None = None, most: int = DICTIONARY_WORDS
-) -> tuple[DataFrame, Codec]:
-    """(doc_id, carried columns, ids array<int>) of every document, and the codec for decoding."""
-    # Spark writes literals out in plan texts, of which the driver keeps many; these would take hundreds of megabytes.
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
-    codec, classes = Codec(read_ranks(path)), character_classes()
-    dictionary = build_dictionary(docs.select("text"), codec, classes, most)
-    found = _lookups(docs.select("doc_id", *carry, F.col("text").alias("to_encode")), codec, dictionary, classes)
-    folded = found.withColumn("folded", F.transform("rest", codec.fold))
-    nothing = F.array().cast("array<int>")
-    ids = F.flatten(F.zip_with("runs", "folded", lambda run, word: F.concat(run, F.coalesce(word, nothing))))
-    ids = F.when(F.size("folded") == 0, F.get("runs", F.lit(0))).otherwise(ids)
-    return folded.select("doc_id", *carry, ids.alias("ids")), codec
-
-
-def digest(docs: DataFrame, most: int = DICTIONARY_WORDS) -> DataFrame:
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                held = pa.ipc.open_stream(batch.column(0)[n].as_py()).read_next_batch()
+                ids, first = _filled(held.column(held.num_columns - 1), batch.column(1)[n].values)
+                yield finish(held.columns[:-1], ids, first)
+
+    chunked = folded(_lookups(docs, ranks, dictionary, classes), ranks)
+    return chunked.select("held", "ids").mapInArrow(job, fields)
+
+
+def encode(docs: DataFrame, carry: tuple[str, ...] = (), path: str | None = None, most: int = DICTIONARY_WORDS) -> DataFrame:
+    """(doc_id, carried columns, ids array<int>) of every document."""
+    own = docs.select("doc_id", *carry, F.col("text").alias("to_encode"))
+    kept = own.columns[:-1]
+
+    def finish(columns: list[pa.Array], ids: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32()))
+        return pa.RecordBatch.from_arrays([*columns, lists], names=[*kept, "ids"])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[:-1])
+    return _encoded(own, read_ranks(path), most, finish, f"{fields}ids array<int>")
+
+
+def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of `coded` with decoded: the binary that their ids stand for."""
+    shared = coded.sparkSession.sparkContext.broadcast(Pieces(read_ranks(path)))
+    names = coded.columns
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(names.index("ids"))
+            done = [shared.value.decode(ids[n].values.to_numpy(zero_copy_only=False)) for n in range(len(ids))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.binary())], names=[*names, "decoded"])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in coded.schema)
+    return coded.mapInArrow(job, f"{fields}decoded binary")
+
+
+def digest(docs: DataFrame, path: str | None = None, most: int = DICTIONARY_WORDS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    encoded, codec = encode(docs, most=most)
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(codec.ids_binary(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+    ranks = read_ranks(path)
+    shared = docs.sparkSession.sparkContext.broadcast(Pieces(ranks))
+    own = docs.select("doc_id", "text")
+
+    def finish(columns: list[pa.Array], ids: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        hexes = [], []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            hexes[0].append(hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest())
+            hexes[1].append(hashlib.sha256(shared.value.decode(ids[a:b])).hexdigest())
+        columns = [*columns, pa.array(np.diff(first)), pa.array(hexes[0], pa.string()), pa.array(hexes[1], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = own.schema["doc_id"].dataType.simpleString()
+    return _encoded(own, ranks, most, finish, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -152,13 +152,12 @@ def test_bpe_matches_the_library(odd):
     )
     # A small dictionary leaves most words to be folded in place.
     for most in (3, byte_bpe.DICTIONARY_WORDS):
-        assert sorted(map(tuple, byte_bpe.digest(odd, most).collect()), key=repr) == want
+        assert sorted(map(tuple, byte_bpe.digest(odd, most=most).collect()), key=repr) == want
 
 
 def test_bpe_round_trip_and_empty_table(odd, empty):
-    coded, codec = byte_bpe.encode(odd)
-    for r in coded.withColumn("back", codec.decode(coded["ids"])).collect():
-        assert bytes(r["back"]).decode() in [t or "" for i, t in ODD if i == r["doc_id"]]
+    for r in byte_bpe.decode(byte_bpe.encode(odd)).collect():
+        assert bytes(r["decoded"]).decode() in [t or "" for i, t in ODD if i == r["doc_id"]]
     assert byte_bpe.digest(empty).count() == 0
 
 
