@@ -40,7 +40,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsieve.llm.common import byte_view, chunks, span_hashes
+from cellsieve.llm.common import U64, chunks, span_hashes
 from cellsieve.session import cut
 
 DICTIONARY_WORDS = 1 << 20
@@ -121,8 +121,8 @@ class Dictionary(NamedTuple):
     @classmethod
     def of(cls, words: pa.Array, ids: pa.Array) -> Dictionary:
         """From a binary column and a list<int> column."""
-        data, at = byte_view(words)
-        hashes = span_hashes(data, at[:-1], at[1:])
+        parts = [span_hashes(data, at[:-1], at[1:]) for _, _, data, at in chunks(words)]
+        hashes = np.concatenate(parts) if parts else np.zeros(0, U64)
         order = np.argsort(hashes)
         begins = ids.offsets.to_numpy().astype(np.int64)
         lengths = np.diff(begins)[order]
@@ -242,11 +242,10 @@ def fold(word: Column, ranks: Column) -> Column:
 
 
 def folded(batches: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Batches with an array of words, plus ids: array<array<int>>."""
+    """Batches (one, words: array<string>, ...) with ids: array<array<int>> instead of one, which is always 1."""
     table = F.broadcast(rank_table(batches.sparkSession, ranks))
-    joined = batches.withColumn("one", F.lit(1)).join(table, "one")
     ids = F.transform("words", lambda w: fold(w, F.col("ranks")))
-    return joined.select(*batches.columns, ids.alias("ids"))
+    return batches.join(table, "one").select(*batches.columns, ids.alias("ids")).drop("one")
 
 
 class Pieces:
@@ -299,16 +298,17 @@ def count_words(texts: DataFrame, classes: np.ndarray, known: np.ndarray) -> Dat
 
 
 def _packed(words: DataFrame) -> DataFrame:
-    """Rows (word) as batches (words: array<string>)."""
+    """Rows (word) as batches (one, words: array<string>)."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, WORDS_AT_ONCE):
                 part = batch.column(0).slice(at, WORDS_AT_ONCE).cast(pa.string())
                 part = pa.array(part.to_pylist(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)], names=["words"])
+                lists = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), lists], names=["one", "words"])
 
-    return words.mapInArrow(job, "words array<string>")
+    return words.mapInArrow(job, "one int, words array<string>")
 
 
 def build_dictionary(texts: DataFrame, ranks: dict[bytes, int], classes: np.ndarray, most: int = DICTIONARY_WORDS) -> Dictionary:
@@ -337,7 +337,7 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
 
 
 def _lookups(docs: DataFrame, ranks: dict[bytes, int], dictionary: Dictionary, classes: np.ndarray) -> DataFrame:
-    """One row (held, words) for each chunk of documents: held is an Arrow stream of the columns but the last, the
+    """One row (one, held, words) for each chunk of documents: held is an Arrow stream of the columns but the last, the
     text, with marks: list<int32> of ids, where -n stands for the n-th of `words`, which are distinct."""
     shared = docs.sparkSession.sparkContext.broadcast((dictionary, classes, ranks))
     kept = docs.columns[:-1]
@@ -372,9 +372,11 @@ def _lookups(docs: DataFrame, ranks: dict[bytes, int], dictionary: Dictionary, c
                 columns = [batch.column(k).slice(row, end - row) for k in range(len(kept))]
                 held = _ipc(pa.RecordBatch.from_arrays([*columns, marks], names=[*kept, "marks"]))
                 lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array([held], pa.binary()), lists], names=["held", "words"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([1], pa.int32()), pa.array([held], pa.binary()), lists], names=["one", "held", "words"]
+                )
 
-    return docs.mapInArrow(job, "held binary, words array<string>")
+    return docs.mapInArrow(job, "one int, held binary, words array<string>")
 
 
 def _filled(marks: pa.LargeListArray, ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:

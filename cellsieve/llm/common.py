@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,21 +80,30 @@ def word_spans(separator: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_powers = [np.ones(1, U64), np.ones(1, U64)]
+@lru_cache(maxsize=1)
+def _power_tables(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    tables = []
+    for factor in (BASE, INVERSE):
+        p = np.ones(1 << bits, U64)
+        size, step = 1, factor
+        while size < len(p):
+            p[size : 2 * size] = p[:size] * U64(step)
+            size, step = 2 * size, step * step & (1 << 64) - 1
+        tables.append(p)
+    return tables[0], tables[1]
+
+
+@lru_cache(maxsize=1)
+def _widest() -> list[int]:
+    return [0]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i below n, modulo 2**64."""
-    if len(_powers[0]) < n:
-        n = 1 << (n - 1).bit_length()
-        for k, factor in enumerate((BASE, INVERSE)):
-            p = np.ones(n, U64)
-            size, step = 1, factor
-            while size < n:
-                p[size : 2 * size] = p[:size] * U64(step)
-                size, step = 2 * size, step * step & (1 << 64) - 1
-            _powers[k] = p
-    return _powers[0], _powers[1]
+    """BASE**i and BASE**-i for i below n or more, modulo 2**64. The tables live in caches, which are not sent along
+    with functions that use them."""
+    widest = _widest()
+    widest[0] = max(widest[0], (n - 1).bit_length())
+    return _power_tables(widest[0])
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
