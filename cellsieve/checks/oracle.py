@@ -699,3 +699,16 @@ for _name, _same in {
     "hybrid_base_pos_counted": "hybrid_base_pos",
 }.items():
     ORACLES[_name] = ORACLES[_same]
+
+# ---------------------------------------------------------------- what trained results must satisfy, whatever they are
+
+ORACLES["ivf_train"] = f"""WITH {ITEMS}
+SELECT count(*) AS stored, count(DISTINCT item_id) AS ids, 0::BIGINT AS misplaced, 16::BIGINT AS cells, 16::BIGINT AS unit,
+  true AS better_than_seeds FROM items"""
+
+ORACLES["ivf_build"] = """
+SELECT count(*) AS stored, count(DISTINCT doc_id) AS ids, 0::BIGINT AS misplaced, 16::BIGINT AS cells, 16::BIGINT AS unit,
+  0::BIGINT AS wrong_codes, count(*) AS total FROM documents"""
+
+ORACLES["pq_train"] = f"""
+SELECT m::INT AS m, {CODES}::BIGINT AS codes, {WIDTH}::INT AS width, true AS no_worse_than_seeds FROM range({PQ_M}) t(m)"""

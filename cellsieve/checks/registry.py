@@ -12,7 +12,7 @@ from cellsieve.checks import standins as st
 from cellsieve.functions.dates import load_date
 from cellsieve.functions.text import embed_text
 from cellsieve.functions.values import flatten_to_text
-from cellsieve.functions.vectors import l2_normalize
+from cellsieve.functions.vectors import inner_product, l2_normalize, settle
 from cellsieve.operators import ingest, ivf, pq
 from cellsieve.operators import predicates as preds
 from cellsieve.operators.histogram import Histogram2D
@@ -413,12 +413,44 @@ def ivf_save_load(spark, sf_dir):
     return sizes.withColumn("total", F.lit(loaded.total)).withColumn("nlist", F.lit(loaded.nlist))
 
 
+def _unit_cells(cells: ivf.Cells) -> dict:
+    """cells, unit: centroids, and how many of them have length one."""
+    norm = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda t, x: t + x * x))
+    found = cells.frame.agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.abs(norm - 1) < 1e-6).alias("unit")).head()
+    return {name: F.lit(found[name]).cast("bigint") for name in ("cells", "unit")}
+
+
+def _misplaced(vectors: DataFrame, cells: ivf.Cells) -> DataFrame:
+    """(stored, ids, misplaced): rows, distinct ids, and rows for which another cell is nearer than their own. The few
+    cells are met by an explode and a join, apart from the code that placed the rows."""
+    names = [r["cell_id"] for r in cells.frame.select("cell_id").collect()]
+    others = cells.frame.select(F.col("cell_id").alias("other"), "centroid")
+    pairs = vectors.select("item_id", "cell_id", "embedding", F.explode(F.array(*map(F.lit, names))).alias("other"))
+    scored = pairs.join(others, "other").withColumn("sim", settle(inner_product(F.col("centroid"), F.col("embedding"))))
+    best = scored.groupBy("item_id").agg(
+        F.max_by("other", F.struct("sim", F.negative("other"))).alias("best"), F.first("cell_id").alias("own"), F.count(F.lit(1)).alias("n")
+    )
+    return best.agg(
+        (F.sum("n") / len(names)).cast("bigint").alias("stored"),
+        F.count(F.lit(1)).alias("ids"),
+        F.count_if(F.col("best") != F.col("own")).alias("misplaced"),
+    )
+
+
 @query
 def ivf_train(spark, sf_dir):
-    collection = st.items(spark, sf_dir)
-    trained = ivf.train_centroids(ivf.train_sample(collection, "item_id", 100_000), 16)
-    placed = ivf.assign_cells(collection.select("item_id", "embedding"), trained)
-    return placed.groupBy("cell_id").agg(F.count(F.lit(1)).alias("members"))
+    """What training must give whatever the sample: unit centroids, rows at their nearest one, similarity to it no
+    worse than that to the seeds."""
+    collection = cut(st.unit_items(spark, sf_dir).select("item_id", "embedding"))
+    trained = ivf.Cells(cut(ivf.train_centroids(ivf.train_sample(collection, "item_id", 100_000), 16)))
+
+    def fit_of(cells):
+        near = ivf.nearest_cells(collection, cells, "embedding", 1, "item_id")
+        return near.agg(F.sum(F.col("cell_sims")[0])).head()[0]
+
+    better = fit_of(trained) >= fit_of(ivf.Cells(cut(st.seed_centroids(collection, 16))))
+    placed = cut(ivf.assign_cells(collection, trained))
+    return _misplaced(placed, trained).withColumns(_unit_cells(trained) | {"better_than_seeds": F.lit(better)})
 
 
 @query
@@ -490,9 +522,13 @@ def pq_rerank(spark, sf_dir):
 
 @query
 def pq_train(spark, sf_dir):
-    index = st.coarse_index(st.items(spark, sf_dir))
-    books = pq.train_codebooks(index.vectors, index.cells, PQ_M, PQ_BITS, iterations=5)
-    return books.select("m", "j", F.posexplode("codeword").alias("pos", "x"))
+    """Codebooks of full shape whose error is no larger than that of the seeds they started from."""
+    index, with_residual, seeds = _seed_codes(spark, sf_dir)
+    with_residual = cut(with_residual)
+    books = cut(pq.train_codebooks(index.vectors, index.cells, PQ_M, PQ_BITS, iterations=5))
+    better = pq.codebook_error(with_residual, pq.codebook_array(books)) <= pq.codebook_error(with_residual, seeds)
+    shape = books.groupBy("m").agg(F.count(F.lit(1)).alias("codes"), F.max(F.size("codeword")).alias("width"))
+    return shape.withColumn("no_worse_than_seeds", F.lit(better))
 
 
 # ----------------------------------------------------------------------------------------------- hybrid methods
@@ -625,7 +661,11 @@ def ivf_build(spark, sf_dir):
     index = build_index(
         documents, scratch_path(spark, "index"), nlist=16, pq_m=PQ_M, pq_bits=PQ_BITS, train_size=5000, max_iter=5
     )
-    return index.cell_sizes()
+    fresh = pq.encode(index.vectors.drop("code"), index.cells, index.codebooks)
+    both = index.vectors.select("item_id", "code").join(fresh.select("item_id", F.col("code").alias("again")), "item_id")
+    wrong = both.where(F.coalesce(F.col("code") != F.col("again"), F.lit(True))).count()
+    more = {"wrong_codes": F.lit(wrong).cast("bigint"), "total": F.lit(index.total).cast("bigint")}
+    return _misplaced(index.vectors, index.cells).withColumns(_unit_cells(index.cells) | more)
 
 
 @query

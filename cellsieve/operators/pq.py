@@ -112,6 +112,23 @@ def encode(placed: DataFrame, centroids, codebooks: DataFrame, vector: str = "em
     return placed.select(*columns, *extra).mapInArrow(run, out_schema)
 
 
+def codebook_error(with_residual: DataFrame, books: np.ndarray) -> float:
+    """Sum of squared distances of all residuals from their nearest codewords."""
+    m, _, width = books.shape
+
+    def partial(batches):
+        total = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                residual = matrix_of(batch.column("residual"))
+                nearest = _nearest_codes(residual, books)
+                parts = residual.reshape(len(residual), m, width)
+                total += sum(float(((parts[:, i, :] - books[i][nearest[:, i]]) ** 2).sum()) for i in range(m))
+        yield pa.RecordBatch.from_arrays([pa.array([total])], ["error"])
+
+    return with_residual.select("residual").mapInArrow(partial, "error double").agg(F.sum("error")).head()[0] or 0.0
+
+
 def codebook_step(with_residual: DataFrame, books: np.ndarray) -> DataFrame:
     """One Lloyd step for all sub-spaces at once: (m, j, codeword, members).
 

@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cellsieve.checks.oracle import ORACLES
+from cellsieve.checks.registry import QUERIES
 from tools.check import TABLES, table_rows
 
 
@@ -15,11 +17,11 @@ def duck(sf_dir):
     return connection
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, sf_dir, duck, name):
-    df = entry.queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     mine = table_rows(df.columns, [tuple(r) for r in df.collect()])
-    sql = entry.oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql is None:
         assert mine
         return
