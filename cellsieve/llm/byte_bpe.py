@@ -44,7 +44,8 @@ from cellsieve.llm.common import U64, chunks, span_hashes
 from cellsieve.session import cut
 
 DICTIONARY_WORDS = 1 << 20
-TASK_WORDS = 300_000
+TASK_WORDS = 200_000
+CHUNK = 1 << 19
 LONG = 400
 BUCKETS = 1 << 16
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -278,7 +279,7 @@ def count_words(texts: DataFrame, classes: np.ndarray, known: np.ndarray) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
+            for _, _, data, offsets in chunks(batch.column(0), CHUNK):
                 starts, ends, _ = pretokens(data, offsets, kinds)
                 hashes, first, counts = np.unique(span_hashes(data, starts, ends), return_index=True, return_counts=True)
                 at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
@@ -345,7 +346,7 @@ def _lookups(docs: DataFrame, ranks: dict[bytes, int], dictionary: Dictionary, c
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, kinds, known = shared.value
         for batch in batches:
-            for row, end, data, offsets in chunks(batch.column(len(kept))):
+            for row, end, data, offsets in chunks(batch.column(len(kept)), CHUNK):
                 starts, ends, first = pretokens(data, offsets, kinds)
                 hashes = span_hashes(data, starts, ends)
                 place = table.find(hashes)
