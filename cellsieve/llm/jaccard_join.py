@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsieve.llm.common import LOWER, SPACES, U64, chunks, mix, span_hashes, word_spans
+from cellsieve.llm.common import LOWER, SPACES, U64, chunks, mix, release, small_batches, span_hashes, word_spans
 from cellsieve.session import cut
 
 BLOCK_FEATURES = 400_000
@@ -332,18 +332,21 @@ def components(links: DataFrame) -> DataFrame:
 
 def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, name) of every row, and (name, component_id) of every named set."""
-    threshold = Fraction(percent, 100)
+    threshold, spark = Fraction(percent, 100), docs.sparkSession
+    small_batches(spark)
     every = cut(_classes(docs, words))
     classes = cut(every.where("name IS NOT NULL AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("first_id")))
     signed = _signed(docs, words, threshold)
     around = "PARTITION BY sig"
     shared = signed.withColumns({"hub": F.expr(f"min(name) OVER ({around})"), "last": F.expr(f"max(name) OVER ({around})")})
     shared = cut(shared.where("hub < last").select("sig", "name", "hub"))
+    release(spark)  # the signatures' shuffle is the largest
     pairs = cut(shared.where("name <> hub").select("name", "hub").distinct())
     needed = pairs.select("name").union(pairs.select("hub")).distinct().join(classes, "name")
     texts = docs.select("doc_id", "text").join(needed.select("name", F.col("first_id").alias("doc_id")), "doc_id")
     sets = cut(_sets(texts, words).dropDuplicates(["name"]))
     compared = cut(_hub_links(pairs, sets, percent))
+    release(spark)
     linked = compared.where("linked").select(F.col("hub").alias("low"), F.col("name").alias("high"))
     # Signatures with a class that doesn't link to the hub: their classes, hubs included, are compared in full.
     open_ = shared.join(compared.where("NOT linked"), ["name", "hub"]).select("sig").distinct()
