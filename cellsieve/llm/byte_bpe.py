@@ -40,7 +40,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsieve.llm.common import U64, chunks, span_hashes
+from cellsieve.llm.common import U64, chunks, small_batches, span_hashes
 from cellsieve.session import cut
 
 DICTIONARY_WORDS = 1 << 20
@@ -399,6 +399,7 @@ def _filled(marks: pa.LargeListArray, ids: pa.ListArray) -> tuple[np.ndarray, np
 
 def _encoded(docs: DataFrame, ranks: dict[bytes, int], most: int, finish: Callable, fields: str) -> DataFrame:
     """Documents, the text as last column, through both steps; finish(columns, ids, first) makes the rows."""
+    small_batches(docs.sparkSession)
     classes = character_classes()
     dictionary = build_dictionary(docs.select(F.col(docs.columns[-1]).alias("text")), ranks, classes, most)
 
@@ -441,6 +442,26 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     return coded.mapInArrow(job, f"{fields}decoded binary")
 
 
+def encode_checked(docs: DataFrame, carry: tuple[str, ...] = (), path: str | None = None, most: int = DICTIONARY_WORDS) -> DataFrame:
+    """(doc_id, carried columns, n_tokens, ids, decoded): encode, decode in the same task, and say whether that gives
+    back the text."""
+    ranks = read_ranks(path)
+    shared = docs.sparkSession.sparkContext.broadcast(Pieces(ranks))
+    own = docs.select("doc_id", *carry, F.col("text").alias("to_compare"), F.col("text").alias("to_encode"))
+    kept = own.columns[:-2]
+
+    def finish(columns: list[pa.Array], ids: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        spans = zip(first[:-1].tolist(), first[1:].tolist(), columns[-1])
+        same = [shared.value.decode(ids[a:b]) == (t.as_py() or "").encode() for a, b, t in spans]
+        lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32()))
+        return pa.RecordBatch.from_arrays(
+            [*columns[:-1], pa.array(np.diff(first)), lists, pa.array(same, pa.bool_())], names=[*kept, "n_tokens", "ids", "decoded"]
+        )
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[:-2])
+    return _encoded(own, ranks, most, finish, f"{fields}n_tokens long, ids array<int>, decoded boolean")
+
+
 def digest(docs: DataFrame, path: str | None = None, most: int = DICTIONARY_WORDS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
     ranks = read_ranks(path)
