@@ -33,6 +33,7 @@ DIM = 8
 TRAIN_ROWS = 5000
 TRAIN_BYTES = 24 * 1024 * 1024
 EPOCHS = 6
+LEAST_STEPS = 400
 BATCH = 32
 RATE = 4.0
 THRESHOLD = 0.3
@@ -111,9 +112,10 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = rng.uniform(-0.5, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     rows, target = [features(t) for t in texts], np.asarray(labels, np.int64)
-    steps = EPOCHS * -(-len(rows) // BATCH)
-    step = 0
-    for _ in range(EPOCHS):
+    per_epoch = -(-len(rows) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
+    steps, step = epochs * per_epoch, 0
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), BATCH):
             pick = [r for r in order[at : at + BATCH].tolist() if len(rows[r][0])]
