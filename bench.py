@@ -81,6 +81,12 @@ def main() -> None:
             jobs[f"{method}_sel0.1_k{k}"] = lambda m=method, k=k: run(
                 hybrid.filtered_search(index, queries, filters[0.1], k, m, histogram)
             )
+    one = cut(queries.limit(1))
+    for method in hybrid.METHODS:
+        # What one interactive user waits for.
+        jobs[f"{method}_single_query"] = lambda m=method: run(
+            hybrid.filtered_search(index, one, filters[0.1], 10, m, histogram)
+        )
     jobs["ivf_search_nprobe16_k10"] = lambda: run(index.search(queries, 10, 16))
     jobs["exact_knn_k10"] = lambda: run(exact_knn(documents, queries, 10, dim=index.dim))
     jobs["embed_documents"] = lambda: run(

@@ -98,16 +98,16 @@ def test_methods_equal_their_loops(fine, queries, local, query_vectors, histogra
         expected |= {
             (qid, n + 1, int(local["ids"][i]), naive.sims[i], len(found) == k) for n, i in enumerate(found)
         }
-    got = hybrid.hybrid_search(fine, queries, predicates, k, method, histogram)
+    got = hybrid.filtered_search(fine, queries, predicates, k, method, histogram)
     assert {tuple(r) for r in got.select(*hybrid.RESULT_COLUMNS).collect()} == expected
 
 
 @pytest.mark.parametrize("method", [hybrid.BASE_POS, hybrid.ADAP_POS])
 def test_counting_equals_ranking(fine, queries, histogram, method, monkeypatch):
     args = (fine, queries, CASES["two columns"], 12, method, histogram)
-    ranked = {tuple(r) for r in hybrid.hybrid_search(*args).collect()}
+    ranked = {tuple(r) for r in hybrid.filtered_search(*args).collect()}
     monkeypatch.setattr(hybrid, "RANKED_CANDIDATES", 0)
-    assert {tuple(r) for r in hybrid.hybrid_search(*args).collect()} == ranked
+    assert {tuple(r) for r in hybrid.filtered_search(*args).collect()} == ranked
 
 
 @pytest.mark.parametrize("method", hybrid.METHODS)
@@ -117,18 +117,18 @@ def test_metadata_outside_the_index(spark, fine, queries, histogram, method):
     bare = replace(fine, vectors=fine.vectors.drop("token_count", "revdate"))
     items = fine.vectors.select("item_id", "token_count", "revdate")
     predicates = CASES["two columns"]
-    expected = {tuple(r) for r in hybrid.hybrid_search(fine, queries, predicates, 10, method, histogram).collect()}
-    got = hybrid.hybrid_search(bare, queries, predicates, 10, method, histogram, items)
+    expected = {tuple(r) for r in hybrid.filtered_search(fine, queries, predicates, 10, method, histogram).collect()}
+    got = hybrid.filtered_search(bare, queries, predicates, 10, method, histogram, items)
     assert {tuple(r) for r in got.collect()} == expected
     with pytest.raises(ValueError):
-        hybrid.hybrid_search(bare, queries, predicates, 10, method, histogram)
+        hybrid.filtered_search(bare, queries, predicates, 10, method, histogram)
 
 
 def test_unknown_method(fine, queries):
     with pytest.raises(ValueError):
-        hybrid.hybrid_search(fine, queries, [], 5, "pre_search")
+        hybrid.filtered_search(fine, queries, [], 5, "pre_search")
     with pytest.raises(ValueError):
-        hybrid.hybrid_search(fine, queries, [], 5, hybrid.ADAP_POS)
+        hybrid.filtered_search(fine, queries, [], 5, hybrid.ADAP_POS)
 
 
 @pytest.mark.parametrize(

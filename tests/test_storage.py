@@ -41,7 +41,7 @@ def test_probed_cells_and_predicates_reach_the_scan(stored, queries):
 
 
 def test_filtered_search_has_no_join_with_items(stored, queries):
-    found = hybrid.hybrid_search(stored, queries, [Predicate("token_count", 300, "<")], 5, hybrid.BASE_PRE)
+    found = hybrid.filtered_search(stored, queries, [Predicate("token_count", 300, "<")], 5, hybrid.BASE_PRE)
     text = plan(found)
     assert "Join" not in text and "CartesianProduct" not in text
     assert "LessThan(token_count,300)" in text
