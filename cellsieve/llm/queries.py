@@ -96,6 +96,31 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+ORACLES["op1_jaccard_join"] = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS f
+    FROM texts
+), sizes AS (SELECT doc_id, len(f) AS n FROM sets),
+each AS (SELECT doc_id, unnest(f) AS g FROM sets),
+pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * shared >= 90 * (p.n + q.n - shared)
+), ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+    SELECT doc_id, doc_id AS r FROM sizes
+    UNION
+    SELECT reach.doc_id, ways.y FROM reach JOIN ways ON ways.x = reach.r
+)
+SELECT doc_id, any_value(n) AS n_shingles, min(r) AS component_id FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"))
