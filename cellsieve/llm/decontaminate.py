@@ -5,10 +5,12 @@ capitalised word inside a sentence, a unit a listed word after a number. Windows
 and benchmark items meet in a hash join on window hashes. A bitmap of fixed size with the benchmark's hashes, sent to
 all tasks, keeps most other windows out of that join; what it lets through by chance the join removes.
 
-Matches of one document and one item on one diagonal (document position minus item position) belong together. They
-count when they cover LEAST_TOKENS tokens, or the whole of a shorter item, and when the slots agree: the same value of
-the item always stands for the same value of the document, and the other way round. So re-parameterised questions
-are caught, and texts that merely share a shape are not.
+Matches of one document and one item on one diagonal (document position minus item position) form runs of windows that
+overlap or touch. A run counts when it covers LEAST_TOKENS tokens, or the whole of a shorter item, and when its slots
+agree: the same value of the item always stands for the same value of the document, while two values of the item may
+become one. So re-parameterised questions are caught, and texts that merely share a shape are not. Runs too short by
+themselves count together when their windows would cover as much in one run and all their slots agree. Within one run
+a value that stands for two values rejects the whole run, its verbatim parts too.
 
 Items with equal texts are one item, named by the smallest id. A window needs LEAST_LITERAL tokens that are no
 placeholders; an item shorter than a window is one window of its own length.
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellsieve.llm.common import LOWER, U64, chunks, mix, powers, span_hashes, word_spans
@@ -181,10 +183,12 @@ def bitmap_of(windows: DataFrame) -> np.ndarray:
 
 
 def _agree(pairs: Column) -> Column:
-    """Whether distinct (item value, document value) pairs are one to one."""
-    left = F.array_distinct(F.transform(pairs, lambda p: p["of_item"]))
-    right = F.array_distinct(F.transform(pairs, lambda p: p["of_doc"]))
-    return (F.size(left) == F.size(pairs)) & (F.size(right) == F.size(pairs))
+    """Whether distinct (item value, document value) pairs give each item value one document value."""
+    return F.size(F.array_distinct(F.transform(pairs, lambda p: p["of_item"]))) == F.size(pairs)
+
+
+def _union(pairs: Column) -> Column:
+    return F.array_distinct(F.flatten(F.collect_set(pairs)))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -201,20 +205,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = of_docs.join(of_items, ["hash", "size"])
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("of_item"), b.alias("of_doc")))
     met = met.withColumn("pairs", pairs).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    runs = met.groupBy("doc_id", "item_id", "diagonal", "n_item_tokens").agg(
-        F.countDistinct("pos").alias("n_windows"),
+    keys = ["doc_id", "item_id", "diagonal", "n_item_tokens", "size"]
+    met = met.groupBy(*keys, "pos").agg(_union(F.col("pairs")).alias("pairs"))
+    along = Window.partitionBy(*keys).orderBy("pos")
+    apart = F.coalesce(F.col("pos") - F.lag("pos").over(along) > F.col("size"), F.lit(False))
+    runs = met.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(along)).groupBy(*keys, "run").agg(
+        F.count("*").alias("n_windows"),
         F.min("pos").alias("doc_start"),
-        F.min("item_pos").alias("item_start"),
-        F.max("size").alias("size"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        (F.max("pos") - F.min("pos") + F.first("size")).alias("n_covered"),
+        _union(F.col("pairs")).alias("pairs"),
+    )
+    run = F.struct("n_windows", "n_covered", F.col("n_covered").cast("long").alias("evidence"), "doc_start", "pairs")
+    pooled = F.struct(
+        F.sum("n_windows").alias("n_windows"),
+        F.sum("n_covered").cast("int").alias("n_covered"),
+        (F.sum("n_windows") - 1 + F.first("size")).alias("evidence"),
+        F.min("doc_start").alias("doc_start"),
+        _union(F.col("pairs")).alias("pairs"),
     )
-    runs = runs.withColumn("n_covered", (F.col("n_windows") - 1 + F.col("size")).cast("int"))
-    enough = F.col("n_covered") >= F.least(F.col("n_item_tokens"), F.lit(LEAST_TOKENS))
-    runs = runs.where(enough & _agree(F.col("pairs")))
-    runs = runs.withColumn("same_values", ~F.exists("pairs", lambda p: p["of_item"] != p["of_doc"]))
+    parts = runs.groupBy(*keys).agg(F.collect_list(run).alias("runs"), pooled.alias("pooled"))
+    parts = parts.select(*keys, F.explode(F.concat("runs", F.array("pooled"))).alias("part")).select(*keys, "part.*")
+    parts = parts.withColumn("item_start", F.col("doc_start") - F.col("diagonal"))
+    enough = F.col("evidence") >= F.least(F.col("n_item_tokens"), F.lit(LEAST_TOKENS))
+    parts = parts.where(enough & _agree(F.col("pairs")))
+    parts = parts.withColumn("same_values", ~F.exists("pairs", lambda p: p["of_item"] != p["of_doc"]))
     shown = ("n_windows", "n_covered", "doc_start", "item_start", "n_item_tokens", "same_values")
     order = F.struct("n_windows", F.negative("doc_start"), F.negative("item_start"), "same_values")
-    best = runs.groupBy("doc_id", "item_id").agg(*(F.max_by(c, order).alias(c) for c in shown))
+    best = parts.groupBy("doc_id", "item_id").agg(*(F.max_by(c, order).alias(c) for c in shown))
     return best.select("doc_id", "item_id", "doc_start", "item_start", "n_windows", "n_covered", "n_item_tokens", "same_values")
 
 

@@ -340,6 +340,22 @@ def test_leaks_and_slots(spark):
     assert set(kept) >= {3, 4, 6, 7, 8} and not {1, 2} & set(kept)
 
 
+def test_slots_are_judged_by_run(spark):
+    item = "a box holds 3 red balls and 5 blue balls so how many balls are in the box"
+    verbatim = "once there were 48 cats that sat on the wall near the old mill by the river"
+    parted = f"{verbatim} {' '.join(f'gap{k}' for k in range(9))} and later on 48 dogs came to the same wall to look at them"
+    rows = [
+        (1, item.replace("3", "4").replace("5", "4")),  # two values become one
+        (2, parted.replace("gap4", "other").replace("48 dogs", "50 dogs")),  # another value in another run
+        (3, item.replace("3", "4").replace("5", "4").replace("balls are", "cups are")),
+    ]
+    benchmark = spark.createDataFrame([(1, item), (2, parted)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(frame(spark, rows), benchmark).collect()}
+    assert set(found) == {(1, 1), (2, 2), (3, 1)}
+    assert not found[1, 1]["same_values"] and found[1, 1]["n_covered"] == 18
+    assert found[2, 2]["doc_start"] == found[2, 2]["item_start"]
+
+
 def test_leaks_in_the_tables(spark, sf_dir, empty):
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     items = [(r["item_id"], r["text"]) for r in benchmark.collect()]
