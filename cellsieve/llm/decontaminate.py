@@ -1,8 +1,10 @@
-"""Benchmark decontamination by templates.
+"""Benchmark decontamination by templates and verbatim windows.
 
 Texts become tokens: lower-cased words, with numbers, names and units replaced by typed placeholders. A name is a
 capitalised word inside a sentence, a unit a listed word after a number. Windows of WINDOW tokens are hashed; documents
-and benchmark items meet in a hash join on window hashes. A bitmap of fixed size with the benchmark's hashes, sent to
+and benchmark items meet in a hash join on window hashes. Beside these template windows there are literal ones over the
+lower-cased tokens as they are, so that a verbatim copy is found however many slots it has and however its
+letters and stops are written. A bitmap of fixed size with the benchmark's hashes, sent to
 all tasks, keeps most other windows out of that join; what it lets through by chance the join removes.
 
 Matches of one document and one item on one diagonal (document position minus item position) form runs of windows that
@@ -12,17 +14,18 @@ become one. So re-parameterised questions are caught, and texts that merely shar
 themselves count together when their windows would cover as much in one run and all their slots agree. Within one run
 a value that stands for two values rejects the whole run, its verbatim parts too.
 
-Items with equal texts are one item, named by the smallest id. A window needs LEAST_LITERAL tokens that are no
-placeholders; an item shorter than a window is one window of its own length.
+Items with equal texts are one item, named by the smallest id. A template window needs LEAST_LITERAL tokens that are no
+placeholders, a literal one needs none; an item shorter than a window is one window of its own length.
 
 Defined cases: null and empty texts have no windows and are never reported; an item without LEAST_LITERAL plain tokens
-cannot be found; a null item or document id keeps its place as a value; repeated document ids are reported once per
+is found verbatim only; a null item or document id keeps its place as a value; repeated document ids are reported once per
 item; an empty table on either side reports nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,7 @@ WINDOW = 8
 LEAST_LITERAL = 4
 LEAST_TOKENS = 13
 BITMAP_BITS = 24
+LITERAL = 1 << 32
 
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonnes lb lbs "
@@ -79,6 +83,7 @@ class Tokens:
         self.starts, self.ends, self.first = word_spans(~word, offsets)
         self.lower = LOWER[data]
         self.hash = span_hashes(self.lower, self.starts, self.ends)
+        self.literal = self.hash.copy()
         n = len(self.starts)
         self.slot = np.zeros(n, bool)
         if not n:
@@ -102,20 +107,24 @@ class Tokens:
         self.hash[unit] = UNIT
         self.slot = name | number | unit
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First token and hash of each window of `size` tokens within a row that has enough plain tokens."""
+    def windows(self, size: int, literal: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """First token and hash of each window of `size` tokens within a row: of the template windows those that have
+        enough plain tokens, of the literal ones all."""
+        tokens = self.literal if literal else self.hash
         n = len(self.hash) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, U64)
         forward, back = powers(len(self.hash) + 1)
         sums = np.zeros(len(self.hash) + 1, U64)
-        np.cumsum(self.hash * forward[: len(self.hash)], out=sums[1:])
+        np.cumsum(tokens * forward[: len(tokens)], out=sums[1:])
         plain = np.zeros(len(self.hash) + 1, np.int64)
         np.cumsum(~self.slot, out=plain[1:])
         row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        ok = (row[:n] == row[size - 1 :]) & (plain[size:] - plain[:n] >= min(LEAST_LITERAL, size))
+        ok = row[:n] == row[size - 1 :]
+        if not literal:
+            ok &= plain[size:] - plain[:n] >= min(LEAST_LITERAL, size)
         at = np.flatnonzero(ok)
-        return at, mix((sums[at + size] - sums[at]) * back[at] + U64(size))
+        return at, mix((sums[at + size] - sums[at]) * back[at] + U64(size + LITERAL * literal))
 
     def slots(self, at: int, size: int) -> list[str]:
         return [
@@ -128,12 +137,12 @@ def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == hashes
 
 
-WINDOW_FIELDS = "pos int, size int, n_tokens int, hash long, slots array<string>"
+WINDOW_FIELDS = "pos int, size int, n_tokens int, hash long, literal boolean, slots array<string>"
 
 
 def template_windows(texts: DataFrame, id_col: str, sizes: list[int], bitmap=None, whole: bool = False) -> DataFrame:
-    """(id, pos, size, n_tokens, hash, slots) of the windows; with a bitmap, of those whose bit is set. With `whole`,
-    a text shorter than a window is one window of its own length."""
+    """(id, pos, size, n_tokens, hash, literal, slots) of template and literal windows; with a bitmap, of those whose
+    bit is set. With `whole`, a text shorter than a window is one window of its own length."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(bitmap)
     kind = texts.schema[id_col].dataType.simpleString()
@@ -144,8 +153,8 @@ def template_windows(texts: DataFrame, id_col: str, sizes: list[int], bitmap=Non
             for row, end, data, offsets in chunks(batch.column(1)):
                 tokens = Tokens(data, offsets)
                 count = np.diff(tokens.first)
-                for size in sizes:
-                    at, hashes = tokens.windows(size)
+                for size, literal in product(sizes, (False, True)):
+                    at, hashes = tokens.windows(size, literal)
                     if bits is not None:
                         place = hashes >> U64(64 - BITMAP_BITS)
                         hit = (bits[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8)) & 1
@@ -164,9 +173,10 @@ def template_windows(texts: DataFrame, id_col: str, sizes: list[int], bitmap=Non
                             pa.array(np.full(len(at), size, np.int32)),
                             pa.array(count[own].astype(np.int32)),
                             pa.array(hashes.view(np.int64)),
+                            pa.array(np.full(len(at), literal)),
                             pa.array([tokens.slots(k, size) for k in at.tolist()], pa.list_(pa.string())),
                         ],
-                        names=[id_col, "pos", "size", "n_tokens", "hash", "slots"],
+                        names=[id_col, "pos", "size", "n_tokens", "hash", "literal", "slots"],
                     )
 
     return texts.mapInArrow(job, f"`{id_col}` {kind}, {WINDOW_FIELDS}")
@@ -199,35 +209,45 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r["size"] for r in of_items.select("size").distinct().collect())
     of_docs = template_windows(docs.select("doc_id", "text"), "doc_id", sizes, bitmap_of(of_items))
     of_items = of_items.select(
-        "item_id", "hash", "size", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("n_tokens").alias("n_item_tokens")
+        "item_id", "hash", "size", "literal",
+        F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("n_tokens").alias("n_item_tokens"),
     )
-    of_docs = of_docs.select("doc_id", "hash", "size", "pos", "slots")
-    met = of_docs.join(of_items, ["hash", "size"])
-    pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("of_item"), b.alias("of_doc")))
+    of_docs = of_docs.select("doc_id", "hash", "size", "literal", "pos", "slots")
+    met = of_docs.join(of_items, ["hash", "size", "literal"])
+    # A literal window has the item's own values, also where the document's way of writing hides that they are slots.
+    slots = F.when(F.col("literal"), F.col("item_slots")).otherwise(F.col("slots"))
+    pairs = F.zip_with("item_slots", slots, lambda a, b: F.struct(a.alias("of_item"), b.alias("of_doc")))
     met = met.withColumn("pairs", pairs).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+    met = met.withColumn("of_template", F.when(~F.col("literal"), F.col("pairs")))
     keys = ["doc_id", "item_id", "diagonal", "n_item_tokens", "size"]
-    met = met.groupBy(*keys, "pos").agg(_union(F.col("pairs")).alias("pairs"))
+    both = [_union(F.col(c)).alias(c) for c in ("pairs", "of_template")]
+    met = met.groupBy(*keys, "pos").agg(F.max((~F.col("literal")).cast("int")).alias("template"), *both)
     along = Window.partitionBy(*keys).orderBy("pos")
     apart = F.coalesce(F.col("pos") - F.lag("pos").over(along) > F.col("size"), F.lit(False))
     runs = met.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(along)).groupBy(*keys, "run").agg(
         F.count("*").alias("n_windows"),
+        F.sum("template").alias("n_template"),
         F.min("pos").alias("doc_start"),
         (F.max("pos") - F.min("pos") + F.first("size")).alias("n_covered"),
-        _union(F.col("pairs")).alias("pairs"),
+        *both,
     )
-    run = F.struct("n_windows", "n_covered", F.col("n_covered").cast("long").alias("evidence"), "doc_start", "pairs")
+    evidence = F.col("n_covered").cast("long").alias("evidence")
+    run = F.struct("n_windows", "n_template", "n_covered", evidence, "doc_start", "pairs", "of_template")
     pooled = F.struct(
         F.sum("n_windows").alias("n_windows"),
+        F.sum("n_template").alias("n_template"),
         F.sum("n_covered").cast("int").alias("n_covered"),
         (F.sum("n_windows") - 1 + F.first("size")).alias("evidence"),
         F.min("doc_start").alias("doc_start"),
-        _union(F.col("pairs")).alias("pairs"),
+        *both,
     )
     parts = runs.groupBy(*keys).agg(F.collect_list(run).alias("runs"), pooled.alias("pooled"))
     parts = parts.select(*keys, F.explode(F.concat("runs", F.array("pooled"))).alias("part")).select(*keys, "part.*")
     parts = parts.withColumn("item_start", F.col("doc_start") - F.col("diagonal"))
-    enough = F.col("evidence") >= F.least(F.col("n_item_tokens"), F.lit(LEAST_TOKENS))
-    parts = parts.where(enough & _agree(F.col("pairs")))
+    least = F.least(F.col("n_item_tokens"), F.lit(LEAST_TOKENS))
+    by_all = (F.col("evidence") >= least) & _agree(F.col("pairs"))
+    by_template = (F.col("n_template") - 1 + F.col("size") >= least) & _agree(F.col("of_template"))
+    parts = parts.where(by_all | by_template)
     parts = parts.withColumn("same_values", ~F.exists("pairs", lambda p: p["of_item"] != p["of_doc"]))
     shown = ("n_windows", "n_covered", "doc_start", "item_start", "n_item_tokens", "same_values")
     order = F.struct("n_windows", F.negative("doc_start"), F.negative("item_start"), "same_values")

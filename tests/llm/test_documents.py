@@ -356,6 +356,24 @@ def test_slots_are_judged_by_run(spark):
     assert found[2, 2]["doc_start"] == found[2, 2]["item_start"]
 
 
+def test_verbatim_copies_of_dense_and_restyled_items(spark):
+    items = [
+        (1, "What is 12 + 7 - 5 + 30 - 8 + 2 when the sum is then doubled?"),
+        (2, "Which of Paris, London, Rome, Berlin, Madrid, Vienna and Lisbon is the largest?"),
+        (3, "He walks there. Anna counts the tall trees. Every second one is old. Nobody knows why"),
+        (4, "12 7 5 30 8"),
+    ]
+    filler = " ".join(f"filler{k}" for k in range(30))
+    rows = [(k, f"{filler} {text} {filler}") for k, text in items]
+    rows += [(k + 10, f"{filler} {text.upper()} {filler}") for k, text in items]
+    rows += [(k + 20, f"{filler} {re.sub('[.?,]', '', text)} {filler}") for k, text in items]
+    rows += [(31, items[0][1].replace("sum", "total").replace("12", "13")), (32, "12 7 5 30 9")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["same_values"]) for r in decontaminate.find_leaks(frame(spark, rows), benchmark).collect()}
+    assert found >= {(k + more, k, True) for k, _ in items for more in (0, 10, 20)}
+    assert not {31, 32} & {doc for doc, _, _ in found}
+
+
 def test_leaks_in_the_tables(spark, sf_dir, empty):
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     items = [(r["item_id"], r["text"]) for r in benchmark.collect()]
