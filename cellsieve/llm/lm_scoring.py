@@ -7,8 +7,12 @@ times that of the word among the words with that id:
 
 with c the word's count, N_id the tokens and V_id the distinct words with that id in the training documents. Word
 counts and the counts of neighbouring ids are gathered from every training document. The ids are predicted by a causal
-self-attention layer over the ids before, whose output corrects the logarithm of the neighbour counts; its tables are
-trained in numpy by Adam on the windows of a sample of training documents, bounded by TRAIN_DOCS and TRAIN_BYTES.
+self-attention layer over the ids before, whose output corrects the logarithm of the neighbour counts. Its tables are
+trained in the tasks, on every window of every training document: in each of ROUNDS rounds all tasks start from the same
+tables, run Adam over their own windows, and the tables are averaged, weighted by targets. Each round takes its share of
+the documents; a corpus with fewer than LEAST_TARGETS targets is gone over several times. No task holds more than a
+chunk of windows, and what reaches the driver are MERGED sums of the tables' size. The averages depend on how the rows
+are dealt to tasks.
 
 Scoring reads windows of WINDOW ids that overlap by half: the first half is context only, each id of the second half
 is scored, so every token is scored once with at least half a window before it, or all there is.
@@ -24,6 +28,7 @@ are scored whole; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,9 +45,10 @@ CLASSES = 128
 DIM = 16
 WINDOW = 32
 HALF = WINDOW // 2
-TRAIN_DOCS = 2000
-TRAIN_BYTES = 16 * 1024 * 1024
-STEPS = 500
+ROUNDS = 4
+LEAST_TARGETS = 512_000
+MOST_PASSES = 500
+MERGED = 8
 BATCH = 64
 RATE = 0.01
 TILE = 1024
@@ -153,27 +159,53 @@ class Attention:
         score = weight * (to_weight - (weight * to_weight).sum(axis=2, keepdims=True))
         out = {k: np.zeros_like(v) for k, v in t.items()}
         out["out"] = mixed.reshape(-1, DIM).T @ flat
-        np.add.at(out["value"], inputs, weight.transpose(0, 2, 1) @ back)
-        np.add.at(out["key"], inputs, score.transpose(0, 2, 1) @ query)
-        np.add.at(out["query"], last, score @ key / np.float32(np.sqrt(DIM)))
+        by_input = np.eye(CLASSES + 1, dtype=np.float32)[inputs.ravel()].T
+        out["value"] = by_input @ (weight.transpose(0, 2, 1) @ back).reshape(-1, DIM)
+        out["key"] = by_input @ (score.transpose(0, 2, 1) @ query).reshape(-1, DIM)
+        by_last = by_input.reshape(-1, *inputs.shape)[:, :, HALF:].reshape(CLASSES + 1, -1)
+        out["query"] = by_last @ (score @ key / np.float32(np.sqrt(DIM))).reshape(-1, DIM)
         np.add.at(out["near"], self.distance, np.where(self.hidden < 0, 0, score.sum(axis=0)))
         return out
 
-    def train(self, ids: np.ndarray, first: np.ndarray, steps: int = STEPS, seed: int = 6) -> None:
-        """Adam over random windows of the given rows."""
+    def train(self, ids: np.ndarray, first: np.ndarray, steps: int | None = None, passes: int = 1, adam: Adam | None = None, rate: float = RATE) -> int:
+        """Adam over all windows of the given rows in a random order, `passes` times or for `steps` steps; the number of
+        targets in these rows."""
         inputs, targets = windows_of(ids, first)
         if not len(inputs):
-            return
-        rng = np.random.default_rng(seed)
-        mean = {k: np.zeros_like(v) for k, v in self.tables.items()}
-        square = {k: np.zeros_like(v) for k, v in self.tables.items()}
-        for step in range(1, steps + 1):
-            pick = rng.integers(0, len(inputs), BATCH)
-            rate = RATE * (1 - step / (steps + 1))
-            for k, g in self.gradients(inputs[pick], targets[pick]).items():
-                mean[k] = 0.9 * mean[k] + 0.1 * g
-                square[k] = 0.999 * square[k] + 0.001 * g * g
-                self.tables[k] -= (rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            return 0
+        adam = adam or Adam(self.tables)
+        each = -(-len(inputs) // BATCH)
+        for step in range(passes * each if steps is None else steps):
+            if step % each == 0:
+                order = adam.rng.permutation(len(inputs))
+            pick = order[step % each * BATCH :][:BATCH]
+            adam.step(self.tables, self.gradients(inputs[pick], targets[pick]), rate)
+        return int((targets != PAD).sum())
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([self.tables[k].ravel() for k in sorted(self.tables)]).astype(np.float64)
+
+    def unpack(self, values: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.tables):
+            table = self.tables[k]
+            self.tables[k] = values[at : at + table.size].reshape(table.shape).astype(np.float32)
+            at += table.size
+
+
+class Adam:
+    def __init__(self, tables: dict[str, np.ndarray], seed: int = 6) -> None:
+        self.rng, self.steps = np.random.default_rng(seed), 0
+        self.mean = {k: np.zeros_like(v) for k, v in tables.items()}
+        self.square = {k: np.zeros_like(v) for k, v in tables.items()}
+
+    def step(self, tables: dict[str, np.ndarray], gradients: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        for k, g in gradients.items():
+            self.mean[k] = 0.9 * self.mean[k] + 0.1 * g
+            self.square[k] = 0.999 * self.square[k] + 0.001 * g * g
+            mean, square = self.mean[k] / (1 - 0.9**self.steps), self.square[k] / (1 - 0.999**self.steps)
+            tables[k] -= (rate * (mean / (np.sqrt(square) + 1e-8))).astype(np.float32)
 
 
 class Counts(NamedTuple):
@@ -259,27 +291,54 @@ def collect_counts(counts: DataFrame, most: int) -> tuple[Counts, int]:
     return Counts(h[order], n[order], tokens, distinct, pairs, int(tokens.sum()), int(distinct.sum())), least
 
 
-def train_model(training: DataFrame, pairs: np.ndarray) -> Attention:
-    """Train on a bounded sample of whole training documents: the first by a hash of id and text."""
-    model = Attention(pairs)
-    n = training.count()
-    sized = training.withColumn("k", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
-    sample = cut(sized.where(F.col("k") < int(min(1.0, 1.3 * TRAIN_DOCS / max(1, n)) * (1 << 30))))
-    total, limit = 0, -1
-    for r in sample.select("k", F.octet_length("text").alias("size")).orderBy("k").limit(TRAIN_DOCS).collect():
-        total += r["size"] or 0
-        if total > TRAIN_BYTES:
-            break
-        limit = r["k"]
-    texts = [r["text"] or "" for r in sample.where(F.col("k") <= limit).orderBy("k", "text").select("text").collect()]
-    ids, first = [], [0]
-    for _, _, data, offsets in chunks(pa.array(texts, pa.string())):
-        words = tokens_of(data, offsets)
-        ids.append(words.ids)
-        first += (words.first[1:] + first[-1]).tolist()
-    if ids:
-        model.train(np.concatenate(ids), np.array(first))
-    return model
+SUMS = "n long, tables binary"
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """One row of sums for each partition that has rows."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0.0
+        for batch in batches:
+            n += sum(batch.column(0).to_pylist())
+            total = total + sum(np.frombuffer(v, np.float64) for v in batch.column(1).to_pylist())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()])], names=["n", "tables"])
+
+    return rows.mapInArrow(job, SUMS)
+
+
+def _trained(texts: DataFrame, model: Attention, passes: int, rate: float, seed: int) -> DataFrame:
+    """From each task with rows: the targets it trained on, and its tables times that number."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, n = pickle.loads(pickle.dumps(shared.value)), 0
+        adam = Adam(net.tables, seed)
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column(0)):
+                words = tokens_of(data, offsets)
+                n += net.train(words.ids, words.first, passes=passes, adam=adam, rate=rate)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(n * net.packed()).tobytes()])], names=["n", "tables"])
+
+    return texts.mapInArrow(job, SUMS)
+
+
+def train_model(training: DataFrame, pairs: np.ndarray, total: int) -> tuple[Attention, int]:
+    """The model trained on all documents, which have `total` tokens, and the number of different targets it learned from."""
+    model, seen = Attention(pairs), 0
+    passes = min(MOST_PASSES, -(-LEAST_TARGETS // max(1, total)))
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
+    for number in range(ROUNDS):
+        texts = (training.where(share == number) if passes == 1 else training).select("text")
+        rate = RATE * (1 - number / ROUNDS)
+        sums = _summed(_trained(texts, model, -(-passes // ROUNDS), rate, number).repartition(MERGED)).collect()
+        n = sum(r["n"] for r in sums)
+        if n:
+            model.unpack(sum(np.frombuffer(r["tables"], np.float64) for r in sums) / n)
+        seen = seen + n if passes == 1 else n
+    return model, seen
 
 
 def _scored(docs: DataFrame, counts: Counts, model: Attention) -> DataFrame:
@@ -331,7 +390,8 @@ def score_documents(docs: DataFrame, most: int = DICTIONARY_WORDS) -> DataFrame:
     training = rows.where("NOT held_out").select("doc_id", "text")
     counts = cut(gather_counts(training.select("text")))
     table, least = collect_counts(counts, most)
-    scored = cut(_scored(rows, table, train_model(training, table.pairs)))
+    model, _ = train_model(training, table.pairs, table.total)
+    scored = cut(_scored(rows, table, model))
     rest = scored.select("row", F.explode("rest").alias("h")).groupBy("row", "h").agg(F.count("*").alias("times"))
     rare = counts.where(F.col("h").isNotNull() & (F.col("n") < least)).select("h", "n")
     sums = rest.join(rare, "h").groupBy("row").agg(

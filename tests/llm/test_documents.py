@@ -222,6 +222,18 @@ def test_lm_beats_counts_on_held_out_text(spark, sf_dir):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_attention_learns_from_every_training_document(spark):
+    rows = [(k, f"{'long ' * 9000 if k == 0 else ''}t{k} u{k % 7} v") for k in range(3000)]
+    docs = frame(spark, rows).select("doc_id", "text")
+    total = sum(len(text.split()) + 1 for _, text in rows)
+    for factor in (1, 50):  # a share of the documents in each round; all documents in every round
+        tokens = docs if factor == 1 else docs.where(f"doc_id % {factor} = 0")
+        own = sum(len(text.split()) + 1 for k, text in rows if k % factor == 0)
+        model, seen = lm_scoring.train_model(tokens, np.ones((lm_scoring.CLASSES, lm_scoring.CLASSES)), lm_scoring.LEAST_TARGETS if factor == 1 else own)
+        assert seen == own and (factor > 1 or own == total)
+        assert np.any(model.tables["out"])
+
+
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
