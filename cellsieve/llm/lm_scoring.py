@@ -393,7 +393,9 @@ def score_documents(docs: DataFrame, most: int = DICTIONARY_WORDS) -> DataFrame:
     model, _ = train_model(training, table.pairs, table.total)
     scored = cut(_scored(rows, table, model))
     rest = scored.select("row", F.explode("rest").alias("h")).groupBy("row", "h").agg(F.count("*").alias("times"))
-    rare = counts.where(F.col("h").isNotNull() & (F.col("n") < least)).select("h", "n")
+    # Beyond 10,000 counts are not told apart; the broadcast table is empty then, and every word is looked up here.
+    below = F.col("n") < least if least <= 10_000 else F.lit(True)
+    rare = counts.where(F.col("h").isNotNull() & below).select("h", "n")
     sums = rest.join(rare, "h").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("more_known")
     )

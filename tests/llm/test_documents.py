@@ -222,6 +222,13 @@ def test_lm_beats_counts_on_held_out_text(spark, sf_dir):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_counts_beyond_the_cap_are_known(spark):
+    docs = frame(spark, [(2, "a b c " * 10_001)])
+    few, all_ = (lm_scoring.score_documents(docs, most).first() for most in (1, lm_scoring.DICTIONARY_WORDS))
+    assert few["n_known"] == all_["n_known"] == 30_004
+    assert math.isclose(few["base_score"], all_["base_score"], rel_tol=1e-9)
+
+
 def test_attention_learns_from_every_training_document(spark):
     rows = [(k, f"{'long ' * 9000 if k == 0 else ''}t{k} u{k % 7} v") for k in range(3000)]
     docs = frame(spark, rows).select("doc_id", "text")
