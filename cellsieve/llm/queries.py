@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsieve.llm import byte_bpe, decontaminate, jaccard_join, license_templates, lm_scoring, pii, quality, topk_search, url_rules, warc
+from cellsieve.llm import byte_bpe, decontaminate, jaccard_join, license_templates, lm_scoring, pii, quality, topk_search, url_rules, warc, whitening
 from cellsieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +129,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
