@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsieve.llm import byte_bpe, decontaminate, jaccard_join, license_templates, lm_scoring, pii, quality, topk_search, url_rules, warc, whitening
+from cellsieve.llm import byte_bpe, decontaminate, dual_tree, jaccard_join, license_templates, lm_scoring, pii, quality, topk_search, url_rules, warc, whitening
 from cellsieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +134,43 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.lexical_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLES["op11_lexical_search"] = r"""
+WITH doc_terms AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), docs AS (
+    SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, w FROM doc_terms WHERE len(w) > 0
+), total AS (
+    SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs
+), item_terms AS (
+    SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), counts AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs)
+    WHERE term IN (SELECT term FROM item_terms) GROUP BY ALL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM counts, total GROUP BY term
+), impacts AS (
+    SELECT r, term, weights.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms)))) AS impact
+    FROM counts JOIN weights USING (term) JOIN docs USING (r), total
+), scored AS (
+    SELECT i, item_id, r, CAST(sum(impact) AS BIGINT) AS score FROM item_terms JOIN impacts USING (term) GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (
+    SELECT i, item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank
+    FROM scored JOIN docs USING (r) WHERE score > 0
+) WHERE rank <= 10
+"""
