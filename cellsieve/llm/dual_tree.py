@@ -39,11 +39,11 @@ from cellsieve.session import cut
 ITEM_BYTES = 16 * 1024 * 1024
 ROOT_ITEMS = 512
 ROOT_TERMS = 4096
-BATCH_ENTRIES = 2_000_000
-BATCH_DOCS = 512
+BATCH_ENTRIES = 500_000
+BATCH_DOCS = 256
 FAN = 8
 SAMPLE = 64
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 
 # Every byte that belongs to no term: ASCII without digits and letters.
