@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsieve.llm import byte_bpe, decontaminate, dual_tree, jaccard_join, license_templates, lm_scoring, pii, quality, topk_search, url_rules, warc, whitening
+from cellsieve.llm import (
+    byte_bpe,
+    decontaminate,
+    dual_tree,
+    jaccard_join,
+    lang_id,
+    license_templates,
+    lm_scoring,
+    pii,
+    quality,
+    topk_search,
+    url_rules,
+    warc,
+    whitening,
+)
 from cellsieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +188,8 @@ FROM (
     FROM scored JOIN docs USING (r) WHERE score > 0
 ) WHERE rank <= 10
 """
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
