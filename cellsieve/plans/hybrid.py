@@ -9,6 +9,8 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from cellsieve.operators.histogram import Histogram2D
 from cellsieve.operators.ivf import IvfIndex
 from cellsieve.operators.predicates import Predicate, predicate_filter, with_passes
 from cellsieve.operators.scoring import best_per_query, global_positions, rank_per_query, unit_queries
+from cellsieve.operators.tiered import EVERY_ROW, Pool, Tier, TieredBlock, answer_pools, block_of, needed_tiers, query_bytes, tiered_pools
 from cellsieve.plans import probing
 from cellsieve.session import cut
 
@@ -99,6 +102,7 @@ def pre_filter_search(
 
 # Candidate lists up to this length are ranked row by row; longer ones are only counted.
 RANKED_CANDIDATES = 10_000
+ROUND_SCHEMA = "qid bigint, rank int, item_id bigint, similarity double, search_k bigint, nprobe bigint"
 
 
 def post_filter_search(
@@ -113,19 +117,98 @@ def post_filter_search(
 ) -> DataFrame:
     """Search unrestricted, then filter the candidates, widening for the queries that still miss results.
 
-    With a histogram the sizes follow its survivor estimate, else they start fixed and triple. Once a query
-    probes all cells its answer is the best k passing rows whatever the length of the candidate list, so the
-    filter moves below the search and the loop ends for it. Candidate lists of more than `ranked` rows are counted.
+    With a histogram the sizes follow its survivor estimate, else they start fixed and triple. One scan keeps the
+    candidates of all rounds of up to `ranked` candidates, and the rounds are walked through where a query's candidates
+    meet. Once a query probes all cells its answer is the best k passing rows whatever the length of the candidate list,
+    so the filter moves below the search and the rounds end for it: a second scan for these queries alone. Rounds of more
+    candidates, and batches beyond the block bound, are searched round by round and counted.
     """
     predicates = list(predicates)
     scores, nlist, total = index.scores(scoring), index.nlist, index.total
-    passing, everything = restrict(index, predicates, items), flagged(index, predicates, items)
+    most = RANKED_CANDIDATES if ranked is None else ranked
     est = None
     if histogram is not None:
         est = histogram.estimate([p for p in predicates if p.key != "item_id"])
-    sizes = _next_sizes(True, k, est, nlist, total)
-    open_queries = cut(unit_queries(queries)).withColumns(sizes)
+    rule = probing.PostRule(k, est, nlist, total)
+    tiers = rule.tiers(most)
+    restricted = functools.partial(restrict, index, predicates, items)
+    unit = unit_queries(queries)
+    if rule.sizes()[1] >= nlist:
+        return _finish(_search_all_cells(index, restricted(), unit, k, scores), k)
+    block = _block_of_rounds(index, unit, tiers, scores) if tiers else None
+    if block is None:
+        first = dict(zip(("search_k", "nprobe"), (F.lit(n).cast("bigint") for n in rule.sizes())))
+        sized = cut(unit).withColumns(first)
+        return _finish(_rounds(index, restricted(), flagged(index, predicates, items), sized, k, est, scores, most), k)
+    state = _walked(index, flagged(index, predicates, items), block, rule, tiers, scores)
+    answers = [state.filter("rank > 0").select(*RESULT_COLUMNS[:-1], F.lit(True).alias("is_k"))]
+    due = state.filter("rank = 0").select("qid", "search_k", "nprobe").toArrow()
+    # Queries whose probed cells hold no row at all have no candidates and no state.
+    unseen = set(block.qids.tolist()) - _answered(state, due, len(block.qids))
+    left = {q: (s, n) for q, s, n in zip(*(due.column(c).to_pylist() for c in due.column_names))}
+    left |= dict.fromkeys(unseen, rule.walk(*_nothing(), tiers).sizes)
+    if left:
+        rows = [(q, block.vectors[i].tolist(), *left[q]) for i, q in enumerate(block.qids.tolist()) if q in left]
+        wide = [r for r in rows if r[3] >= nlist]
+        narrow = [r for r in rows if r[3] < nlist]
+        frame = lambda some: queries.sparkSession.createDataFrame(some, "qid bigint, qvec array<double>, search_k bigint, nprobe bigint")
+        more = [_search_all_cells(index, restricted(), frame(wide), k, scores)] if wide else []
+        if narrow:
+            more.append(_rounds(index, restricted(), flagged(index, predicates, items), cut(frame(narrow)), k, est, scores, most))
+        columns = ("qid", "item_id", "similarity", "rank")
+        answers.append(_finish(functools.reduce(DataFrame.unionByName, [m.select(*columns) for m in more]), k))
+    return functools.reduce(DataFrame.unionByName, answers)
+
+
+def _nothing():
+    return np.zeros(0, np.int64), np.zeros(0, bool)
+
+
+def _answered(state: DataFrame, due: pa.Table, n: int) -> set[int]:
+    """Queries with a state; only asked for one by one if some may lack it."""
+    seen = set(due.column("qid").to_pylist())
+    if len(seen) == n:
+        return seen
+    return seen | {r["qid"] for r in state.filter("rank = 1").select("qid").collect()}
+
+
+def _block_of_rounds(index: IvfIndex, unit: DataFrame, tiers: list[Tier], scores) -> TieredBlock | None:
+    """The queries with the cells of their widest round, or None if they pass the block bound."""
+    parts = {EVERY_ROW: needed_tiers(tiers)}
+    width = max(t.outer for t in tiers)
+    bound = limits.rows_within(limits.QUERY_BLOCK_BYTES, query_bytes(index.dim, width, parts) + scores.bytes_per_query)
+    head = index.probe(unit, width).limit(bound + 1).toArrow()
+    return None if head.num_rows > bound else block_of(head, [parts] * head.num_rows)
+
+
+def _walked(index: IvfIndex, everything: DataFrame, block: TieredBlock, rule: probing.PostRule, tiers: list[Tier], scores) -> DataFrame:
+    """ROUND_SCHEMA: the ranked answer of each query, or one row of rank 0 with the sizes of the round that is due."""
+    bits = F.coalesce("passes", F.lit(False)).cast("int").cast("bigint")
+    pools = tiered_pools(everything.withColumn("bits", bits), block, scores)
+    qids = block.qids
+
+    def answer(query: int, found: dict[int, Pool]) -> pa.Table:
+        pool = found[EVERY_ROW]
+        walk = rule.walk(pool.cell_rank, pool.bits > 0, tiers)
+        hits = np.zeros(0, np.int64) if walk.hits is None else walk.hits
+        n = max(1, len(hits))
+        return pa.table(
+            {
+                "qid": np.full(n, qids[query]),
+                "rank": pa.array(np.arange(1, n + 1) if len(hits) else [0], pa.int32()),
+                "item_id": pa.array(pool.item_id[hits] if len(hits) else [None], pa.int64()),
+                "similarity": pa.array(pool.similarity[hits] if len(hits) else [None], pa.float64()),
+                "search_k": np.full(n, walk.search_k),
+                "nprobe": np.full(n, walk.nprobe),
+            }
+        )
+
+    return cut(answer_pools(pools, block, answer, ROUND_SCHEMA))
+
 
+def _rounds(index: IvfIndex, passing: DataFrame, everything: DataFrame, open_queries: DataFrame, k: int, est: int | None, scores, most: int) -> DataFrame:
+    """(qid, item_id, similarity, rank) by one round after the other, from queries with the sizes of their first."""
+    nlist, total = index.nlist, index.total
     answers = []
     while True:
         narrow = F.col("nprobe") < nlist
@@ -140,7 +223,7 @@ def post_filter_search(
             break
         sized = open_queries.filter(narrow)
         probes = index.probe(sized, "nprobe").select(*PROBE_COLUMNS)
-        if todo["search_k"] <= (RANKED_CANDIDATES if ranked is None else ranked):
+        if todo["search_k"] <= most:
             kept = _ranked_round(everything, probes, sized, k, scores, index.dim, todo)
         else:
             kept = _counted_round(index.vectors, passing, probes, sized, k, scores, index.dim, todo)
@@ -150,25 +233,20 @@ def post_filter_search(
             "found", F.coalesce(F.array_size("hits"), F.lit(0)).cast("bigint")
         )
         answers.append(state.filter(F.col("found") >= k).select("qid", F.inline("hits")))
-        open_queries = state.filter(F.col("found") < k).withColumns(_next_sizes(False, k, est, nlist, total))
+        open_queries = state.filter(F.col("found") < k).withColumns(_next_sizes(k, est, nlist, total))
         open_queries = open_queries.drop("found", "hits")
     if not answers:
         answers = [_search_all_cells(index, passing, open_queries.limit(0), k, scores)]
     columns = ("qid", "item_id", "similarity", "rank")
-    return _finish(functools.reduce(DataFrame.unionByName, [a.select(*columns) for a in answers]), k)
+    return functools.reduce(DataFrame.unionByName, [a.select(*columns) for a in answers])
 
 
-def _next_sizes(first: bool, k: int, est: int | None, nlist: int, total: int) -> dict[str, Column]:
-    """Candidate list length and probe width of the first or the next round."""
-    zero = F.lit(0).cast("bigint")
+def _next_sizes(k: int, est: int | None, nlist: int, total: int) -> dict[str, Column]:
+    """Candidate list length and probe width of the next round."""
     if est is not None:
         estimate = F.lit(est).cast("bigint")
-        missing = F.lit(k) if first else F.lit(k) - F.col("found")
-        search_k = probing.post_search_k(estimate, missing, zero if first else F.col("search_k"), total)
-        nprobe = probing.post_nprobe(estimate, search_k, zero, nlist)
-    elif first:
-        search_k = F.lit(probing.FIRST_SEARCH_K).cast("bigint")
-        nprobe = F.lit(min(probing.FIRST_NPROBE, nlist)).cast("bigint")
+        search_k = probing.post_search_k(estimate, F.lit(k) - F.col("found"), F.col("search_k"), total)
+        nprobe = probing.post_nprobe(estimate, search_k, F.lit(0).cast("bigint"), nlist)
     else:
         search_k = F.least(F.lit(total), F.col("search_k") * probing.GROWTH)
         nprobe = F.least(F.lit(nlist), F.col("nprobe") * probing.GROWTH)

@@ -1,13 +1,17 @@
-"""Probe sizes of the adaptive methods as column expressions."""
+"""Probe sizes of the methods: as column expressions, and as rules that tasks walk through."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cellsieve.operators.tiered import Tier
+
 # Safety factor as a fraction, growth per round, first sizes of the fixed methods.
 SAFETY_PARTS = (3, 2)
 SAFETY = SAFETY_PARTS[0] / SAFETY_PARTS[1]
@@ -67,3 +71,67 @@ def fixed_widths(nlist: int) -> list[int]:
         if width >= nlist:
             return widths
         width *= GROWTH
+
+
+@dataclass(frozen=True)
+class PostRule:
+    """The rounds of a search that filters its candidates: `est` estimated survivors size them, None means fixed sizes."""
+
+    k: int
+    est: int | None
+    nlist: int
+    total: int
+
+    def sizes(self, found: int = 0, old_search_k: int = 0, old_nprobe: int = 0) -> tuple[int, int]:
+        """(search_k, nprobe) of the first round, or of the next one after `found` hits."""
+        first = old_search_k == 0
+        if self.est is None:
+            search_k = FIRST_SEARCH_K if first else min(self.total, GROWTH * old_search_k)
+            nprobe = min(self.nlist, FIRST_NPROBE if first else GROWTH * old_nprobe)
+        elif self.est == 0:
+            search_k, nprobe = self.total, self.nlist
+        else:
+            wanted = math.floor(SAFETY * (self.k - found) * float(self.total) / self.est)
+            search_k = min(self.total, wanted + GROWTH * old_search_k)
+            nprobe = min(self.nlist, max(1, search_k * self.nlist // self.est))
+        # A candidate list as long as the index means searching every cell.
+        return search_k, self.nlist if search_k >= self.total else nprobe
+
+    def tiers(self, most: int) -> list[Tier]:
+        """What has to be kept for all rounds of at most `most` candidates that may occur before all cells are probed:
+        each round between its sizes if all but one hit were found before and those if none was."""
+        out: list[Tier] = []
+        low = high = self.sizes()
+        while low[1] < self.nlist and low[0] <= most:
+            out.append(Tier(low[1], min(high[1], self.nlist - 1), min(high[0], most)))
+            low, high = self.sizes(self.k - 1, *low), self.sizes(0, *high)
+        return out
+
+    def walk(self, cell_rank: np.ndarray, passes: np.ndarray, tiers: list[Tier]) -> Walk:
+        """The rounds over candidates (best first) kept for `tiers`."""
+        search_k, nprobe = self.sizes()
+        rounds = candidates = 0
+        while nprobe < self.nlist and any(t.inner <= nprobe <= t.outer and search_k <= t.cap for t in tiers):
+            within = np.flatnonzero(cell_rank < nprobe)[:search_k]
+            hits = within[passes[within]]
+            rounds, candidates = rounds + 1, candidates + len(within)
+            if len(hits) >= self.k:
+                return Walk(hits[: self.k], search_k, nprobe, rounds, candidates)
+            search_k, nprobe = self.sizes(len(hits), search_k, nprobe)
+        return Walk(None, search_k, nprobe, rounds, candidates)
+
+
+@dataclass(frozen=True)
+class Walk:
+    """hits: the rows that answer, or None with the sizes of the round that is due: all cells, or one whose candidates
+    were not kept. rounds, candidates: what was searched on the way."""
+
+    hits: np.ndarray | None
+    search_k: int
+    nprobe: int
+    rounds: int
+    candidates: int
+
+    @property
+    def sizes(self) -> tuple[int, int]:
+        return self.search_k, self.nprobe
