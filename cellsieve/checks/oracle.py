@@ -620,6 +620,102 @@ SELECT wid, k, method, n * least(k, survivors) AS found, CASE WHEN survivors >=
 FROM lists, labels_used, (SELECT unnest([5, 50]) AS k),
   (SELECT unnest(['base_pre_search', 'adap_pre_search', 'base_pos_search', 'adap_pos_search']) AS method)"""
 
+# Every list, k and method: the steps above with the list and k as further keys.
+_KS = "[5, 10, 50, 100, 200, 500, 1000, 2500, 5000, 6000, 7000, 10000]"
+_LIST_PASSES = """
+passing AS (
+  SELECT wid, item_id FROM (
+    SELECT wid, seq, item_id, bool_or(CASE op WHEN '>' THEN x > v WHEN '>=' THEN x >= v WHEN '<' THEN x < v WHEN '<=' THEN x <= v ELSE x = v END) AS ok
+    FROM (SELECT wid, seq, op, v, item_id, CASE axis WHEN 'number' THEN number ELSE date END AS x FROM workload, axes)
+    GROUP BY wid, seq, item_id
+  ) GROUP BY wid, item_id HAVING bool_and(ok)
+)"""
+_GRID_REACH = f"""
+per_cell AS (SELECT wid, cell_id, count(*) AS n FROM passing JOIN placed USING (item_id) GROUP BY wid, cell_id),
+reach AS (
+  SELECT r.qid, w.wid, r.cell_rank, sum(coalesce(c.n, 0)) OVER (PARTITION BY r.qid, w.wid ORDER BY r.cell_rank)::BIGINT AS seen
+  FROM cell_ranks r CROSS JOIN (SELECT DISTINCT wid FROM workload) w LEFT JOIN per_cell c ON c.cell_id = r.cell_id AND c.wid = w.wid
+),
+goals AS (
+  SELECT qid, wid, k, max(seen) AS survivors, least(k, max(seen)) AS search_k FROM reach, (SELECT unnest({_KS}) AS k)
+  GROUP BY qid, wid, k HAVING max(seen) > 0
+)"""
+_GRID_BASE_WIDTHS = """
+base_widths AS (
+  SELECT g.qid, g.wid, g.k, min(least(w.width, l.n)) AS nprobe FROM goals g, nlist l, (VALUES (64), (192), (576), (1728), (1000000000)) w(width)
+  JOIN reach r ON r.qid = g.qid AND r.wid = g.wid AND r.cell_rank = least(w.width, l.n)
+  WHERE r.seen >= g.search_k GROUP BY g.qid, g.wid, g.k
+)"""
+_GRID_ADAPTIVE_WIDTHS = """
+adap_walk AS (
+  WITH RECURSIVE steps AS (
+    SELECT qid, wid, k, 0::BIGINT AS nprobe, 0::BIGINT AS found, 0 AS step FROM goals
+    UNION ALL
+    SELECT s.qid, s.wid, s.k, r.cell_rank, least(g.search_k, r.seen), s.step + 1
+    FROM steps s JOIN goals g ON g.qid = s.qid AND g.wid = s.wid AND g.k = s.k AND s.found < g.search_k CROSS JOIN nlist l
+    JOIN reach r ON r.qid = s.qid AND r.wid = s.wid
+      AND r.cell_rank = greatest(1, least(l.n, (3 * (g.search_k - s.found) * l.n) // (2 * g.survivors) + 3 * s.nprobe))
+  )
+  SELECT * FROM steps
+),
+adap_widths AS (SELECT w.qid, w.wid, w.k, w.nprobe FROM adap_walk w JOIN goals g USING (qid, wid, k) WHERE w.found >= g.search_k)"""
+
+
+def _grid_pre(name: str) -> str:
+    return f"""
+{name}_pre AS (
+  SELECT w.qid, w.wid, w.k, s.item_id, row_number() OVER (PARTITION BY w.qid, w.wid, w.k ORDER BY similarity DESC, s.item_id) AS rank
+  FROM {name}_widths w JOIN passing p USING (wid) JOIN scored s ON s.qid = w.qid AND s.item_id = p.item_id AND s.cell_rank <= w.nprobe
+  QUALIFY rank <= w.k
+)"""
+
+
+def _grid_pos(name: str, est: str, first: str, following: str, rounds: int) -> str:
+    """Rounds of search and filter for all lists and k; candidates are placed once for each query and width."""
+    parts = []
+    for r in range(rounds):
+        source = (
+            f"(SELECT q.qid, l.wid, unnest({_KS}) AS k, n, lists, {est} AS est, 0::BIGINT AS old_k, 0::BIGINT AS found FROM queries q, given JOIN listed l ON true)"
+            if r == 0
+            else f"(SELECT qid, wid, k, n, lists, est, search_k AS old_k, found FROM {name}_round{r - 1} WHERE found < k AND search_k < n)"
+        )
+        parts.append(f"""
+{name}_sized{r} AS (SELECT * EXCLUDE (found), k - found AS remaining FROM {source}),
+{name}_full{r} AS (
+  SELECT * EXCLUDE (nprobe), CASE WHEN search_k >= n THEN lists ELSE nprobe END AS nprobe FROM (SELECT *, {first if r == 0 else following} FROM {name}_sized{r})
+),
+{name}_places{r} AS (
+  SELECT s.qid, f.nprobe, s.item_id, row_number() OVER (PARTITION BY s.qid, f.nprobe ORDER BY similarity DESC, s.item_id) AS place
+  FROM (SELECT DISTINCT qid, nprobe FROM {name}_full{r}) f JOIN scored s ON s.qid = f.qid AND s.cell_rank <= f.nprobe
+),
+{name}_hits{r} AS (
+  SELECT f.qid, f.wid, f.k, p.item_id, row_number() OVER (PARTITION BY f.qid, f.wid, f.k ORDER BY place) AS rank
+  FROM {name}_full{r} f JOIN passing a USING (wid) JOIN {name}_places{r} p ON p.qid = f.qid AND p.nprobe = f.nprobe AND p.item_id = a.item_id AND p.place <= f.search_k
+),
+{name}_round{r} AS (
+  SELECT f.*, coalesce(h.n_hits, 0) AS found FROM {name}_full{r} f LEFT JOIN (SELECT qid, wid, k, count(*) AS n_hits FROM {name}_hits{r} GROUP BY ALL) h USING (qid, wid, k)
+)""")
+    best = " UNION ALL ".join(
+        f"SELECT h.* FROM {name}_hits{r} h JOIN {name}_round{r} d USING (qid, wid, k) WHERE (d.found >= h.k OR d.search_k >= d.n) AND h.rank <= h.k"
+        for r in range(rounds)
+    )
+    return ",".join(parts) + f", {name}_pos AS ({best})"
+
+
+ORACLES["workload_sweep_ids"] = f"""WITH {DOC_ITEMS}, {seeds('SELECT 4 * floor(sqrt(count(*))) FROM items')}, {prototypes()}, {scored()},
+{axis_edges('items')}, {WORKLOAD}, {estimates()}, {_LIST_PASSES}, {_GRID_REACH}, {_GRID_BASE_WIDTHS}, {_GRID_ADAPTIVE_WIDTHS},
+listed AS (SELECT wid, est FROM estimates),
+given AS (SELECT (SELECT count(*) FROM items) AS n, (SELECT n FROM nlist) AS lists),
+{_grid_pre('base')}, {_grid_pre('adap')},
+{_grid_pos('base', '0', '100::BIGINT AS search_k, least(64, lists) AS nprobe', "least(n, old_k * 3) AS search_k, least(lists, CASE old_k WHEN 100 THEN 192 WHEN 300 THEN 576 ELSE 1000000000 END) AS nprobe", 6)},
+{_grid_pos('adap', 'l.est', _J7, _J7, 8)}
+SELECT qid, wid::INT AS wid, k::INT AS k, method, count(*) AS found, count(*) = k AS is_k, md5(string_agg(item_id, ',' ORDER BY rank)) AS ids FROM (
+  SELECT qid, wid, k, rank, item_id, 'base_pre_search' AS method FROM base_pre
+  UNION ALL SELECT qid, wid, k, rank, item_id, 'adap_pre_search' FROM adap_pre
+  UNION ALL SELECT qid, wid, k, rank, item_id, 'base_pos_search' FROM base_pos
+  UNION ALL SELECT qid, wid, k, rank, item_id, 'adap_pos_search' FROM adap_pos
+) GROUP BY qid, wid, k, method"""
+
 _SERVICE_PASSES = "token_count < 400 AND revdate >= TIMESTAMP '2024-01-01 03:00:00'"
 ORACLES["hybrid_service"] = f"""WITH {DOC_ITEMS}, {hashed('benchmark', 'item_id', 'hashed_queries')},
 queries AS (SELECT id AS qid, {unit('v')} AS qvec FROM hashed_queries), {coarse()}, {scored()},

@@ -18,7 +18,7 @@ from cellsieve.operators import predicates as preds
 from cellsieve.operators.histogram import Histogram2D
 from cellsieve.operators.predicates import Predicate
 from cellsieve.operators.scoring import exact_knn, unit_queries
-from cellsieve.plans import evaluate, hybrid, probing, workload
+from cellsieve.plans import evaluate, hybrid, probing, sweep, workload
 from cellsieve.plans.build import build_index
 from cellsieve.plans.service import embed_queries, perform_search
 from cellsieve.schemas import DISPLAY_COLUMNS, ITEM_COLUMNS
@@ -604,6 +604,24 @@ def workload_sweep(spark, sf_dir):
     return tables.read_csv(spark, path, swept.schema)
 
 
+@query
+def workload_sweep_ids(spark, sf_dir):
+    """All of the workload's predicate lists, all k and all methods over all documents: what each search found, as a
+    digest of its ids in order."""
+    documents = cut(st.document_vectors(spark, sf_dir).select(*st.CARRIED, "embedding"))
+    index = st.middle_index(documents)
+    histogram = Histogram2D.build(documents).collected()
+    parts = st.workload_parts(histogram)
+    lists = parts["single"] | parts["dual"] | parts["selective"]
+    found = sweep.sweep_search(index, st.prototypes(spark, sf_dir), lists, evaluate.K_VALUES, hybrid.METHODS, histogram)
+    ids = F.array_sort(F.collect_list(F.struct("rank", "item_id")))
+    return found.groupBy("qid", "wid", "k", "method").agg(
+        F.count(F.lit(1)).alias("found"),
+        F.any_value("is_k").alias("is_k"),
+        F.md5(F.array_join(F.transform(ids, lambda x: x["item_id"].cast("string")), ",")).alias("ids"),
+    )
+
+
 @query
 def hybrid_service(spark, sf_dir):
     documents = cut(st.document_vectors(spark, sf_dir))

@@ -109,6 +109,11 @@ def fine_index(collection: DataFrame) -> IvfIndex:
     return _seeded_index(collection, lambda n: n // 4)
 
 
+def middle_index(collection: DataFrame) -> IvfIndex:
+    """Four times the square root of n cells: probe widths matter, and cells stay few at any size."""
+    return _seeded_index(collection, lambda n: 4 * math.isqrt(n))
+
+
 def _date(seconds: float) -> str:
     from datetime import datetime, timezone
 

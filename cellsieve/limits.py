@@ -19,6 +19,9 @@ PRUNE_CELLS = 4096
 # Offsets of so many files or splits (about 200 bytes each) are broadcast.
 BROADCAST_FILES = 200_000
 
+# Assumed number of scan tasks where Spark doesn't know the size of a table.
+MANY_TASKS = 100_000
+
 # Longer IN lists become a left-semi join.
 IN_LIST_LITERALS = 1000
 

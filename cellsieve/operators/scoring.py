@@ -478,17 +478,29 @@ def best_per_query(
     found = _run(
         vectors, probes, scores, lambda qids, marks: BestPerQuery(qids, k), BEST_SCHEMA, k, dim, width, block_bytes
     )
-    return rank_per_query(found if "cells" in probes.columns else found.drop("cell_id"), k)
+    return rank_per_query(found if "cells" in probes.columns else found.drop("cell_id"), k, scan_tasks(vectors))
 
 
-def rank_per_query(found: DataFrame, k: int) -> DataFrame:
+def scan_tasks(df: DataFrame) -> int:
+    """About how many tasks read df: its size and files over the split size, at least one per core."""
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().optimizedPlan()
+    conf = spark._jsparkSession.sessionState().conf()
+    size = int(str(plan.stats().sizeInBytes()))
+    if size >= 1 << 62:  # Spark's word for unknown
+        return limits.MANY_TASKS
+    files = len(df.inputFiles()) * conf.filesOpenCostInBytes()
+    return max(spark.sparkContext.defaultParallelism, -(-(size + files) // conf.filesMaxPartitionBytes()))
+
+
+def rank_per_query(found: DataFrame, k: int, tasks: int | None = None) -> DataFrame:
     """Keep and number the best k rows per query.
 
-    Every scoring task sends up to k rows per query. Where that is a lot for one task, the lists of MERGED_TASKS
-    tasks at a time are merged first, so the number of groups follows the number of scoring tasks.
+    Every one of the `tasks` scoring tasks (unknown: one per core) sends up to k rows per query. Where that is a lot
+    for one task, the lists of MERGED_TASKS tasks at a time are merged first.
     """
     order = [F.col("similarity").desc(), F.col("item_id")]
-    if k * found.sparkSession.sparkContext.defaultParallelism > MERGE_AT_ONCE:
+    if k * (tasks or found.sparkSession.sparkContext.defaultParallelism) > MERGE_AT_ONCE:
         salted = Window.partitionBy("qid", "salt").orderBy(*order)
         found = (
             found.withColumn("salt", F.floor(F.spark_partition_id() / MERGED_TASKS))

@@ -233,26 +233,28 @@ class Pool(NamedTuple):
     bits: np.ndarray
 
 
-def answer_pools(pools: DataFrame, block: TieredBlock, answer: Callable[[int, dict[int, Pool]], pa.Table], schema: str) -> DataFrame:
-    """`answer` (query number in the block, its pools by part) for every query that got rows. Pools are merged for
-    MERGED_TASKS tasks at a time before all of a query's rows meet."""
+def answer_pools(
+    pools: DataFrame, block: TieredBlock, answer: Callable[[int, dict[int, Pool]], Iterable[pa.Table]], schema: str, tasks: int
+) -> DataFrame:
+    """`answer` (query number in the block, its pools by part) for every query that got rows. Where more than
+    MERGED_TASKS tasks sent pools, these are merged for so many tasks at a time before all of a query's rows meet."""
     shared = pools.sparkSession.sparkContext.broadcast((block.qids, block.parts))
 
     def columns(table: pa.Table) -> tuple[int, np.ndarray, list[np.ndarray]]:
-        qids, _ = shared.value
-        query = int(np.flatnonzero(qids == table.column("qid")[0].as_py())[0])
+        table = table.combine_chunks()
+        query = int(np.flatnonzero(shared.value[0] == table.column("qid")[0].as_py())[0])
         names = ("similarity", "item_id", "cell_rank", "bits")
         return query, table.column("part").to_numpy(), [table.column(c).to_numpy() for c in names]
 
-    def merge(table: pa.Table) -> pa.Table:
+    def merge(table: pa.Table) -> Iterable[pa.Table]:
         query, parts, values = columns(table)
         keep = []
         for part in np.unique(parts).tolist():
             rows = np.flatnonzero(parts == part)
             keep.append(rows[settled(*[v[rows] for v in values[:3]], shared.value[1][query][part])[0]])
-        return table.take(pa.array(np.concatenate(keep))).select(["qid", "part", "item_id", "similarity", "cell_rank", "bits"])
+        return [table.take(pa.array(np.concatenate(keep))).select(["qid", "part", "item_id", "similarity", "cell_rank", "bits"])]
 
-    def last(table: pa.Table) -> pa.Table:
+    def last(table: pa.Table) -> Iterable[pa.Table]:
         query, parts, values = columns(table)
         found = {}
         for part in np.unique(parts).tolist():
@@ -261,6 +263,36 @@ def answer_pools(pools: DataFrame, block: TieredBlock, answer: Callable[[int, di
             found[part] = Pool(*[v[rows] for v in values])
         return answer(query, found)
 
-    salted = pools.withColumn("salt", F.floor(F.spark_partition_id() / MERGED_TASKS))
-    merged = salted.groupBy("qid", "salt").applyInArrow(merge, POOL_SCHEMA)
-    return merged.groupBy("qid").applyInArrow(last, schema)
+    if tasks > MERGED_TASKS:
+        salted = pools.withColumn("salt", F.floor(F.spark_partition_id() / MERGED_TASKS))
+        pools = by_group(salted, ["qid", "salt"], merge, POOL_SCHEMA)
+    return by_group(pools, ["qid"], last, schema)
+
+
+def by_group(rows: DataFrame, keys: list[str], f: Callable[[pa.Table], Iterable[pa.Table]], schema: str) -> DataFrame:
+    """f of all rows of each key, which come sorted through one Arrow stream per task."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        current = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in keys]
+            change = np.zeros(batch.num_rows, bool)
+            for c in columns:
+                change[1:] |= c[1:] != c[:-1]
+            starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for a, b in zip(starts, starts[1:]):
+                key = tuple(c[a] for c in columns)
+                if held and key != current:
+                    for found in f(pa.Table.from_batches(held)):
+                        yield from found.combine_chunks().to_batches()
+                    held = []
+                current = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            for found in f(pa.Table.from_batches(held)):
+                yield from found.combine_chunks().to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from cellsieve import limits
 from cellsieve.operators.histogram import Histogram2D
 from cellsieve.operators.ivf import IvfIndex
 from cellsieve.operators.predicates import Predicate, predicate_filter, with_passes
-from cellsieve.operators.scoring import best_per_query, global_positions, rank_per_query, unit_queries
+from cellsieve.operators.scoring import best_per_query, global_positions, rank_per_query, scan_tasks, unit_queries
 from cellsieve.operators.tiered import EVERY_ROW, Pool, Tier, TieredBlock, answer_pools, block_of, needed_tiers, query_bytes, tiered_pools
 from cellsieve.plans import probing
 from cellsieve.session import cut
@@ -135,18 +135,19 @@ def post_filter_search(
     unit = unit_queries(queries)
     if rule.sizes()[1] >= nlist:
         return _finish(_search_all_cells(index, restricted(), unit, k, scores), k)
-    block = _block_of_rounds(index, unit, tiers, scores) if tiers else None
+    block = None
+    if tiers:
+        block, tiers = _block_of_rounds(index, unit, tiers, scores)
     if block is None:
         first = dict(zip(("search_k", "nprobe"), (F.lit(n).cast("bigint") for n in rule.sizes())))
         sized = cut(unit).withColumns(first)
         return _finish(_rounds(index, restricted(), flagged(index, predicates, items), sized, k, est, scores, most), k)
     state = _walked(index, flagged(index, predicates, items), block, rule, tiers, scores)
     answers = [state.filter("rank > 0").select(*RESULT_COLUMNS[:-1], F.lit(True).alias("is_k"))]
-    due = state.filter("rank = 0").select("qid", "search_k", "nprobe").toArrow()
+    heads = state.filter("rank <= 1").select("qid", "rank", "search_k", "nprobe").toArrow()
     # Queries whose probed cells hold no row at all have no candidates and no state.
-    unseen = set(block.qids.tolist()) - _answered(state, due, len(block.qids))
-    left = {q: (s, n) for q, s, n in zip(*(due.column(c).to_pylist() for c in due.column_names))}
-    left |= dict.fromkeys(unseen, rule.walk(*_nothing(), tiers).sizes)
+    left = dict.fromkeys(set(block.qids.tolist()) - set(heads.column("qid").to_pylist()), rule.walk(*_nothing(), tiers).sizes)
+    left |= {r["qid"]: (r["search_k"], r["nprobe"]) for r in heads.to_pylist() if r["rank"] == 0}
     if left:
         rows = [(q, block.vectors[i].tolist(), *left[q]) for i, q in enumerate(block.qids.tolist()) if q in left]
         wide = [r for r in rows if r[3] >= nlist]
@@ -164,21 +165,19 @@ def _nothing():
     return np.zeros(0, np.int64), np.zeros(0, bool)
 
 
-def _answered(state: DataFrame, due: pa.Table, n: int) -> set[int]:
-    """Queries with a state; only asked for one by one if some may lack it."""
-    seen = set(due.column("qid").to_pylist())
-    if len(seen) == n:
-        return seen
-    return seen | {r["qid"] for r in state.filter("rank = 1").select("qid").collect()}
+def _block_of_rounds(index: IvfIndex, unit: DataFrame, tiers: list[Tier], scores) -> tuple[TieredBlock | None, list[Tier]]:
+    """The queries with the cells of their rounds, and the first rounds, as many as fit the block bound; None if not even
+    one round does."""
+    width = tiers[-1].outer
 
+    def bound(some: list[Tier]) -> int:
+        size = query_bytes(index.dim, width, {EVERY_ROW: needed_tiers(some)}) + scores.bytes_per_query
+        return limits.rows_within(limits.QUERY_BLOCK_BYTES, size)
 
-def _block_of_rounds(index: IvfIndex, unit: DataFrame, tiers: list[Tier], scores) -> TieredBlock | None:
-    """The queries with the cells of their widest round, or None if they pass the block bound."""
-    parts = {EVERY_ROW: needed_tiers(tiers)}
-    width = max(t.outer for t in tiers)
-    bound = limits.rows_within(limits.QUERY_BLOCK_BYTES, query_bytes(index.dim, width, parts) + scores.bytes_per_query)
-    head = index.probe(unit, width).limit(bound + 1).toArrow()
-    return None if head.num_rows > bound else block_of(head, [parts] * head.num_rows)
+    head = index.probe(unit, width).limit(bound(tiers[:1]) + 1).toArrow()
+    while tiers and head.num_rows > bound(tiers):
+        tiers = tiers[:-1]
+    return (block_of(head, [{EVERY_ROW: needed_tiers(tiers)}] * head.num_rows) if tiers else None), tiers
 
 
 def _walked(index: IvfIndex, everything: DataFrame, block: TieredBlock, rule: probing.PostRule, tiers: list[Tier], scores) -> DataFrame:
@@ -187,12 +186,12 @@ def _walked(index: IvfIndex, everything: DataFrame, block: TieredBlock, rule: pr
     pools = tiered_pools(everything.withColumn("bits", bits), block, scores)
     qids = block.qids
 
-    def answer(query: int, found: dict[int, Pool]) -> pa.Table:
+    def answer(query: int, found: dict[int, Pool]) -> Iterable[pa.Table]:
         pool = found[EVERY_ROW]
         walk = rule.walk(pool.cell_rank, pool.bits > 0, tiers)
         hits = np.zeros(0, np.int64) if walk.hits is None else walk.hits
         n = max(1, len(hits))
-        return pa.table(
+        yield pa.table(
             {
                 "qid": np.full(n, qids[query]),
                 "rank": pa.array(np.arange(1, n + 1) if len(hits) else [0], pa.int32()),
@@ -203,7 +202,7 @@ def _walked(index: IvfIndex, everything: DataFrame, block: TieredBlock, rule: pr
             }
         )
 
-    return cut(answer_pools(pools, block, answer, ROUND_SCHEMA))
+    return cut(answer_pools(pools, block, answer, ROUND_SCHEMA, scan_tasks(index.vectors)))
 
 
 def _rounds(index: IvfIndex, passing: DataFrame, everything: DataFrame, open_queries: DataFrame, k: int, est: int | None, scores, most: int) -> DataFrame:
