@@ -19,7 +19,8 @@ because they agree in that many parts. `spare` is chosen per band so that hardly
 From signatures to links:
 
 1. Equal sets are one class, named by the smallest document id; only classes go on.
-2. Signatures that one class alone has are dropped. Every other class of a signature is compared with the
+2. Signatures are written once and brought together in SIGNATURE_ROUNDS rounds, a share of them by hash each, whose shuffle
+   is removed before the next one's. Signatures that one class alone has are dropped. Every other class of a signature is compared with the
    signature's hub, its smallest class, by exact intersection of the sets.
 3. A signature is settled when all its classes link to the hub. The classes of the others are compared with each
    other, hub by hub, in blocks: a task takes two blocks of a hub's classes, makes the 0/1 matrix of the features that
@@ -38,7 +39,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -46,11 +47,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsieve.llm.common import LOWER, SPACES, U64, chunks, mix, release, small_batches, span_hashes, word_spans
+from cellsieve.llm.common import LOWER, SPACES, U64, chunks, discard, mix, release, small_batches, span_hashes, spool, word_spans
 from cellsieve.session import cut
 
 BLOCK_FEATURES = 400_000
+BLOCK_SETS = 4096
 SLAB = 4096
+SIGNATURE_ROUNDS = 4
+BROADCAST_CLASSES = 500_000
 SEEN = 1 << 18
 
 
@@ -286,9 +290,10 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """(low, high) links among the classes that share a hub. members: distinct (hub, name)."""
     members = cut(members)
     sizes = members.join(sets.select("name", F.size("features").alias("size")), "name")
-    blocks = F.ceil(F.col("total") / BLOCK_FEATURES).cast("int")
+    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_FEATURES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
     # Written first, so that Spark knows its size before it plans the join: only hubs of several blocks are in it.
-    large = cut(sizes.groupBy("hub").agg(F.sum("size").alias("total")).where(F.col("total") > BLOCK_FEATURES).select("hub", blocks.alias("blocks")))
+    large = sizes.groupBy("hub").agg(F.sum("size").alias("total"), F.count("*").alias("sets")).select("hub", blocks.alias("blocks"))
+    large = cut(large.where("blocks > 1"))
     rows = members.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -330,21 +335,39 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _shared_signatures(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+    """(sig, name, hub) of all signatures that several classes have; hub is the smallest of these."""
+    signed, path = spool(_signed(docs, words, threshold))
+    rounds = [_one_round(signed, n) for n in range(SIGNATURE_ROUNDS)]
+    discard(docs.sparkSession, path)
+    return reduce(DataFrame.union, rounds)
+
+
+def _one_round(signed: DataFrame, n: int) -> DataFrame:
+    around = "PARTITION BY sig"
+    some = signed.where(F.pmod("sig", F.lit(SIGNATURE_ROUNDS)) == n)
+    every = some.withColumns({"hub": F.expr(f"min(name) OVER ({around})"), "last": F.expr(f"max(name) OVER ({around})")})
+    found = cut(every.where("hub < last").select("sig", "name", "hub"))
+    del some, every
+    release(signed.sparkSession)  # the signatures' shuffle is the largest
+    return found
+
+
 def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, name) of every row, and (name, component_id) of every named set."""
     threshold, spark = Fraction(percent, 100), docs.sparkSession
     small_batches(spark)
     every = cut(_classes(docs, words))
     classes = cut(every.where("name IS NOT NULL AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("first_id")))
-    signed = _signed(docs, words, threshold)
-    around = "PARTITION BY sig"
-    shared = signed.withColumns({"hub": F.expr(f"min(name) OVER ({around})"), "last": F.expr(f"max(name) OVER ({around})")})
-    shared = cut(shared.where("hub < last").select("sig", "name", "hub"))
-    release(spark)  # the signatures' shuffle is the largest
+    shared = _shared_signatures(docs, words, threshold)
     pairs = cut(shared.where("name <> hub").select("name", "hub").distinct())
-    needed = pairs.select("name").union(pairs.select("hub")).distinct().join(classes, "name")
-    texts = docs.select("doc_id", "text").join(needed.select("name", F.col("first_id").alias("doc_id")), "doc_id")
-    sets = cut(_sets(texts, words).dropDuplicates(["name"]))
+    needed = cut(pairs.select("name").union(pairs.select("hub")).distinct().join(classes, "name").select("name", F.col("first_id").alias("doc_id")))
+    # Texts stay where they are while the classes to be compared are few enough to go to them.
+    few = needed.count() <= BROADCAST_CLASSES
+    texts = docs.select("doc_id", "text").join(F.broadcast(needed) if few else needed, "doc_id")
+    sets = cut(_sets(texts, words))
+    if not sets.groupBy("name").count().where("count > 1").isEmpty():  # a repeated row
+        sets = cut(sets.dropDuplicates(["name"]))
     compared = cut(_hub_links(pairs, sets, percent))
     release(spark)
     linked = compared.where("linked").select(F.col("hub").alias("low"), F.col("name").alias("high"))
@@ -375,13 +398,29 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest id; all columns as they are. Documents without words
-    or ids stay, and of rows that repeat both id and text one stays."""
+    or ids stay, and of rows that repeat both id and text one stays. Where an id stands for several texts, each is
+    judged by itself."""
     own = docs.select("doc_id", "text", "lang", "source", "n_chars")
     every, found = _labelled(own, words, percent)
     extra = _documents(every, found).where("doc_id <> component_id").select("doc_id").distinct()
-    first = own.join(extra, "doc_id", "left_anti")
     repeated = cut(every.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
-        return first
-    once = first.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return first.join(repeated, "doc_id", "left_anti").union(once)
+        return own.join(extra, "doc_id", "left_anti")
+    once = cut(own.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    named = every.join(repeated, "doc_id", "left_semi").join(found, "name").where("doc_id <> component_id")
+    taken = named.select("doc_id", F.col("name").alias("set_name")).distinct()
+    kept = _with_names(once, words).join(taken, ["doc_id", "set_name"], "left_anti").select(*own.columns)
+    others = own.join(repeated, "doc_id", "left_anti").join(extra, "doc_id", "left_anti")
+    return others.unionByName(kept)
+
+
+def _with_names(docs: DataFrame, n: int) -> DataFrame:
+    """The documents with `set_name`, null for an empty set."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [set_name(s) if len(s) else None for s in document_sets(batch.column("text"), n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], names=[*batch.schema.names, "set_name"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(job, f"{schema}, set_name long")

@@ -133,6 +133,22 @@ def test_keep_first_keeps_one_of_each_group(odd, empty):
     assert jaccard_join.keep_first(empty).count() == 0
 
 
+def test_an_id_with_two_texts_keeps_the_one_of_its_own(spark):
+    other = " ".join(f"v{k}" for k in range(90))
+    kept = jaccard_join.keep_first(frame(spark, [(1, BASE), (2, BASE), (2, other), (2, other), (3, None), (3, other + " x")])).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, BASE), (2, other), (3, "")]
+
+
+def test_classes_too_many_to_broadcast_and_blocks_of_few_sets(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words_ = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(words_[:j] + [f"x{rng.integers(0, 3)}"] + words_[j + 1 :])) for k, j in enumerate(rng.integers(0, 40, 120).tolist())]
+    want = sorted(map(tuple, jaccard_join.jaccard_components(frame(spark, rows), 3, 80).collect()))
+    monkeypatch.setattr(jaccard_join, "BROADCAST_CLASSES", 0)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 7)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(frame(spark, rows), 3, 80).collect())) == want
+
+
 def encoding():
     import tiktoken
     import public_tokenizers
