@@ -430,6 +430,10 @@ SELECT cell_id, n, (SELECT count(*) FROM items) AS total, (SELECT n FROM nlist):
 ORACLES["ivf_probe"] = f"""WITH {ITEMS}, {coarse()}, {prototypes()}, {CELL_RANKS}
 SELECT qid, cell_rank::INT AS rank, cell_id, cell_sim AS similarity FROM cell_ranks WHERE cell_rank <= {NPROBE}"""
 
+ORACLES["ivf_probe_tree"] = f"""WITH {DOC_ITEMS}, {fine()}
+SELECT i.item_id, row_number() OVER (PARTITION BY i.item_id ORDER BY {similarity('i.embedding', 's.centroid')} DESC, s.cell_id)::INT AS rank, s.cell_id,
+  {similarity('i.embedding', 's.centroid')} AS similarity FROM items i, seeds s QUALIFY rank <= {NPROBE}"""
+
 _IVF = f"{ITEMS}, {coarse()}, {prototypes()}, {scored()}"
 
 ORACLES["ivf_search"] = f"""WITH {_IVF}, best AS ({top('scored', K, f'cell_rank <= {NPROBE}')}) SELECT {RANKED} FROM best"""

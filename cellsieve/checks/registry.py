@@ -383,6 +383,19 @@ def ivf_probe(spark, sf_dir):
     )
 
 
+@query
+def ivf_probe_tree(spark, sf_dir):
+    """The nearest cells of every document among n/4 cells, found by groups of centroids."""
+    documents = cut(st.document_vectors(spark, sf_dir).select("item_id", "embedding"))
+    seeds = st.seed_centroids(documents, documents.count() // 4)
+    cells = ivf.Cells(cut(seeds), tree_cells=1)
+    near = ivf.nearest_cells(documents, cells, "embedding", NPROBE, "item_id")
+    flat = near.select("item_id", F.posexplode(F.arrays_zip("cells", "cell_sims")).alias("pos", "p"))
+    return flat.select(
+        "item_id", (F.col("pos") + 1).alias("rank"), F.col("p.cells").alias("cell_id"), F.col("p.cell_sims").alias("similarity")
+    )
+
+
 @query
 def ivf_search(spark, sf_dir):
     index = st.coarse_index(st.items(spark, sf_dir))

@@ -6,6 +6,9 @@ QUERY_BLOCK_BYTES = 128 * 1024 * 1024
 # A matrix of centroids shipped to every task.
 MATRIX_BYTES = 128 * 1024 * 1024
 
+# From so many centroids on, nearest cells are found by groups of centroids.
+TREE_CELLS = 4096
+
 # Similarity tiles computed at once inside a task (entries of a double matrix).
 TILE_ENTRIES = 4_000_000
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
@@ -23,6 +24,7 @@ from cellsieve.functions.vectors import (
     settle,
 )
 from cellsieve.operators import pq
+from cellsieve.operators.cell_tree import CellTree, Groups, nearest_middles
 from cellsieve.operators.scoring import (
     BEST_SCHEMA,
     PROBE_BYTES,
@@ -48,9 +50,10 @@ TRAIN_PER_CELL = 100
 class Cells:
     """Centroids (cell_id, centroid) with the matrix that is broadcast when it fits the bound."""
 
-    def __init__(self, frame: DataFrame, matrix_bytes: int | None = None):
+    def __init__(self, frame: DataFrame, matrix_bytes: int | None = None, tree_cells: int | None = None):
         self.frame = frame.select("cell_id", "centroid")
         self.matrix_bytes = matrix_bytes
+        self.tree_cells = limits.TREE_CELLS if tree_cells is None else tree_cells
 
     @classmethod
     def of(cls, centroids: DataFrame | Cells) -> Cells:
@@ -73,6 +76,34 @@ class Cells:
         """The broadcast matrix, or None beyond the bound."""
         return None if self.matrix is None else self.frame.sparkSession.sparkContext.broadcast(self.matrix)
 
+    @cached_property
+    def tree(self):
+        """From `tree_cells` centroids on, they are grouped and searched by group: the broadcast tree, else None."""
+        if self.matrix is None or len(self.matrix[0]) < self.tree_cells:
+            return None
+        return self.frame.sparkSession.sparkContext.broadcast(CellTree.of(self.matrix[1], SEED))
+
+    @cached_property
+    def grouped(self) -> tuple[Groups, DataFrame]:
+        """Groups of a set beyond the bound, and its centroids with their group_id. Middles are a sample of about
+        the square root of their number."""
+        middles = matrix_of(train_sample(self.frame, "cell_id", max(1, math.isqrt(self.count))).select("centroid").toArrow().column(0))
+
+        def place(batches):
+            for batch in batches:
+                points = matrix_of(batch.column("centroid"))
+                group = nearest_middles(points, middles) if len(points) else np.zeros(0, np.int64)
+                off = np.sqrt(((points - middles[group]) ** 2).sum(axis=1)) if len(points) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group), pa.array(off)], [*batch.schema.names, "group_id", "off"])
+
+        kind = self.frame.schema["centroid"].dataType.simpleString()
+        placed = cut(self.frame.mapInArrow(place, f"cell_id bigint, centroid {kind}, group_id bigint, off double"))
+        found = placed.groupBy("group_id").agg(F.max("off").alias("radius"), F.count(F.lit(1)).alias("n")).toArrow()
+        at = found.column("group_id").to_numpy()
+        radii, sizes = np.zeros(len(middles)), np.zeros(len(middles), np.int64)
+        radii[at], sizes[at] = found.column("radius").to_numpy(), found.column("n").to_numpy()
+        return Groups(middles, radii, sizes), placed.drop("off")
+
     @cached_property
     def dim(self) -> int:
         first = self.frame.select(F.size("centroid").alias("dim")).head()
@@ -98,7 +129,8 @@ def nearest_cells(
 
     `n` is a number or the name of an integer column. With `weights` (cell_id, n) also `seen`: the running
     total of n over those cells. `width` takes these totals and says how many of the cells a row keeps. Rows stay in their partition; only the centroid matrix is broadcast, behind
-    a size check. Larger centroid sets are joined block by block.
+    a size check; a large matrix is searched by groups of centroids. Centroid sets beyond the bound are joined, each row
+    with the groups that may hold one of its cells.
     """
     cells = Cells.of(centroids)
     shared = cells.shared
@@ -106,6 +138,7 @@ def nearest_cells(
         joined = _nearest_cells_joined(points, cells, vector, n, id_column, weights)
         return joined if width is None else _cut_to_width(joined, width)
     weighted = weights is not None
+    tree = None if weighted else cells.tree
     per_cell = None
     if weighted:
         # At most one row per centroid, so within the bound just checked.
@@ -129,8 +162,14 @@ def nearest_cells(
             seen = [np.zeros(0, "int64")]
             step = max(16, limits.TILE_ENTRIES // len(ids))
             for at in range(0, rows, step):
-                tile = np.round(points[at : at + step] @ matrix.T, SETTLED_DECIMALS)
                 most = int(wanted[at : at + step].max(initial=0))
+                if tree is not None and 0 < most <= len(ids) // 4:
+                    near, near_sims, _ = tree.value.nearest(points[at : at + step], most)
+                    held = np.arange(most) < wanted[at : at + step, None]
+                    chosen.append(near[held])
+                    sims.append(near_sims[held])
+                    continue
+                tile = np.round(points[at : at + step] @ matrix.T, SETTLED_DECIMALS)
                 if most == 1 and not weighted and wanted[at : at + step].min() == 1:
                     best = tile.argmax(axis=1)
                     chosen.append(best)
@@ -179,11 +218,10 @@ def _cut_to_width(probes: DataFrame, width: Callable[[np.ndarray], int]) -> Data
 
 
 def _nearest_cells_joined(points, cells, vector, n, id_column, weights):
-    widest = n if isinstance(n, int) else points.agg(F.max(n)).head()[0]
-    as_vectors = cells.frame.select(
-        F.col("cell_id").alias("item_id"), F.col("centroid").alias("embedding")
-    )
-    as_queries = points.select(F.col(id_column).alias("qid"), F.col(vector).alias("qvec"))
+    widest = n if isinstance(n, int) else points.agg(F.max(n)).head()[0] or 1
+    groups, placed = cells.grouped
+    as_vectors = placed.select(F.col("cell_id").alias("item_id"), F.col("centroid").alias("embedding"), F.col("group_id").alias("cell_id"))
+    as_queries = _with_groups(points.select(F.col(id_column).alias("qid"), F.col(vector).alias("qvec")), groups, widest)
     found = _joined_scan(
         as_vectors, as_queries, ExactScores(), lambda qids, marks: BestPerQuery(qids, widest), BEST_SCHEMA
     )
@@ -204,6 +242,23 @@ def _nearest_cells_joined(points, cells, vector, n, id_column, weights):
     )
 
 
+def _with_groups(queries: DataFrame, groups: Groups, n: int) -> DataFrame:
+    """Queries with the groups of centroids that may hold one of their n nearest, as the cells of a joined scan."""
+    shared = queries.sparkSession.sparkContext.broadcast(groups)
+    schema = T.StructType([*queries.schema.fields, T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("cell_sims", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            vectors = matrix_of(batch.column("qvec"))
+            wanted = shared.value.candidates(vectors, n) if len(vectors) else []
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(w) for w in wanted])]), pa.int32())
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *wanted]), pa.int64())
+            lists = [pa.ListArray.from_arrays(offsets, v) for v in (flat, pa.array(np.zeros(len(flat))))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], schema.fieldNames())
+
+    return queries.mapInArrow(run, schema)
+
+
 def assign_cells(points: DataFrame, centroids: DataFrame | Cells, vector: str = "embedding") -> DataFrame:
     """Add `cell_id`, the cell of the most similar centroid."""
     return (
