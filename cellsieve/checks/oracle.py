@@ -795,6 +795,7 @@ for _name, _same in {
     "pred_id_in_long": "pred_id_in",
     "knn_exact_joined": "knn_exact",
     "ivf_search_joined": "ivf_search",
+    "ivf_search_blocks": "ivf_search",
     "ivf_assign_joined": "ivf_assign",
     "hybrid_base_pos_counted": "hybrid_base_pos",
 }.items():

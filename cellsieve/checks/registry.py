@@ -409,6 +409,15 @@ def ivf_search_joined(spark, sf_dir):
     return _ranked(index.search(st.prototypes(spark, sf_dir), K, NPROBE, block_bytes=0))
 
 
+@query
+def ivf_search_blocks(spark, sf_dir):
+    """ivf_search where a few queries at a time may be broadcast: each block reads the cells it probes."""
+    index = st.coarse_index(st.items(spark, sf_dir))
+    path = scratch_path(spark, "index")
+    tables.save_index(index, path)
+    return _ranked(tables.load_index(spark, path).search(st.prototypes(spark, sf_dir), K, NPROBE, block_bytes=5000))
+
+
 @query
 def ivf_assign_joined(spark, sf_dir):
     """ivf_assign where the centroids may not be broadcast."""

@@ -2,15 +2,17 @@
 
 Vectors stream through Arrow batches once, are multiplied with every query that wants their cell, and only
 the best k per query leave a task. Nothing is grouped by cell, so a cell that holds a third of all rows is
-scored by as many tasks as its files have splits. Two ways share the arithmetic:
+scored by as many tasks as its files have splits. Three ways share the arithmetic:
 
 * a query block that fits `QUERY_BLOCK_BYTES` is broadcast and the vectors are scanned in place;
-* any larger query set is packed per cell and joined with chunks of vectors on the cell, a shuffle join
+* a larger set of probing queries is cut into blocks of neighbours, each broadcast to the cells it probes;
+* any still larger query set is packed per cell and joined with chunks of vectors on the cell, a shuffle join
   whose hot cells AQE may split.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -37,6 +39,12 @@ ROW_BYTES, QUERY_BYTES = 48, 200
 # Rows per query that one task merges without a salted step before it.
 MERGE_AT_ONCE = 20_000
 MERGED_TASKS = 64
+# Rows of one query that all tasks together may send before a cutoff is exchanged, and the share (1 in so many) of the
+# vectors that gives it.
+CUTOFF_ROWS = 2_000_000
+CUTOFF_SHARE = 64
+# Query blocks scanned one after the other before vectors are shuffled to the queries instead.
+MOST_BLOCKS = 64
 SLOT_SCHEMA = "qid bigint, slot int, n bigint"
 
 
@@ -117,6 +125,10 @@ class BestPerQuery:
         self.held = np.append(self.held, np.zeros(new, dtype=np.int64))
         return out
 
+    def raise_floor(self, which: np.ndarray, least: np.ndarray) -> None:
+        """Rows below `least` are known not to rank."""
+        self.floor[which] = np.maximum(self.floor[which], least)
+
     @property
     def bytes(self) -> int:
         return int(self.held.sum()) * ROW_BYTES + len(self.at) * QUERY_BYTES
@@ -228,12 +240,14 @@ def _tiles(rows: int, queries: int):
 
 @dataclass(frozen=True)
 class QueryBlock:
-    """A bounded batch of queries on the driver. `cells` is None when every query wants every row."""
+    """A bounded batch of queries on the driver. `cells` is None when every query wants every row; `least` is a similarity
+    that the rows of a query must reach."""
 
     qids: np.ndarray
     vectors: np.ndarray
     cells: dict[int, tuple[np.ndarray, np.ndarray]] | None
     marks: list[tuple[np.ndarray, np.ndarray]] | None
+    least: np.ndarray | None = None
 
 
 def _block_of(table: pa.Table) -> QueryBlock:
@@ -259,7 +273,8 @@ def _block_of(table: pa.Table) -> QueryBlock:
                 [np.asarray(i, dtype="int64") for i in table.column("mark_ids").to_pylist()],
             )
         )
-    return QueryBlock(qids, vectors, cells, marks)
+    least = table.column("least").to_numpy() if "least" in table.column_names else None
+    return QueryBlock(qids, vectors, cells, marks, least)
 
 
 def within_cells(vectors: DataFrame, cells: list[int]) -> DataFrame:
@@ -283,14 +298,16 @@ def _scan(vectors: DataFrame, block: QueryBlock, scores, make_sink: Callable, sc
     if block.cells is not None:
         columns.insert(1, "cell_id")
         vectors = within_cells(vectors, list(block.cells))
-    payload = (block.qids, block.vectors, block.cells, block.marks)
+    payload = (block.qids, block.vectors, block.cells, block.marks, block.least)
     shared = vectors.sparkSession.sparkContext.broadcast(payload)
     data_column, dtype = scores.column, scores.dtype
 
     def run(batches):
-        qids, queries, cells, marks = shared.value
+        qids, queries, cells, marks, least = shared.value
         prepared = scores.prepare(queries)
         sink = make_sink(qids, marks)
+        if least is not None:
+            sink.raise_floor(np.arange(len(qids)), least)
         everyone = np.arange(len(qids))
         for batch in batches:
             if not batch.num_rows:
@@ -374,7 +391,8 @@ def _joined_scan(
     vectors: DataFrame, probes: DataFrame, scores, make_sink: Callable, schema: str
 ) -> DataFrame:
     """Score by joining chunks of vectors with packs of at most about PACK_QUERIES queries on the cell."""
-    extra = ["mark_sims", "mark_ids"] if "mark_sims" in probes.columns else []
+    marked, bounded = "mark_sims" in probes.columns, "least" in probes.columns
+    extra = ["mark_sims", "mark_ids"] * marked + ["least"] * bounded
     if "cells" in probes.columns:
         wanted = probes.select(
             "qid", "qvec", *extra, F.explode(F.arrays_zip("cells", "cell_sims")).alias("probe")
@@ -420,11 +438,13 @@ def _joined_scan(
                 queries = matrix_of(struct.field("qvec"))
                 base = np.asarray(struct.field("base")).astype("float64")
                 marks = None
-                if extra:
+                if marked:
                     marks = list(
                         zip(struct.field("mark_sims").to_pylist(), struct.field("mark_ids").to_pylist())
                     )
                 which = sink.places(qids, marks)
+                if bounded:
+                    sink.raise_floor(which, np.asarray(struct.field("least")).astype("float64"))
                 sims = scores.score(scores.prepare(queries), rows, base)
                 sink.offer(which, ids, sims, flags_of(flags.values), cell.as_py())
                 if sink.bytes > bound:
@@ -453,11 +473,40 @@ def _run(vectors, probes, scores, make_sink, schema, k: int, dim: int, width: in
     if "cells" in probes.columns:
         # Probe lists are often far shorter than `width`: measure them before giving up the broadcast.
         rows, cells = probes.agg(F.count(F.lit(1)), F.sum(F.size("cells"))).head()
-        if block and rows * per_query + cells * PROBE_BYTES <= block:
+        size = rows * per_query + cells * PROBE_BYTES
+        if block and size <= block:
             return _scan(vectors, _block_of(probes.toArrow()), scores, make_sink, schema)
+        blocks = -(-size // block) if block else MOST_BLOCKS + 1
+        if blocks <= MOST_BLOCKS:
+            return _block_scans(vectors, probes, scores, make_sink, schema, blocks, max(1, rows // blocks))
     return _joined_scan(vectors, probes, scores, make_sink, schema)
 
 
+def _block_scans(vectors, probes, scores, make_sink, schema, blocks: int, rows: int) -> DataFrame:
+    """Blocks of queries one after the other, each broadcast to a scan of the cells it probes. Queries with the same
+    nearest cell share a block, so most cells are read for few blocks, and no vector is shuffled."""
+    ranged = probes.repartitionByRange(blocks, F.get("cells", F.lit(0)), "qid").withColumn("block", F.spark_partition_id())
+    ranged = cut(ranged)
+    found = []
+    for b in range(blocks):
+        table = ranged.filter(F.col("block") == b).drop("block").toArrow()
+        # A sampled range may hold somewhat more than its share.
+        for at in range(0, table.num_rows, 2 * rows):
+            part = _block_of(table.slice(at, 2 * rows))
+            found.append(cut(_scan(vectors, part, scores, make_sink, schema)))
+    if not found:
+        return vectors.sparkSession.createDataFrame([], schema)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _with_least(vectors: DataFrame, probes: DataFrame, k: int, scores, dim: int, width: int, block_bytes: int | None) -> DataFrame:
+    """Probes with `least`: the kth similarity among a share of the vectors, which the kth of all can't be below."""
+    share = vectors.filter(F.pmod(F.xxhash64("item_id"), F.lit(CUTOFF_SHARE)) == 0)
+    found = _run(share, probes, scores, lambda qids, marks: BestPerQuery(qids, k), BEST_SCHEMA, k, dim, width, block_bytes)
+    kth = rank_per_query(found, k, scan_tasks(vectors)).filter(F.col("rank") == k).select("qid", F.col("similarity").alias("least"))
+    return cut(probes.join(kth, "qid", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))))
+
+
 def best_per_query(
     vectors: DataFrame,
     probes: DataFrame,
@@ -473,8 +522,13 @@ def best_per_query(
     A boolean column `passes` of the vectors is handed through (true without one). `probes` has one row per query: qid bigint, qvec array, and optionally cells array<bigint> with
     cell_sims array<double>; without cells every vector is scored. `width` bounds the cells per query,
     `block_bytes` (QUERY_BLOCK_BYTES unless given) the query block that may be broadcast.
+
+    Where tasks could send more than CUTOFF_ROWS rows of one query, a light pass over a share of the vectors first
+    finds a similarity that k rows are known to reach; tasks send no row below it.
     """
     scores = scores or ExactScores()
+    if k * scan_tasks(vectors) > CUTOFF_ROWS:
+        probes = _with_least(vectors, cut(probes), k, scores, dim, width, block_bytes)
     found = _run(
         vectors, probes, scores, lambda qids, marks: BestPerQuery(qids, k), BEST_SCHEMA, k, dim, width, block_bytes
     )

@@ -161,3 +161,63 @@ def test_short_probe_lists_stay_broadcast_whatever_the_width(fine, queries):
     found = best_per_query(fine.vectors, probes, 6, dim=fine.dim, width=10**7)
     assert "Join" not in found._jdf.queryExecution().toString()
     assert rows(found, *RANKED) == expected
+
+
+def test_blocks_of_queries_read_their_cells_in_place(spark, fine, queries, tmp_path, monkeypatch):
+    """No exchange above the scan of the vectors, and only partitions of probed cells are read."""
+    from cellsieve.operators import scoring
+    from cellsieve.sources.tables import load_index, save_index
+
+    save_index(fine, str(tmp_path / "index"))
+    index = load_index(spark, str(tmp_path / "index"))
+    expected = rows(index.search(queries, 6, 3), *RANKED)
+    plans, seen = [], []
+    scan = scoring._scan
+
+    def kept(vectors, block, *rest):
+        found = scan(vectors, block, *rest)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        seen.append((set(block.qids.tolist()), set(block.cells)))
+        return found
+
+    monkeypatch.setattr(scoring, "_scan", kept)
+    assert rows(index.search(queries, 6, 3, block_bytes=4000), *RANKED) == expected
+    assert len(plans) > 2
+    for plan in plans:
+        assert "Exchange" not in plan and "PartitionFilters: [" in plan and "cell_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert sum(len(q) for q, _ in seen) == len(set().union(*(q for q, _ in seen)))
+    assert max(len(c) for _, c in seen) < index.nlist / 2
+
+
+def test_large_k_sends_few_rows(spark, monkeypatch):
+    """With a cutoff from a share of the vectors, tasks no longer send k rows each."""
+    from cellsieve.operators import scoring
+
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(4000, 8))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "item_id bigint, embedding array<double>").repartition(40)
+    asked = spark.createDataFrame([(q, rng.normal(size=8).tolist()) for q in range(3)], "qid bigint, qvec array<double>")
+    sent = {}
+
+    def search(name):
+        run = scoring._run
+
+        def counted(*args):
+            found = run(*args)
+            sent[name] = found.count()
+            return found
+
+        monkeypatch.setattr(scoring, "_run", counted)
+        out = rows(exact_knn(vectors, asked, 100, 8), *RANKED)
+        monkeypatch.setattr(scoring, "_run", run)
+        return out
+
+    plain = search("plain")
+    monkeypatch.setattr(scoring, "CUTOFF_ROWS", 1)
+    monkeypatch.setattr(scoring, "CUTOFF_SHARE", 8)
+    assert search("cutoff") == plain
+    assert sent["plain"] == 3 * 40 * 100
+    assert sent["cutoff"] < sent["plain"] / 3
+    monkeypatch.setattr(limits, "QUERY_BLOCK_BYTES", 1)
+    assert search("joined") == plain
