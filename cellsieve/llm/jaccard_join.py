@@ -19,13 +19,14 @@ because they agree in that many parts. `spare` is chosen per band so that hardly
 From signatures to links:
 
 1. Equal sets are one class, named by the smallest document id; only classes go on.
-2. Signatures are written once and brought together in SIGNATURE_ROUNDS rounds, a share of them by hash each, whose shuffle
-   is removed before the next one's. Signatures that one class alone has are dropped. Every other class of a signature is compared with the
-   signature's hub, its smallest class, by exact intersection of the sets.
-3. A signature is settled when all its classes link to the hub. The classes of the others are compared with each
-   other, hub by hub, in blocks: a task takes two blocks of a hub's classes, makes the 0/1 matrix of the features that
-   occur at least twice, and gets all intersections as one matrix product. It sends at most one link per class and
-   block, a spanning forest of the linked pairs, so no group is written out as pairs, and none is held by one task.
+2. Signatures are written once and brought together in ROUNDS rounds, a share of them by hash each, whose shuffle is removed
+   before the next one's. Every class of a signature but the smallest, its hub, is compared with the hub by exact
+   intersection of the sets.
+3. A class that doesn't link to a hub it shares a signature with is compared with all other classes of that hub, in
+   blocks: a task takes two blocks of a hub's classes, makes the 0/1 matrix of the features that occur at least twice,
+   and gets all intersections as one matrix product. Classes that do link to the hub are not compared with each other. A
+   task sends at most one link per class and block, a spanning forest of the linked pairs, so no group is written out as
+   pairs, and none is held by one task.
 4. Components of all links by label propagation with pointer jumping over written tables.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing; a text with
@@ -53,7 +54,7 @@ from cellsieve.session import cut
 BLOCK_FEATURES = 400_000
 BLOCK_SETS = 4096
 SLAB = 4096
-SIGNATURE_ROUNDS = 4
+ROUNDS = 4
 BROADCAST_CLASSES = 500_000
 SEEN = 1 << 18
 
@@ -239,11 +240,18 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(name, hub, linked) of the pairs, by exact intersection."""
-    both = pairs.join(sets, "name").join(sets.select(F.col("name").alias("hub"), F.col("features").alias("of_hub")), "hub")
-    shared = F.size(F.array_intersect("features", "of_hub"))
-    union = F.size("features") + F.size("of_hub") - shared
-    return both.select("name", "hub", (shared * 100 >= union * percent).alias("linked"))
+    """(name, hub, linked) of the pairs, by exact intersection, a share of the hubs at a time."""
+    hubs = sets.select(F.col("name").alias("hub"), F.col("features").alias("of_hub"))
+    parts = []
+    for n in range(ROUNDS):
+        some = F.pmod("hub", F.lit(ROUNDS)) == n
+        both = pairs.where(some).join(sets, "name").join(hubs.where(some), "hub")
+        shared = F.size(F.array_intersect("features", "of_hub"))
+        union = F.size("features") + F.size("of_hub") - shared
+        parts.append(cut(both.select("name", "hub", (shared * 100 >= union * percent).alias("linked"))))
+        del both
+        release(pairs.sparkSession)
+    return reduce(DataFrame.union, parts)
 
 
 def links_within(rows: list[np.ndarray], columns: list[np.ndarray], percent: int) -> np.ndarray:
@@ -287,8 +295,8 @@ def forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> Iterato
 
 
 def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(low, high) links among the classes that share a hub. members: distinct (hub, name)."""
-    members = cut(members)
+    """(low, high) links among the classes that share a hub. members: distinct (hub, name, linked); classes that link to
+    the hub are joined by it already and are only compared with those that don't."""
     sizes = members.join(sets.select("name", F.size("features").alias("size")), "name")
     blocks = F.greatest(F.ceil(F.col("total") / BLOCK_FEATURES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
     # Written first, so that Spark knows its size before it plans the join: only hubs of several blocks are in it.
@@ -297,7 +305,7 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     rows = members.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("hub", "name", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rows = rows.select("hub", "name", "linked", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     rows = rows.join(sets, "name")
 
     def job(table: pa.Table) -> pa.Table:
@@ -306,12 +314,17 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         values, at = sets_.flatten().to_numpy(), sets_.offsets.to_numpy() - sets_.offsets[0].as_py()
         features = [values[a:b] for a, b in zip(at[:-1], at[1:])]
         own, low, high = (table.column(c).to_numpy() for c in ("own", "low", "high"))
-        left, right = np.flatnonzero(own == low[0]), np.flatnonzero(own == high[0])
-        found = []
-        if len(left) and len(right):
-            linked = links_within([features[i] for i in left], [features[i] for i in right], percent)
-            linked &= names[left][:, None] != names[right][None, :]
-            found = list(forest(linked, names[left], names[right]))
+        joined = table.column("linked").to_numpy()
+        left, right = own == low[0], own == high[0]
+        found: list[tuple[int, int]] = []
+        for rows_, columns in ((left & ~joined, right), (left & joined, right & ~joined)):
+            if low[0] == high[0] and columns is not right:
+                continue  # compared from the other side
+            r, c = np.flatnonzero(rows_), np.flatnonzero(columns)
+            if len(r) and len(c):
+                linked = links_within([features[i] for i in r], [features[i] for i in c], percent)
+                linked &= names[r][:, None] != names[c][None, :]
+                found += forest(linked, names[r], names[c])
         return pa.table({"low": pa.array([a for a, _ in found], pa.int64()), "high": pa.array([b for _, b in found], pa.int64())})
 
     return rows.groupBy("hub", "low", "high").applyInArrow(job, "low long, high long")
@@ -335,19 +348,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _shared_signatures(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
-    """(sig, name, hub) of all signatures that several classes have; hub is the smallest of these."""
+def _sharing_pairs(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+    """Distinct (name, hub): the hub is the smallest of the classes that have a signature, name another one of them."""
     signed, path = spool(_signed(docs, words, threshold))
-    rounds = [_one_round(signed, n) for n in range(SIGNATURE_ROUNDS)]
+    rounds = [_one_round(signed, n) for n in range(ROUNDS)]
     discard(docs.sparkSession, path)
-    return reduce(DataFrame.union, rounds)
+    return cut(reduce(DataFrame.union, rounds).distinct())
 
 
 def _one_round(signed: DataFrame, n: int) -> DataFrame:
-    around = "PARTITION BY sig"
-    some = signed.where(F.pmod("sig", F.lit(SIGNATURE_ROUNDS)) == n)
-    every = some.withColumns({"hub": F.expr(f"min(name) OVER ({around})"), "last": F.expr(f"max(name) OVER ({around})")})
-    found = cut(every.where("hub < last").select("sig", "name", "hub"))
+    some = signed.where(F.pmod("sig", F.lit(ROUNDS)) == n)
+    every = some.withColumn("hub", F.expr("min(name) OVER (PARTITION BY sig)"))
+    found = cut(every.where("name <> hub").select("name", "hub").distinct())
     del some, every
     release(signed.sparkSession)  # the signatures' shuffle is the largest
     return found
@@ -359,8 +371,7 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     small_batches(spark)
     every = cut(_classes(docs, words))
     classes = cut(every.where("name IS NOT NULL AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("first_id")))
-    shared = _shared_signatures(docs, words, threshold)
-    pairs = cut(shared.where("name <> hub").select("name", "hub").distinct())
+    pairs = _sharing_pairs(docs, words, threshold)
     needed = cut(pairs.select("name").union(pairs.select("hub")).distinct().join(classes, "name").select("name", F.col("first_id").alias("doc_id")))
     # Texts stay where they are while the classes to be compared are few enough to go to them.
     few = needed.count() <= BROADCAST_CLASSES
@@ -368,13 +379,13 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     sets = cut(_sets(texts, words))
     if not sets.groupBy("name").count().where("count > 1").isEmpty():  # a repeated row
         sets = cut(sets.dropDuplicates(["name"]))
-    compared = cut(_hub_links(pairs, sets, percent))
-    release(spark)
+    compared = _hub_links(pairs, sets, percent)
     linked = compared.where("linked").select(F.col("hub").alias("low"), F.col("name").alias("high"))
-    # Signatures with a class that doesn't link to the hub: their classes, hubs included, are compared in full.
-    open_ = shared.join(compared.where("NOT linked"), ["name", "hub"]).select("sig").distinct()
-    members = shared.join(open_, "sig").select("hub", "name").distinct()
-    labels = components(linked.union(_block_links(members, sets, percent)))
+    # Hubs with a class that doesn't link to them: that class is compared with all others of the hub.
+    open_ = cut(compared.where("NOT linked").select("hub").distinct())
+    members = compared.join(open_, "hub").select("hub", "name", "linked")
+    members = members.union(open_.select("hub", F.col("hub").alias("name"), F.lit(True).alias("linked")))
+    labels = components(linked.union(_block_links(cut(members), sets, percent)))
     joined = classes.join(labels, F.col("name") == F.col("node"))
     least = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_name = labels.join(least, "label").select(F.col("node").alias("named"), "component_id")
