@@ -237,6 +237,9 @@ ORACLES["csv_roundtrip"] = f"""WITH {DOCS}
 SELECT item_id::VARCHAR AS item_id, title, text, coalesce(url, '') AS url, strftime(revdate, '%Y-%m-%d %H:%M:%S') AS revdate,
        token_count::VARCHAR AS token_count, entity FROM docs"""
 
+ORACLES["csv_foreign"] = "SELECT doc_id, 'say \"' || lang || '\" \\nabla' || chr(10) || ', ' AS title, text FROM documents"
+ORACLES["csv_escaped"] = "SELECT doc_id, '\"\\\\nabla' || chr(10) || text AS text FROM documents"
+
 ORACLES["items_build"] = f"""WITH {DOCS}
 SELECT item_id, ext_id, title, coalesce(url, '') AS url, revdate, token_count, entity FROM docs"""
 
@@ -431,8 +434,8 @@ ORACLES["ivf_probe"] = f"""WITH {ITEMS}, {coarse()}, {prototypes()}, {CELL_RANKS
 SELECT qid, cell_rank::INT AS rank, cell_id, cell_sim AS similarity FROM cell_ranks WHERE cell_rank <= {NPROBE}"""
 
 ORACLES["ivf_probe_tree"] = f"""WITH {DOC_ITEMS}, {fine()}
-SELECT i.item_id, row_number() OVER (PARTITION BY i.item_id ORDER BY {similarity('i.embedding', 's.centroid')} DESC, s.cell_id)::INT AS rank, s.cell_id,
-  {similarity('i.embedding', 's.centroid')} AS similarity FROM items i, seeds s QUALIFY rank <= {NPROBE}"""
+SELECT i.item_id, row_number() OVER (PARTITION BY i.item_id ORDER BY {similarity('i.embedding', 's.centroid')} DESC, s.cell_id)::INT AS rank, s.cell_id
+FROM items i, seeds s QUALIFY rank <= {NPROBE}"""
 
 _IVF = f"{ITEMS}, {coarse()}, {prototypes()}, {scored()}"
 

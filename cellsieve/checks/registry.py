@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellsieve.checks import standins as st
 from cellsieve.functions.dates import load_date
@@ -83,6 +84,28 @@ def csv_roundtrip(spark, sf_dir):
     )
 
 
+@query
+def csv_foreign(spark, sf_dir):
+    """CSV as other programs write it, line breaks, quotes and backslashes inside quoted values, columns by name."""
+    path = scratch_path(spark, "foreign")
+    texts = st.table(spark, sf_dir, "documents").select(
+        "source", F.concat(F.lit('say "'), F.col("lang"), F.lit('" \\nabla\n, ')).alias("title"), "doc_id", "text"
+    )
+    plain = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    texts.write.options(header="true", quoteAll="true", quote='"', escape='"', **plain).csv(path)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
+    return tables.read_csv(spark, path, schema)
+
+
+@query
+def csv_escaped(spark, sf_dir):
+    """The same through files of one line per row."""
+    path = scratch_path(spark, "escaped")
+    texts = st.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('"\\\\nabla\n'), F.col("text")).alias("text"))
+    tables.write_csv(texts, path, escaped=True)
+    return tables.read_csv(spark, path, texts.schema, escaped=True)
+
+
 @query
 def items_build(spark, sf_dir):
     typed = ingest.typed_items(_raw_documents(spark, sf_dir))
@@ -390,9 +413,8 @@ def ivf_probe_tree(spark, sf_dir):
     seeds = st.seed_centroids(documents, documents.count() // 4)
     cells = ivf.Cells(cut(seeds), tree_cells=1)
     near = ivf.nearest_cells(documents, cells, "embedding", NPROBE, "item_id")
-    flat = near.select("item_id", F.posexplode(F.arrays_zip("cells", "cell_sims")).alias("pos", "p"))
-    return flat.select(
-        "item_id", (F.col("pos") + 1).alias("rank"), F.col("p.cells").alias("cell_id"), F.col("p.cell_sims").alias("similarity")
+    return near.select("item_id", F.posexplode("cells").alias("pos", "cell_id")).select(
+        "item_id", (F.col("pos") + 1).alias("rank"), "cell_id"
     )
 
 

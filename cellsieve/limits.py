@@ -22,6 +22,9 @@ PRUNE_CELLS = 4096
 # Offsets of so many files or splits (about 200 bytes each) are broadcast.
 BROADCAST_FILES = 200_000
 
+# Splits of CSV files whose beginnings (about 100 bytes each) go to every task.
+CSV_SPLITS = 1_000_000
+
 # Assumed number of scan tasks where Spark doesn't know the size of a table.
 MANY_TASKS = 100_000
 

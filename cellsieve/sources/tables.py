@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from cellsieve.operators.histogram import Histogram2D
 from cellsieve.operators.ingest import typed_items
 from cellsieve.operators.ivf import Cells, IvfIndex
+from cellsieve.sources.csv_records import records
 from cellsieve.schemas import CENTROIDS, CODEBOOKS, INDEX_META, ITEMS, RAW
 
 _CSV_OPTIONS = {
@@ -24,8 +25,9 @@ _CSV_OPTIONS = {
 _ID_FILTER = {"parquet.bloom.filter.enabled#item_id": "true"}
 
 
-# Line breaks and the backslash itself as two visible characters, so that a row is one line of the file.
-_ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"))
+# Line breaks, NUL (which Spark's CSV writer would drop) and the backslash itself as two visible characters, so that a row is
+# one line of the file.
+_ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\x00", "\\z"))
 
 
 def _texts(df: DataFrame) -> list[str]:
@@ -37,39 +39,64 @@ def read_csv(
     path: str,
     schema: T.StructType = RAW,
     columns: list[str] | None = None,
-    escaped: bool = True,
+    escaped: bool = False,
 ) -> DataFrame:
-    """CSV with header; only the named columns are parsed into rows.
+    """CSV with header, columns found by name; only the named columns are parsed into rows.
 
-    Files of `write_csv` hold one row per line, so large files are split over tasks. With `escaped` false, line
-    breaks inside quotes belong to the value, as other programs write them; each file is then read by one task.
+    Quotes inside a value are doubled, and line breaks and backslashes inside quotes belong to it, as other programs
+    write them. Large files are split over tasks even so. `escaped` is for files written with that option, whose rows
+    are one line each.
     """
-    options = {"multiLine": "false" if escaped else "true"}
-    df = spark.read.schema(schema).options(**options, **_CSV_OPTIONS).csv(path)
-    df = df.select(*columns) if columns else df
     if not escaped:
-        return df
-    # A backslash pair first becomes a mark, so that an escaped backslash before an n stays one.
-    mark = "\x00"
+        return _plain_csv(spark, path, schema, columns or schema.names)
+    df = spark.read.schema(schema).options(multiLine="false", **_CSV_OPTIONS).csv(path)
+    df = df.select(*columns) if columns else df
+    # A backslash pair first becomes one that no escape begins with, so that an escaped backslash before an n stays one.
+    pair = "\\0"
 
     def plain(c):
-        whole = F.replace(F.col(c), F.lit("\\\\"), F.lit(mark))
-        whole = F.replace(F.replace(whole, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
-        return F.replace(whole, F.lit(mark), F.lit("\\"))
+        value = F.replace(F.col(c), F.lit("\\\\"), F.lit(pair))
+        for old, new in _ESCAPES[1:]:
+            value = F.replace(value, F.lit(new), F.lit(old))
+        return F.replace(value, F.lit(pair), F.lit("\\"))
 
     return df.withColumns({c: plain(c) for c in _texts(df)})
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Quoted CSV with header, line breaks escaped."""
+def _plain_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str]) -> DataFrame:
+    options = {"multiLine": "true", **_CSV_OPTIONS}
+    found = records(spark, path)
+    if found is None:
+        return spark.read.schema(schema).options(**options).csv(path).select(*columns)
+    # Columns by the header of the first file; Spark reads that record alone.
+    header = spark.read.options(**options).csv(path).columns
+    missing = [c for c in columns if c not in header]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
+    kinds = {f.name: f.dataType for f in schema}
+    fields = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
+    options.pop("header")
+    line = F.rtrim("record", F.lit("\r"))
+    row = F.from_csv(line, _ddl(fields), options)
+    return found.filter("NOT first").select(row.alias("row")).select(*[F.col("row")[c].alias(c) for c in columns])
+
+
+def _ddl(fields: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields)
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "error", escaped: bool = False) -> None:
+    """Quoted CSV with header; with `escaped`, line breaks and backslashes as two characters, one row per line."""
 
-    def escaped(c):
+    def one_line(c):
         value = F.col(c)
         for old, new in _ESCAPES:
             value = F.replace(value, F.lit(old), F.lit(new))
         return value
 
-    df.withColumns({c: escaped(c) for c in _texts(df)}).write.mode(mode).options(quoteAll="true", **_CSV_OPTIONS).csv(path)
+    if escaped:
+        df = df.withColumns({c: one_line(c) for c in _texts(df)})
+    df.write.mode(mode).options(quoteAll="true", **_CSV_OPTIONS).csv(path)
 
 
 def create_items(items: DataFrame, path: str) -> DataFrame:
