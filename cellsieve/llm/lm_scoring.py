@@ -8,11 +8,12 @@ times that of the word among the words with that id:
 with c the word's count, N_id the tokens and V_id the distinct words with that id in the training documents. Word
 counts and the counts of neighbouring ids are gathered from every training document. The ids are predicted by a causal
 self-attention layer over the ids before, whose output corrects the logarithm of the neighbour counts. Its tables are
-trained in the tasks, on every window of every training document: in each of ROUNDS rounds all tasks start from the same
-tables, run Adam over their own windows, and the tables are averaged, weighted by targets. Each round takes its share of
-the documents; a corpus with fewer than LEAST_TARGETS targets is gone over several times. No task holds more than a
-chunk of windows, and what reaches the driver are MERGED sums of the tables' size. The averages depend on how the rows
-are dealt to tasks.
+trained in the tasks, on every window of every training document: the ids are written once, and each of ROUNDS rounds takes
+its share of the documents, by a hash of id and ids, in shards of about SHARD_TARGETS targets. All shards start from the
+same tables, run Adam over their own windows, and the tables are averaged, weighted by targets. Shares, shards and the
+order within them hang on the documents alone, so the model is the same however rows are dealt to tasks, but for the last
+digits of 32-bit sums. Each share is gone over as often as it takes to see LEAST_TARGETS targets of the whole corpus. No
+task holds more than a chunk of windows; tables are added in a tree, MERGED shards at a time.
 
 Scoring reads windows of WINDOW ids that overlap by half: the first half is context only, each id of the second half
 is scored, so every token is scored once with at least half a window before it, or all there is.
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsieve.llm.common import LOWER, SPACES, U64, chunks, crc_remainder, mix, span_hashes, word_spans
+from cellsieve.llm.common import LOWER, SPACES, U64, chunks, crc_remainder, discard, mix, span_hashes, spool, word_spans
 from cellsieve.session import cut
 
 CLASSES = 128
@@ -48,9 +49,11 @@ HALF = WINDOW // 2
 ROUNDS = 4
 LEAST_TARGETS = 512_000
 MOST_PASSES = 500
-MERGED = 8
-BATCH = 64
-RATE = 0.01
+MERGED = 32
+SHARD_TARGETS = 1_500_000
+CHUNK_TARGETS = 200_000
+BATCH = 256
+RATE = 0.02
 TILE = 1024
 DICTIONARY_WORDS = 1 << 20
 TASK_WORDS = 400_000
@@ -291,53 +294,97 @@ def collect_counts(counts: DataFrame, most: int) -> tuple[Counts, int]:
     return Counts(h[order], n[order], tokens, distinct, pairs, int(tokens.sum()), int(distinct.sum())), least
 
 
-SUMS = "n long, tables binary"
+SUMS = "shard long, n long, tables binary"
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    """One row of sums for each partition that has rows."""
+def _ids(training: DataFrame, shards: int) -> DataFrame:
+    """(share, shard, key, ids) of every training document: its round, its shard there, and its subword ids as bytes."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, 0.0
         for batch in batches:
-            n += sum(batch.column(0).to_pylist())
-            total = total + sum(np.frombuffer(v, np.float64) for v in batch.column(1).to_pylist())
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()])], names=["n", "tables"])
-
-    return rows.mapInArrow(job, SUMS)
+            for row, end, data, offsets in chunks(batch.column(1)):
+                words = tokens_of(data, offsets)
+                flat = pa.array([words.ids.astype(np.uint8).tobytes()]).buffers()[2]
+                ids = pa.BinaryArray.from_buffers(pa.binary(), end - row, [None, pa.py_buffer(words.first.astype(np.int32)), flat])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), ids], names=["doc", "ids"])
+
+    found = training.select(F.col("doc_id").cast("string").alias("doc"), "text").mapInArrow(job, "doc string, ids binary")
+    key = F.xxhash64("doc", "ids")
+    return found.select(
+        F.pmod(key, F.lit(ROUNDS)).alias("share"),
+        F.pmod(F.shiftrightunsigned(key, 8), F.lit(shards)).alias("shard"),
+        key.alias("key"),
+        "ids",
+    )
 
 
-def _trained(texts: DataFrame, model: Attention, passes: int, rate: float, seed: int) -> DataFrame:
-    """From each task with rows: the targets it trained on, and its tables times that number."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def _trained(rows: DataFrame, model: Attention, passes: int, rate: float, seed: int) -> DataFrame:
+    """(shard, n, tables): of each shard the targets it trained on, and its tables times that number."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, n = pickle.loads(pickle.dumps(shared.value)), 0
-        adam = Adam(net.tables, seed)
+        current: int | None = None
+        net, adam, n = None, None, 0
+        held: list[np.ndarray] = []
+        targets = 0
+
+        def learn() -> int:
+            first = np.concatenate([[0], np.cumsum([len(h) for h in held])])
+            return net.train(np.concatenate(held).astype(np.int64), first, passes=passes, adam=adam, rate=rate)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([current]), pa.array([n]), pa.array([(n * net.packed()).tobytes()])], names=["shard", "n", "tables"])
+
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
-                words = tokens_of(data, offsets)
-                n += net.train(words.ids, words.first, passes=passes, adam=adam, rate=rate)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(n * net.packed()).tobytes()])], names=["n", "tables"])
+            for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if shard != current:
+                    if held:
+                        n += learn()
+                        yield done()
+                    current, held, targets, n = shard, [], 0, 0
+                    net = pickle.loads(pickle.dumps(shared.value))
+                    adam = Adam(net.tables, seed)
+                elif targets >= CHUNK_TARGETS:
+                    n += learn()
+                    held, targets = [], 0
+                held.append(np.frombuffer(ids.as_buffer(), np.uint8))
+                targets += len(held[-1])
+        if held:
+            n += learn()
+            yield done()
+
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "key", "ids")
+    return ordered.select("shard", "ids").mapInArrow(job, SUMS)
+
+
+def _summed(rows: DataFrame) -> list:
+    """Sums of n and tables, MERGED shards at a time in the order of their numbers, until so many are left."""
+
+    def job(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        total = sum(np.frombuffer(v, np.float64) for v in table.column("tables").to_pylist())
+        shard = table.column("shard")[0].as_py() // MERGED
+        return pa.table({"shard": [shard], "n": [sum(table.column("n").to_pylist())], "tables": pa.array([total.tobytes()], pa.binary())})
 
-    return texts.mapInArrow(job, SUMS)
+    rows = cut(rows)
+    while (rows.agg(F.max("shard")).head()[0] or 0) >= MERGED:
+        rows = cut(rows.groupBy(F.floor(F.col("shard") / MERGED)).applyInArrow(job, SUMS))
+    return sorted(rows.collect(), key=lambda r: r["shard"])
 
 
 def train_model(training: DataFrame, pairs: np.ndarray, total: int) -> tuple[Attention, int]:
     """The model trained on all documents, which have `total` tokens, and the number of different targets it learned from."""
     model, seen = Attention(pairs), 0
     passes = min(MOST_PASSES, -(-LEAST_TARGETS // max(1, total)))
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
+    ids, path = spool(_ids(training, -(-max(1, total) // (ROUNDS * SHARD_TARGETS))))
     for number in range(ROUNDS):
-        texts = (training.where(share == number) if passes == 1 else training).select("text")
         rate = RATE * (1 - number / ROUNDS)
-        sums = _summed(_trained(texts, model, -(-passes // ROUNDS), rate, number).repartition(MERGED)).collect()
+        sums = _summed(_trained(ids.where(F.col("share") == number), model, passes, rate, number))
         n = sum(r["n"] for r in sums)
         if n:
             model.unpack(sum(np.frombuffer(r["tables"], np.float64) for r in sums) / n)
-        seen = seen + n if passes == 1 else n
+        seen += n
+    discard(training.sparkSession, path)
     return model, seen
 
 

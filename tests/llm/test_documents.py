@@ -459,3 +459,12 @@ def test_pipeline_stages(spark, sf_dir, odd):
         assert 0 < docs.count() <= before
     assert all(r["decoded"] for r in docs.collect())
     assert json.loads(docs.toJSON().first())["n_tokens"] >= 0
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_TARGETS", 9_000)
+    monkeypatch.setattr(lm_scoring, "MERGED", 3)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    one, four = ({r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs.repartition(n)).collect()} for n in (1, 4))
+    assert one.keys() == four.keys()
+    assert all(abs(one[k] - four[k]) <= 1e-4 * abs(one[k]) for k in one)
