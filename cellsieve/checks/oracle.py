@@ -240,6 +240,8 @@ SELECT item_id::VARCHAR AS item_id, title, text, coalesce(url, '') AS url, strft
 ORACLES["csv_foreign"] = "SELECT doc_id, 'say \"' || lang || '\" \\nabla' || chr(10) || ', ' AS title, text FROM documents"
 ORACLES["csv_escaped"] = "SELECT doc_id, '\"\\\\nabla' || chr(10) || text AS text FROM documents"
 
+ORACLES["source_file_order"] = "SELECT * FROM orders LIMIT 1000"
+
 ORACLES["items_build"] = f"""WITH {DOCS}
 SELECT item_id, ext_id, title, coalesce(url, '') AS url, revdate, token_count, entity FROM docs"""
 
@@ -618,6 +620,22 @@ _PAIRS = " UNION ALL ".join(
 )
 ORACLES["hybrid_compare"] = f"WITH {_FINE}, {_ALL} {_PAIRS}"
 
+_ORDERED = ", ".join(
+    f"{_name}_search AS (WITH {_steps} SELECT qid, item_id, rank FROM best)" for _name, _steps in _METHOD_STEPS.items()
+)
+_ORDER_PAIRS = " UNION ALL ".join(
+    f"""SELECT q.qid, '{a}' AS method_a, '{b}' AS method_b, (SELECT count(*) FROM {a} x WHERE x.qid = q.qid) AS found_a,
+    (SELECT count(*) FROM {b} x WHERE x.qid = q.qid) AS found_b,
+    (SELECT count(*) FROM {a} x JOIN {b} y ON y.qid = x.qid AND y.item_id = x.item_id WHERE x.qid = q.qid) AS overlap,
+    (SELECT min(coalesce(x.rank, y.rank))::INT FROM (SELECT * FROM {a} WHERE qid = q.qid) x FULL JOIN (SELECT * FROM {b} WHERE qid = q.qid) y
+      ON y.rank = x.rank WHERE x.item_id IS DISTINCT FROM y.item_id) AS first_difference,
+    (SELECT count(*) FROM {a} x JOIN {b} y ON y.qid = x.qid AND y.item_id = x.item_id JOIN {a} v ON v.qid = x.qid AND v.rank > x.rank
+      JOIN {b} w ON w.qid = v.qid AND w.item_id = v.item_id AND w.rank < y.rank WHERE x.qid = q.qid) AS inversions FROM queries q"""
+    for i, a in enumerate(_NAMES)
+    for b in _NAMES[i + 1 :]
+)
+ORACLES["hybrid_compare_order"] = f"WITH {_FINE}, {_ORDERED} {_ORDER_PAIRS}"
+
 ORACLES["workload_sweep"] = f"""WITH {ITEMS},
 lists AS (
   SELECT 1 AS wid, count(*) AS survivors FROM items WHERE {PASSES} UNION ALL SELECT 2, count(*) FROM items WHERE token_count >= 1000
@@ -792,6 +810,10 @@ SELECT eid, rank::INT AS rank, item_id, similarity, count(*) OVER (PARTITION BY
 ORACLES["incremental_add"] = f"""WITH {DOC_ITEMS}, {seeds('16')}
 SELECT p.item_id, p.cell_id, i.token_count FROM placed p JOIN items i USING (item_id)"""
 
+ORACLES["incremental_store"] = f"""WITH {_RESIDUALS.replace(ITEMS, DOC_ITEMS).replace(coarse(), seeds('16'))}
+SELECT i.item_id, i.title, i.url, i.revdate, i.token_count, i.entity, c.cell_id, string_agg(c.j, ',' ORDER BY c.m) AS codes
+FROM codes c JOIN items i USING (item_id) GROUP BY ALL"""
+
 # ----------------------------------------------------------- the same results by the ways taken beyond a size bound
 
 for _name, _same in {

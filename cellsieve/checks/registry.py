@@ -26,6 +26,7 @@ from cellsieve.schemas import DISPLAY_COLUMNS, ITEM_COLUMNS
 from cellsieve.session import configure, cut, scratch_path
 from cellsieve.sources import tables
 from cellsieve.streaming.incremental import start_incremental_add
+from cellsieve.streaming.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,6 +68,11 @@ def source_first_n(spark, sf_dir):
     return ingest.first_rows(st.table(spark, sf_dir, "orders"), "o_orderkey", 1000)
 
 
+@query
+def source_file_order(spark, sf_dir):
+    return ingest.first_in_file_order(st.table(spark, sf_dir, "orders"), 1000)
+
+
 def _raw_documents(spark, sf_dir):
     """Documents as raw article text rows."""
     return flatten_to_text(
@@ -636,6 +642,11 @@ def hybrid_compare(spark, sf_dir):
     return evaluate.compare_methods(_hybrid(spark, sf_dir, *hybrid.METHODS))
 
 
+@query
+def hybrid_compare_order(spark, sf_dir):
+    return evaluate.compare_orders(_hybrid(spark, sf_dir, *hybrid.METHODS), st.prototypes(spark, sf_dir))
+
+
 @query
 def workload_sweep(spark, sf_dir):
     index = st.fine_index(st.items(spark, sf_dir))
@@ -756,3 +767,39 @@ def incremental_add(spark, sf_dir):
     adding.awaitTermination()
     grown = spark.read.parquet(f"{path}/vectors")
     return grown.select("item_id", F.col("cell_id").cast("bigint").alias("cell_id"), "token_count")
+
+
+@query
+def incremental_store(spark, sf_dir):
+    """All documents streamed onto those that have labels: codes, dates and items of everything stored."""
+    documents = cut(st.document_vectors(spark, sf_dir))
+    placed = ivf.index_items(documents.select(*st.CARRIED, "embedding"), cut(st.seed_centroids(documents, 16)))
+    with_residual = pq.residuals(placed.vectors, placed.cells)
+    books = cut(pq.codebook_frame(spark, pq.seed_codebooks(with_residual, PQ_M, PQ_BITS, ivf.SEED, "item_id")))
+    labelled = st.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id")).distinct()
+    first = documents.join(labelled, "item_id", "left_semi")
+    path = scratch_path(spark, "store")
+    Store.create(ivf.index_items(first.select(*st.CARRIED, "embedding"), placed.cells, books), first, path)
+    store = Store.open(spark, path)
+    dated = st.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("item_id"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("revdate")
+    )
+    pages = st.table(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), "url")
+
+    def prepare(batch):
+        rows = batch.select(
+            F.col("doc_id").alias("item_id"),
+            F.col("doc_id").alias("ext_id"),
+            F.concat_ws(" ", "source", "lang", F.col("doc_id").cast("string")).alias("title"),
+            st.token_count(F.col("text")).alias("token_count"),
+            F.col("source").alias("entity"),
+            embed_text(F.col("text")).alias("embedding"),
+        )
+        return rows.join(dated, "item_id").join(pages, "item_id", "left")
+
+    source = st.table(spark, sf_dir, "documents").schema
+    store.start(f"{sf_dir}/documents*.parquet", source, f"{path}/progress", prepare).awaitTermination()
+    codes = F.array_join(F.transform("code", lambda c: c.cast("string")), ",")
+    return store.items.join(store.vectors.select("item_id", "cell_id", codes.alias("codes")), "item_id").select(
+        "item_id", "title", "url", "revdate", "token_count", "entity", "cell_id", "codes"
+    )

@@ -18,6 +18,29 @@ def first_rows(source: DataFrame, key: str, n: int) -> DataFrame:
     return source.orderBy(key).limit(n)
 
 
+def first_in_file_order(source: DataFrame, n: int) -> DataFrame:
+    """Bounded read: the first `n` rows in the order of file paths and of rows within a file, without a sort or shuffle.
+
+    `source` must be a file scan. Row counts of Parquet files say in which file the nth row lies; that file is read up to
+    it, files before it whole, later ones not at all. Rows of other formats are numbered by file split.
+    """
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        marked = source.select("*", path.alias("__path"), row.alias("__row"))
+        marked.schema  # resolved here: only Parquet knows the row index
+    except AnalysisException:
+        return assign_item_ids(source, "__number").filter(F.col("__number") < n).drop("__number")
+    counts = marked.groupBy("__path").agg(F.count(F.lit(1)).alias("rows"))
+    reached = F.sum("rows").over(Window.orderBy("__path").rowsBetween(Window.unboundedPreceding, 0))
+    # One row per file; the last file that is needed is the first that reaches n.
+    last = counts.withColumn("reached", reached).filter(F.col("reached") >= n).orderBy("__path").limit(1).collect()
+    if not last:
+        return source
+    rest = n - (last[0]["reached"] - last[0]["rows"])
+    name = F.lit(last[0]["__path"])
+    return source.filter((path < name) | ((path == name) & (row < rest)))
+
+
 def required_int(column: Column, kind: str) -> Column:
     """ANSI cast that fails on NULL or text that is no number."""
     number = column.cast(kind)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,6 +136,58 @@ def compare_methods(results: Mapping[str, DataFrame]) -> DataFrame:
     return both.select("qid", F.explode(rows).alias("r")).select("qid", "r.*")
 
 
+ORDER_SCHEMA = "qid bigint, method_a string, method_b string, found_a bigint, found_b bigint, overlap bigint, first_difference int, inversions bigint"
+
+
+def compare_orders(results: Mapping[str, DataFrame], queries: DataFrame) -> DataFrame:
+    """Per method pair and query (ORDER_SCHEMA): sizes and overlap of the results, the first rank at which they hold
+    different items or only one holds any (null if there is none), and how many pairs of common items they put in
+    opposite order. Queries that no method answered have a row of zeros."""
+    names = list(results)
+    tagged = [df.select("qid", "item_id", "rank", F.lit(n).alias("method")) for n, df in enumerate(results.values())]
+    nothing = queries.select("qid", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("rank"), F.lit(-1).alias("method"))
+    every = functools.reduce(DataFrame.unionByName, [*tagged, nothing]).select(
+        "qid", "item_id", F.col("rank").cast("int").alias("rank"), "method"
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        method, rank, item = (table.column(c).to_numpy() for c in ("method", "rank", "item_id"))
+        lists = []
+        for n in range(len(names)):
+            own = np.flatnonzero(method == n)
+            lists.append(item[own[np.argsort(rank[own])]].astype(np.int64))
+        rows = []
+        for a in range(len(names)):
+            for b in range(a + 1, len(names)):
+                x, y = lists[a], lists[b]
+                common, _, at = np.intersect1d(x, y, return_indices=True)
+                place = dict(zip(common.tolist(), at.tolist()))
+                order = [place[i] for i in x.tolist() if i in place]
+                short = min(len(x), len(y))
+                off = np.flatnonzero(x[:short] != y[:short])
+                first = int(off[0]) + 1 if len(off) else short + 1 if len(x) != len(y) else None
+                rows.append((names[a], names[b], len(x), len(y), len(common), first, inversions(order)))
+        columns = list(zip(*rows)) or [()] * 7
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        head = pa.array([table.column("qid")[0].as_py()] * len(rows), pa.int64())
+        fields = ["qid", "method_a", "method_b", "found_a", "found_b", "overlap", "first_difference", "inversions"]
+        return pa.table([head, *(pa.array(c, k) for c, k in zip(columns, kinds))], fields)
+
+    return every.groupBy("qid").applyInArrow(compare, ORDER_SCHEMA)
+
+
+def inversions(order: Sequence[int]) -> int:
+    """How many pairs stand in falling order, by merging sorted runs."""
+    values, count, width = np.asarray(order, np.int64), 0, 1
+    while width < len(values):
+        for at in range(0, len(values), 2 * width):
+            left, right = values[at : at + width], values[at + width : at + 2 * width]
+            count += int((len(left) - np.searchsorted(left, right, side="right")).sum())
+            values[at : at + 2 * width] = np.sort(values[at : at + 2 * width])
+        width *= 2
+    return count
+
+
 # --------------------------------------------------------------------------------------------------- telemetry
 
 

@@ -138,22 +138,31 @@ def save_index(index: IvfIndex, path: str, extras: dict[str, str] | None = None)
     order = ["cell_id", *(c for c in ("revdate", "token_count") if c in index.vectors.columns)]
     placed = index.vectors.hint("rebalance", "cell_id").sortWithinPartitions(*order)
     placed.write.options(**_ID_FILTER).mode("overwrite").partitionBy("cell_id").parquet(f"{path}/vectors")
+    stored = index.vectors.sparkSession.read.parquet(f"{path}/vectors").count()  # from the file footers
+    save_quantizers(index, path, stored, extras)
+
+
+def save_quantizers(index: IvfIndex, path: str, stored: int, extras: dict[str, str] | None = None) -> None:
+    """Centroids, codebooks and a one-row description."""
     index.cells.frame.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
     if index.codebooks is not None:
         index.codebooks.coalesce(1).write.mode("overwrite").parquet(f"{path}/codebooks")
     spark = index.vectors.sparkSession
-    stored = spark.read.parquet(f"{path}/vectors").count()  # from the file footers
     meta = (index.dim, index.nlist, stored, index.pq_m, index.pq_bits, extras or {})
     spark.createDataFrame([meta], INDEX_META).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load_index(spark: SparkSession, path: str) -> IvfIndex:
     """The saved index; `total` is taken from the stored rows."""
-    meta = spark.read.schema(INDEX_META).parquet(f"{path}/meta").head()
     # The partition column is a bigint from the start: a cast above it would hide it from partition pruning.
     stored = spark.read.parquet(f"{path}/vectors").schema
     fields = [T.StructField(f.name, T.LongType()) if f.name == "cell_id" else f for f in stored]
-    vectors = spark.read.schema(T.StructType(fields)).parquet(f"{path}/vectors")
+    return load_quantizers(spark, path, spark.read.schema(T.StructType(fields)).parquet(f"{path}/vectors"))
+
+
+def load_quantizers(spark: SparkSession, path: str, vectors: DataFrame) -> IvfIndex:
+    """The index of these vectors by saved quantizers."""
+    meta = spark.read.schema(INDEX_META).parquet(f"{path}/meta").head()
     codebooks = None
     if meta["pq_m"] is not None:
         codebooks = spark.read.schema(CODEBOOKS).parquet(f"{path}/codebooks")
