@@ -23,8 +23,9 @@ From signatures to links:
    before the next one's. Every class of a signature but the smallest, its hub, is compared with the hub by exact
    intersection of the sets.
 3. A class that doesn't link to a hub it shares a signature with is compared with all other classes of that hub, in
-   blocks: a task takes two blocks of a hub's classes, makes the 0/1 matrix of the features that occur at least twice,
-   and gets all intersections as one matrix product. Classes that do link to the hub are not compared with each other. A
+   blocks: counts of features by SKETCH hash buckets bound every intersection from above and leave few classes that may
+   link at all; for these a task takes two blocks of a hub's classes, makes the 0/1 matrix of the features that occur at
+   least twice, and gets all intersections as one matrix product. Classes that do link to the hub are not compared with each other. A
    task sends at most one link per class and block, a spanning forest of the linked pairs, so no group is written out as
    pairs, and none is held by one task.
 4. Components of all links by label propagation with pointer jumping over written tables.
@@ -53,6 +54,7 @@ from cellsieve.session import cut
 
 BLOCK_FEATURES = 400_000
 BLOCK_SETS = 4096
+SKETCH = 128
 SLAB = 4096
 ROUNDS = 4
 BROADCAST_CLASSES = 500_000
@@ -221,8 +223,23 @@ def _signed(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(job, "sig long, name long")
 
 
+def sketch_of(features: np.ndarray) -> np.ndarray:
+    """How many features fall into each of SKETCH buckets by hash. Two sets share no more than the sum of the smaller
+    counts."""
+    return np.bincount((features % U64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.int32)
+
+
+def may_link(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """rows x columns of sketches: False where the sets can't link."""
+    shared = np.zeros((len(left), len(right)), np.int32)
+    for b in range(SKETCH):
+        shared += np.minimum(left[:, b][:, None], right[:, b][None, :])
+    union = left.sum(axis=1)[:, None].astype(np.int64) + right.sum(axis=1)[None, :] - shared
+    return 100 * shared.astype(np.int64) >= percent * union
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(name, features) of the given documents that have the named set: an id may stand for several texts."""
+    """(name, features, sketch) of the given documents that have the named set: an id may stand for several texts."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,26 +249,35 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             names, found = [w for w, _ in named], [s for _, s in named]
             lengths = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], names=["name", "features"]
-            )
+            sketches = np.concatenate([np.zeros(0, np.int32), *map(sketch_of, found)])
+            at = pa.array(np.arange(len(found) + 1, dtype=np.int32) * SKETCH)
+            lists = [pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)), pa.ListArray.from_arrays(at, pa.array(sketches))]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *lists], names=["name", "features", "sketch"])
 
-    return docs.select("name", "text").mapInArrow(job, "name long, features array<long>")
+    return docs.select("name", "text").mapInArrow(job, "name long, features array<long>, sketch array<int>")
 
 
 def _hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(name, hub, linked) of the pairs, by exact intersection, a share of the hubs at a time."""
-    hubs = sets.select(F.col("name").alias("hub"), F.col("features").alias("of_hub"))
-    parts = []
-    for n in range(ROUNDS):
-        some = F.pmod("hub", F.lit(ROUNDS)) == n
-        both = pairs.where(some).join(sets, "name").join(hubs.where(some), "hub")
-        shared = F.size(F.array_intersect("features", "of_hub"))
-        union = F.size("features") + F.size("of_hub") - shared
-        parts.append(cut(both.select("name", "hub", (shared * 100 >= union * percent).alias("linked"))))
-        del both
-        release(pairs.sparkSession)
-    return reduce(DataFrame.union, parts)
+    """(name, hub, linked) of the pairs, by sketches and, where these leave it open, by exact intersection."""
+    sketches = cut(sets.select("name", "sketch"))
+    hubs = sketches.select(F.col("name").alias("hub"), F.col("sketch").alias("of_hub"))
+    both = pairs.join(sketches, "name").join(hubs, "hub")
+    add = lambda v: F.aggregate(v, F.lit(0), lambda t, x: t + x)
+    shared = add(F.zip_with("sketch", "of_hub", lambda x, y: F.least(x, y)))
+    total = add(F.col("sketch")) + add(F.col("of_hub"))
+    maybe = cut(both.select("name", "hub", total.alias("total"), shared.alias("shared")))
+    maybe = maybe.select("name", "hub", (F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).alias("maybe"))
+    del both
+    release(pairs.sparkSession)
+    features = sets.select("name", "features")
+    open_ = maybe.where("maybe").select("name", "hub")
+    exact = open_.join(features, "name").join(features.select(F.col("name").alias("hub"), F.col("features").alias("of_hub")), "hub")
+    shared = F.size(F.array_intersect("features", "of_hub"))
+    union = F.size("features") + F.size("of_hub") - shared
+    found = cut(exact.select("name", "hub", (shared * 100 >= union * percent).alias("linked")))
+    del exact
+    release(pairs.sparkSession)
+    return found.union(maybe.where("NOT maybe").select("name", "hub", F.lit(False).alias("linked")))
 
 
 def links_within(rows: list[np.ndarray], columns: list[np.ndarray], percent: int) -> np.ndarray:
@@ -294,11 +320,11 @@ def forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> Iterato
             yield min(a, b), max(a, b)
 
 
-def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(low, high) links among the classes that share a hub. members: distinct (hub, name, linked); classes that link to
-    the hub are joined by it already and are only compared with those that don't."""
-    sizes = members.join(sets.select("name", F.size("features").alias("size")), "name")
-    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_FEATURES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
+def _in_blocks(members: DataFrame, weights: DataFrame, values: DataFrame, most: int) -> DataFrame:
+    """members (hub, name, linked) with the values of each name, dealt to pairs of blocks (low, high) of their hub, of which
+    `own` is theirs. A block holds about BLOCK_SETS sets, and sets of about `most` by weight (name, size)."""
+    sizes = members.join(weights, "name")
+    blocks = F.greatest(F.ceil(F.col("total") / most), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
     # Written first, so that Spark knows its size before it plans the join: only hubs of several blocks are in it.
     large = sizes.groupBy("hub").agg(F.sum("size").alias("total"), F.count("*").alias("sets")).select("hub", blocks.alias("blocks"))
     large = cut(large.where("blocks > 1"))
@@ -306,27 +332,61 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("hub", "name", "linked", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    rows = rows.join(sets, "name")
+    return rows.join(values, "name")
+
+
+def _sides(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and column numbers to compare: those that don't link to the hub with all others, in both directions."""
+    own, low, high = (table.column(c).to_numpy() for c in ("own", "low", "high"))
+    joined = table.column("linked").to_numpy()
+    left, right = own == low[0], own == high[0]
+    yield np.flatnonzero(left & ~joined), np.flatnonzero(right)
+    if low[0] != high[0]:
+        yield np.flatnonzero(left & joined), np.flatnonzero(right & ~joined)
+
+
+def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
+    column = table.column(name).combine_chunks()
+    values, at = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def _with_partners(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members (hub, name, linked) that by their sketches may link to another one with which they are compared."""
+    weights = sets.select("name", F.lit(1).alias("size"))
+
+    def job(table: pa.Table) -> pa.Table:
+        names, sketches = table.column("name").to_numpy(), np.array(_lists(table, "sketch")).reshape(-1, SKETCH)
+        wanted = np.zeros(len(names), bool)
+        for r, c in _sides(table):
+            for at in range(0, len(r), 512):
+                some = r[at : at + 512]
+                if len(c):
+                    maybe = may_link(sketches[some], sketches[c], percent) & (names[some][:, None] != names[c][None, :])
+                    wanted[some[maybe.any(axis=1)]] = True
+                    wanted[c[maybe.any(axis=0)]] = True
+        return table.filter(pa.array(wanted)).select(["hub", "name", "linked"])
+
+    rows = _in_blocks(members, weights, sets.select("name", "sketch"), BLOCK_SETS)
+    return rows.groupBy("hub", "low", "high").applyInArrow(job, "hub long, name long, linked boolean").distinct()
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(low, high) links among the classes that share a hub. members: distinct (hub, name, linked); classes that link to
+    the hub are joined by it already and are only compared with those that don't."""
+    weights = sets.select("name", F.size("features").alias("size"))
 
     def job(table: pa.Table) -> pa.Table:
-        names = table.column("name").to_numpy()
-        sets_ = table.column("features").combine_chunks()
-        values, at = sets_.flatten().to_numpy(), sets_.offsets.to_numpy() - sets_.offsets[0].as_py()
-        features = [values[a:b] for a, b in zip(at[:-1], at[1:])]
-        own, low, high = (table.column(c).to_numpy() for c in ("own", "low", "high"))
-        joined = table.column("linked").to_numpy()
-        left, right = own == low[0], own == high[0]
+        names, features = table.column("name").to_numpy(), _lists(table, "features")
         found: list[tuple[int, int]] = []
-        for rows_, columns in ((left & ~joined, right), (left & joined, right & ~joined)):
-            if low[0] == high[0] and columns is not right:
-                continue  # compared from the other side
-            r, c = np.flatnonzero(rows_), np.flatnonzero(columns)
+        for r, c in _sides(table):
             if len(r) and len(c):
                 linked = links_within([features[i] for i in r], [features[i] for i in c], percent)
                 linked &= names[r][:, None] != names[c][None, :]
                 found += forest(linked, names[r], names[c])
         return pa.table({"low": pa.array([a for a, _ in found], pa.int64()), "high": pa.array([b for _, b in found], pa.int64())})
 
+    rows = _in_blocks(members, weights, sets.select("name", "features"), BLOCK_FEATURES)
     return rows.groupBy("hub", "low", "high").applyInArrow(job, "low long, high long")
 
 
@@ -385,7 +445,9 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     open_ = cut(compared.where("NOT linked").select("hub").distinct())
     members = compared.join(open_, "hub").select("hub", "name", "linked")
     members = members.union(open_.select("hub", F.col("hub").alias("name"), F.lit(True).alias("linked")))
-    labels = components(linked.union(_block_links(cut(members), sets, percent)))
+    members = cut(_with_partners(cut(members), sets, percent))
+    release(spark)
+    labels = components(linked.union(_block_links(members, sets, percent)))
     joined = classes.join(labels, F.col("name") == F.col("node"))
     least = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_name = labels.join(least, "label").select(F.col("node").alias("named"), "component_id")

@@ -139,6 +139,15 @@ def test_an_id_with_two_texts_keeps_the_one_of_its_own(spark):
     assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, BASE), (2, other), (3, "")]
 
 
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 900).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:k], rng.integers(0, 2**63, extra).astype(np.uint64)])) for k in (0, 3, 60, 500, 900) for extra in (1, 9, 80, 200)]
+    maybe = jaccard_join.may_link(*[np.array([jaccard_join.sketch_of(s) for s in sets])] * 2, 80)
+    linked = jaccard_join.links_within(sets, sets, 80)
+    assert not (linked & ~maybe).any() and (~maybe).mean() > 0.5
+
+
 def test_classes_too_many_to_broadcast_and_blocks_of_few_sets(spark, monkeypatch):
     rng = np.random.default_rng(4)
     words_ = [f"w{k}" for k in range(40)]
