@@ -97,6 +97,15 @@ def windows_of(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return inputs, targets
 
 
+def add_by_id(out: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    """Add the rows of each id to its row of `out`."""
+    flat = ids.ravel().astype(np.uint8)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    starts = np.flatnonzero(np.diff(flat, prepend=np.int16(-1)))
+    out[flat[starts]] += np.add.reduceat(rows.reshape(-1, rows.shape[-1])[order], starts, axis=0)
+
+
 class Attention:
     """One causal self-attention layer over subword ids; queries, keys and values are tables by id."""
 
@@ -162,11 +171,9 @@ class Attention:
         score = weight * (to_weight - (weight * to_weight).sum(axis=2, keepdims=True))
         out = {k: np.zeros_like(v) for k, v in t.items()}
         out["out"] = mixed.reshape(-1, DIM).T @ flat
-        by_input = np.eye(CLASSES + 1, dtype=np.float32)[inputs.ravel()].T
-        out["value"] = by_input @ (weight.transpose(0, 2, 1) @ back).reshape(-1, DIM)
-        out["key"] = by_input @ (score.transpose(0, 2, 1) @ query).reshape(-1, DIM)
-        by_last = by_input.reshape(-1, *inputs.shape)[:, :, HALF:].reshape(CLASSES + 1, -1)
-        out["query"] = by_last @ (score @ key / np.float32(np.sqrt(DIM))).reshape(-1, DIM)
+        add_by_id(out["value"], inputs, weight.transpose(0, 2, 1) @ back)
+        add_by_id(out["key"], inputs, score.transpose(0, 2, 1) @ query)
+        add_by_id(out["query"], last, score @ key / np.float32(np.sqrt(DIM)))
         np.add.at(out["near"], self.distance, np.where(self.hidden < 0, 0, score.sum(axis=0)))
         return out
 
