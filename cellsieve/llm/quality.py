@@ -3,8 +3,8 @@
 Words, word pairs of the form "the same word again" and character n-grams (runs of 3 and 4 bytes) are hashed into
 buckets, each with a learned vector. A document is
 the average of its vectors; a softmax over two classes follows. Training is plain stochastic gradient descent in numpy
-on the driver, on a sample of labelled documents bounded by TRAIN_ROWS and TRAIN_BYTES: rows in the order of a hash of
-their id, until either bound is reached. Whole texts are used for training and for scoring.
+on the driver, on a sample of labelled documents bounded by TRAIN_ROWS and TRAIN_BYTES: the first rows in the order of a
+hash of their id, but for texts that no longer fit. Whole texts are used for training and for scoring.
 
 Because average and output layer are linear, the difference of the two logits is an average over buckets of one number
 each; that table of BUCKETS floats is all that scoring tasks need.
@@ -149,9 +149,9 @@ def train_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, siz
     joined = cut(texts.join(F.broadcast(few), "doc_id").withColumn("n_bytes", F.octet_length("text")))
     total, kept = 0, []
     for row in joined.select("doc_id", "quality", "h", "n_bytes").orderBy("h", "doc_id", "quality").limit(rows).collect():
+        if total + row["n_bytes"] > size:
+            continue  # passed over: what follows may still fit
         total += row["n_bytes"]
-        if total > size:
-            break
         kept.append(row["doc_id"])
     chosen = joined.where(F.col("doc_id").isin(kept)) if kept else joined.limit(0)
     found = chosen.orderBy("h", "doc_id", "quality").select("text", "quality").collect()

@@ -477,3 +477,11 @@ def test_scores_do_not_depend_on_how_rows_are_dealt(spark, sf_dir, monkeypatch):
     one, four = ({r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs.repartition(n)).collect()} for n in (1, 4))
     assert one.keys() == four.keys()
     assert all(abs(one[k] - four[k]) <= 1e-4 * abs(one[k]) for k in one)
+
+
+def test_a_text_beyond_the_training_bytes_is_passed_over(spark):
+    docs = frame(spark, [(k, "x" * (5000 if k % 4 == 1 else 50)) for k in range(1, 60)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 60)], "doc_id long, quality int, toxic int")
+    texts, marks = quality.train_sample(docs, labels, size=3000)
+    short = [k for k in range(1, 60) if k % 4 != 1 and zlib.crc32(str(k).encode()) % 5 != 0]
+    assert sorted(len(t) for t in texts) == [50] * len(short) and len(marks) == len(short)
