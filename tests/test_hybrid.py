@@ -50,35 +50,46 @@ class Naive:
             keep &= allowed
         return sorted(np.flatnonzero(keep), key=lambda i: (-self.sims[i], self.local["ids"][i]))[:search_k]
 
+    def rounds(self, sizes, hits, enough):
+        """Hits of the first round that has enough of them; a round's (search_k, nprobe) may hang on the one before."""
+        size, found = None, []
+        while not enough(size, found):
+            size = sizes(size, len(found))
+            found = hits(*size)
+        return found
+
     def pre(self, adaptive):
         count = int(self.mask.sum())
-        goal, found, nprobe = min(count, self.k), [], 0 if adaptive else 64
-        while len(found) < goal:
+        goal = min(count, self.k)
+
+        def width(before, found):
             if adaptive:
-                grown = 3 * (goal - len(found)) * self.nlist // (2 * count) + 3 * nprobe
-                nprobe = max(1, min(grown, self.nlist))
-            found = self.search(goal, nprobe, self.mask)
-            if not adaptive:
-                nprobe = min(self.nlist, nprobe * 3)
-        return found
+                return max(1, 3 * (goal - found) * self.nlist // (2 * count) + 3 * before)
+            return 3 * before or 64
+
+        return self.rounds(
+            lambda size, found: (goal, min(self.nlist, width(size[1] if size else 0, found))),
+            lambda search_k, nprobe: self.search(search_k, nprobe, self.mask),
+            lambda _, found: len(found) >= goal,
+        )
 
     def post(self, est=None):
-        search_k, nprobe, found = (100, 64, []) if est is None else (0, 0, [])
-        while len(found) < self.k:
-            if est is not None:
-                if est == 0:
-                    search_k, nprobe = self.n, self.nlist
-                else:
-                    search_k = min(self.n, int(1.5 * (self.k - len(found)) * self.n / est) + 3 * search_k)
-                    nprobe = min(self.nlist, max(1, search_k * self.nlist // est))
-            if search_k >= self.n:
-                search_k, nprobe = self.n, self.nlist
-            found = [i for i in self.search(search_k, nprobe) if self.mask[i]]
-            if search_k >= self.n:
-                break
+        def sizes(size, found):
+            old_k, old_n = size or (0, 0)
             if est is None:
-                search_k, nprobe = min(search_k * 3, self.n), min(self.nlist, nprobe * 3)
-        return found[: self.k]
+                search_k, nprobe = 3 * old_k or 100, 3 * old_n or 64
+            elif est:
+                search_k = int(1.5 * (self.k - found) * self.n / est) + 3 * old_k
+                nprobe = max(1, min(self.n, search_k) * self.nlist // est)
+            else:
+                search_k = self.n
+            return (search_k, min(self.nlist, nprobe)) if search_k < self.n else (self.n, self.nlist)
+
+        return self.rounds(
+            sizes,
+            lambda search_k, nprobe: [i for i in self.search(search_k, nprobe) if self.mask[i]],
+            lambda size, found: len(found) >= self.k or (size is not None and size[0] >= self.n),
+        )[: self.k]
 
 
 @pytest.mark.parametrize("k", [3, 90])
