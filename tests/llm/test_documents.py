@@ -485,3 +485,105 @@ def test_a_text_beyond_the_training_bytes_is_passed_over(spark):
     texts, marks = quality.train_sample(docs, labels, size=3000)
     short = [k for k in range(1, 60) if k % 4 != 1 and zlib.crc32(str(k).encode()) % 5 != 0]
     assert sorted(len(t) for t in texts) == [50] * len(short) and len(marks) == len(short)
+
+
+def test_verbatim_runs_beside_changed_slots(spark):
+    text = "once there were 48 cats that sat on the wall near the old mill by the river and then 48 dogs came to look at them"
+    filler = " ".join(f"filler{k}" for k in range(30))
+    rows = [
+        (1, f"{filler} {text.replace('48 dogs', '50 dogs')} {filler}"),
+        (2, f"{filler} {text.replace('wall', '48').replace('near', '50').replace('mill', '7').replace('48 dogs', '9 cars')}"),
+        (3, f"well yes {filler}"),
+        (4, "Yes!"),
+    ]
+    benchmark = spark.createDataFrame([(1, text), (2, "yes")], "item_id long, text string")
+    docs = frame(spark, rows)
+    plain, more = ({(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, benchmark, v).collect()} for v in (False, True))
+    assert plain == {(4, 2)} and more == {(1, 1), (4, 2)}
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark, verbatim=True).collect()) == [2, 3]
+
+
+def test_words_with_equal_polynomials_differ(spark):
+    turns = [bin(k).count("1") % 2 for k in range(2048)]
+    one, two = ("".join("ab"[t ^ flip] for t in turns) for flip in (0, 1))
+    docs = frame(spark, [(1, one), (2, two), (3, one)])
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, words=3, percent=90).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
+
+
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS
+IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE {holder} BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met: {0} Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. {1} Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{2} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+NO_NAMES = """{0} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+
+
+def test_whole_license_texts():
+    scanner = license_templates.Scanner()
+    label = lambda text: scanner.scan(text.encode())[5]
+    assert label("x " + MIT_TEXT.format(holder="AUTHORS OR COPYRIGHT HOLDERS") + " y") == "mit,mit-text"
+    assert label(MIT_TEXT.format(holder="Example Society of Old Mills")) == "mit,mit-text"
+    assert label(MIT_TEXT.format(holder="AUTHORS").replace("SUBSTANTIAL", "").replace("sublicense", "resell")) == "mit"
+    assert label(BSD_TEXT.format("1.", "2.", "")) == "bsd,bsd-text" == label(BSD_TEXT.format("*", "*", NO_NAMES.format("")))
+    assert label(BSD_TEXT.format("a)", "b)", NO_NAMES.format("c)"))) == "bsd,bsd-text"
+    assert label(BSD_TEXT.format("1.", "2.", NO_NAMES.format("3.").replace("endorse", "sell"))) == "bsd"
+    notice = "This is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by "
+    end = "the Free Software Foundation; either version 3 of the License, or (at your option) any later version."
+    assert label(notice.format("General") + end) == "gpl-any,gpl-header"
+    assert label(notice.format("Lesser General") + end) == "gpl-header" and label(notice.format("Minor") + end) == ""
+
+
+def brute_template(parts, words):
+    """Whether some run of words is a template's wording: parts are (kind, value) as the tests write them."""
+    ends = set(range(len(words) + 1))
+    for kind, value in parts:
+        options = [[]] if kind == "optional" else []
+        options += [v.split() for v in (value if kind == "match" else [value] if kind != "words" else [])]
+        if kind == "words":
+            ends = {e + n for e in ends for n in range(value[0], value[1] + 1) if e + n <= len(words)}
+        else:
+            ends = {e + len(o) for e in ends for o in options if words[e : e + len(o)] == o}
+    return bool(ends)
+
+
+def test_automata_match_brute_force():
+    draw = np.random.default_rng(5)
+    hits = 0
+    for _ in range(300):
+        parts = [("must", "a b")]
+        for _ in range(draw.integers(1, 5)):
+            kind = ["must", "optional", "match", "words"][draw.integers(4)]
+            some = lambda: " ".join(draw.choice(["a", "b", "c"], draw.integers(1, 3)))
+            parts.append((kind, (int(draw.integers(2)), int(draw.integers(1, 4))) if kind == "words" else [some(), some()] if kind == "match" else some()))
+        marks = {
+            "must": lambda v: v,
+            "optional": lambda v: f"<<beginOptional>>{v}<<endOptional>>",
+            "match": lambda v: f"<<var;name=n;match={'|'.join(v)}>>",
+            "words": lambda v: f"<<var;name=n;words={v[0]}-{v[1]}>>",
+        }
+        scanner = license_templates.Scanner((("x", " ".join(marks[k](v) for k, v in parts)),), {})
+        words = draw.choice(["a", "b", "c"], 25).tolist()
+        found = scanner.scan(" ".join(words).encode())[5] == "x"
+        assert found == brute_template(parts, words), (parts, words)
+        hits += found
+    assert 30 < hits < 290
+
+
+def test_places_of_a_repeated_phrase():
+    text = ("under the mit license " * 5000 + "x ") * 2
+    n_words, n_base, first, last, *_ = license_templates.Scanner().scan(text.encode())
+    assert (n_words, n_base, first, last) == (40_002, 10_000, 0, 39_997)
