@@ -12,10 +12,12 @@ overlap or touch. A run counts when it covers LEAST_TOKENS tokens, or the whole
 agree: the same value of the item always stands for the same value of the document, while two values of the item may
 become one. So re-parameterised questions are caught, and texts that merely share a shape are not. Runs too short by
 themselves count together when their windows would cover as much in one run and all their slots agree. Within one run
-a value that stands for two values rejects the whole run, its verbatim parts too.
+a value that stands for two values rejects the whole run; with `verbatim`, as much verbatim text in a row counts
+whatever the slots around it say.
 
 Items with equal texts are one item, named by the smallest id. A template window needs LEAST_LITERAL tokens that are no
-placeholders, a literal one needs none; an item shorter than a window is one window of its own length.
+placeholders, a literal one needs none; an item shorter than a window is one window of its own length. An item of fewer
+than LEAST_LITERAL tokens, a "yes", is found only in a document of no more tokens than its own.
 
 Defined cases: null and empty texts have no windows and are never reported; an item without LEAST_LITERAL plain tokens
 is found verbatim only; a null item or document id keeps its place as a value; repeated document ids are reported once per
@@ -201,9 +203,21 @@ def _union(pairs: Column) -> Column:
     return F.array_distinct(F.flatten(F.collect_set(pairs)))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _longest(positions: Column, size: Column) -> Column:
+    """How many tokens the longest chain of overlapping or touching windows covers; at most an item's length of them."""
+    start = F.struct(F.lit(0).alias("most"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+
+    def step(state: Column, pos: Column) -> Column:
+        first = F.when(pos - state["last"] <= size, state["first"]).otherwise(pos)
+        return F.struct(F.greatest(state["most"], pos - first + size).alias("most"), first.alias("first"), pos.alias("last"))
+
+    return F.aggregate(F.array_sort(positions), start, step, lambda state: state["most"])
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, verbatim: bool = False) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_windows, n_covered, n_item_tokens, same_values) of each document and
-    benchmark item that it holds; of several places the one with the most windows."""
+    benchmark item that it holds; of several places the one with the most windows. With `verbatim`, runs of literal
+    windows that cover enough by themselves count whatever the run's slots say."""
     items = benchmark.where("text IS NOT NULL").groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text")
     of_items = cut(template_windows(items, "item_id", list(range(1, WINDOW + 1)), whole=True))
     sizes = sorted(r["size"] for r in of_items.select("size").distinct().collect())
@@ -212,8 +226,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "item_id", "hash", "size", "literal",
         F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("n_tokens").alias("n_item_tokens"),
     )
-    of_docs = of_docs.select("doc_id", "hash", "size", "literal", "pos", "slots")
+    of_docs = of_docs.select("doc_id", "hash", "size", "literal", "pos", "slots", "n_tokens")
     met = of_docs.join(of_items, ["hash", "size", "literal"])
+    met = met.where((F.col("n_item_tokens") >= LEAST_LITERAL) | (F.col("n_tokens") == F.col("n_item_tokens")))
     # A literal window has the item's own values, also where the document's way of writing hides that they are slots.
     slots = F.when(F.col("literal"), F.col("item_slots")).otherwise(F.col("slots"))
     pairs = F.zip_with("item_slots", slots, lambda a, b: F.struct(a.alias("of_item"), b.alias("of_doc")))
@@ -221,7 +236,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = met.withColumn("of_template", F.when(~F.col("literal"), F.col("pairs")))
     keys = ["doc_id", "item_id", "diagonal", "n_item_tokens", "size"]
     both = [_union(F.col(c)).alias(c) for c in ("pairs", "of_template")]
-    met = met.groupBy(*keys, "pos").agg(F.max((~F.col("literal")).cast("int")).alias("template"), *both)
+    met = met.groupBy(*keys, "pos").agg(
+        F.max((~F.col("literal")).cast("int")).alias("template"), F.bool_or("literal").alias("literal"), *both
+    )
     along = Window.partitionBy(*keys).orderBy("pos")
     apart = F.coalesce(F.col("pos") - F.lag("pos").over(along) > F.col("size"), F.lit(False))
     runs = met.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(along)).groupBy(*keys, "run").agg(
@@ -229,14 +246,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sum("template").alias("n_template"),
         F.min("pos").alias("doc_start"),
         (F.max("pos") - F.min("pos") + F.first("size")).alias("n_covered"),
+        _longest(F.collect_set(F.when(F.col("literal"), F.col("pos"))), F.col("size")).alias("n_verbatim"),
         *both,
     )
     evidence = F.col("n_covered").cast("long").alias("evidence")
-    run = F.struct("n_windows", "n_template", "n_covered", evidence, "doc_start", "pairs", "of_template")
+    run = F.struct("n_windows", "n_template", "n_covered", "n_verbatim", evidence, "doc_start", "pairs", "of_template")
     pooled = F.struct(
         F.sum("n_windows").alias("n_windows"),
         F.sum("n_template").alias("n_template"),
         F.sum("n_covered").cast("int").alias("n_covered"),
+        F.lit(0).alias("n_verbatim"),
         (F.sum("n_windows") - 1 + F.first("size")).alias("evidence"),
         F.min("doc_start").alias("doc_start"),
         *both,
@@ -247,7 +266,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     least = F.least(F.col("n_item_tokens"), F.lit(LEAST_TOKENS))
     by_all = (F.col("evidence") >= least) & _agree(F.col("pairs"))
     by_template = (F.col("n_template") - 1 + F.col("size") >= least) & _agree(F.col("of_template"))
-    parts = parts.where(by_all | by_template)
+    enough = by_all | by_template
+    parts = parts.where(enough | (F.col("n_verbatim") >= least) if verbatim else enough)
     parts = parts.withColumn("same_values", ~F.exists("pairs", lambda p: p["of_item"] != p["of_doc"]))
     shown = ("n_windows", "n_covered", "doc_start", "item_start", "n_item_tokens", "same_values")
     order = F.struct("n_windows", F.negative("doc_start"), F.negative("item_start"), "same_values")
@@ -255,8 +275,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best.select("doc_id", "item_id", "doc_start", "item_start", "n_windows", "n_covered", "n_item_tokens", "same_values")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, verbatim: bool = False) -> DataFrame:
     """The documents that hold no benchmark item, all columns as they are."""
-    leaked = find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
+    leaked = find_leaks(docs, benchmark, verbatim).select(F.col("doc_id").alias("leaked_id")).distinct()
     own = docs.select("doc_id", "text", "lang", "source", "n_chars")
     return own.join(leaked, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")

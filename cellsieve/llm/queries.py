@@ -102,7 +102,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), verbatim=True)
 
 
 @query
