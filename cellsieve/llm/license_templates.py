@@ -61,6 +61,64 @@ TEMPLATES = (
     ),
     ("cc-by-nc", "licensed under cc by nc <<beginOptional>>sa<<endOptional>> <<var;name=version;match=4 0|3 0>>"),
     ("proprietary", "copyright <<beginOptional>>c<<endOptional>> <<var;name=holder;words=1-8>> all rights reserved"),
+    # Whole texts, from the first word of the grant to the end of the disclaimer.
+    (
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files <<beginOptional>>the software<<endOptional>> to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies "
+        "of the software and to permit persons to whom the software is furnished to do so subject to the following "
+        "conditions the above copyright notice and this permission notice <<beginOptional>>including the next "
+        "paragraph<<endOptional>> shall be included in all copies or substantial portions of the software the software is "
+        "provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall the "
+        "<<var;name=holder;words=1-8>> be liable for any claim damages or other liability whether in an action of contract "
+        "tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "isc-text",
+        "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with "
+        "or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all "
+        "copies the software is provided as is and <<var;name=holder;words=1-8>> disclaims all warranties with regard to this "
+        "software including all implied warranties of merchantability and fitness in no event shall "
+        "<<var;name=holder;words=1-8>> be liable for any special direct indirect or consequential damages or any damages "
+        "whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious "
+        "action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "bsd-text",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+        "following conditions are met <<beginOptional>><<var;name=bullet;match=1|a|i>><<endOptional>> redistributions of "
+        "source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<beginOptional>><<var;name=bullet;match=2|b|ii>><<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+        "disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>>"
+        "<<beginOptional>><<var;name=bullet;match=3|c|iii>><<endOptional>> neither the name of "
+        "<<var;name=holder;words=1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written "
+        "permission<<endOptional>> this software is provided by <<var;name=holder;words=1-8>> as is and any express or "
+        "implied warranties including but not limited to the implied warranties of merchantability and fitness for a "
+        "particular purpose are disclaimed",
+    ),
+    (
+        "zlib-text",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable "
+        "for any damages arising from the use of this software permission is granted to anyone to use this software for any "
+        "purpose including commercial applications and to alter it and redistribute it freely subject to the following "
+        "restrictions",
+    ),
+    (
+        "apache-2-header",
+        "licensed under the apache license version 2 0 <<beginOptional>>the license<<endOptional>> you may not use this file "
+        "except in compliance with the license you may obtain a copy of the license at "
+        "<<var;name=address;words=3-8>> unless required by applicable law or agreed to in writing software distributed under "
+        "the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    ),
+    (
+        "gpl-header",
+        "is free software you can redistribute it and or modify it under the terms of the gnu "
+        "<<var;name=kind;match=general|lesser general|affero general>> public license as published by the free software "
+        "foundation either version <<var;name=version;words=1-2>> of the license or "
+        "<<beginOptional>>at your option<<endOptional>> any later version",
+    ),
 )
 ANCHOR_WORDS = 3
 
@@ -165,10 +223,13 @@ class Automaton:
 
 
 def places(joined: bytes, phrase: bytes) -> Iterator[int]:
-    """Byte positions of a phrase in words joined by single spaces, with a space at both ends; overlaps included."""
-    needle, at = b" " + phrase + b" ", joined.find(b" " + phrase + b" ")
+    """Numbers of the words where a phrase begins, in words joined by single spaces with a space at both ends; overlaps
+    included. Words are counted on from place to place, so a text is walked through once."""
+    needle, word, counted = b" " + phrase + b" ", 0, 0
+    at = joined.find(needle)
     while at >= 0:
-        yield at
+        word, counted = word + joined.count(b" ", counted, at), at
+        yield word
         at = joined.find(needle, at + 1)
 
 
@@ -191,16 +252,14 @@ class Scanner:
                 hits += (found[0], found[-1], len(found))
         labels, score = set(base), float(bool(base))
         for anchor, automata in self.by_anchor.items():
-            for at in places(joined, anchor):
-                first = joined.count(b" ", 0, at)
+            for first in places(joined, anchor):
                 for label, automaton in automata:
                     accepted, share = automaton.run(words, first)
                     if accepted:
                         labels.add(label)
                     score = max(score, share)
         n_base = sum(hits[2::3])
-        first = joined.count(b" ", 0, min(hits[0::3])) if hits else None
-        last = joined.count(b" ", 0, max(hits[1::3])) if hits else None
+        first, last = (min(hits[0::3]), max(hits[1::3])) if hits else (None, None)
         return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
