@@ -444,15 +444,16 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
 
 def encode_checked(docs: DataFrame, carry: tuple[str, ...] = (), path: str | None = None, most: int = DICTIONARY_WORDS) -> DataFrame:
     """(doc_id, carried columns, n_tokens, ids, decoded): encode, decode in the same task, and say whether that gives
-    back the text."""
+    back the text. The text goes along once; what is decoded is compared with its SHA-256."""
     ranks = read_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(ranks))
-    own = docs.select("doc_id", *carry, F.col("text").alias("to_compare"), F.col("text").alias("to_encode"))
+    whole = F.sha2(F.coalesce("text", F.lit("")), 256).alias("to_compare")
+    own = docs.select("doc_id", *carry, whole, F.col("text").alias("to_encode"))
     kept = own.columns[:-2]
 
     def finish(columns: list[pa.Array], ids: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
         spans = zip(first[:-1].tolist(), first[1:].tolist(), columns[-1])
-        same = [shared.value.decode(ids[a:b]) == (t.as_py() or "").encode() for a, b, t in spans]
+        same = [hashlib.sha256(shared.value.decode(ids[a:b])).hexdigest() == t.as_py() for a, b, t in spans]
         lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32()))
         return pa.RecordBatch.from_arrays(
             [*columns[:-1], pa.array(np.diff(first)), lists, pa.array(same, pa.bool_())], names=[*kept, "n_tokens", "ids", "decoded"]
