@@ -160,10 +160,12 @@ def nearest_cells(
             wanted = np.minimum(wanted, len(ids))
             chosen, sims = [np.zeros(0, "int64")], [np.zeros(0)]
             seen = [np.zeros(0, "int64")]
-            step = max(16, limits.TILE_ENTRIES // len(ids))
+            by_group = tree is not None and 0 < int(wanted.max(initial=0)) <= len(ids) // 4
+            # By groups, a row is bounded against groups alone; otherwise against every centroid.
+            step = max(16, limits.TILE_ENTRIES // (len(tree.value.members) if by_group else len(ids)))
             for at in range(0, rows, step):
                 most = int(wanted[at : at + step].max(initial=0))
-                if tree is not None and 0 < most <= len(ids) // 4:
+                if by_group and most:
                     near, near_sims, _ = tree.value.nearest(points[at : at + step], most)
                     held = np.arange(most) < wanted[at : at + step, None]
                     chosen.append(near[held])

@@ -1,5 +1,7 @@
 """Nearest cells by groups of centroids against the flat search."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -80,3 +82,33 @@ def test_joined_rows_meet_candidate_groups_only(spark):
 def test_bound_is_a_setting(monkeypatch, fine):
     monkeypatch.setattr(limits, "TREE_CELLS", 1)
     assert Cells(fine.cells.frame).tree is not None
+
+
+def test_groups_that_nothing_excludes_cost_no_sort():
+    """Where no bound excludes a group, the search costs a fraction of sorting all similarities."""
+    rng = np.random.default_rng(7)
+    matrix, points = clustered(rng, 8000, 64, 8000, 1.0), clustered(rng, 1200, 64, 1200, 1.0)
+    tree = CellTree.of(matrix, 1)
+    begun = time.process_time()
+    want = flat(points, matrix, 4)
+    sorted_, begun = time.process_time() - begun, time.process_time()
+    rows, sims, compared = tree.nearest(points, 4)
+    taken = time.process_time() - begun
+    assert np.array_equal(rows, want[0]) and np.array_equal(sims, want[1])
+    assert compared == len(points) * len(matrix)
+    assert taken < sorted_ / 2
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e25])
+def test_centroids_closer_than_single_precision(scale):
+    rng = np.random.default_rng(8)
+    matrix = np.repeat(clustered(rng, 40, 16, 40, 1.0), 30, axis=0) + 1e-8 * rng.normal(size=(1200, 16))
+    points = clustered(rng, 50, 16, 50, 1.0)
+    if scale > 1:  # beyond the largest single-precision product
+        matrix, points = matrix * scale, points * scale
+    rows, _, _ = CellTree.of(matrix, 1).nearest(points, 5)
+    if scale == 1:
+        assert np.array_equal(rows, flat(points, matrix, 5)[0])
+    else:
+        sims = np.take_along_axis(points @ matrix.T, rows, axis=1)
+        assert np.allclose(sims, flat(points, matrix, 5)[1], rtol=1e-12)
