@@ -27,7 +27,8 @@ From signatures to links:
    link at all; for these a task takes two blocks of a hub's classes, makes the 0/1 matrix of the features that occur at
    least twice, and gets all intersections as one matrix product. Classes that do link to the hub are not compared with each other. A
    task sends at most one link per class and block, a spanning forest of the linked pairs, so no group is written out as
-   pairs, and none is held by one task.
+   pairs, and none is held by one task. Comparisons go in rounds whose sketches or features take about ROUND_BYTES,
+   because there may be many more pairs and members than sets.
 4. Components of all links by label propagation with pointer jumping over written tables.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing; a text with
@@ -59,6 +60,10 @@ SLAB = 4096
 ROUNDS = 4
 BROADCAST_CLASSES = 500_000
 SEEN = 1 << 18
+# What one round of comparisons shuffles: bytes of sketches or features that go along with pairs and members.
+ROUND_BYTES = 1 << 28
+SKETCH_TOP = 127
+SKETCH_BYTES = SKETCH + 64
 
 
 def band_of(size: int, threshold: Fraction) -> int:
@@ -224,18 +229,27 @@ def _signed(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
 
 
 def sketch_of(features: np.ndarray) -> np.ndarray:
-    """How many features fall into each of SKETCH buckets by hash. Two sets share no more than the sum of the smaller
-    counts."""
-    return np.bincount((features % U64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.int32)
-
-
-def may_link(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """rows x columns of sketches: False where the sets can't link."""
+    """How many features fall into each of SKETCH buckets by hash, at most SKETCH_TOP, which fits a byte. Two sets share
+    no more than the sum of the smaller counts, and beyond the tops no more than the smaller of what is left of each."""
+    counts = np.bincount((features % U64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(counts, SKETCH_TOP).astype(np.int8)
+
+
+def may_link(
+    left: np.ndarray, right: np.ndarray, percent: int, left_sizes: np.ndarray | None = None, right_sizes: np.ndarray | None = None
+) -> np.ndarray:
+    """rows x columns of sketches, with the sizes of the sets where counts may be at their top: False where the sets can't
+    link."""
+    left_sizes, right_sizes = (
+        counts.sum(axis=1, dtype=np.int64) if sizes is None else sizes for counts, sizes in ((left, left_sizes), (right, right_sizes))
+    )
     shared = np.zeros((len(left), len(right)), np.int32)
     for b in range(SKETCH):
         shared += np.minimum(left[:, b][:, None], right[:, b][None, :])
-    union = left.sum(axis=1)[:, None].astype(np.int64) + right.sum(axis=1)[None, :] - shared
-    return 100 * shared.astype(np.int64) >= percent * union
+    over = [sizes - counts.sum(axis=1, dtype=np.int64) for sizes, counts in ((left_sizes, left), (right_sizes, right))]
+    shared = shared.astype(np.int64) + np.minimum(over[0][:, None], over[1][None, :])
+    union = left_sizes[:, None] + right_sizes[None, :] - shared
+    return 100 * shared >= percent * union
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -249,35 +263,48 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             names, found = [w for w, _ in named], [s for _, s in named]
             lengths = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            sketches = np.concatenate([np.zeros(0, np.int32), *map(sketch_of, found)])
+            sketches = np.concatenate([np.zeros(0, np.int8), *map(sketch_of, found)])
             at = pa.array(np.arange(len(found) + 1, dtype=np.int32) * SKETCH)
             lists = [pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)), pa.ListArray.from_arrays(at, pa.array(sketches))]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *lists], names=["name", "features", "sketch"])
 
-    return docs.select("name", "text").mapInArrow(job, "name long, features array<long>, sketch array<int>")
+    return docs.select("name", "text").mapInArrow(job, "name long, features array<long>, sketch array<tinyint>")
+
+
+def _rounds(rows: DataFrame, keys: tuple[str, ...], size: int) -> Iterator[DataFrame]:
+    """A written table in shares by hash of its keys, as many as rounds of ROUND_BYTES take for `size` bytes. After each
+    its shuffles are removed, so what stands on disk at once doesn't grow with the table."""
+    rounds = max(1, -(-size // ROUND_BYTES))
+    for n in range(rounds):
+        yield rows if rounds == 1 else rows.where(F.pmod(F.xxhash64(*keys, F.lit("round")), F.lit(rounds)) == n)
+        release(rows.sparkSession)
 
 
 def _hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(name, hub, linked) of the pairs, by sketches and, where these leave it open, by exact intersection."""
-    sketches = cut(sets.select("name", "sketch"))
-    hubs = sketches.select(F.col("name").alias("hub"), F.col("sketch").alias("of_hub"))
-    both = pairs.join(sketches, "name").join(hubs, "hub")
+    sketches = cut(sets.select("name", "sketch", F.size("features").alias("size")))
+    hubs = sketches.select(F.col("name").alias("hub"), F.col("sketch").alias("of_hub"), F.col("size").alias("hub_size"))
     add = lambda v: F.aggregate(v, F.lit(0), lambda t, x: t + x)
-    shared = add(F.zip_with("sketch", "of_hub", lambda x, y: F.least(x, y)))
-    total = add(F.col("sketch")) + add(F.col("of_hub"))
-    maybe = cut(both.select("name", "hub", total.alias("total"), shared.alias("shared")))
-    maybe = maybe.select("name", "hub", (F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).alias("maybe"))
-    del both
-    release(pairs.sparkSession)
+    least = add(F.zip_with("sketch", "of_hub", lambda x, y: F.least(x, y).cast("int")))
+    over = F.least(F.col("size") - add(F.col("sketch")), F.col("hub_size") - add(F.col("of_hub")))
+    judged = []
+    for some in _rounds(pairs, ("hub",), pairs.count() * SKETCH_BYTES):
+        both = some.join(sketches, "name").join(hubs, "hub")
+        judged.append(cut(both.select("name", "hub", (F.col("size") + F.col("hub_size")).cast("long").alias("total"), (least + over).cast("long").alias("shared"))))
+        del both
+    maybe = reduce(DataFrame.union, judged)
+    maybe = maybe.select("name", "hub", "total", (F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).alias("maybe"))
     features = sets.select("name", "features")
-    open_ = maybe.where("maybe").select("name", "hub")
-    exact = open_.join(features, "name").join(features.select(F.col("name").alias("hub"), F.col("features").alias("of_hub")), "hub")
+    of_hub = features.select(F.col("name").alias("hub"), F.col("features").alias("of_hub"))
+    open_ = maybe.where("maybe").select("name", "hub", "total")
     shared = F.size(F.array_intersect("features", "of_hub"))
     union = F.size("features") + F.size("of_hub") - shared
-    found = cut(exact.select("name", "hub", (shared * 100 >= union * percent).alias("linked")))
-    del exact
-    release(pairs.sparkSession)
-    return found.union(maybe.where("NOT maybe").select("name", "hub", F.lit(False).alias("linked")))
+    found = []
+    for some in _rounds(open_, ("hub",), 8 * (open_.agg(F.sum("total")).head()[0] or 0)):
+        exact = some.select("name", "hub").join(features, "name").join(of_hub, "hub")
+        found.append(cut(exact.select("name", "hub", (shared * 100 >= union * percent).alias("linked"))))
+        del exact
+    return reduce(DataFrame.union, found).union(maybe.where("NOT maybe").select("name", "hub", F.lit(False).alias("linked")))
 
 
 def links_within(rows: list[np.ndarray], columns: list[np.ndarray], percent: int) -> np.ndarray:
@@ -320,19 +347,22 @@ def forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> Iterato
             yield min(a, b), max(a, b)
 
 
-def _in_blocks(members: DataFrame, weights: DataFrame, values: DataFrame, most: int) -> DataFrame:
+def _in_blocks(members: DataFrame, weights: DataFrame, values: DataFrame, most: int, width: int) -> Iterator[DataFrame]:
     """members (hub, name, linked) with the values of each name, dealt to pairs of blocks (low, high) of their hub, of which
-    `own` is theirs. A block holds about BLOCK_SETS sets, and sets of about `most` by weight (name, size)."""
+    `own` is theirs. A block holds about BLOCK_SETS sets, and sets of about `most` by weight (name, size). In rounds of
+    whole pairs of blocks, by `width` bytes a row and unit of size."""
     sizes = members.join(weights, "name")
     blocks = F.greatest(F.ceil(F.col("total") / most), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
     # Written first, so that Spark knows its size before it plans the join: only hubs of several blocks are in it.
     large = sizes.groupBy("hub").agg(F.sum("size").alias("total"), F.count("*").alias("sets")).select("hub", blocks.alias("blocks"))
     large = cut(large.where("blocks > 1"))
-    rows = members.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = sizes.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("hub", "name", "linked", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    return rows.join(values, "name")
+    rows = cut(rows.select("hub", "name", "linked", "size", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+    size = width * (rows.agg(F.sum("size")).head()[0] or 0)
+    for some in _rounds(rows.drop("size"), ("hub", "low", "high"), size):
+        yield some.join(values, "name")
 
 
 def _sides(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -357,18 +387,22 @@ def _with_partners(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
     def job(table: pa.Table) -> pa.Table:
         names, sketches = table.column("name").to_numpy(), np.array(_lists(table, "sketch")).reshape(-1, SKETCH)
+        sizes = table.column("n").to_numpy().astype(np.int64)
         wanted = np.zeros(len(names), bool)
         for r, c in _sides(table):
             for at in range(0, len(r), 512):
                 some = r[at : at + 512]
                 if len(c):
-                    maybe = may_link(sketches[some], sketches[c], percent) & (names[some][:, None] != names[c][None, :])
+                    maybe = may_link(sketches[some], sketches[c], percent, sizes[some], sizes[c]) & (names[some][:, None] != names[c][None, :])
                     wanted[some[maybe.any(axis=1)]] = True
                     wanted[c[maybe.any(axis=0)]] = True
         return table.filter(pa.array(wanted)).select(["hub", "name", "linked"])
 
-    rows = _in_blocks(members, weights, sets.select("name", "sketch"), BLOCK_SETS)
-    return rows.groupBy("hub", "low", "high").applyInArrow(job, "hub long, name long, linked boolean").distinct()
+    found = []
+    for rows in _in_blocks(members, weights, sets.select("name", "sketch", F.size("features").alias("n")), BLOCK_SETS, SKETCH_BYTES):
+        found.append(cut(rows.groupBy("hub", "low", "high").applyInArrow(job, "hub long, name long, linked boolean")))
+        del rows
+    return reduce(DataFrame.union, found).distinct()
 
 
 def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -386,8 +420,11 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 found += forest(linked, names[r], names[c])
         return pa.table({"low": pa.array([a for a, _ in found], pa.int64()), "high": pa.array([b for _, b in found], pa.int64())})
 
-    rows = _in_blocks(members, weights, sets.select("name", "features"), BLOCK_FEATURES)
-    return rows.groupBy("hub", "low", "high").applyInArrow(job, "low long, high long")
+    found = []
+    for rows in _in_blocks(members, weights, sets.select("name", "features"), BLOCK_FEATURES, 8):
+        found.append(cut(rows.groupBy("hub", "low", "high").applyInArrow(job, "low long, high long")))
+        del rows
+    return reduce(DataFrame.union, found)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -148,6 +148,31 @@ def test_sketches_rule_out_no_link():
     assert not (linked & ~maybe).any() and (~maybe).mean() > 0.5
 
 
+def test_sketches_at_their_top_rule_out_no_link():
+    """A byte holds a bucket's count up to its top; what lies beyond may be shared too."""
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))]
+    for spread in (1, 128):  # all features in one bucket, or in all
+        base = np.unique(rng.integers(0, 2**50, 40_000).astype(np.uint64) * np.uint64(128 // spread))
+        sets += [base, base[:36_000], np.unique(np.concatenate([base[:30_000], rng.integers(0, 2**63, 30_000).astype(np.uint64)]))]
+    sketches, sizes = np.array([jaccard_join.sketch_of(s) for s in sets]), np.array([len(s) for s in sets])
+    assert sketches.nbytes == len(sets) * jaccard_join.SKETCH and sketches.max() == jaccard_join.SKETCH_TOP
+    maybe, linked = jaccard_join.may_link(sketches, sketches, 80, sizes, sizes), jaccard_join.links_within(sets, sets, 80)
+    assert not (linked & ~maybe).any() and linked[1, 2] and linked[4, 5] and not maybe[0, 1:].any()
+
+
+def test_comparisons_in_rounds(spark, monkeypatch):
+    rows = near_copies()
+    want = brute_components(rows, 3, 80)
+    rounds = []
+    plain = jaccard_join._rounds
+    monkeypatch.setattr(jaccard_join, "ROUND_BYTES", 4000)
+    monkeypatch.setattr(jaccard_join, "_rounds", lambda *given: [rounds.append(1) or some for some in plain(*given)])
+    monkeypatch.setattr(jaccard_join, "BLOCK_FEATURES", 500)
+    found = sorted(map(tuple, jaccard_join.jaccard_components(frame(spark, rows), 3, 80).collect()), key=repr)
+    assert found == want and len(rounds) > 8
+
+
 def test_classes_too_many_to_broadcast_and_blocks_of_few_sets(spark, monkeypatch):
     rng = np.random.default_rng(4)
     words_ = [f"w{k}" for k in range(40)]
