@@ -247,26 +247,25 @@ def search_batch(root: Root, rows: np.ndarray, ids: np.ndarray, best: Best) -> N
     for level in root.levels[1:]:
         needed.append(np.minimum.reduceat(needed[-1], np.arange(0, len(needed[-1]), FAN)))
 
-    def visit(level: int, node: int, doc_level: int, nodes: np.ndarray) -> None:
-        """An item node, and the document nodes that its parent left."""
+    # Item nodes with the document nodes that their parents left, depth first. A function that calls itself would keep
+    # the batch's maxima alive until a collection of cycles, which arrays don't set off.
+    top, doc_top = len(root.levels) - 1, len(docs) - 1
+    todo = [(top, node, doc_top, np.arange(len(docs[doc_top]))) for node in reversed(range(len(root.levels[top])))]
+    while todo:
+        level, node, doc_level, nodes = todo.pop()
         used = root.used[level][node]
         bounds = docs[doc_level][nodes[:, None], used] @ root.levels[level][node, used]
         left = bounds >= needed[level][node]
         nodes, bounds = nodes[left], bounds[left]
         if not len(nodes):
-            return
+            continue
         if level == 0 and doc_level == 0:
             best.offer(int(root.items[node]), bounds.astype(np.int64), ids[nodes])
-            return
+            continue
         if doc_level > 0:
             nodes, doc_level = children(nodes, len(docs[doc_level - 1])), doc_level - 1
         below = children(np.array([node]), len(root.levels[level - 1])).tolist() if level else [node]
-        for child in below:
-            visit(max(0, level - 1), child, doc_level, nodes)
-
-    top, doc_top = len(root.levels) - 1, len(docs) - 1
-    for node in range(len(root.levels[top])):
-        visit(top, node, doc_top, np.arange(len(docs[doc_top])))
+        todo += [(max(0, level - 1), child, doc_level, nodes) for child in reversed(below)]
 
 
 class Statistics(NamedTuple):
