@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsieve.llm.common import SPACES, U64, chunks, crc_remainder, span_hashes, word_spans
+from cellsieve.llm.common import SPACES, U64, chunks, crc_remainder, small_batches, span_hashes, word_spans
 from cellsieve.session import cut
 
 BUCKETS = 1 << 18
@@ -160,6 +160,7 @@ def train_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, siz
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """docs plus quality_score, one float per row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

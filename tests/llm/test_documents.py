@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 from cellsieve.llm import byte_bpe, decontaminate, jaccard_join, license_templates, lm_scoring, pii, quality
-from cellsieve.llm.common import table
+from cellsieve.llm.common import BATCH_BYTES, small_batches, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, base int, h long, rank int"
 LONG = "one two three four five six seven " * 9000
@@ -612,3 +612,11 @@ def test_places_of_a_repeated_phrase():
     text = ("under the mit license " * 5000 + "x ") * 2
     n_words, n_base, first, last, *_ = license_templates.Scanner().scan(text.encode())
     assert (n_words, n_base, first, last) == (40_002, 10_000, 0, 39_997)
+
+
+def test_batches_of_long_texts_stay_small(spark):
+    docs = spark.range(0, 120, 1, 1).selectExpr("id AS doc_id", "repeat('0123456789', 20000 + int(id)) AS text")
+    small_batches(spark)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+    found = [r["n"] for r in sizes.collect()]
+    assert sum(found) > 120 * 200_000 and max(found) < 2 * BATCH_BYTES
