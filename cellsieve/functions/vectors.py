@@ -15,7 +15,10 @@ SETTLED_DECIMALS = 9
 def l2_normalize(vector: str) -> Column:
     """Unit-length copy of an array column as array<float>; a zero vector stays zero."""
     squares = f"aggregate({vector}, 0D, (total, x) -> total + double(x) * double(x))"
-    return F.expr(f"transform({vector}, x -> float(double(x) / (sqrt({squares}) + {NORM_EPSILON}D)))")
+    # The length is bound once, as the only element of an array: inside the inner lambda it would be summed up anew for
+    # every component.
+    unit = f"transform({vector}, x -> float(double(x) / __length))"
+    return F.expr(f"get(transform(array(sqrt({squares}) + {NORM_EPSILON}D), __length -> {unit}), 0)")
 
 
 def inner_product(left: Column, right: Column) -> Column:

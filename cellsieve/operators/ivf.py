@@ -46,6 +46,9 @@ SEED = 6400
 DEFAULT_NPROBE = 16
 TRAIN_PER_CELL = 100
 
+# Tasks per core that points are dealt to before they meet many centroids.
+TASKS_PER_CORE = 4
+
 
 class Cells:
     """Centroids (cell_id, centroid) with the matrix that is broadcast when it fits the bound."""
@@ -261,10 +264,21 @@ def _with_groups(queries: DataFrame, groups: Groups, n: int) -> DataFrame:
     return queries.mapInArrow(run, schema)
 
 
+def _dealt(points: DataFrame, cells: Cells) -> DataFrame:
+    """Points dealt evenly to several tasks per core where each meets so many centroids that this outweighs the shuffle
+    of a vector: files are read by row group, and the vectors of a file may all lie in one."""
+    if cells.tree is None:
+        return points
+    spark = points.sparkSession
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return points.repartition(max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, shuffled))
+
+
 def assign_cells(points: DataFrame, centroids: DataFrame | Cells, vector: str = "embedding") -> DataFrame:
     """Add `cell_id`, the cell of the most similar centroid."""
+    cells = Cells.of(centroids)
     return (
-        nearest_cells(points, centroids, vector, 1, "item_id")
+        nearest_cells(_dealt(points, cells), cells, vector, 1, "item_id")
         .withColumn("cell_id", F.col("cells")[0])
         .drop("cells", "cell_sims")
     )
