@@ -60,6 +60,8 @@ SLAB = 4096
 ROUNDS = 4
 BROADCAST_CLASSES = 500_000
 SEEN = 1 << 18
+# Bytes of text hashed at once. A task takes about 35 times that, which a Python worker may keep while later tasks run.
+CHUNK = 1 << 19
 # What one round of comparisons shuffles: bytes of sketches or features that go along with pairs and members.
 ROUND_BYTES = 1 << 28
 SKETCH_TOP = 127
@@ -102,7 +104,7 @@ def set_of(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def document_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    for _, _, data, offsets in chunks(column):
+    for _, _, data, offsets in chunks(column, CHUNK):
         starts, ends, first = word_spans(SPACES[data], offsets)
         hashes = span_hashes(LOWER[data], starts, ends)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):

@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -620,3 +621,14 @@ def test_batches_of_long_texts_stay_small(spark):
     sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
     found = [r["n"] for r in sizes.collect()]
     assert sum(found) > 120 * 200_000 and max(found) < 2 * BATCH_BYTES
+
+
+def test_sets_are_hashed_in_small_pieces():
+    """What hashing takes stays with a Python worker, so it must not grow to many times a batch of texts."""
+    texts = pa.array([f"word{n} and some more text " * 2000 for n in range(100)])
+    tracemalloc.start()
+    sizes = [len(s) for s in jaccard_join.document_sets(texts, 5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [5] * 100
+    assert peak < 40 << 20
