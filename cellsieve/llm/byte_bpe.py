@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a given rank table.
 
 Encoding has two steps. First the distinct pre-tokens of the corpus are counted, and Spark higher-order functions fold
-ranked merges over the byte array of each of the DICTIONARY_WORDS most frequent ones: every step looks up the ranks of
-all neighbours in a constant rank map and joins the leftmost pair of least rank. The result, bounded by that number, is
+ranked merges over the byte array of each of the DICTIONARY_WORDS most frequent ones: neighbours carry their rank by a
+constant rank map, every step joins the leftmost pair of least rank and looks up the two ranks that this changes. The result, bounded by that number, is
 broadcast as sorted hashes and id runs. Then each document's pre-tokens are looked up, a chunk of documents at a time;
 the chunk's distinct words outside the dictionary are folded by the same higher-order functions and put in their
 places, so every word gets its ids by one method and the dictionary's size changes only the work. Decoding concatenates
@@ -206,39 +206,37 @@ def rank_of(ranks: Column, piece: Column) -> Column:
 def fold(word: Column, ranks: Column) -> Column:
     """array<int> of a word given as Latin-1 characters, by ranked merges over its bytes. The dictionary has the words
     that are tokens themselves, so they are not looked up again here."""
-    kind = "array<struct<piece:string,id:int>>"
-    state = f"struct<pieces:{kind},done:boolean>"
+    state = "struct<pieces:array<string>,pairs:array<int>>"
 
-    def merge(acc: Column, _: Column) -> Column:
-        pieces = acc["pieces"]
-        last = F.size(pieces) - 2
-        text = lambda i: F.get(pieces, i)["piece"]
-
-        def pair(i: Column) -> Column:
-            return F.struct(F.coalesce(rank_of(ranks, F.concat(text(i), text(i + 1))), F.lit(NO_RANK)).alias("rank"), i.alias("at"))
-
-        best = F.array_min(F.transform(F.sequence(F.lit(0), last), pair))
-
-        # The best pair is bound once, as the only element of an array.
-        def apply(b: Column) -> Column:
-            at = b["at"]
-            one = F.struct(F.concat(text(at), text(at + 1)).alias("piece"), b["rank"].alias("id"))
-            joined = F.concat(
-                F.slice(pieces, F.lit(1), at), F.array(one), F.slice(pieces, at + 3, F.greatest(last - at, F.lit(0)))
-            )
-            ended = b["rank"] == NO_RANK
-            return F.struct(F.when(ended, pieces).otherwise(joined).alias("pieces"), ended.alias("done")).cast(state)
+    def rank(text: Column) -> Column:
+        return F.coalesce(rank_of(ranks, text), F.lit(NO_RANK))
 
-        return F.when(acc["done"] | (last < 0), acc).otherwise(F.get(F.transform(F.array(best), apply), F.lit(0)))
-
-    def letter(i: Column) -> Column:
-        one = F.substring(word, i, F.lit(1))
-        return F.struct(one.alias("piece"), rank_of(ranks, one).alias("id"))
-
-    letters = F.transform(F.sequence(F.lit(1), F.length(word)), letter)
+    # pairs: the rank that each piece has together with the next one. A merge changes two of them.
+    def merge(acc: Column, _: Column) -> Column:
+        pieces, pairs = acc["pieces"], acc["pairs"]
+        best = F.array_min(pairs)
+
+        def joined(m: Column) -> Column:
+            at, both = m["at"], m["both"]
+            rest = F.greatest(F.size(pieces) - at - 1, F.lit(0))
+            before = F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), F.array(rank(F.concat(F.get(pieces, at - 2), both))))
+            after = F.concat(F.array(rank(F.concat(both, F.get(pieces, at + 1)))), F.slice(pairs, at + 2, rest))
+            return F.struct(
+                F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(both), F.slice(pieces, at + 2, rest)).alias("pieces"),
+                F.when(at == 1, after).otherwise(F.concat(before, after)).alias("pairs"),
+            ).cast(state)
+
+        # Place and text of the best pair are bound once, each as the only element of an array.
+        place = F.array(F.array_position(pairs, best).cast("int"))
+        both = F.transform(place, lambda at: F.struct(at.alias("at"), F.concat(F.get(pieces, at - 1), F.get(pieces, at)).alias("both")))
+        return F.when(best == NO_RANK, acc).otherwise(F.get(F.transform(both, joined), F.lit(0)))
+
+    every = F.sequence(F.lit(1), F.length(word))
+    letters = F.transform(every, lambda i: F.substring(word, i, F.lit(1)))
+    two = F.transform(every, lambda i: F.when(i < F.length(word), rank(F.substring(word, i, F.lit(2)))).otherwise(F.lit(NO_RANK)))
     steps = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
-    start = F.struct(letters.cast(kind).alias("pieces"), F.lit(False).alias("done")).cast(state)
-    merged = F.aggregate(steps, start, merge, lambda acc: F.transform(acc["pieces"], lambda p: p["id"]))
+    start = F.struct(letters.alias("pieces"), two.alias("pairs")).cast(state)
+    merged = F.aggregate(steps, start, merge, lambda acc: F.transform(acc["pieces"], lambda p: rank_of(ranks, p)))
     return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(merged)
 
 
