@@ -122,7 +122,7 @@ class Dictionary(NamedTuple):
     @classmethod
     def of(cls, words: pa.Array, ids: pa.Array) -> Dictionary:
         """From a binary column and a list<int> column."""
-        parts = [span_hashes(data, at[:-1], at[1:]) for _, _, data, at in chunks(words)]
+        parts = [span_hashes(data, at[:-1], at[1:]) for _, _, data, at in chunks(words, CHUNK)]
         hashes = np.concatenate(parts) if parts else np.zeros(0, U64)
         order = np.argsort(hashes)
         begins = ids.offsets.to_numpy().astype(np.int64)

@@ -42,6 +42,8 @@ LEAST_LITERAL = 4
 LEAST_TOKENS = 13
 BITMAP_BITS = 24
 LITERAL = 1 << 32
+# Bytes of text whose windows are made at once; what that takes may stay with a Python worker while later tasks run.
+CHUNK = 1 << 19
 
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonnes lb lbs "
@@ -152,7 +154,7 @@ def template_windows(texts: DataFrame, id_col: str, sizes: list[int], bitmap=Non
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            for row, end, data, offsets in chunks(batch.column(1)):
+            for row, end, data, offsets in chunks(batch.column(1), CHUNK):
                 tokens = Tokens(data, offsets)
                 count = np.diff(tokens.first)
                 for size, literal in product(sizes, (False, True)):

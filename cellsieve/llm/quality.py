@@ -39,6 +39,8 @@ RATE = 4.0
 THRESHOLD = 0.3
 SHIFT = 32 - 18
 REPEAT = 12345  # the bucket of a word that stands for the second time in a row
+# Bytes of text scored at once. A task takes about 30 times that, which a Python worker may keep while later tasks run.
+CHUNK = 1 << 19
 
 
 class Model(NamedTuple):
@@ -96,6 +98,12 @@ def mean_logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return np.where(counts > 0, sums / np.maximum(counts, 1), 0.0)
 
 
+def scores_of(model: Model, texts: pa.Array) -> np.ndarray:
+    """The score of each text, CHUNK bytes at a time."""
+    parts = [model.score(mean_logits(model, data, offsets)) for _, _, data, offsets in chunks(texts, CHUNK)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text, and the share of its features in each."""
     data = np.frombuffer(text.encode(), np.uint8)
@@ -111,20 +119,28 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = rng.uniform(-0.5, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
-    rows, target = [features(t) for t in texts], np.asarray(labels, np.int64)
-    per_epoch = -(-len(rows) // BATCH)
+    # Features of all texts lie in two long buffers, which go back to the system as a whole.
+    held, parts, lengths = bytearray(), bytearray(), [0]
+    for t in texts:
+        found, shares = features(t)
+        held += found.tobytes()
+        parts += shares.tobytes()
+        lengths.append(len(found))
+    own, share_of, first = np.frombuffer(held, np.uint32), np.frombuffer(parts, np.float32), np.cumsum(lengths).tolist()
+    target = np.asarray(labels, np.int64)
+    per_epoch = -(-len(texts) // BATCH)
     epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
     steps, step = epochs * per_epoch, 0
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(rows), BATCH):
-            pick = [r for r in order[at : at + BATCH].tolist() if len(rows[r][0])]
+        order = rng.permutation(len(texts))
+        for at in range(0, len(texts), BATCH):
+            pick = [r for r in order[at : at + BATCH].tolist() if lengths[r + 1]]
             rate, step = RATE * (1 - step / steps), step + 1
             if not pick:
                 continue
-            ids = np.concatenate([rows[r][0] for r in pick])
-            share = np.concatenate([rows[r][1] for r in pick])[:, None]
-            begins = np.cumsum([0, *(len(rows[r][0]) for r in pick[:-1])])
+            ids = np.concatenate([own[first[r] : first[r + 1]] for r in pick])
+            share = np.concatenate([share_of[first[r] : first[r + 1]] for r in pick])[:, None]
+            begins = np.cumsum([0, *(lengths[r + 1] for r in pick[:-1])])
             hidden = np.add.reduceat(vectors[ids] * share, begins, axis=0)
             z = hidden @ out + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -166,8 +182,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
-            parts = [shared.value.score(mean_logits(shared.value, d, o)) for _, _, d, o in chunks(text)]
-            scores = pa.array(np.concatenate(parts) if parts else [], pa.float64())
+            scores = pa.array(scores_of(shared.value, text), pa.float64())
             keep = [c for c in names if c != "text" or carry]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), scores], names=[*keep, "quality_score"])
 
