@@ -40,7 +40,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsieve.llm.common import U64, chunks, small_batches, span_hashes
+from cellsieve.llm.common import U64, chunks, small_batches, span_hashes, sparing
 from cellsieve.session import cut
 
 DICTIONARY_WORDS = 1 << 20
@@ -293,7 +293,7 @@ def count_words(texts: DataFrame, classes: np.ndarray, known: np.ndarray) -> Dat
                     yield flush()
         yield flush()
 
-    return texts.mapInArrow(job, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(sparing(job), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _packed(words: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ def _packed(words: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), lists], names=["one", "words"])
 
-    return words.mapInArrow(job, "one int, words array<string>")
+    return words.mapInArrow(sparing(job), "one int, words array<string>")
 
 
 def build_dictionary(texts: DataFrame, ranks: dict[bytes, int], classes: np.ndarray, most: int = DICTIONARY_WORDS) -> Dictionary:
@@ -375,7 +375,7 @@ def _lookups(docs: DataFrame, ranks: dict[bytes, int], dictionary: Dictionary, c
                     [pa.array([1], pa.int32()), pa.array([held], pa.binary()), lists], names=["one", "held", "words"]
                 )
 
-    return docs.mapInArrow(job, "one int, held binary, words array<string>")
+    return docs.mapInArrow(sparing(job), "one int, held binary, words array<string>")
 
 
 def _filled(marks: pa.LargeListArray, ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -409,7 +409,7 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], most: int, finish: Callab
                 yield finish(held.columns[:-1], ids, first)
 
     chunked = folded(_lookups(docs, ranks, dictionary, classes), ranks)
-    return chunked.select("held", "ids").mapInArrow(job, fields)
+    return chunked.select("held", "ids").mapInArrow(sparing(job), fields)
 
 
 def encode(docs: DataFrame, carry: tuple[str, ...] = (), path: str | None = None, most: int = DICTIONARY_WORDS) -> DataFrame:
@@ -437,7 +437,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.binary())], names=[*names, "decoded"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in coded.schema)
-    return coded.mapInArrow(job, f"{fields}decoded binary")
+    return coded.mapInArrow(sparing(job), f"{fields}decoded binary")
 
 
 def encode_checked(docs: DataFrame, carry: tuple[str, ...] = (), path: str | None = None, most: int = DICTIONARY_WORDS) -> DataFrame:

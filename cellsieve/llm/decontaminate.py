@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellsieve.llm.common import LOWER, U64, chunks, mix, powers, span_hashes, word_spans
+from cellsieve.llm.common import LOWER, U64, chunks, mix, powers, span_hashes, sparing, word_spans
 from cellsieve.session import cut
 
 WINDOW = 8
@@ -183,7 +183,7 @@ def template_windows(texts: DataFrame, id_col: str, sizes: list[int], bitmap=Non
                         names=[id_col, "pos", "size", "n_tokens", "hash", "literal", "slots"],
                     )
 
-    return texts.mapInArrow(job, f"`{id_col}` {kind}, {WINDOW_FIELDS}")
+    return texts.mapInArrow(sparing(job), f"`{id_col}` {kind}, {WINDOW_FIELDS}")
 
 
 def bitmap_of(windows: DataFrame) -> np.ndarray:

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsieve.llm.common import LOWER, SPACES, U64, chunks, discard, mix, release, small_batches, span_hashes, spool, word_spans
+from cellsieve.llm.common import LOWER, SPACES, U64, chunks, discard, mix, release, small_batches, span_hashes, sparing, spool, word_spans
 from cellsieve.session import cut
 
 BLOCK_FEATURES = 400_000
@@ -193,7 +193,7 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], names=["doc_id", "n_shingles", "name"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(job, f"doc_id {kind}, n_shingles long, name long")
+    return docs.select("doc_id", "text").mapInArrow(sparing(job), f"doc_id {kind}, n_shingles long, name long")
 
 
 def _signed(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
@@ -227,7 +227,7 @@ def _signed(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
             [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(names))], names=["sig", "name"]
         )
 
-    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(job, "sig long, name long")
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(sparing(job), "sig long, name long")
 
 
 def sketch_of(features: np.ndarray) -> np.ndarray:
@@ -270,7 +270,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat)), pa.ListArray.from_arrays(at, pa.array(sketches))]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *lists], names=["name", "features", "sketch"])
 
-    return docs.select("name", "text").mapInArrow(job, "name long, features array<long>, sketch array<tinyint>")
+    return docs.select("name", "text").mapInArrow(sparing(job), "name long, features array<long>, sketch array<tinyint>")
 
 
 def _rounds(rows: DataFrame, keys: tuple[str, ...], size: int) -> Iterator[DataFrame]:
@@ -535,4 +535,4 @@ def _with_names(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], names=[*batch.schema.names, "set_name"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(job, f"{schema}, set_name long")
+    return docs.mapInArrow(sparing(job), f"{schema}, set_name long")

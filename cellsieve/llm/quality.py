@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsieve.llm.common import SPACES, U64, chunks, crc_remainder, small_batches, span_hashes, word_spans
+from cellsieve.llm.common import SPACES, U64, chunks, crc_remainder, small_batches, span_hashes, sparing, word_spans
 from cellsieve.session import cut
 
 BUCKETS = 1 << 18
@@ -189,7 +189,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     names = docs.columns
     carry = len(names) > 2
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text" or carry)
-    return docs.mapInArrow(job, f"{schema}, quality_score double")
+    return docs.mapInArrow(sparing(job), f"{schema}, quality_score double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

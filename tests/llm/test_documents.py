@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cellsieve.llm import byte_bpe, decontaminate, jaccard_join, license_templates, lm_scoring, pii, quality
+from cellsieve.llm import byte_bpe, common, decontaminate, jaccard_join, license_templates, lm_scoring, pii, quality
 from cellsieve.llm.common import BATCH_BYTES, small_batches, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, base int, h long, rank int"
@@ -650,6 +650,31 @@ def test_quality_scores_in_small_pieces():
     assert peak < 30 << 20
 
 
+def test_workers_keep_no_tables(spark):
+    """Workers outlive their tasks: each kept its power tables, and what its allocators had not returned."""
+
+    def held(batches):
+        for batch in batches:
+            sizes = [common._power_tables.cache_info().currsize] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], names=["tables"])
+
+    docs = spark.createDataFrame([(n, f"word{n} and some more text " * 90) for n in range(64)], "doc_id long, text string").repartition(4)
+    model = quality.Model(np.zeros(quality.BUCKETS, np.float32), 0.1)
+    environment = spark.sparkContext.environment
+    for name, frame in (
+        ("quality", lambda: quality.with_scores(docs, model)),
+        ("near_duplicates", lambda: jaccard_join._signed(docs, 5, Fraction(4, 5))),
+        ("decontamination", lambda: decontaminate.template_windows(docs, "doc_id", [decontaminate.WINDOW])),
+    ):
+        environment["CELLSIEVE_WORKERS"] = name  # workers that no other task uses
+        try:
+            frame().collect()
+            found = spark.range(0, 64, 1, 16).mapInArrow(held, "tables long").collect()
+        finally:
+            del environment["CELLSIEVE_WORKERS"]
+        assert {r["tables"] for r in found} == {0}, name
+
+
 def test_fold_looks_up_what_a_merge_changes(spark):
     """Looking up all neighbours at every merge took 50 seconds for 400 words of 390 bytes, now 19."""
     ranks = byte_bpe.read_ranks()
