@@ -40,7 +40,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsieve.llm.common import U64, chunks, small_batches, span_hashes, sparing
+from cellsieve.llm.common import U64, chunks, give_back, small_batches, span_hashes, sparing
 from cellsieve.session import cut
 
 DICTIONARY_WORDS = 1 << 20
@@ -409,6 +409,7 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], most: int, finish: Callab
                 yield finish(held.columns[:-1], ids, first)
 
     chunked = folded(_lookups(docs, ranks, dictionary, classes), ranks)
+    give_back()  # what the driver took for the dictionary and for the tables sent to the tasks
     return chunked.select("held", "ids").mapInArrow(sparing(job), fields)
 
 

@@ -44,6 +44,7 @@ def small_batches(spark: SparkSession) -> None:
 def release(spark: SparkSession) -> None:
     """Spark removes the shuffle files of finished jobs when the driver collects its garbage; ask for that now."""
     gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -40,9 +40,9 @@ columns are ignored by the join.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
-from functools import lru_cache, reduce
+from functools import lru_cache, partial, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -273,15 +273,28 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("name", "text").mapInArrow(sparing(job), "name long, features array<long>, sketch array<tinyint>")
 
 
-def _rounds(rows: DataFrame, keys: tuple[str, ...], size: int) -> Iterator[DataFrame]:
+def _rounds(rows: DataFrame, keys: tuple[str, ...], size: int) -> Iterator[tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]]:
     """A written table in shares by hash of its keys, as many as rounds of ROUND_BYTES take for `size` bytes. After each
-    its shuffles are removed, so what stands on disk at once doesn't grow with the table."""
+    its shuffles are removed, so what stands on disk at once doesn't grow with the table. With a share comes a function
+    (values, key) that keeps of other rows what the share will meet: else every round would shuffle all of them, and that
+    would grow with the rows and with the rounds."""
     rounds = max(1, -(-size // ROUND_BYTES))
+    if rounds == 1:
+        yield rows, lambda values, key: values
+        release(rows.sparkSession)
+        return
     for n in range(rounds):
-        yield rows if rounds == 1 else rows.where(F.pmod(F.xxhash64(*keys, F.lit("round")), F.lit(rounds)) == n)
+        some = rows.where(F.pmod(F.xxhash64(*keys, F.lit("round")), F.lit(rounds)) == n)
+        yield some, partial(_met_by, some)
         release(rows.sparkSession)
 
 
+def _met_by(some: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """The values whose key stands in `some`; all of them where it has too many keys to be sent to every task."""
+    met = cut(some.select(key).distinct())
+    return values.join(F.broadcast(met), key, "left_semi") if met.count() <= BROADCAST_CLASSES else values
+
+
 def _hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(name, hub, linked) of the pairs, by sketches and, where these leave it open, by exact intersection."""
     sketches = cut(sets.select("name", "sketch", F.size("features").alias("size")))
@@ -290,8 +303,8 @@ def _hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     least = add(F.zip_with("sketch", "of_hub", lambda x, y: F.least(x, y).cast("int")))
     over = F.least(F.col("size") - add(F.col("sketch")), F.col("hub_size") - add(F.col("of_hub")))
     judged = []
-    for some in _rounds(pairs, ("hub",), pairs.count() * SKETCH_BYTES):
-        both = some.join(sketches, "name").join(hubs, "hub")
+    for some, only in _rounds(pairs, ("hub",), pairs.count() * SKETCH_BYTES):
+        both = some.join(only(sketches, "name"), "name").join(only(hubs, "hub"), "hub")
         judged.append(cut(both.select("name", "hub", (F.col("size") + F.col("hub_size")).cast("long").alias("total"), (least + over).cast("long").alias("shared"))))
         del both
     maybe = reduce(DataFrame.union, judged)
@@ -302,8 +315,8 @@ def _hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shared = F.size(F.array_intersect("features", "of_hub"))
     union = F.size("features") + F.size("of_hub") - shared
     found = []
-    for some in _rounds(open_, ("hub",), 8 * (open_.agg(F.sum("total")).head()[0] or 0)):
-        exact = some.select("name", "hub").join(features, "name").join(of_hub, "hub")
+    for some, only in _rounds(open_, ("hub",), 8 * (open_.agg(F.sum("total")).head()[0] or 0)):
+        exact = some.select("name", "hub").join(only(features, "name"), "name").join(only(of_hub, "hub"), "hub")
         found.append(cut(exact.select("name", "hub", (shared * 100 >= union * percent).alias("linked"))))
         del exact
     return reduce(DataFrame.union, found).union(maybe.where("NOT maybe").select("name", "hub", F.lit(False).alias("linked")))
@@ -363,8 +376,8 @@ def _in_blocks(members: DataFrame, weights: DataFrame, values: DataFrame, most:
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = cut(rows.select("hub", "name", "linked", "size", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
     size = width * (rows.agg(F.sum("size")).head()[0] or 0)
-    for some in _rounds(rows.drop("size"), ("hub", "low", "high"), size):
-        yield some.join(values, "name")
+    for some, only in _rounds(rows.drop("size"), ("hub", "low", "high"), size):
+        yield some.join(only(values, "name"), "name")
 
 
 def _sides(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:

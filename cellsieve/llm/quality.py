@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsieve.llm.common import SPACES, U64, chunks, crc_remainder, small_batches, span_hashes, sparing, word_spans
+from cellsieve.llm.common import SPACES, U64, chunks, crc_remainder, give_back, small_batches, span_hashes, sparing, word_spans
 from cellsieve.session import cut
 
 BUCKETS = 1 << 18
@@ -174,6 +174,16 @@ def train_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, siz
     return [r["text"] for r in found], [int(r["quality"]) for r in found]
 
 
+def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of a sample; the driver keeps nothing else of it."""
+    sample = train_sample(docs, labels)
+    give_back()
+    model = train(*sample)
+    del sample
+    give_back()
+    return model
+
+
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """docs plus quality_score, one float per row."""
     small_batches(docs.sparkSession)
@@ -194,7 +204,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    model = train(*train_sample(docs, labels))
+    model = trained(docs, labels)
     scored = with_scores(docs.select("doc_id", "text"), model)
     return scored.select(
         "doc_id",
@@ -206,6 +216,6 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, all columns as they are."""
-    model = train(*train_sample(docs, labels))
+    model = trained(docs, labels)
     own = docs.select("doc_id", "text", "lang", "source", "n_chars")
     return with_scores(own, model).where(F.col("quality_score") >= THRESHOLD).drop("quality_score")
