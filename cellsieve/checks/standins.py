@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsieve.functions.dates import moment_text
-from cellsieve.functions.text import embed_text, token_count
+from cellsieve.functions.text import token_count, with_text_vectors
 from cellsieve.functions.vectors import l2_normalize
 from cellsieve.operators import ivf
 from cellsieve.operators.histogram import Histogram2D
@@ -26,21 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents_as_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dated by the event of the same number, with the page address where there is one."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = _documents(spark, sf_dir).withColumn("token_count", token_count(F.col("text")))
+    return _dated(spark, sf_dir, docs).select(
+        "item_id", "ext_id", "title", "url", "revdate", "token_count", "entity", "text"
+    )
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("item_id"),
         F.col("doc_id").alias("ext_id"),
         F.concat_ws(" ", "source", "lang", F.col("doc_id").cast("string")).alias("title"),
-        token_count(F.col("text")).alias("token_count"),
         F.col("source").alias("entity"),
         "text",
     )
+
+
+def _dated(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("item_id"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("revdate")
     )
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), "url")
-    return docs.join(events, "item_id").join(pages, "item_id", "left").select(
-        "item_id", "ext_id", "title", "url", "revdate", "token_count", "entity", "text"
-    )
+    return docs.join(events, "item_id").join(pages, "item_id", "left")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +63,11 @@ def unit_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text collection: documents with hashed embeddings."""
-    docs = documents_as_items(spark, sf_dir)
-    return docs.withColumn("embedding", embed_text(F.col("text"))).drop("text")
+    # Texts become vectors where they are read, so that joins move vectors of 64 numbers, not texts.
+    docs = with_text_vectors(_documents(spark, sf_dir))
+    return _dated(spark, sf_dir, docs).select(
+        "item_id", "ext_id", "title", "url", "revdate", "token_count", "entity", "embedding"
+    )
 
 
 def big_items(spark: SparkSession, sf_dir: str) -> DataFrame:

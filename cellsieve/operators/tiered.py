@@ -6,13 +6,14 @@ list; with inner < outer it holds every top list of up to `cap` rows whose width
 are not known beforehand. All tiers of a query share one pool of rows, so narrower and wider searches, and smaller and
 larger k, are answered from one scan.
 
-A query may have several *parts*: part -1 pools all rows, part b only rows whose bit b is set. Pools leave a task once,
-are merged for MERGED_TASKS tasks at a time, then by query.
+A query may have several *parts*: part -1 is about all rows, part b only about rows whose bit b is set. A row that
+several parts keep is held and sent once. Pools leave a task when they are full or it ends, are merged for MERGED_TASKS
+tasks at a time, then by query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -27,8 +28,10 @@ from cellsieve.operators.scoring import MERGED_TASKS, ROW_BYTES, matrix_of, with
 EVERY_ROW = -1
 UNPROBED = np.iinfo(np.int32).max - 1
 ALL_CELLS = UNPROBED + 1
-POOL_SCHEMA = "qid bigint, part int, item_id bigint, similarity double, cell_rank int, bits bigint"
+POOL_SCHEMA = "qid bigint, item_id bigint, similarity double, cell_rank int, bits bigint"
+# Rows that a part may add before a pool is settled; tasks per core that groups are dealt to.
 FRESH_ROWS = 256
+GROUP_TASKS = 4
 
 
 class Tier(NamedTuple):
@@ -52,33 +55,66 @@ def needed_tiers(tiers: Iterable[Tier]) -> tuple[Tier, ...]:
 def settled(sims: np.ndarray, ids: np.ndarray, ranks: np.ndarray, tiers: tuple[Tier, ...]) -> tuple[np.ndarray, list[float]]:
     """Which rows some tier keeps, best first, and the similarity that a further row needs in each tier."""
     order = np.lexsort((ids, -sims))
-    ranks = ranks[order]
-    keep, floors = np.zeros(len(order), bool), []
+    keep, floors = _kept(sims[order], ranks[order], tiers)
+    return order[keep], floors
+
+
+def _kept(sims: np.ndarray, ranks: np.ndarray, tiers: tuple[Tier, ...]) -> tuple[np.ndarray, list[float]]:
+    """`settled` of rows that come best first: a mark per row."""
+    keep, floors = np.zeros(len(sims), bool), []
     for tier in tiers:
+        if len(sims) <= tier.cap:
+            # Even the worst row has fewer better ones than the tier holds.
+            keep |= ranks < tier.outer
+            inner = int(np.count_nonzero(ranks < tier.inner)) if len(sims) == tier.cap else 0
+            floors.append(float(sims[-1]) if tier.cap and inner == tier.cap else -np.inf)
+            continue
         inner = ranks < tier.inner
         better = np.cumsum(inner)
-        keep |= (ranks < tier.outer) & (better - inner < tier.cap)
         last = int(np.searchsorted(better, tier.cap)) if tier.cap else 0
-        floors.append(float(sims[order[last]]) if last < len(order) else -np.inf)
+        # Up to the row that fills the tier, all have fewer better ones.
+        keep[: last + 1] |= ranks[: last + 1] < tier.outer if tier.cap else False
+        floors.append(float(sims[last]) if last < len(sims) else -np.inf)
+    return keep, floors
+
+
+def settled_parts(sims: np.ndarray, ids: np.ndarray, ranks: np.ndarray, bits: np.ndarray, parts: Parts) -> tuple[np.ndarray, dict[int, list[float]]]:
+    """Which rows some part of a query keeps, best first, and the floors of each part's tiers."""
+    order = np.lexsort((ids, -sims))
+    sims, ranks, bits = sims[order], ranks[order], bits[order]
+    keep, floors = np.zeros(len(order), bool), {}
+    for part, tiers in parts.items():
+        if part == EVERY_ROW:
+            own, floors[part] = _kept(sims, ranks, tiers)
+            keep |= own
+            continue
+        rows = np.flatnonzero(bits >> part & 1)
+        own, floors[part] = _kept(sims[rows], ranks[rows], tiers)
+        keep[rows[own]] = True
     return order[keep], floors
 
 
 class TierPools:
-    """The pools of all parts of a block of queries within one task."""
+    """The pools of a block of queries within one task, one for all parts of a query."""
 
     def __init__(self, parts: list[Parts]):
+        self.parts = parts
         self.names = [(q, part) for q, own in enumerate(parts) for part in sorted(own)]
-        self.tiers = [parts[q][part] for q, part in self.names]
         self.first = np.searchsorted([q for q, _ in self.names], np.arange(len(parts) + 1))
         self.bit = np.array([part for _, part in self.names], np.int64)
-        deepest = max([1, *map(len, self.tiers)])
+        tiers = [parts[q][part] for q, part in self.names]
+        deepest = max([1, *map(len, tiers)])
         self.outer = np.full((len(self.names), deepest), -1, np.int64)
-        for g, tiers in enumerate(self.tiers):
-            self.outer[g, : len(tiers)] = [t.outer for t in tiers]
+        for g, own in enumerate(tiers):
+            self.outer[g, : len(own)] = [t.outer for t in own]
         self.floor = np.full((len(self.names), deepest), -np.inf)
-        self.pool: list[list[tuple[np.ndarray, ...]]] = [[] for _ in self.names]
-        self.held = np.zeros(len(self.names), np.int64)
-        self.due = np.full(len(self.names), FRESH_ROWS)
+        self.pool: list[list[tuple[np.ndarray, ...]]] = [[] for _ in parts]
+        self.held = np.zeros(len(parts), np.int64)
+        self.due = FRESH_ROWS * np.diff(self.first)
+
+    @property
+    def bytes(self) -> int:
+        return int(self.held.sum()) * ROW_BYTES
 
     def offer(self, which: np.ndarray, ids: np.ndarray, sims: np.ndarray, ranks: np.ndarray, bits: np.ndarray) -> None:
         """Rows with their similarities and cell ranks for the queries `which` (queries x rows)."""
@@ -88,9 +124,11 @@ class TierPools:
         step = max(64, limits.TILE_ENTRIES // max(1, len(groups)))
         for at in range(0, len(ids), step):
             part = slice(at, at + step)
-            self._offer(groups, row, ids[part], sims[:, part], ranks[:, part], bits[part])
+            self._offer(groups, row, which, ids[part], sims[:, part], ranks[:, part], bits[part])
 
-    def _offer(self, groups, row, ids, sims, ranks, bits) -> None:
+    def _offer(self, groups, row, which, ids, sims, ranks, bits) -> None:
+        if not len(groups):
+            return
         hits = np.zeros((len(groups), len(ids)), bool)
         for t in range(self.outer.shape[1]):
             used = np.flatnonzero(self.outer[groups, t] >= 0)
@@ -101,38 +139,45 @@ class TierPools:
         for b in np.unique(self.bit[groups]).tolist():
             if b != EVERY_ROW:
                 hits[self.bit[groups] == b] &= (bits >> b & 1).astype(bool)
-        for n in np.flatnonzero(hits.any(axis=1)).tolist():
-            g, mask = int(groups[n]), hits[n]
-            self.pool[g].append((sims[row[n]][mask], ids[mask], ranks[row[n]][mask], bits[mask]))
-            self.held[g] += int(mask.sum())
-            if self.held[g] >= self.due[g]:
-                self._settle(g)
-
-    def _settle(self, g: int) -> None:
-        columns = [np.concatenate(c) for c in zip(*self.pool[g])]
-        keep, floors = settled(columns[0], columns[1], columns[2], self.tiers[g])
-        self.pool[g] = [tuple(c[keep] for c in columns)]
-        self.floor[g, : len(floors)] = floors
-        self.held[g] = len(keep)
-        self.due[g] = 2 * len(keep) + FRESH_ROWS
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        for n, mask in zip(row[starts].tolist(), np.logical_or.reduceat(hits, starts, axis=0)):
+            wanted = np.flatnonzero(mask)
+            if not len(wanted):
+                continue
+            q = int(which[n])
+            self.pool[q].append((sims[n][wanted], ids[wanted], ranks[n][wanted], bits[wanted]))
+            self.held[q] += len(wanted)
+            if self.held[q] >= self.due[q]:
+                self._settle(q)
+
+    def _settle(self, q: int) -> None:
+        columns = [np.concatenate(c) for c in zip(*self.pool[q])]
+        keep, floors = settled_parts(*columns, self.parts[q])
+        self.pool[q] = [tuple(c[keep] for c in columns)]
+        for g in range(self.first[q], self.first[q + 1]):
+            own = floors[self.names[g][1]]
+            self.floor[g, : len(own)] = np.maximum(self.floor[g, : len(own)], own)
+        self.held[q] = len(keep)
+        self.due[q] = 2 * len(keep) + FRESH_ROWS * (self.first[q + 1] - self.first[q])
 
     def result(self, qids: np.ndarray) -> pa.RecordBatch:
+        """What is held, which goes from here; the floors stay, since the rows that prove them are sent."""
         full = np.flatnonzero(self.held).tolist()
-        for g in full:
-            self._settle(g)
-        sims, ids, ranks, bits = ([self.pool[g][0][c] for g in full] for c in range(4))
-        sizes = [len(s) for s in sims]
-        name = lambda c: np.repeat([self.names[g][c] for g in full], sizes).astype(np.int64)
+        for q in full:
+            self._settle(q)
+        sims, ids, ranks, bits = ([self.pool[q][0][c] for q in full] for c in range(4))
+        owner = np.repeat(np.array(full, np.int64), [len(s) for s in sims])
+        for q in full:
+            self.pool[q], self.held[q], self.due[q] = [], 0, FRESH_ROWS * (self.first[q + 1] - self.first[q])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(qids[name(0)] if full else np.zeros(0, np.int64)),
-                pa.array(name(1).astype(np.int32)),
+                pa.array(qids[owner] if full else np.zeros(0, np.int64)),
                 pa.array(_joined(ids, np.int64)),
                 pa.array(_joined(sims, np.float64)),
                 pa.array(_joined(ranks, np.int32)),
                 pa.array(_joined(bits, np.int64)),
             ],
-            ["qid", "part", "item_id", "similarity", "cell_rank", "bits"],
+            ["qid", "item_id", "similarity", "cell_rank", "bits"],
         )
 
 
@@ -206,6 +251,8 @@ def tiered_pools(vectors: DataFrame, block: TieredBlock, scores) -> DataFrame:
                 for at in range(0, len(ids), step):
                     part = slice(at, at + step)
                     pools.offer(everyone, ids[part], scores.score(prepared, data[part], None), rank_of[:, owner[part]], bits[part])
+                if pools.bytes > limits.QUERY_BLOCK_BYTES:
+                    yield pools.result(own.qids)
                 continue
             by_cell = np.argsort(owner, kind="stable")
             for n, rows in enumerate(np.split(by_cell, np.searchsorted(owner[by_cell], np.arange(1, len(names))))):
@@ -218,6 +265,8 @@ def tiered_pools(vectors: DataFrame, block: TieredBlock, scores) -> DataFrame:
                     some = rows[at : at + step]
                     sims = scores.score(prepared[which], data[some], near[a:b])
                     pools.offer(which, ids[some], sims, np.broadcast_to(place[a:b][:, None], sims.shape), bits[some])
+            if pools.bytes > limits.QUERY_BLOCK_BYTES:
+                yield pools.result(own.qids)
         yield pools.result(own.qids)
 
     wanted = vectors.select("item_id", "cell_id", data_column, "bits").filter(F.col(data_column).isNotNull())
@@ -233,35 +282,49 @@ class Pool(NamedTuple):
     bits: np.ndarray
 
 
+class Pools(Mapping):
+    """The pools of a query by part, from its rows best first. Only the last list asked for is held beside all rows."""
+
+    def __init__(self, rows: Pool, parts: Parts):
+        self.rows, self.parts, self.last = rows, parts, (EVERY_ROW, rows)
+
+    def __getitem__(self, part: int) -> Pool:
+        if part not in self.parts:
+            raise KeyError(part)
+        if part == EVERY_ROW:
+            return self.rows
+        if self.last[0] != part:
+            own = np.flatnonzero(self.rows.bits >> part & 1)
+            self.last = part, Pool(*[c[own] for c in self.rows])
+        return self.last[1]
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(self.parts)
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+
 def answer_pools(
-    pools: DataFrame, block: TieredBlock, answer: Callable[[int, dict[int, Pool]], Iterable[pa.Table]], schema: str, tasks: int
+    pools: DataFrame, block: TieredBlock, answer: Callable[[int, Mapping[int, Pool]], Iterable[pa.Table]], schema: str, tasks: int
 ) -> DataFrame:
-    """`answer` (query number in the block, its pools by part) for every query that got rows. Where more than
-    MERGED_TASKS tasks sent pools, these are merged for so many tasks at a time before all of a query's rows meet."""
+    """`answer` (query number in the block, its pools by part) for every query that got rows. Pools may hold more rows than
+    their tiers ask for. Where more than MERGED_TASKS tasks sent pools, these are merged for so many tasks at a time before
+    all of a query's rows meet."""
     shared = pools.sparkSession.sparkContext.broadcast((block.qids, block.parts))
 
-    def columns(table: pa.Table) -> tuple[int, np.ndarray, list[np.ndarray]]:
+    def columns(table: pa.Table) -> tuple[Parts, int, list[np.ndarray], np.ndarray]:
         table = table.combine_chunks()
         query = int(np.flatnonzero(shared.value[0] == table.column("qid")[0].as_py())[0])
-        names = ("similarity", "item_id", "cell_rank", "bits")
-        return query, table.column("part").to_numpy(), [table.column(c).to_numpy() for c in names]
+        values = [table.column(c).to_numpy() for c in ("similarity", "item_id", "cell_rank", "bits")]
+        return shared.value[1][query], query, values, settled_parts(*values, shared.value[1][query])[0]
 
     def merge(table: pa.Table) -> Iterable[pa.Table]:
-        query, parts, values = columns(table)
-        keep = []
-        for part in np.unique(parts).tolist():
-            rows = np.flatnonzero(parts == part)
-            keep.append(rows[settled(*[v[rows] for v in values[:3]], shared.value[1][query][part])[0]])
-        return [table.take(pa.array(np.concatenate(keep))).select(["qid", "part", "item_id", "similarity", "cell_rank", "bits"])]
+        return [table.take(pa.array(columns(table)[3])).select(["qid", "item_id", "similarity", "cell_rank", "bits"])]
 
     def last(table: pa.Table) -> Iterable[pa.Table]:
-        query, parts, values = columns(table)
-        found = {}
-        for part in np.unique(parts).tolist():
-            rows = np.flatnonzero(parts == part)
-            rows = rows[settled(*[v[rows] for v in values[:3]], shared.value[1][query][part])[0]]
-            found[part] = Pool(*[v[rows] for v in values])
-        return answer(query, found)
+        parts, query, values, rows = columns(table)
+        return answer(query, Pools(Pool(*[v[rows] for v in values]), parts))
 
     if tasks > MERGED_TASKS:
         salted = pools.withColumn("salt", F.floor(F.spark_partition_id() / MERGED_TASKS))
@@ -270,7 +333,8 @@ def answer_pools(
 
 
 def by_group(rows: DataFrame, keys: list[str], f: Callable[[pa.Table], Iterable[pa.Table]], schema: str) -> DataFrame:
-    """f of all rows of each key, which come sorted through one Arrow stream per task."""
+    """f of all rows of each key, which come sorted through one Arrow stream per task. Small groups are not put together
+    in few tasks, since what f makes of them may be far more."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -295,4 +359,6 @@ def by_group(rows: DataFrame, keys: list[str], f: Callable[[pa.Table], Iterable[
             for found in f(pa.Table.from_batches(held)):
                 yield from found.combine_chunks().to_batches()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), GROUP_TASKS * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -107,12 +107,22 @@ class PostRule:
             low, high = self.sizes(self.k - 1, *low), self.sizes(0, *high)
         return out
 
-    def walk(self, cell_rank: np.ndarray, passes: np.ndarray, tiers: list[Tier]) -> Walk:
-        """The rounds over candidates (best first) kept for `tiers`."""
+    def clipped(self, tiers: list[Tier]) -> bool:
+        """Whether some round before all cells are probed may ask for more than `tiers` keep."""
+        low = high = self.sizes()
+        for tier in tiers:
+            if min(high[1], self.nlist - 1) > tier.outer or high[0] > tier.cap:
+                return True
+            low, high = self.sizes(self.k - 1, *low), self.sizes(0, *high)
+        return low[1] < self.nlist
+
+    def walk(self, cell_rank: np.ndarray, passes: np.ndarray, tiers: list[Tier], near: Callable[[int], np.ndarray] | None = None) -> Walk:
+        """The rounds over candidates (best first) kept for `tiers`; `near` says which rows lie in so many cells."""
+        near = near or (lambda nprobe: np.flatnonzero(cell_rank < nprobe))
         search_k, nprobe = self.sizes()
         rounds = candidates = 0
         while nprobe < self.nlist and any(t.inner <= nprobe <= t.outer and search_k <= t.cap for t in tiers):
-            within = np.flatnonzero(cell_rank < nprobe)[:search_k]
+            within = near(nprobe)[:search_k]
             hits = within[passes[within]]
             rounds, candidates = rounds + 1, candidates + len(within)
             if len(hits) >= self.k:

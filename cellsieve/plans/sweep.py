@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +15,23 @@ from cellsieve.operators.histogram import Histogram2D
 from cellsieve.operators.ivf import IvfIndex
 from cellsieve.operators.predicates import Predicate, conditions
 from cellsieve.operators.scoring import ExactScores, ROW_BYTES, scan_tasks, unit_queries
-from cellsieve.operators.tiered import ALL_CELLS, EVERY_ROW, Parts, Pool, Tier, TieredBlock, answer_pools, block_of, needed_tiers, tiered_pools
+from cellsieve.operators.tiered import ALL_CELLS, EVERY_ROW, FRESH_ROWS, Parts, Pool, Tier, TieredBlock, answer_pools, block_of, needed_tiers, tiered_pools
 from cellsieve.plans import probing
 from cellsieve.plans.hybrid import ADAP_POS, ADAP_PRE, BASE_POS, BASE_PRE, METHODS, post_filter_search
 from cellsieve.plans.workload import LISTS_PER_SCAN
 from cellsieve.session import cut
 
 # Candidate lists of the post methods up to this length are kept in the scan.
-SWEEP_CANDIDATES = 100_000
+SWEEP_CANDIDATES = 1_000_000
 SWEEP_SCHEMA = "qid bigint, wid int, k int, method string, rank int, item_id bigint, similarity double, is_k boolean"
+# One row per entry: its hits, best first, or NULL where rounds of more candidates are due. Rows lie in such tables until
+# they are wanted one by one.
+ENTRY_SCHEMA = "qid bigint, wid int, k int, method string, is_k boolean, hits array<struct<item_id: bigint, similarity: double>>"
+HIT = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())])
+# Widths whose rows are kept while the rounds of a query are walked through, and entries sent at once.
+WIDTHS_KEPT = 8
+TIER_BYTES = 200
+ENTRIES_AT_ONCE = 32
 
 
 def sweep_search(
@@ -86,10 +94,10 @@ class Grid:
         return cls(lists, ks, methods, histogram, most, index.nlist, index.total, cells[order], counts, estimates)
 
     def query_bytes(self, dim: int) -> int:
-        """What one query takes in a task at most: no pool holds more rows than pass its list."""
-        caps = sum(2 * min(k, self.total) for k in self.ks)
-        rows = sum(min(int(n.sum()), caps) for n in self.counts.values()) + min(self.total, 3 * self.most)
-        return 8 * dim + 32 * self.nlist + 2 * ROW_BYTES * rows
+        """What one query takes in a task besides its pool, which is sent when the pools of a task are full: its vector,
+        cells, tiers and the rows of a pool that was never settled."""
+        tiers = len(self.lists) * len(self.ks) * (len(self.methods) + 1)
+        return 8 * dim + 32 * self.nlist + TIER_BYTES * tiers + 2 * ROW_BYTES * FRESH_ROWS * (len(self.lists) + 1)
 
     def rule(self, w: int, k: int, method: str) -> probing.PostRule:
         return probing.PostRule(k, self.estimates[w] if method == ADAP_POS else None, self.nlist, self.total)
@@ -135,60 +143,83 @@ class Grid:
         flags = [F.when(passes[w], F.lit(1 << b).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for b, w in enumerate(self.lists)]
         bits = functools.reduce(lambda a, b: a.bitwiseOR(b), flags)
         pools = tiered_pools(marked.withColumn("bits", bits), block, ExactScores())
-        found = cut(answer_pools(pools, block, self.answers(block, widths), SWEEP_SCHEMA, scan_tasks(index.vectors)))
-        out = [found.filter("rank > 0")]
-        for entry in found.filter("rank = 0").select("wid", "k", "method").distinct().collect():
-            w, k, method = entry
-            due = found.filter(f"rank = 0 AND wid = {w} AND k = {k} AND method = '{method}'").select("qid")
-            one = unit.join(due, "qid", "left_semi")
+        found = answer_pools(pools, block, self.answers(block, widths), ENTRY_SCHEMA, scan_tasks(index.vectors))
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        # Few queries may have very many hits: their entries are dealt to all tasks.
+        found = found.repartition(tasks)
+        due = []
+        if any(self.rule(*entry).clipped(tiers) for entry, tiers in self.post_tiers.items()):
+            found = cut(found)
+            due = found.filter("hits IS NULL").select("wid", "k", "method").distinct().collect()
+        hits = found.filter("hits IS NOT NULL").select("qid", "wid", "k", "method", "is_k", F.posexplode("hits").alias("pos", "hit"))
+        ranked = {"rank": F.col("pos") + 1, "item_id": F.col("hit.item_id"), "similarity": F.col("hit.similarity")}
+        columns = spark.createDataFrame([], SWEEP_SCHEMA).columns
+        out = [hits.withColumns(ranked).select(*columns)]
+        for w, k, method in due:
+            open_ = found.filter(f"hits IS NULL AND wid = {w} AND k = {k} AND method = '{method}'").select("qid")
+            one = unit.join(open_, "qid", "left_semi")
             again = post_filter_search(index, one, self.lists[w], k, self.histogram if method == ADAP_POS else None)
             named = {"wid": F.lit(w).cast("int"), "k": F.lit(k).cast("int"), "method": F.lit(method)}
-            out.append(again.withColumns(named).select(*spark.createDataFrame([], SWEEP_SCHEMA).columns))
+            out.append(again.withColumns(named).select(*columns))
         return out
 
     def answers(self, block: TieredBlock, widths: list[Mapping]):
         """The function that answers all entries of a query from its pools."""
         qids, bit = block.qids, {w: b for b, w in enumerate(self.lists)}
         tiers, rules = self.post_tiers, {e: self.rule(*e) for e in self.post_tiers}
-        nothing = Pool(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-        def rows(query: int, entry: tuple[int, int, str], pool: Pool, hits: np.ndarray, rank: Iterable[int]) -> pa.Table:
-            w, k, method = entry
-            rank = np.asarray(rank, np.int32)
-            n = len(rank)
-            empty = not len(hits)
+        def entries(query: int, found: Mapping[int, Pool]) -> Iterator[tuple[tuple[int, int, str], Pool, np.ndarray | None]]:
+            """(entry, pool, its hits there); None where a round is due."""
+            cells = len(block.cells[query])
+            for entry, width in widths[query].items():
+                pool = found[bit[entry[0]]]
+                yield entry, pool, np.flatnonzero(pool.cell_rank < width)[: entry[1]] if width < cells else np.arange(min(entry[1], len(pool.item_id)))
+            if not rules:
+                return
+            every = found.get(EVERY_ROW)
+            ranks = np.zeros(0, np.int64) if every is None else every.cell_rank
+            near = functools.lru_cache(WIDTHS_KEPT)(lambda nprobe: np.flatnonzero(ranks < nprobe))
+            of, passes = None, np.zeros(0, bool)
+            for entry, rule in rules.items():
+                w, k, _ = entry
+                if every is not None and of != w:
+                    of, passes = w, (every.bits >> bit[w] & 1).astype(bool)
+                walk = rule.walk(ranks, passes, tiers[entry], near)
+                if walk.hits is not None:
+                    yield entry, every, walk.hits
+                elif walk.nprobe < rule.nlist:
+                    yield entry, every, None
+                else:
+                    pool = found[bit[w]]
+                    yield entry, pool, np.arange(min(k, len(pool.item_id)))
+
+        def table(query: int, some: list) -> pa.Table:
+            empty = np.zeros(0, np.int64)
+            sizes = [0 if hits is None else len(hits) for _, _, hits in some]
+            ids = np.concatenate([empty, *[pool.item_id[hits] for _, pool, hits in some if hits is not None]])
+            sims = np.concatenate([np.zeros(0), *[pool.similarity[hits] for _, pool, hits in some if hits is not None]])
+            pairs = pa.StructArray.from_arrays([pa.array(ids), pa.array(sims)], fields=list(HIT))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32(), mask=np.array([h is None for _, _, h in some] + [False]))
             return pa.table(
                 {
-                    "qid": np.full(n, qids[query]),
-                    "wid": np.full(n, w, np.int32),
-                    "k": np.full(n, k, np.int32),
-                    "method": pa.array([method] * n, pa.string()),
-                    "rank": rank,
-                    "item_id": pa.nulls(n, pa.int64()) if empty else pa.array(pool.item_id[hits]),
-                    "similarity": pa.nulls(n, pa.float64()) if empty else pa.array(pool.similarity[hits]),
-                    "is_k": np.full(n, len(hits) == k),
+                    "qid": np.full(len(some), qids[query]),
+                    "wid": pa.array([e[0] for e, _, _ in some], pa.int32()),
+                    "k": pa.array([e[1] for e, _, _ in some], pa.int32()),
+                    "method": pa.array([e[2] for e, _, _ in some], pa.string()),
+                    "is_k": pa.array([n == e[1] for (e, _, _), n in zip(some, sizes)]),
+                    "hits": pa.ListArray.from_arrays(offsets, pairs),
                 }
             )
 
-        def answer(query: int, found: dict[int, Pool]) -> Iterator[pa.Table]:
-            def best(entry, pool, hits):
-                return rows(query, entry, pool, hits, range(1, len(hits) + 1)) if len(hits) else None
-
-            for entry, width in widths[query].items():
-                pool = found.get(bit[entry[0]], nothing)
-                made = best(entry, pool, np.flatnonzero(pool.cell_rank < width if width < len(block.cells[query]) else pool.cell_rank >= 0)[: entry[1]])
-                if made is not None:
-                    yield made
-            every = found.get(EVERY_ROW, nothing)
-            for entry, rule in rules.items():
-                w, k, _ = entry
-                walk = rule.walk(every.cell_rank, (every.bits >> bit[w] & 1).astype(bool), tiers[entry])
-                if walk.hits is None and walk.nprobe < rule.nlist:
-                    yield rows(query, entry, nothing, np.zeros(0, np.int64), [0])
-                    continue
-                pool = found.get(bit[w], nothing) if walk.hits is None else every
-                made = best(entry, pool, np.arange(min(k, len(pool.item_id))) if walk.hits is None else walk.hits)
-                if made is not None:
-                    yield made
+        def answer(query: int, found: Mapping[int, Pool]) -> Iterator[pa.Table]:
+            held = []
+            for entry, pool, hits in entries(query, found):
+                if hits is None or len(hits):
+                    held.append((entry, pool, hits))
+                if len(held) == ENTRIES_AT_ONCE:
+                    yield table(query, held)
+                    held = []
+            if held:
+                yield table(query, held)
 
         return answer

@@ -8,7 +8,7 @@ from cellsieve import limits
 from cellsieve.operators.histogram import Histogram2D
 from cellsieve.operators.predicates import Predicate
 from cellsieve.operators.scoring import ExactScores, rank_per_query, scan_tasks, unit_queries
-from cellsieve.operators.tiered import ALL_CELLS, EVERY_ROW, Tier, answer_pools, block_of, needed_tiers, settled, tiered_pools
+from cellsieve.operators.tiered import ALL_CELLS, EVERY_ROW, Tier, TierPools, answer_pools, block_of, needed_tiers, settled, tiered_pools
 from cellsieve.plans import hybrid, probing
 from cellsieve.plans.sweep import SWEEP_SCHEMA, sweep_search
 
@@ -159,3 +159,51 @@ def test_scan_tasks_and_salted_ranks(spark, fine, queries):
     rows = spark.range(3000).selectExpr("id % 3 AS qid", "id AS item_id", "(id * 7919 % 1000) / 1000D AS similarity").repartition(90)
     plain = {tuple(r) for r in rank_per_query(rows, 20).select("qid", "rank", "item_id").collect()}
     assert {tuple(r) for r in rank_per_query(rows, 20, 10_000).select("qid", "rank", "item_id").collect()} == plain
+
+
+def test_rows_of_many_parts_are_sent_once():
+    """However many lists want a row, a task holds and sends it once; what is sent early is not lost."""
+    rng = np.random.default_rng(5)
+    n, parts = 3000, {EVERY_ROW: (Tier(4, 9, 300),)} | {b: (Tier(7, 7, 50), Tier(ALL_CELLS, ALL_CELLS, 80)) for b in range(30)}
+    ids, sims, ranks = np.arange(n), np.round(rng.random((2, n)), 2), rng.integers(0, 12, (2, n))
+    bits = rng.integers(0, 1 << 30, n) | 1
+    whole, early, sent = TierPools([parts, parts]), TierPools([parts, parts]), []
+    for at in range(0, n, 500):
+        part = slice(at, at + 500)
+        for pools in (whole, early):
+            pools.offer(np.arange(2), ids[part], sims[:, part], ranks[:, part], bits[part])
+        sent.append(early.result(np.array([10, 11])))
+        assert early.bytes == 0
+    batches = [[whole.result(np.array([10, 11]))], sent]
+    for tables in batches:
+        rows = [(r["qid"], r["item_id"]) for t in tables for r in t.to_pylist()]
+        assert len(rows) == len(set(rows))
+        for q in range(2):
+            for part, tiers in parts.items():
+                own = np.flatnonzero(bits >> part & 1) if part != EVERY_ROW else ids
+                kept = own[settled(sims[q][own], own, ranks[q][own], tiers)[0]]
+                assert {(10 + q, i) for i in kept.tolist()} <= set(rows)
+
+
+def test_clipped_rounds():
+    """Only where rounds may ask for more candidates than are kept can a search be due once more."""
+    rule = probing.PostRule(10, 900, 700, 6000)
+    assert not rule.clipped(rule.tiers(6000)) and rule.clipped(rule.tiers(80)) and rule.clipped(rule.tiers(1))
+    rng = np.random.default_rng(2)
+    for most in (60, 100, 300, 1000, 6000):
+        tiers = rule.tiers(most)
+        for _ in range(50):
+            cell_rank, passes = rng.integers(0, 700, 6000), rng.random(6000) < rng.choice([0.001, 0.01, 0.2])
+            walk = rule.walk(cell_rank, passes, tiers)
+            assert rule.clipped(tiers) or walk.hits is not None or walk.nprobe >= rule.nlist
+
+
+def test_queries_of_long_lists_share_a_scan(fine, queries, histogram):
+    """Pools are sent when a task is full, so long lists don't make a scan of the vectors for each query."""
+    from cellsieve.plans.sweep import Grid
+
+    lists = {w: [Predicate("token_count", w, ">=")] for w in range(35)}
+    grid = Grid.of(fine, lists, (10, 1000, 10000), hybrid.METHODS, histogram, 10**6)
+    grid.counts = {w: np.full_like(n, 10**6) for w, n in grid.counts.items()}
+    grid.total = 10**8
+    assert limits.rows_within(limits.QUERY_BLOCK_BYTES, grid.query_bytes(fine.dim)) >= 100
