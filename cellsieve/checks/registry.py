@@ -664,7 +664,7 @@ def workload_sweep_ids(spark, sf_dir):
     """All of the workload's predicate lists, all k and all methods over all documents: what each search found, as a
     digest of its ids in order."""
     documents = cut(st.document_vectors(spark, sf_dir).select(*st.CARRIED, "embedding"))
-    index = st.middle_index(documents)
+    index = st.middle_index(documents, stored=True)
     histogram = Histogram2D.build(documents).collected()
     parts = st.workload_parts(histogram)
     lists = parts["single"] | parts["dual"] | parts["selective"]

@@ -101,9 +101,10 @@ def seed_centroids(collection: DataFrame, nlist: int) -> DataFrame:
     )
 
 
-def _seeded_index(collection: DataFrame, nlist_of_n) -> IvfIndex:
-    """Seed, place and store the collection, as a built index would be."""
-    collection = cut(collection.select(*CARRIED, "embedding"))
+def _seeded_index(collection: DataFrame, nlist_of_n, stored: bool = False) -> IvfIndex:
+    """Seed, place and store the collection, as a built index would be. `stored`: it is a written table already."""
+    collection = collection.select(*CARRIED, "embedding")
+    collection = collection if stored else cut(collection)
     n = collection.count()
     index = index_items(collection, cut(seed_centroids(collection, nlist_of_n(n))))
     return replace(index, vectors=cut(index.vectors), counted=n)
@@ -119,9 +120,9 @@ def fine_index(collection: DataFrame) -> IvfIndex:
     return _seeded_index(collection, lambda n: n // 4)
 
 
-def middle_index(collection: DataFrame) -> IvfIndex:
+def middle_index(collection: DataFrame, stored: bool = False) -> IvfIndex:
     """Four times the square root of n cells: probe widths matter, and cells stay few at any size."""
-    return _seeded_index(collection, lambda n: 4 * math.isqrt(n))
+    return _seeded_index(collection, lambda n: 4 * math.isqrt(n), stored)
 
 
 def _date(seconds: float) -> str:

@@ -13,6 +13,8 @@ tasks at a time, then by query.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -28,10 +30,17 @@ from cellsieve.operators.scoring import MERGED_TASKS, ROW_BYTES, matrix_of, with
 EVERY_ROW = -1
 UNPROBED = np.iinfo(np.int32).max - 1
 ALL_CELLS = UNPROBED + 1
-POOL_SCHEMA = "qid bigint, item_id bigint, similarity double, cell_rank int, bits bigint"
+# Rows of a pool travel packed with the number of their query in its block: Spark handles one row for PACKED of them.
+POOL_SCHEMA = "query int, similarity binary, item_id binary, cell_rank binary, bits binary"
+POOL_TYPES = {"similarity": np.float64, "item_id": np.int64, "cell_rank": np.int32, "bits": np.int64}
+PACKED = 512
 # Rows that a part may add before a pool is settled; tasks per core that groups are dealt to.
 FRESH_ROWS = 256
 GROUP_TASKS = 4
+# Queries of more parts than this meet rows one part after the other, not all parts as one matrix.
+MANY_PARTS = 8
+# Pools are left as they are where a tier that isn't full keeps more than this share of them.
+WORTH_SETTLING = 0.9
 
 
 class Tier(NamedTuple):
@@ -79,7 +88,11 @@ def _kept(sims: np.ndarray, ranks: np.ndarray, tiers: tuple[Tier, ...]) -> tuple
 
 
 def settled_parts(sims: np.ndarray, ids: np.ndarray, ranks: np.ndarray, bits: np.ndarray, parts: Parts) -> tuple[np.ndarray, dict[int, list[float]]]:
-    """Which rows some part of a query keeps, best first, and the floors of each part's tiers."""
+    """Which rows some part of a query keeps, and the floors of each part's tiers. While a tier over all rows isn't full,
+    hardly a row could go: all stay, and no floor is worked out."""
+    unfilled = max((t.outer for t in parts.get(EVERY_ROW, ()) if t.cap >= len(sims)), default=0)
+    if np.count_nonzero(ranks < unfilled) > WORTH_SETTLING * len(ranks):
+        return np.arange(len(ranks)), {}
     order = np.lexsort((ids, -sims))
     sims, ranks, bits = sims[order], ranks[order], bits[order]
     keep, floors = np.zeros(len(order), bool), {}
@@ -119,6 +132,13 @@ class TierPools:
     def offer(self, which: np.ndarray, ids: np.ndarray, sims: np.ndarray, ranks: np.ndarray, bits: np.ndarray) -> None:
         """Rows with their similarities and cell ranks for the queries `which` (queries x rows)."""
         sizes = self.first[which + 1] - self.first[which]
+        many = sizes > MANY_PARTS
+        if many.any():
+            for n in np.flatnonzero(many).tolist():
+                self._offer_one(int(which[n]), ids, sims[n], ranks[n], bits)
+            if many.all():
+                return
+            which, sims, ranks, sizes = which[~many], sims[~many], ranks[~many], sizes[~many]
         row = np.repeat(np.arange(len(which)), sizes)
         groups = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.first[which][row]
         step = max(64, limits.TILE_ENTRIES // max(1, len(groups)))
@@ -126,6 +146,33 @@ class TierPools:
             part = slice(at, at + step)
             self._offer(groups, row, which, ids[part], sims[:, part], ranks[:, part], bits[part])
 
+    def _offer_one(self, q: int, ids, sims, ranks, bits) -> None:
+        """The same for one query of many parts: a row that one of them keeps is not held against the others."""
+        open_ = np.ones(len(ids), bool)
+        wanted = np.zeros(len(ids), bool)
+        for g in range(self.first[q], self.first[q + 1]):
+            part = self.names[g][1]
+            some = np.flatnonzero(open_ if part == EVERY_ROW else open_ & (bits >> part & 1).astype(bool))
+            if not len(some):
+                continue
+            own_sims, own_ranks = sims[some], ranks[some]
+            hits = np.zeros(len(some), bool)
+            for floor, outer in zip(self.floor[g].tolist(), self.outer[g].tolist()):
+                if outer < 0:
+                    break
+                hits |= (own_sims >= floor) & (own_ranks < outer)
+            kept = some[hits]
+            wanted[kept], open_[kept] = True, False
+        self._hold(q, np.flatnonzero(wanted), ids, sims, ranks, bits)
+
+    def _hold(self, q: int, wanted, ids, sims, ranks, bits) -> None:
+        if not len(wanted):
+            return
+        self.pool[q].append((sims[wanted], ids[wanted], ranks[wanted], bits[wanted]))
+        self.held[q] += len(wanted)
+        if self.held[q] >= self.due[q]:
+            self._settle(q)
+
     def _offer(self, groups, row, which, ids, sims, ranks, bits) -> None:
         if not len(groups):
             return
@@ -141,48 +188,41 @@ class TierPools:
                 hits[self.bit[groups] == b] &= (bits >> b & 1).astype(bool)
         starts = np.flatnonzero(np.diff(row, prepend=-1))
         for n, mask in zip(row[starts].tolist(), np.logical_or.reduceat(hits, starts, axis=0)):
-            wanted = np.flatnonzero(mask)
-            if not len(wanted):
-                continue
-            q = int(which[n])
-            self.pool[q].append((sims[n][wanted], ids[wanted], ranks[n][wanted], bits[wanted]))
-            self.held[q] += len(wanted)
-            if self.held[q] >= self.due[q]:
-                self._settle(q)
+            self._hold(int(which[n]), np.flatnonzero(mask), ids, sims[n], ranks[n], bits)
 
     def _settle(self, q: int) -> None:
         columns = [np.concatenate(c) for c in zip(*self.pool[q])]
         keep, floors = settled_parts(*columns, self.parts[q])
         self.pool[q] = [tuple(c[keep] for c in columns)]
         for g in range(self.first[q], self.first[q + 1]):
-            own = floors[self.names[g][1]]
+            own = floors.get(self.names[g][1], [])
             self.floor[g, : len(own)] = np.maximum(self.floor[g, : len(own)], own)
         self.held[q] = len(keep)
         self.due[q] = 2 * len(keep) + FRESH_ROWS * (self.first[q + 1] - self.first[q])
 
-    def result(self, qids: np.ndarray) -> pa.RecordBatch:
+    def result(self) -> pa.RecordBatch:
         """What is held, which goes from here; the floors stay, since the rows that prove them are sent."""
         full = np.flatnonzero(self.held).tolist()
         for q in full:
             self._settle(q)
-        sims, ids, ranks, bits = ([self.pool[q][0][c] for q in full] for c in range(4))
-        owner = np.repeat(np.array(full, np.int64), [len(s) for s in sims])
+        found = _packed([(q, self.pool[q][0]) for q in full])
         for q in full:
             self.pool[q], self.held[q], self.due[q] = [], 0, FRESH_ROWS * (self.first[q + 1] - self.first[q])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(qids[owner] if full else np.zeros(0, np.int64)),
-                pa.array(_joined(ids, np.int64)),
-                pa.array(_joined(sims, np.float64)),
-                pa.array(_joined(ranks, np.int32)),
-                pa.array(_joined(bits, np.int64)),
-            ],
-            ["qid", "item_id", "similarity", "cell_rank", "bits"],
-        )
+        return found
+
 
+def _packed(pools: list[tuple[int, tuple[np.ndarray, ...]]]) -> pa.RecordBatch:
+    """POOL_SCHEMA rows of the pools (similarity, item_id, cell_rank, bits) of queries."""
+    parts = [(q, slice(at, at + PACKED), pool) for q, pool in pools for at in range(0, len(pool[0]), PACKED)]
+    columns = [pa.array([q for q, _, _ in parts], pa.int32())]
+    for c, kind in enumerate(POOL_TYPES.values()):
+        columns.append(pa.array([pool[c][part].astype(kind).tobytes() for _, part, pool in parts], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, ["query", *POOL_TYPES])
 
-def _joined(parts: list[np.ndarray], dtype) -> np.ndarray:
-    return np.concatenate(parts).astype(dtype) if parts else np.zeros(0, dtype)
+
+def unpacked(table: pa.Table) -> list[np.ndarray]:
+    """similarity, item_id, cell_rank and bits of all rows of POOL_SCHEMA rows."""
+    return [np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in POOL_TYPES.items()]
 
 
 @dataclass(frozen=True)
@@ -252,7 +292,7 @@ def tiered_pools(vectors: DataFrame, block: TieredBlock, scores) -> DataFrame:
                     part = slice(at, at + step)
                     pools.offer(everyone, ids[part], scores.score(prepared, data[part], None), rank_of[:, owner[part]], bits[part])
                 if pools.bytes > limits.QUERY_BLOCK_BYTES:
-                    yield pools.result(own.qids)
+                    yield pools.result()
                 continue
             by_cell = np.argsort(owner, kind="stable")
             for n, rows in enumerate(np.split(by_cell, np.searchsorted(owner[by_cell], np.arange(1, len(names))))):
@@ -266,8 +306,8 @@ def tiered_pools(vectors: DataFrame, block: TieredBlock, scores) -> DataFrame:
                     sims = scores.score(prepared[which], data[some], near[a:b])
                     pools.offer(which, ids[some], sims, np.broadcast_to(place[a:b][:, None], sims.shape), bits[some])
             if pools.bytes > limits.QUERY_BLOCK_BYTES:
-                yield pools.result(own.qids)
-        yield pools.result(own.qids)
+                yield pools.result()
+        yield pools.result()
 
     wanted = vectors.select("item_id", "cell_id", data_column, "bits").filter(F.col(data_column).isNotNull())
     return wanted.mapInArrow(run, POOL_SCHEMA)
@@ -311,30 +351,28 @@ def answer_pools(
     """`answer` (query number in the block, its pools by part) for every query that got rows. Pools may hold more rows than
     their tiers ask for. Where more than MERGED_TASKS tasks sent pools, these are merged for so many tasks at a time before
     all of a query's rows meet."""
-    shared = pools.sparkSession.sparkContext.broadcast((block.qids, block.parts))
-
-    def columns(table: pa.Table) -> tuple[Parts, int, list[np.ndarray], np.ndarray]:
-        table = table.combine_chunks()
-        query = int(np.flatnonzero(shared.value[0] == table.column("qid")[0].as_py())[0])
-        values = [table.column(c).to_numpy() for c in ("similarity", "item_id", "cell_rank", "bits")]
-        return shared.value[1][query], query, values, settled_parts(*values, shared.value[1][query])[0]
+    shared = pools.sparkSession.sparkContext.broadcast(block.parts)
 
     def merge(table: pa.Table) -> Iterable[pa.Table]:
-        return [table.take(pa.array(columns(table)[3])).select(["qid", "item_id", "similarity", "cell_rank", "bits"])]
+        query, values = table.column("query")[0].as_py(), unpacked(table)
+        keep = settled_parts(*values, shared.value[query])[0]
+        return [pa.Table.from_batches([_packed([(query, tuple(v[keep] for v in values))])])]
 
     def last(table: pa.Table) -> Iterable[pa.Table]:
-        parts, query, values, rows = columns(table)
-        return answer(query, Pools(Pool(*[v[rows] for v in values]), parts))
+        query, values = table.column("query")[0].as_py(), unpacked(table)
+        order = np.lexsort((values[1], -values[0]))
+        return answer(query, Pools(Pool(*[v[order] for v in values]), shared.value[query]))
 
     if tasks > MERGED_TASKS:
-        salted = pools.withColumn("salt", F.floor(F.spark_partition_id() / MERGED_TASKS))
-        pools = by_group(salted, ["qid", "salt"], merge, POOL_SCHEMA)
-    return by_group(pools, ["qid"], last, schema)
+        salted = pools.withColumn("salt", F.floor(F.spark_partition_id() / MERGED_TASKS).cast("int"))
+        pools = by_group(salted, ["query", "salt"], merge, POOL_SCHEMA)
+    return by_group(pools, ["query"], last, schema)
 
 
 def by_group(rows: DataFrame, keys: list[str], f: Callable[[pa.Table], Iterable[pa.Table]], schema: str) -> DataFrame:
-    """f of all rows of each key, which come sorted through one Arrow stream per task. Small groups are not put together
-    in few tasks, since what f makes of them may be far more."""
+    """f of all rows of each key, numbers from 0, which come sorted through one Arrow stream per task. Groups are dealt out
+    by number: a few heavy ones don't meet in a task, and small ones are not put together, since what f makes of them may
+    be far more."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -361,4 +399,5 @@ def by_group(rows: DataFrame, keys: list[str], f: Callable[[pa.Table], Iterable[
 
     spark = rows.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), GROUP_TASKS * spark.sparkContext.defaultParallelism)
-    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    place = F.pmod(functools.reduce(operator.add, [F.col(k) for k in keys]), F.lit(tasks))
+    return rows.repartitionById(tasks, place).sortWithinPartitions(*keys).mapInArrow(run, schema)
