@@ -166,7 +166,7 @@ class Grid:
     def answers(self, block: TieredBlock, widths: list[Mapping]):
         """The function that answers all entries of a query from its pools."""
         qids, bit = block.qids, {w: b for b, w in enumerate(self.lists)}
-        tiers, rules = self.post_tiers, {e: self.rule(*e) for e in self.post_tiers}
+        tiers, rules, most = self.post_tiers, {e: self.rule(*e) for e in self.post_tiers}, self.most
 
         def entries(query: int, found: Mapping[int, Pool]) -> Iterator[tuple[tuple[int, int, str], Pool, np.ndarray | None]]:
             """(entry, pool, its hits there); None where a round is due."""
@@ -178,7 +178,8 @@ class Grid:
                 return
             every = found.get(EVERY_ROW)
             ranks = np.zeros(0, np.int64) if every is None else every.cell_rank
-            near = functools.lru_cache(WIDTHS_KEPT)(lambda nprobe: np.flatnonzero(ranks < nprobe))
+            # No round has more than `most` candidates.
+            near = functools.lru_cache(WIDTHS_KEPT)(lambda nprobe: np.flatnonzero(ranks < nprobe)[:most].copy())
             of, passes = None, np.zeros(0, bool)
             for entry, rule in rules.items():
                 w, k, _ = entry
